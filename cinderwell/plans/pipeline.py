@@ -1,0 +1,50 @@
+"""Stage A: readings -> wide master table -> spatially joined fact table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cinderwell.operators.events import add_event_time, add_years
+from cinderwell.operators.reshape import add_surrogate_id, master_wide
+from cinderwell.operators.spatial import spatial_join
+from cinderwell.sources import bindings
+from cinderwell.sources.schema import META_COLS
+
+FIRE_COLS = ("FIRE_NAME", "ALARM_DATE", "GIS_ACRES")
+
+
+def build_master(long: DataFrame, analytes, with_id: bool = False) -> DataFrame:
+    m = master_wide(long, analytes)
+    if with_id:
+        m = add_surrogate_id(m, list(META_COLS))
+    return m
+
+
+def build_joined(master: DataFrame, fires: DataFrame, coords: DataFrame | None = None,
+                 cell: float = 0.25, fire_cols=FIRE_COLS) -> DataFrame:
+    """Master rows x matching perimeters (left), with SampleYear,
+    index_right, fire attributes and FireYear, in the published column order."""
+    j = spatial_join(master, fires, fire_cols=fire_cols, coords=coords, cell=cell)
+    j = add_years(j)
+    lead = [c for c in master.columns]
+    tail = ["SampleYear", "index_right", "FIRE_NAME", "ALARM_DATE", "FireYear", "GIS_ACRES"]
+    extra = [c for c in fire_cols if c not in tail]
+    return j.select(*[F.col(f"`{c}`") for c in lead + tail + extra])
+
+
+def binding_master(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
+    return build_master(bindings.readings_long(spark, sf_dir), bindings.BINDING_ANALYTES, with_id)
+
+
+def binding_joined(spark: SparkSession, sf_dir: str, with_days: bool = True,
+                   fire_cols=FIRE_COLS) -> DataFrame:
+    """The joined fact table on the driver tables. Station coordinates for
+    the match table come from the (small) station dimension."""
+    long = bindings.readings_long(spark, sf_dir)
+    master = build_master(long, bindings.BINDING_ANALYTES)
+    sup = bindings.table(spark, sf_dir, "supplier")
+    coords = sup.select(bindings.station_lon(F.col("s_suppkey")).alias("TargetLongitude"),
+                        bindings.station_lat(F.col("s_suppkey")).alias("TargetLatitude"))
+    j = build_joined(master, bindings.fires(spark, sf_dir), coords=coords, fire_cols=fire_cols)
+    return add_event_time(j) if with_days else j
