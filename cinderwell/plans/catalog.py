@@ -208,3 +208,242 @@ QUERIES = {
     "paired_means": q_paired_means,
     "short_labels": q_short_labels,
 }
+
+
+# ---------------------------------------------------------------- stage C
+from cinderwell.functions.geometry import AlbersParams, albers_inverse  # noqa: E402
+from cinderwell.functions.labels import lookup  # noqa: E402
+from cinderwell.operators import gam as gam_ops  # noqa: E402
+from cinderwell.operators import ml  # noqa: E402
+from cinderwell.operators import stats  # noqa: E402
+from cinderwell.sources.schema import MODEL_FEATURES  # noqa: E402
+
+KEYS = ["StationCode", "SampleDate", "index_right"]
+# Display words of the binding's flag letters.
+FLAG_WORDS = {"A": "Accepted", "N": "None", "R": "Returned", "F": "Filled", "O": "Open"}
+BINDING_DISPLAY = {a: f"{FLAG_WORDS[a[0]]} {FLAG_WORDS[a[-1]]}" for a in A}
+CLF_MIN_PRESENT = 3
+
+
+def _model(spark, d):
+    return ev.model_frame(_joined(spark, d))
+
+
+MODEL_COLS = KEYS + ["FIRE_NAME", "days_since_fire", "post_fire", "log_acres", "month", "season_num",
+                     "TargetLatitude", "TargetLongitude", "Region"]
+
+
+def _model_frozen(spark, d):
+    """The model frame written once to the checkpoint folder: the fitting
+    loops make many passes, and each must not re-run the pipeline."""
+    from cinderwell.session import stable_checkpoint
+    return stable_checkpoint(_model(spark, d).select(*MODEL_COLS, *[q(a) for a in A]))
+
+
+def q_model_frame(spark, d):
+    m = _model(spark, d)
+    return normalise(m.select(*KEYS, "FIRE_NAME", "days_since_fire", "post_fire", "log_acres",
+                              "month", "season_num", "TargetLatitude", "TargetLongitude", "Region",
+                              *[q(a) for a in A]))
+
+
+def q_row_counts(spark, d):
+    j = _joined(spark, d)
+    m = ev.model_frame(j)
+    parts = [("master_rows", binding_master(spark, d)), ("joined_rows", j),
+             ("matched_rows", ev.matched(j)), ("same_year_rows", ev.same_year(j)),
+             ("one_month_rows", ev.day_window(ev.matched(j), 0, 30)),
+             ("window_rows", m), ("pre_fire_rows", m.where(F.col("post_fire") == 0)),
+             ("post_fire_rows", m.where(F.col("post_fire") == 1))]
+    out = None
+    for name, df in parts:
+        c = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def _clf_base(spark, d):
+    return ml.classifier_frame(_model(spark, d), A, "post_fire", CLF_MIN_PRESENT, KEYS)
+
+
+def q_class_balance(spark, d):
+    b = _clf_base(spark, d)
+    shares = ev.normalized_counts(b, "post_fire", 2)
+    counts = b.groupBy("post_fire").agg(F.count(F.lit(1)).alias("n"))
+    return shares.join(counts, "post_fire")
+
+
+def q_display_names(spark, d):
+    a = analytes_found(bindings.readings_long(spark, d))
+    return a.select("Analyte", lookup("Analyte", BINDING_DISPLAY).alias("display_name"))
+
+
+ALBERS = AlbersParams()
+
+
+def q_reproject_points(spark, d):
+    sup = bindings.table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    x = (F.pmod(k * 7919, F.lit(1000)) * 1000 - 500000).cast("double")
+    y = (F.pmod(k * 104729, F.lit(1000)) * 1000 - 300000).cast("double")
+    p = albers_inverse(x, y, ALBERS)
+    return normalise(sup.select(k.alias("station_key"), x.alias("x"), y.alias("y"),
+                                p["x"].alias("lon"), p["y"].alias("lat")))
+
+
+def q_complete_cases(spark, d):
+    m = _model(spark, d)
+    out = None
+    for a in A:
+        c = ev.complete_cases(m, list(MODEL_FEATURES) + [a]).agg(F.count(F.lit(1)).alias("n")) \
+              .select(F.lit(a).alias("Analyte"), "n")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def q_min_non_null(spark, d):
+    return normalise(_clf_base(spark, d))
+
+
+def _imputed(spark, d):
+    return stats.median_impute(_clf_base(spark, d), A)
+
+
+def q_median_impute(spark, d):
+    return normalise(_imputed(spark, d))
+
+
+def q_standardize(spark, d):
+    return normalise(stats.standardize(_imputed(spark, d), A))
+
+
+def q_balanced_weights(spark, d):
+    b = _clf_base(spark, d)
+    w = stats.balanced_weights(b, "post_fire", "weight")
+    return normalise(w.groupBy("post_fire", "weight").agg(F.count(F.lit(1)).alias("n")))
+
+
+def q_class_change(spark, d):
+    c = stats.class_means(_imputed(spark, d), A, "post_fire")
+    return c.select("Analyte", F.bround("before", 3).alias("before"), F.bround("after", 3).alias("after"),
+                    F.bround("pct_change", 1).alias("pct_change"), "direction")
+
+
+def q_hash_split(spark, d):
+    s = ml.hash_split(_model(spark, d).select(*KEYS), KEYS, 0.2)
+    return s.select(*KEYS, "is_test")
+
+
+def q_stratified_split(spark, d):
+    s = ml.hash_split(_clf_base(spark, d).select(*KEYS, "post_fire"), KEYS, 0.2, label_col="post_fire")
+    return s.select(*KEYS, "post_fire", "is_test")
+
+
+CAP = 5000
+
+
+def q_capped_sample(spark, d):
+    return ml.capped_sample(_model(spark, d).select(*KEYS, "days_since_fire"), KEYS, CAP)
+
+
+def _rule_predictions(spark, d):
+    # deterministic rule standing in for a model: late-year samples -> class 1
+    m = _model(spark, d)
+    return m.select("post_fire", (F.col("month") >= 7).cast("int").alias("prediction"))
+
+
+def q_confusion_report(spark, d):
+    cm = stats.confusion(_rule_predictions(spark, d), "post_fire", "prediction")
+    return normalise(stats.class_report(cm))
+
+
+def q_weighted_metrics(spark, d):
+    cm = stats.confusion(_rule_predictions(spark, d), "post_fire", "prediction")
+    return normalise(stats.weighted_metrics(cm))
+
+
+def q_r2(spark, d):
+    m = ev.complete_cases(_model(spark, d), ["season_num", A[0]])
+    means = m.groupBy("season_num").agg(F.avg(q(A[0])).alias("prediction"))
+    p = m.join(F.broadcast(means), "season_num")
+    return normalise(stats.r2_score(p, A[0], "prediction"))
+
+
+RF_TREES, RF_DEPTH = 20, 10
+CLF_TREES = 100
+
+
+def q_rf_regression(spark, d):
+    res, _ = ml.rf_regression(_model_frozen(spark, d), A, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    return res.orderBy(F.desc("r2"))
+
+
+def q_rf_importance_matrix(spark, d):
+    _, imp = ml.rf_regression(_model_frozen(spark, d), A, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    return imp.groupBy("Analyte").pivot("feature", list(MODEL_FEATURES)).agg(F.first("importance"))
+
+
+def _clf(spark, d):
+    return ml.rf_classifier(_model_frozen(spark, d), A, BINDING_DISPLAY, num_trees=CLF_TREES,
+                            min_present=CLF_MIN_PRESENT)
+
+
+def q_rf_classifier(spark, d):
+    out = _clf(spark, d)
+    m = out["metrics"]
+    cm = out["confusion"]
+    return cm.crossJoin(m.select("accuracy", "precision", "recall", "f1"))
+
+
+def q_impact_ranking(spark, d):
+    return _clf(spark, d)["ranking"]
+
+
+def _gam(spark, d, model=None):
+    model = model if model is not None else _model_frozen(spark, d)
+    return gam_ops.gam_results(model, A, labels={a: a for a in A})
+
+
+def q_gam_results(spark, d):
+    return _gam(spark, d)[0]
+
+
+def q_gam_curve(spark, d):
+    return _gam(spark, d)[1]
+
+
+def q_model_summary(spark, d):
+    model = _model_frozen(spark, d)
+    rf, _ = ml.rf_regression(model, A, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    g = _gam(spark, d, model)[0]
+    return (rf.select("Analyte", F.col("r2").alias("rf_r2"), "top_feature")
+              .join(g.select("Analyte", F.col("r2").alias("gam_r2"), "post_fire_change", "Direction"),
+                    "Analyte", "full"))
+
+
+QUERIES.update({
+    "model_frame": q_model_frame,
+    "row_counts": q_row_counts,
+    "class_balance": q_class_balance,
+    "display_names": q_display_names,
+    "reproject_points": q_reproject_points,
+    "complete_cases": q_complete_cases,
+    "min_non_null": q_min_non_null,
+    "median_impute": q_median_impute,
+    "standardize": q_standardize,
+    "balanced_weights": q_balanced_weights,
+    "class_change": q_class_change,
+    "hash_split": q_hash_split,
+    "stratified_split": q_stratified_split,
+    "capped_sample": q_capped_sample,
+    "confusion_report": q_confusion_report,
+    "weighted_metrics": q_weighted_metrics,
+    "r2": q_r2,
+    "rf_regression": q_rf_regression,
+    "rf_importance_matrix": q_rf_importance_matrix,
+    "rf_classifier": q_rf_classifier,
+    "impact_ranking": q_impact_ranking,
+    "gam_results": q_gam_results,
+    "gam_curve": q_gam_curve,
+    "model_summary": q_model_summary,
+})

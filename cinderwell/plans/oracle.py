@@ -283,3 +283,130 @@ FROM results WHERE "before" IS NOT NULL AND "after" IS NOT NULL GROUP BY scenari
     "short_labels": with_(readings_cte(), """SELECT DISTINCT Analyte, split_part(Analyte, ',', 1) AS short_label
 FROM readings WHERE Analyte IS NOT NULL"""),
 }
+
+
+# --------------------------------------------------------------------------
+# Stage C: model preparation and metrics
+# --------------------------------------------------------------------------
+KEYS = ["StationCode", "SampleDate", "index_right"]
+KEYS_SQL = ", ".join(KEYS)
+
+
+def model_ctes() -> str:
+    return f"""{joined_ctes()},
+model AS (
+  SELECT *, CAST(days_since_fire >= 0 AS INTEGER) AS post_fire, ln(1 + GIS_ACRES) AS log_acres,
+         CAST(month(SampleDate) AS INTEGER) AS month,
+         CAST(floor((month(SampleDate) % 12) / 3) AS INTEGER) AS season_num
+  FROM joined WHERE days_since_fire BETWEEN -1825 AND 1825)"""
+
+
+def clf_ctes() -> str:
+    present = " + ".join(f"(CASE WHEN {qi(a)} IS NOT NULL THEN 1 ELSE 0 END)" for a in A)
+    meds = ", ".join(f"median({qi(a)}) AS m{i}" for i, a in enumerate(A))
+    imp = ", ".join(f"COALESCE({qi(a)}, m{i}) AS {qi(a)}" for i, a in enumerate(A))
+    return f"""{model_ctes()},
+clf AS (SELECT {KEYS_SQL}, {", ".join(qi(a) for a in A)}, post_fire FROM model WHERE {present} >= 3),
+med AS (SELECT {meds} FROM clf),
+imp AS (SELECT {KEYS_SQL}, {imp}, post_fire FROM clf CROSS JOIN med)"""
+
+
+def _hash(seed=42):
+    return (f"('0x' || substr(md5(StationCode || '|' || CAST(SampleDate AS VARCHAR) || '|' || "
+            f"CAST(index_right AS VARCHAR) || ':{seed}'), 1, 13))::BIGINT")
+
+
+def _albers_sql() -> str:
+    from cinderwell.functions.geometry import AlbersParams
+    p = AlbersParams()
+    c1, c2, c3 = p.series()
+    x = "CAST(((s_suppkey * 7919) % 1000) * 1000 - 500000 AS DOUBLE)"
+    y = "CAST(((s_suppkey * 104729) % 1000) * 1000 - 300000 AS DOUBLE)"
+    xs = f"({x} - {p.fe!r})"
+    ys = f"({p.rho0!r} - ({y} - {p.fn!r}))"
+    rho = f"sqrt({xs} * {xs} + {ys} * {ys})"
+    qq = f"(({p.C!r} - {rho} * {rho} * {p.n * p.n / (p.a * p.a)!r}) / {p.n!r})"
+    beta = f"asin(GREATEST(-1.0, LEAST(1.0, {qq} / {p.qp!r})))"
+    phi = f"({beta} + {c1!r} * sin(2 * {beta}) + {c2!r} * sin(4 * {beta}) + {c3!r} * sin(6 * {beta}))"
+    lam = f"({p.lon0!r} + atan2({xs}, {ys}) / {p.n!r})"
+    return (f"SELECT s_suppkey AS station_key, {rnd(x)} AS x, {rnd(y)} AS y, "
+            f"{rnd(f'degrees({lam})')} AS lon, {rnd(f'degrees({phi})')} AS lat FROM supplier")
+
+
+def _class_report(pred_ctes: str) -> str:
+    return f"""{pred_ctes},
+grid AS (SELECT a.c AS actual, p.c AS predicted FROM (VALUES (0), (1)) a(c) CROSS JOIN (VALUES (0), (1)) p(c)),
+cnt AS (SELECT post_fire AS actual, prediction AS predicted, count(*) AS n FROM pred GROUP BY ALL),
+cm AS (SELECT g.actual, g.predicted, CAST(COALESCE(c.n, 0) AS BIGINT) AS n FROM grid g
+       LEFT JOIN cnt c ON g.actual = c.actual AND g.predicted = c.predicted),
+rep AS (
+  SELECT t.cls, COALESCE(CAST(t.tp AS DOUBLE) / NULLIF(pp.pred_pos, 0), 0.0) AS precision,
+         COALESCE(CAST(t.tp AS DOUBLE) / NULLIF(s.support, 0), 0.0) AS recall, s.support
+  FROM (SELECT actual AS cls, n AS tp FROM cm WHERE actual = predicted) t
+  JOIN (SELECT actual AS cls, CAST(sum(n) AS BIGINT) AS support FROM cm GROUP BY actual) s ON t.cls = s.cls
+  JOIN (SELECT predicted AS cls, CAST(sum(n) AS BIGINT) AS pred_pos FROM cm GROUP BY predicted) pp ON t.cls = pp.cls),
+rep2 AS (SELECT *, COALESCE(2 * precision * recall / NULLIF(precision + recall, 0), 0.0) AS f1 FROM rep)"""
+
+
+RULE_PRED = f"""{model_ctes()},
+pred AS (SELECT post_fire, CAST(month >= 7 AS INTEGER) AS prediction FROM model)"""
+
+FEATS = ["days_since_fire", "log_acres", "season_num", "TargetLatitude", "TargetLongitude", "Region"]
+
+SQL.update({
+    "model_frame": with_(model_ctes(), f"""SELECT {KEYS_SQL}, FIRE_NAME, days_since_fire, post_fire, {_r('log_acres')},
+  month, season_num, {_r('TargetLatitude')}, {_r('TargetLongitude')}, Region, {", ".join(_r(a) for a in A)} FROM model"""),
+    "row_counts": with_(model_ctes(), """SELECT 'master_rows' AS name, CAST(count(*) AS BIGINT) AS n FROM master
+UNION ALL SELECT 'joined_rows', CAST(count(*) AS BIGINT) FROM joined
+UNION ALL SELECT 'matched_rows', CAST(count(*) AS BIGINT) FROM joined WHERE FIRE_NAME IS NOT NULL
+UNION ALL SELECT 'same_year_rows', CAST(count(*) AS BIGINT) FROM joined WHERE FIRE_NAME IS NOT NULL AND SampleYear = FireYear
+UNION ALL SELECT 'one_month_rows', CAST(count(*) AS BIGINT) FROM joined WHERE FIRE_NAME IS NOT NULL AND days_since_fire BETWEEN 0 AND 30
+UNION ALL SELECT 'window_rows', CAST(count(*) AS BIGINT) FROM model
+UNION ALL SELECT 'pre_fire_rows', CAST(count(*) AS BIGINT) FROM model WHERE post_fire = 0
+UNION ALL SELECT 'post_fire_rows', CAST(count(*) AS BIGINT) FROM model WHERE post_fire = 1"""),
+    "class_balance": with_(clf_ctes(), """SELECT post_fire, round_even(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 2) AS share,
+  CAST(count(*) AS BIGINT) AS n FROM clf GROUP BY post_fire"""),
+    "reproject_points": _albers_sql(),
+    "complete_cases": with_(model_ctes(), "\nUNION ALL ".join(
+        f"SELECT '{a}' AS Analyte, CAST(count(*) AS BIGINT) AS n FROM model WHERE "
+        + " AND ".join(f"{qi(c)} IS NOT NULL" for c in FEATS + [a]) for a in A)),
+    "min_non_null": with_(clf_ctes(), f"SELECT {KEYS_SQL}, {', '.join(_r(a) for a in A)}, post_fire FROM clf"),
+    "median_impute": with_(clf_ctes(), f"SELECT {KEYS_SQL}, {', '.join(_r(a) for a in A)}, post_fire FROM imp"),
+    "standardize": with_(clf_ctes() + ",\nst AS (SELECT " + ", ".join(
+        f"avg({qi(a)}) AS mu{i}, stddev_pop({qi(a)}) AS sd{i}" for i, a in enumerate(A)) + " FROM imp)",
+        f"SELECT {KEYS_SQL}, " + ", ".join(
+            f"{rnd(f'({qi(a)} - mu{i}) / (CASE WHEN sd{i} IS NULL OR sd{i} = 0 THEN 1.0 ELSE sd{i} END)')} AS {qi(a)}"
+            for i, a in enumerate(A)) + ", post_fire FROM imp CROSS JOIN st"),
+    "balanced_weights": with_(clf_ctes(), """SELECT post_fire, round(CAST(sum(count(*)) OVER () AS DOUBLE) /
+  (count(*) OVER () * count(*)), 6) AS weight, CAST(count(*) AS BIGINT) AS n FROM clf GROUP BY post_fire"""),
+    "class_change": with_(clf_ctes() + ",\ncm AS (" + "\n  UNION ALL ".join(
+        f"SELECT '{a}' AS Analyte, avg(CASE WHEN post_fire = 0 THEN {qi(a)} END) AS b, "
+        f"avg(CASE WHEN post_fire = 1 THEN {qi(a)} END) AS a FROM imp" for a in A) + ")",
+        """SELECT Analyte, round_even(b, 3) AS "before", round_even(a, 3) AS "after",
+  round_even((a - b) / NULLIF(b, 0) * 100, 1) AS pct_change,
+  CASE WHEN (a - b) / NULLIF(b, 0) * 100 > 0 THEN '↑' ELSE '↓' END AS direction FROM cm"""),
+    "hash_split": with_(model_ctes(), f"""SELECT {KEYS_SQL},
+  row_number() OVER (ORDER BY {_hash()}) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM model"""),
+    "stratified_split": with_(clf_ctes(), f"""SELECT {KEYS_SQL}, post_fire,
+  row_number() OVER (PARTITION BY post_fire ORDER BY {_hash()}) <= ceil(0.2 * count(*) OVER (PARTITION BY post_fire))
+  AS is_test FROM clf"""),
+    "capped_sample": with_(model_ctes(), f"SELECT {KEYS_SQL}, days_since_fire FROM model ORDER BY {_hash()} LIMIT 5000"),
+    "confusion_report": with_(_class_report(RULE_PRED), f"""SELECT cls, {_r('precision')}, {_r('recall')},
+  {_r('f1')}, support FROM rep2"""),
+    "weighted_metrics": with_(_class_report(RULE_PRED), f"""SELECT
+  {rnd('(SELECT CAST(sum(n) AS DOUBLE) FROM cm WHERE actual = predicted) / (SELECT sum(n) FROM cm)')} AS accuracy,
+  {rnd('sum(precision * support) / sum(support)')} AS precision,
+  {rnd('sum(recall * support) / sum(support)')} AS recall,
+  {rnd('sum(f1 * support) / sum(support)')} AS f1,
+  CAST(sum(support) AS BIGINT) AS n FROM rep2"""),
+    "r2": with_(model_ctes() + f""",
+m AS (SELECT season_num, {qi(A[0])} AS y FROM model WHERE season_num IS NOT NULL AND {qi(A[0])} IS NOT NULL),
+g AS (SELECT season_num, avg(y) AS p FROM m GROUP BY season_num)""",
+        f"""SELECT {rnd('CASE WHEN sum(y * y) - sum(y) * sum(y) / count(y) > 0 THEN 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(y)) END')} AS r2,
+  CAST(count(y) AS BIGINT) AS n FROM m JOIN g USING (season_num)"""),
+})
+
+_FLAG_WORDS = {"A": "Accepted", "N": "None", "R": "Returned", "F": "Filled", "O": "Open"}
+SQL["display_names"] = with_(readings_cte(), "SELECT DISTINCT Analyte, CASE Analyte "
+                             + " ".join(f"WHEN '{a}' THEN '{_FLAG_WORDS[a[0]]} {_FLAG_WORDS[a[-1]]}'" for a in A)
+                             + " END AS display_name FROM readings WHERE Analyte IS NOT NULL")
