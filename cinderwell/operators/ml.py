@@ -18,9 +18,10 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderwell.operators.stats import (balanced_weights, class_means, column_medians,
-                                        confusion, median_impute, order_statistics,
-                                        r2_score, standardize, weighted_metrics)
+from cinderwell.operators.stats import (select_ranks, balanced_weights, class_means,
+                                        column_medians, confusion, median_impute, r2_score,
+                                        standardize, weighted_metrics)
+from cinderwell.session import passes_over
 from cinderwell.sources.schema import MODEL_FEATURES, q
 
 SEED = 42
@@ -42,13 +43,14 @@ def hash_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = SEED
     """M1/M2: exact-size split. Test rows are the ceil(test_size * n) rows
     with the smallest key hash — per class when ``label_col`` is given
     (stratified)."""
-    h = df.withColumn("_h", key_hash(row_key(key_cols), seed))
     g = F.col(label_col) if label_col else F.lit(None).cast("string")
-    counts = {r["g"]: r["n"] for r in h.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    want = {grp: math.ceil(test_size * n) for grp, n in counts.items()}
-    ranks = {grp: [k - 1] for grp, k in want.items() if k >= 1}
-    hh = h.withColumn("_g", g)
-    th = order_statistics(hh, "_h", ranks, "_g")
+    hh = df.withColumn("_h", key_hash(row_key(key_cols), seed)).withColumn("_g", g)
+    narrow = hh.select("_g", F.col("_h").cast("double").alias("_v"))
+    with passes_over(narrow) as data:
+        counts = {r["_g"]: r["n"] for r in data.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+        want = {grp: math.ceil(test_size * n) for grp, n in counts.items()}
+        ranks = {grp: [k - 1] for grp, k in want.items() if k >= 1}
+        th = select_ranks(data, ranks, 1024, 100_000)
     cut = F.create_map(*[x for grp, k in want.items() if k >= 1
                          for x in (F.lit(str(grp) if label_col else "_"), F.lit(int(th[(grp, k - 1)])))])
     lookup = cut[F.col("_g").cast("string")] if label_col else cut[F.lit("_")]

@@ -14,6 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderwell.session import passes_over
 from cinderwell.sources.schema import q
 
 
@@ -27,8 +28,13 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
     it holds at most ``max_collect`` values.
     """
     g = F.col(group_col) if group_col else F.lit(None).cast("string")
-    data = df.select(g.alias("_g"), F.col(value_col).cast("double").alias("_v")).where(
+    narrow = df.select(g.alias("_g"), F.col(value_col).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
+    with passes_over(narrow) as data:
+        return select_ranks(data, ranks, buckets, max_collect)
+
+
+def select_ranks(data: DataFrame, ranks: dict, buckets: int, max_collect: int) -> dict:
     first = data.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
                                    F.count(F.lit(1)).alias("n")).collect()
     stats = {r["_g"]: (r["lo"], r["hi"], r["n"]) for r in first}
@@ -83,18 +89,17 @@ def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str
 
 
 def exact_quantile(df: DataFrame, value_col: str, p: float = 0.5, group_col: str | None = None,
-                   **kw) -> dict:
+                   buckets: int = 1024, max_collect: int = 100_000) -> dict:
     """Exact quantile with linear interpolation (the pandas/numpy
     default), NULL/NaN skipped; {group: value} (group None without groups)."""
     g = F.col(group_col) if group_col else F.lit(None).cast("string")
-    counts = {r["_g"]: r["n"] for r in df.select(g.alias("_g"), F.col(value_col).alias("_v"))
-              .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-              .groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranks = {}
-    for grp, n in counts.items():
-        h = (n - 1) * p
-        ranks[grp] = sorted({math.floor(h), math.ceil(h)})
-    got = order_statistics(df, value_col, ranks, group_col, **kw)
+    narrow = df.select(g.alias("_g"), F.col(value_col).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull() & ~F.isnan("_v"))
+    with passes_over(narrow) as data:
+        counts = {r["_g"]: r["n"] for r in data.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+        ranks = {grp: sorted({math.floor((n - 1) * p), math.ceil((n - 1) * p)})
+                 for grp, n in counts.items()}
+        got = select_ranks(data, ranks, buckets, max_collect)
     out = {}
     for grp, n in counts.items():
         h = (n - 1) * p

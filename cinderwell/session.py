@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -20,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # checkpoint files are removed once the checkpointed data is unreachable
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -67,6 +70,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def stable_checkpoint(df: DataFrame) -> DataFrame:
     """Reliable (file-backed) checkpoint: survives executor loss and freezes
     partition contents, so several passes over it see the same rows in the
-    same partitions."""
+    same partitions. The frame is persisted while the checkpoint is written,
+    so its lineage runs once, not twice."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+
+
+class passes_over:
+    """Context manager for multi-pass operators: the (narrow) frame is
+    persisted for the passes and released afterwards. Lost partitions are
+    recomputed from lineage, so an executor loss costs time, not results."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def __enter__(self) -> DataFrame:
+        return self.df.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def __exit__(self, *exc):
+        self.df.unpersist()
+        return False
