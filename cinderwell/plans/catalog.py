@@ -447,3 +447,20 @@ QUERIES.update({
     "gam_curve": q_gam_curve,
     "model_summary": q_model_summary,
 })
+
+
+def q_mixed_effects(spark, d):
+    from cinderwell.operators.mixed import mixed_effects
+    return mixed_effects(_model(spark, d), A, "post_fire", "StationCode")
+
+
+QUERIES["mixed_effects"] = q_mixed_effects
+
+
+def q_mixed_station_stats(spark, d):
+    from cinderwell.operators.mixed import station_stats
+    s = station_stats(_model(spark, d), A, "post_fire", "StationCode")
+    return normalise(s.withColumnRenamed("g", "StationCode").withColumn("n", F.col("n").cast("long")))
+
+
+QUERIES["mixed_station_stats"] = q_mixed_station_stats

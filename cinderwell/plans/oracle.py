@@ -410,3 +410,9 @@ _FLAG_WORDS = {"A": "Accepted", "N": "None", "R": "Returned", "F": "Filled", "O"
 SQL["display_names"] = with_(readings_cte(), "SELECT DISTINCT Analyte, CASE Analyte "
                              + " ".join(f"WHEN '{a}' THEN '{_FLAG_WORDS[a[0]]} {_FLAG_WORDS[a[-1]]}'" for a in A)
                              + " END AS display_name FROM readings WHERE Analyte IS NOT NULL")
+
+SQL["mixed_station_stats"] = with_(model_ctes() + ",\nlong AS (" + "\n  UNION ALL ".join(
+    f"SELECT '{a}' AS Analyte, StationCode, CAST(post_fire AS DOUBLE) AS x, {qi(a)} AS y FROM model" for a in A) + ")",
+    f"""SELECT Analyte, StationCode, CAST(count(*) AS BIGINT) AS n, {rnd('sum(x)')} AS sx, {rnd('sum(y)')} AS sy,
+  {rnd('sum(x * x)')} AS sxx, {rnd('sum(x * y)')} AS sxy, {rnd('sum(y * y)')} AS syy
+FROM long WHERE y IS NOT NULL AND x IS NOT NULL AND StationCode IS NOT NULL GROUP BY Analyte, StationCode""")

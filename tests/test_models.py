@@ -39,3 +39,37 @@ def test_rf_importances_sum_to_one(spark):
     res, imp = ml.rf_regression(df, ["y"], num_trees=5, max_depth=4)
     assert res.count() == 1
     assert abs(imp.agg(F.sum("importance")).first()[0] - 1.0) < 1e-9
+
+
+def test_mixed_effects_matches_dense_reml(spark):
+    """Grid REML on sufficient statistics vs a dense brute-force REML."""
+    import numpy as np
+    from cinderwell.operators.mixed import mixed_effects
+    rnd = random.Random(5)
+    rows, groups = [], []
+    for g in range(12):
+        u = rnd.gauss(0, 1.0)
+        for i in range(rnd.randint(3, 9)):
+            x = rnd.randint(0, 1)
+            rows.append((f"g{g}", x, 1.0 + 0.7 * x + u + rnd.gauss(0, 0.5)))
+            groups.append(g)
+    df = spark.createDataFrame(rows, "StationCode string, post_fire int, y double")
+    got = mixed_effects(df, ["y"]).first()
+    y = np.array([r[2] for r in rows])
+    X = np.array([[1.0, r[1]] for r in rows])
+    G = np.array(groups)
+
+    def reml(gam):
+        V = np.eye(len(y)) + gam * (G[:, None] == G[None, :])
+        Vi = np.linalg.inv(V)
+        A = X.T @ Vi @ X
+        beta = np.linalg.solve(A, X.T @ Vi @ y)
+        r = y - X @ beta
+        n, p = len(y), 2
+        s2 = r @ Vi @ r / (n - p)
+        ll = -0.5 * ((n - p) * np.log(s2) + np.linalg.slogdet(V)[1] + np.linalg.slogdet(A)[1] + (n - p))
+        return ll, beta
+    gams = np.logspace(-4, 3, 3000)
+    best = max(gams, key=lambda g: reml(g)[0])
+    assert abs(got["Coefficient"] - round(reml(best)[1][1], 4)) <= 2e-4
+    assert got["n_readings"] == len(rows) and got["n_stations"] == 12
