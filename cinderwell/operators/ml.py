@@ -25,6 +25,9 @@ from cinderwell.session import passes_over
 from cinderwell.sources.schema import MODEL_FEATURES, q
 
 SEED = 42
+# Forest training: more tree nodes per pass over the data (fewer passes) and
+# cached node ids (no re-descent of every tree per row and level).
+TRAIN_OPTS = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
 HASH_HEX_DIGITS = 13  # 52 bits: exact in a double, so selection on it is exact
 
 
@@ -70,7 +73,7 @@ def _assemble(df: DataFrame, features, out="features") -> DataFrame:
 
 def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
                   key_cols=("StationCode", "SampleDate", "index_right"), num_trees: int = 20,
-                  max_depth: int = 10, max_bins: int = 64, min_rows: int = 100,
+                  max_depth: int = 10, max_bins: int = 32, min_rows: int = 100,
                   train_cap: int | None = None, seed: int = SEED, parallel: int = 8):
     """M3 + M4: one forest per analyte on complete cases.
 
@@ -93,7 +96,7 @@ def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
             train = capped_sample(train, key_cols, train_cap, seed)
         rf = RandomForestRegressor(featuresCol="features", labelCol=a, numTrees=num_trees,
                                    maxDepth=max_depth, maxBins=max_bins, seed=seed,
-                                   featureSubsetStrategy="all")
+                                   featureSubsetStrategy="all", **TRAIN_OPTS)
         model = rf.fit(_assemble(train, features))
         pred = model.transform(_assemble(s.where(F.col("is_test")), features))
         r2 = r2_score(pred, a, "prediction").first()["r2"]
@@ -146,7 +149,7 @@ def rf_classifier(model_df: DataFrame, analytes, display: dict | None = None, la
     train = balanced_weights(train, label_col, "weight")
     clf = RandomForestClassifier(featuresCol="features", labelCol=label_col, weightCol="weight",
                                  numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                 featureSubsetStrategy="sqrt")
+                                 featureSubsetStrategy="sqrt", **TRAIN_OPTS)
     model = clf.fit(_assemble(train, analytes))
     pred = model.transform(_assemble(split.where(F.col("is_test")), analytes))
     cm = confusion(pred, label_col, "prediction")

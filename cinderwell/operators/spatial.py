@@ -19,15 +19,13 @@ from pyspark.sql import functions as F
 
 from cinderwell.functions.geometry import bbox, cell_index, cell_range, vertex_count, within
 
-# Rows at or below which a join side is broadcast (checked by counting it).
+# Cell rows at or below which the perimeter-cell table is broadcast.
 BROADCAST_ROWS = 2_000_000
 # Vertices summed over all perimeters at or below which geometry is broadcast.
 BROADCAST_VERTICES = 5_000_000
-
-
-def _maybe_broadcast(df: DataFrame, limit: int, measure=None) -> DataFrame:
-    size = measure(df) if measure else df.count()
-    return F.broadcast(df) if size <= limit else df
+# Match rows at or below which the match table becomes a broadcast local
+# relation (fetched with limit(bound + 1), so the bound is proven).
+LOCAL_MATCH_ROWS = 200_000
 
 
 def fire_cells(fires: DataFrame, cell: float, id_col="fire_id", rings_col="rings") -> DataFrame:
@@ -38,26 +36,36 @@ def fire_cells(fires: DataFrame, cell: float, id_col="fire_id", rings_col="rings
                  .withColumn("cy", F.explode(cell_range("miny", "maxy", cell))))
 
 
+def fire_sizes(fires: DataFrame, cell: float, rings_col="rings") -> tuple[int, int, int]:
+    """(perimeters, grid-cell rows, vertices) in one aggregation."""
+    bb = bbox(rings_col)
+    ncell = ((cell_index(bb["maxx"], cell) - cell_index(bb["minx"], cell) + 1)
+             * (cell_index(bb["maxy"], cell) - cell_index(bb["miny"], cell) + 1))
+    r = fires.agg(F.count(F.lit(1)).alias("f"), F.coalesce(F.sum(ncell), F.lit(0)).alias("c"),
+                  F.coalesce(F.sum(vertex_count(rings_col)), F.lit(0)).alias("v")).first()
+    return int(r["f"]), int(r["c"]), int(r["v"])
+
+
 def point_fire_matches(coords: DataFrame, fires: DataFrame, lon="TargetLongitude",
                        lat="TargetLatitude", cell: float = 0.25, id_col="fire_id",
-                       rings_col="rings") -> DataFrame:
+                       rings_col="rings", sizes: tuple | None = None) -> DataFrame:
     """(lon, lat, fire_id) for every distinct coordinate strictly inside a
     perimeter. A point inside k overlapping perimeters yields k rows."""
+    _, n_cells, n_vertices = sizes or fire_sizes(fires, cell, rings_col)
     pts = (coords.select(F.col(lon).alias("_px"), F.col(lat).alias("_py"))
                  .where(F.col("_px").isNotNull() & F.col("_py").isNotNull()
                         & ~F.isnan("_px") & ~F.isnan("_py"))
                  .distinct()
                  .withColumn("cx", cell_index("_px", cell))
                  .withColumn("cy", cell_index("_py", cell)))
-    cells = _maybe_broadcast(fire_cells(fires, cell, id_col, rings_col), BROADCAST_ROWS)
+    cells = fire_cells(fires, cell, id_col, rings_col)
+    cells = F.broadcast(cells) if n_cells <= BROADCAST_ROWS else cells
     cand = (pts.join(cells, ["cx", "cy"])
                .where((F.col("_px") > F.col("minx")) & (F.col("_px") < F.col("maxx"))
                       & (F.col("_py") > F.col("miny")) & (F.col("_py") < F.col("maxy")))
                .select("_px", "_py", id_col))
     geom = fires.select(id_col, rings_col)
-    geom = _maybe_broadcast(
-        geom, BROADCAST_VERTICES,
-        lambda g: g.agg(F.coalesce(F.sum(vertex_count(rings_col)), F.lit(0))).first()[0])
+    geom = F.broadcast(geom) if n_vertices <= BROADCAST_VERTICES else geom
     hits = cand.join(geom, id_col).where(within(F.col("_px"), F.col("_py"), F.col(rings_col)))
     return hits.select(F.col("_px").alias(lon), F.col("_py").alias(lat), id_col)
 
@@ -72,15 +80,20 @@ def spatial_join(points: DataFrame, fires: DataFrame, fire_cols=("FIRE_NAME", "A
     station metadata) so the match table is computed without the readings.
     No match -> one row with NULL fire columns; NULL coordinates never match.
     """
+    spark = points.sparkSession
+    sizes = fire_sizes(fires, cell, rings_col)
     matches = point_fire_matches(coords if coords is not None else points, fires,
-                                 lon, lat, cell, id_col, rings_col)
-    attrs = fires.select(id_col, *fire_cols)
-    m = (matches.join(attrs, id_col)
-                .select(F.col(lon).alias("_mlon"), F.col(lat).alias("_mlat"),
-                        F.col(id_col).alias(id_alias), *fire_cols))
-    m = _maybe_broadcast(m, BROADCAST_ROWS)
+                                 lon, lat, cell, id_col, rings_col, sizes)
+    m = matches.select(F.col(lon).alias("_mlon"), F.col(lat).alias("_mlat"),
+                       F.col(id_col).alias(id_alias))
+    local = m.limit(LOCAL_MATCH_ROWS + 1).collect()
+    if len(local) <= LOCAL_MATCH_ROWS:
+        m = F.broadcast(spark.createDataFrame(local, m.schema))
+    attrs = fires.select(F.col(id_col).alias(id_alias), *fire_cols)
+    attrs = F.broadcast(attrs) if sizes[0] <= BROADCAST_ROWS else attrs
     cond = (F.col(lon) == F.col("_mlon")) & (F.col(lat) == F.col("_mlat"))
-    return points.join(m, cond, how).drop("_mlon", "_mlat")
+    joined = points.join(m, cond, how).drop("_mlon", "_mlat")
+    return joined.join(attrs, id_alias, "left")
 
 
 def brute_force_join(points: DataFrame, fires: DataFrame, fire_cols=("FIRE_NAME", "ALARM_DATE", "GIS_ACRES"),

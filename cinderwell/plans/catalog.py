@@ -63,8 +63,7 @@ def q_master_wide(spark, d):
 
 
 def q_surrogate_id(spark, d):
-    m = binding_master(spark, d)
-    return normalise(add_surrogate_id(m, list(META_COLS)))
+    return normalise(binding_master(spark, d, with_id=True))
 
 
 FILE_HEAD_N = 1000  # rows kept per analyte file by the reduction step

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderwell.operators.events import add_event_time, add_years
 from cinderwell.operators.reshape import add_surrogate_id, master_wide
 from cinderwell.operators.spatial import spatial_join
+from cinderwell.session import checkpoint_dir
 from cinderwell.sources import bindings
 from cinderwell.sources.schema import META_COLS
 
@@ -33,18 +37,49 @@ def build_joined(master: DataFrame, fires: DataFrame, coords: DataFrame | None =
     return j.select(*[F.col(f"`{c}`") for c in lead + tail + extra])
 
 
-def binding_master(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
-    return build_master(bindings.readings_long(spark, sf_dir), bindings.BINDING_ANALYTES, with_id)
+_STAGE_LOCK = threading.RLock()
+
+
+def stage_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
+    """A stage output written once per session as a Parquet table under
+    the session's checkpoint folder, then re-read by every later stage (the
+    hand-off the reference makes with files between its scripts). Cuts
+    lineage and survives executor loss; inputs are read-only for a session."""
+    base = checkpoint_dir(spark).rstrip("/")
+    app = spark.sparkContext.applicationId
+    digest = hashlib.sha1(key.encode()).hexdigest()[:12]
+    path = f"{base}/cinderwell-stages/{app}/{name}-{digest}"
+    with _STAGE_LOCK:
+        if path not in _WRITTEN:
+            build().write.mode("overwrite").parquet(path)
+            _WRITTEN.add(path)
+    return spark.read.parquet(path)
+
+
+_WRITTEN: set = set()
+
+
+def binding_master(spark: SparkSession, sf_dir: str, with_id: bool = False,
+                   materialized: bool = True) -> DataFrame:
+    def build():
+        return build_master(bindings.readings_long(spark, sf_dir), bindings.BINDING_ANALYTES)
+    m = stage_table(spark, "master", sf_dir, build) if materialized else build()
+    return add_surrogate_id(m, list(META_COLS)) if with_id else m
 
 
 def binding_joined(spark: SparkSession, sf_dir: str, with_days: bool = True,
-                   fire_cols=FIRE_COLS) -> DataFrame:
+                   fire_cols=FIRE_COLS, materialized: bool = True) -> DataFrame:
     """The joined fact table on the driver tables. Station coordinates for
     the match table come from the (small) station dimension."""
-    long = bindings.readings_long(spark, sf_dir)
-    master = build_master(long, bindings.BINDING_ANALYTES)
-    sup = bindings.table(spark, sf_dir, "supplier")
-    coords = sup.select(bindings.station_lon(F.col("s_suppkey")).alias("TargetLongitude"),
-                        bindings.station_lat(F.col("s_suppkey")).alias("TargetLatitude"))
-    j = build_joined(master, bindings.fires(spark, sf_dir), coords=coords, fire_cols=fire_cols)
-    return add_event_time(j) if with_days else j
+    def build():
+        master = binding_master(spark, sf_dir, materialized=materialized)
+        sup = bindings.table(spark, sf_dir, "supplier")
+        coords = sup.select(bindings.station_lon(F.col("s_suppkey")).alias("TargetLongitude"),
+                            bindings.station_lat(F.col("s_suppkey")).alias("TargetLatitude"))
+        cols = tuple(dict.fromkeys(tuple(FIRE_COLS) + ("CONT_DATE",)))
+        return add_event_time(build_joined(master, bindings.fires(spark, sf_dir), coords=coords,
+                                           fire_cols=cols))
+    j = stage_table(spark, "joined", sf_dir, build) if materialized else build()
+    keep = [c for c in j.columns if c not in ("CONT_DATE", "days_since_fire")
+            or (c == "CONT_DATE" and "CONT_DATE" in fire_cols) or (c == "days_since_fire" and with_days)]
+    return j.select(*[F.col(f"`{c}`") for c in keep])
