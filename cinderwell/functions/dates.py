@@ -33,14 +33,29 @@ def parse_utc_timestamp(c) -> Column:
     )
 
 
-def days_between(later, earlier) -> Column:
+def instant_micros(c, is_date: bool) -> Column:
+    """Epoch microseconds of a DATE (its UTC midnight) or a TIMESTAMP; no
+    session time zone enters either form."""
+    c = _c(c)
+    if is_date:
+        return F.unix_date(c).cast("long") * F.lit(MICROS_PER_DAY)
+    return F.unix_micros(c)
+
+
+def days_between(later, earlier, later_is_date: bool = True, earlier_is_date: bool = False) -> Column:
     """Signed whole days from ``earlier`` to ``later``, rounded down
-    (half a day before the event is day -1). DATE inputs count as midnight."""
-    a = F.unix_micros(_c(later).cast("timestamp"))
-    b = F.unix_micros(_c(earlier).cast("timestamp"))
+    (half a day before the event is day -1). DATE inputs count as UTC
+    midnight."""
+    a = instant_micros(later, later_is_date)
+    b = instant_micros(earlier, earlier_is_date)
     return F.floor((a - b) / F.lit(float(MICROS_PER_DAY))).cast("int")
 
 
+def utc_midnight(date_col) -> Column:
+    """TIMESTAMP at the UTC midnight of a DATE, whatever the session zone."""
+    return F.timestamp_seconds(F.unix_date(_c(date_col)).cast("long") * F.lit(86400))
+
+
 def season_of_month(month) -> Column:
     """12,1,2 -> 0; 3-5 -> 1; 6-8 -> 2; 9-11 -> 3."""
     return F.floor(F.pmod(_c(month), F.lit(12)) / F.lit(3)).cast("int")

@@ -5,20 +5,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderwell.functions.dates import days_between, flag, season_of_month
 
 
 def add_years(df: DataFrame, sample_col="SampleDate", alarm_col="ALARM_DATE") -> DataFrame:
     """SampleYear and FireYear (NULL without a fire)."""
+    a = F.col(alarm_col)
+    if not isinstance(dict((f.name, f.dataType) for f in df.schema.fields)[alarm_col], T.DateType):
+        a = F.to_date(F.convert_timezone(F.lit(_session_tz(df)), F.lit("UTC"), a.cast("timestamp_ntz")))
     return df.withColumns({"SampleYear": F.year(sample_col).cast("int"),
-                           "FireYear": F.year(alarm_col).cast("int")})
+                           "FireYear": F.year(a).cast("int")})
+
+
+def _session_tz(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone")
 
 
 def add_event_time(df: DataFrame, sample_col="SampleDate", alarm_col="ALARM_DATE",
                    out="days_since_fire") -> DataFrame:
     """P8 + P9: signed whole days since the row's own event (floor)."""
-    return df.withColumn(out, days_between(F.col(sample_col), F.col(alarm_col)))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumn(out, days_between(F.col(sample_col), F.col(alarm_col),
+                                           isinstance(types[sample_col], T.DateType),
+                                           isinstance(types[alarm_col], T.DateType)))
 
 
 def matched(df: DataFrame, name_col="FIRE_NAME") -> DataFrame:

@@ -30,13 +30,15 @@ JOINED_TAIL = ["SampleYear", "index_right", "FIRE_NAME", "ALARM_DATE", "FireYear
 
 
 def normalise(df: DataFrame, digits: int = ROUND_DIGITS) -> DataFrame:
+    tz = df.sparkSession.conf.get("spark.sql.session.timeZone")
     out = []
     for f in df.schema.fields:
         c = q(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(c, digits)
         elif isinstance(f.dataType, T.TimestampType):
-            c = c.cast("timestamp_ntz")
+            # UTC wall clock, whatever the session time zone
+            c = F.convert_timezone(F.lit(tz), F.lit("UTC"), c.cast("timestamp_ntz"))
         out.append(c.alias(f.name))
     return df.select(*out)
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderwell.functions.dates import utc_midnight
 from cinderwell.sources.schema import nan_to_null
 
 # Fixed values of the binding.
@@ -76,14 +77,14 @@ def fires(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct((x0 + F.lit(dx)).alias("x"), (y0 + F.lit(dy)).alias("y"))
     ring = F.array(pt(0.0, 0.0), pt(2.5, 0.0), pt(2.5, 1.5), pt(1.5, 1.5),
                    pt(1.5, 2.5), pt(0.0, 2.5), pt(0.0, 0.0))
-    alarm = F.date_add(F.lit("1995-06-01").cast("date"), n * 90).cast("timestamp")
+    alarm = utc_midnight(F.date_add(F.lit("1995-06-01").cast("date"), n * 90))
     acres = F.when(F.pmod(n, F.lit(7)) == 0, F.lit(None).cast("double")) \
              .otherwise((F.pmod(n * n, F.lit(150)) * 1000).cast("double"))
     return table(spark, sf_dir, "nation").select(
         n.cast("long").alias("fire_id"),
         F.col("n_name").alias("FIRE_NAME"),
         alarm.alias("ALARM_DATE"),
-        F.date_add(alarm.cast("date"), 30).cast("timestamp").alias("CONT_DATE"),
+        utc_midnight(F.date_add(F.lit("1995-06-01").cast("date"), n * 90 + 30)).alias("CONT_DATE"),
         acres.alias("GIS_ACRES"),
         F.array(ring).alias("rings"),
     )
