@@ -36,22 +36,68 @@ def fire_cells(fires: DataFrame, cell: float, id_col="fire_id", rings_col="rings
                  .withColumn("cy", F.explode(cell_range("miny", "maxy", cell))))
 
 
-def fire_sizes(fires: DataFrame, cell: float, rings_col="rings") -> tuple[int, int, int]:
-    """(perimeters, grid-cell rows, vertices) in one aggregation."""
+def fire_sizes(fires: DataFrame, cell: float, rings_col="rings") -> tuple[int, int, int, int]:
+    """(perimeters, grid-cell rows, vertices, most vertices of one
+    perimeter) in one aggregation."""
     bb = bbox(rings_col)
     ncell = ((cell_index(bb["maxx"], cell) - cell_index(bb["minx"], cell) + 1)
              * (cell_index(bb["maxy"], cell) - cell_index(bb["miny"], cell) + 1))
+    vc = vertex_count(rings_col)
     r = fires.agg(F.count(F.lit(1)).alias("f"), F.coalesce(F.sum(ncell), F.lit(0)).alias("c"),
-                  F.coalesce(F.sum(vertex_count(rings_col)), F.lit(0)).alias("v")).first()
-    return int(r["f"]), int(r["c"]), int(r["v"])
+                  F.coalesce(F.sum(vc), F.lit(0)).alias("v"),
+                  F.coalesce(F.max(vc), F.lit(0)).alias("m")).first()
+    return int(r["f"]), int(r["c"]), int(r["v"]), int(r["m"])
+
+
+# Perimeters with more vertices than this are tested edge-by-edge (below).
+EDGE_METHOD_VERTICES = 2_000
+
+
+def fire_edges(fires: DataFrame, band: float, id_col="fire_id", rings_col="rings") -> DataFrame:
+    """One row per (perimeter, edge, horizontal band the edge spans)."""
+    rings = fires.select(id_col, F.explode(rings_col).alias("r"))
+    edges = rings.select(id_col, F.explode(F.transform(
+        F.when(F.size("r") >= 2, F.sequence(F.lit(0), F.size("r") - 2)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.col("r")[i]["x"].alias("ax"), F.col("r")[i]["y"].alias("ay"),
+                           F.col("r")[i + 1]["x"].alias("bx"), F.col("r")[i + 1]["y"].alias("by")))).alias("e"))
+    edges = edges.select(id_col, "e.*")
+    return edges.withColumn("band", F.explode(cell_range(F.least("ay", "by"), F.greatest("ay", "by"), band)))
+
+
+def edge_band_within(cand: DataFrame, fires: DataFrame, band: float, id_col="fire_id",
+                     rings_col="rings") -> DataFrame:
+    """Exact strict point-in-polygon for candidate (_px, _py, fire) rows by
+    joining each candidate to the edges of its perimeter in its own band and
+    summing ray crossings per (point, perimeter): work per candidate is the
+    edges near its latitude, not the whole perimeter."""
+    edges = fire_edges(fires, band, id_col, rings_col)
+    c = cand.withColumn("band", cell_index("_py", band))
+    j = c.join(edges, [id_col, "band"])
+    px, py = F.col("_px"), F.col("_py")
+    ax, ay, bx, by = F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")
+    crosses = ((ay > py) != (by > py)) & (((px - ax) * (by - ay) < (bx - ax) * (py - ay)) == (by > ay))
+    on_edge = (((bx - ax) * (py - ay) == (by - ay) * (px - ax))
+               & (px >= F.least(ax, bx)) & (px <= F.greatest(ax, bx))
+               & (py >= F.least(ay, by)) & (py <= F.greatest(ay, by)))
+    agg = j.groupBy("_px", "_py", id_col).agg(F.sum(crosses.cast("int")).alias("_n"),
+                                              F.max(on_edge.cast("int")).alias("_on"))
+    return agg.where((F.pmod(F.col("_n"), F.lit(2)) == 1) & (F.col("_on") == 0)) \
+              .select("_px", "_py", id_col)
 
 
 def point_fire_matches(coords: DataFrame, fires: DataFrame, lon="TargetLongitude",
                        lat="TargetLatitude", cell: float = 0.25, id_col="fire_id",
-                       rings_col="rings", sizes: tuple | None = None) -> DataFrame:
+                       rings_col="rings", sizes: tuple | None = None,
+                       method: str = "auto") -> DataFrame:
     """(lon, lat, fire_id) for every distinct coordinate strictly inside a
-    perimeter. A point inside k overlapping perimeters yields k rows."""
-    _, n_cells, n_vertices = sizes or fire_sizes(fires, cell, rings_col)
+    perimeter. A point inside k overlapping perimeters yields k rows.
+
+    ``method``: "rings" evaluates the parity over whole rings per candidate,
+    "edges" joins candidates to banded edges; "auto" picks "edges" once a
+    perimeter has more than ``EDGE_METHOD_VERTICES`` vertices."""
+    _, n_cells, n_vertices, max_vertices = sizes or fire_sizes(fires, cell, rings_col)
+    if method == "auto":
+        method = "edges" if max_vertices > EDGE_METHOD_VERTICES else "rings"
     pts = (coords.select(F.col(lon).alias("_px"), F.col(lat).alias("_py"))
                  .where(F.col("_px").isNotNull() & F.col("_py").isNotNull()
                         & ~F.isnan("_px") & ~F.isnan("_py"))
@@ -64,6 +110,9 @@ def point_fire_matches(coords: DataFrame, fires: DataFrame, lon="TargetLongitude
                .where((F.col("_px") > F.col("minx")) & (F.col("_px") < F.col("maxx"))
                       & (F.col("_py") > F.col("miny")) & (F.col("_py") < F.col("maxy")))
                .select("_px", "_py", id_col))
+    if method == "edges":
+        hits = edge_band_within(cand, fires, cell / 4, id_col, rings_col)
+        return hits.select(F.col("_px").alias(lon), F.col("_py").alias(lat), id_col)
     geom = fires.select(id_col, rings_col)
     geom = F.broadcast(geom) if n_vertices <= BROADCAST_VERTICES else geom
     hits = cand.join(geom, id_col).where(within(F.col("_px"), F.col("_py"), F.col(rings_col)))
@@ -73,7 +122,7 @@ def point_fire_matches(coords: DataFrame, fires: DataFrame, lon="TargetLongitude
 def spatial_join(points: DataFrame, fires: DataFrame, fire_cols=("FIRE_NAME", "ALARM_DATE", "GIS_ACRES"),
                  lon="TargetLongitude", lat="TargetLatitude", cell: float = 0.25,
                  coords: DataFrame | None = None, id_col="fire_id", rings_col="rings",
-                 id_alias="index_right", how: str = "left") -> DataFrame:
+                 id_alias="index_right", how: str = "left", method: str = "auto") -> DataFrame:
     """Left spatial join of readings to perimeters.
 
     ``coords`` may be a cheaper frame holding the same coordinates (e.g. the
@@ -83,7 +132,7 @@ def spatial_join(points: DataFrame, fires: DataFrame, fire_cols=("FIRE_NAME", "A
     spark = points.sparkSession
     sizes = fire_sizes(fires, cell, rings_col)
     matches = point_fire_matches(coords if coords is not None else points, fires,
-                                 lon, lat, cell, id_col, rings_col, sizes)
+                                 lon, lat, cell, id_col, rings_col, sizes, method)
     m = matches.select(F.col(lon).alias("_mlon"), F.col(lat).alias("_mlat"),
                        F.col(id_col).alias(id_alias))
     local = m.limit(LOCAL_MATCH_ROWS + 1).collect()

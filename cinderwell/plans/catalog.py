@@ -83,15 +83,20 @@ def q_union_by_name(spark, d):
     return normalise(union_by_name([a, b]))
 
 
-def q_station_fire_join(spark, d):
+def q_station_fire_join(spark, d, method="auto"):
     sup = bindings.table(spark, d, "supplier")
     pts = sup.select(F.col("s_suppkey").alias("station_key"),
                      bindings.station_lon(F.col("s_suppkey")).alias("TargetLongitude"),
                      bindings.station_lat(F.col("s_suppkey")).alias("TargetLatitude"))
-    j = spatial_join(pts, bindings.fires(spark, d), fire_cols=("FIRE_NAME",))
+    j = spatial_join(pts, bindings.fires(spark, d), fire_cols=("FIRE_NAME",), method=method)
     return normalise(j)
 
 
+def q_station_fire_join_edges(spark, d):
+    """The same join through the edge-band test used for large perimeters."""
+    return q_station_fire_join(spark, d, "edges")
+
+
 def q_same_year_matches(spark, d):
     return normalise(_joined_cols(ev.same_year(_joined(spark, d, with_days=False))))
 
@@ -189,6 +194,7 @@ QUERIES = {
     "file_head_n": q_file_head_n,
     "union_by_name": q_union_by_name,
     "station_fire_join": q_station_fire_join,
+    "station_fire_join_edges": q_station_fire_join_edges,
     "same_year_matches": q_same_year_matches,
     "days_since_event": q_days_since_event,
     "impacted_one_month": q_impacted_one_month,

@@ -416,3 +416,5 @@ SQL["mixed_station_stats"] = with_(model_ctes() + ",\nlong AS (" + "\n  UNION AL
     f"""SELECT Analyte, StationCode, CAST(count(*) AS BIGINT) AS n, {rnd('sum(x)')} AS sx, {rnd('sum(y)')} AS sy,
   {rnd('sum(x * x)')} AS sxx, {rnd('sum(x * y)')} AS sxy, {rnd('sum(y * y)')} AS syy
 FROM long WHERE y IS NOT NULL AND x IS NOT NULL AND StationCode IS NOT NULL GROUP BY Analyte, StationCode""")
+
+SQL["station_fire_join_edges"] = SQL["station_fire_join"]

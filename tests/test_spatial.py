@@ -46,8 +46,21 @@ def test_grid_equals_brute_force(spark):
     pts = spark.createDataFrame([(i, rnd.uniform(-1, 7), rnd.uniform(-1, 7)) for i in range(400)]
                                 + [(1000 + i, float(i % 7), float(i // 7)) for i in range(49)],
                                 "id long, TargetLongitude double, TargetLatitude double")
-    for cell in (0.3, 1.0, 5.0):
-        a = spatial_join(pts, _fires(spark), fire_cols=("FIRE_NAME",), cell=cell)
+    for cell, method in ((0.3, "rings"), (1.0, "rings"), (5.0, "rings"), (0.3, "edges"), (1.0, "edges")):
+        a = spatial_join(pts, _fires(spark), fire_cols=("FIRE_NAME",), cell=cell, method=method)
         b = brute_force_join(pts, _fires(spark), fire_cols=("FIRE_NAME",))
         key = lambda r: (r["id"], r["FIRE_NAME"] or "")
         assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+
+
+def test_edge_method_boundary_cases(spark):
+    """The edge-band test gives the same strict answers as the ring test:
+    edges, vertices, holes and a second part."""
+    fires = spark.createDataFrame([(1, "A", rings(SQUARE[0], HOLE, PART2))],
+                                  "fire_id long, FIRE_NAME string, rings array<array<struct<x:double,y:double>>>")
+    pts = [("interior", 3.0, 3.0), ("outside", 5.0, 5.0), ("left edge", 0.0, 2.0), ("bottom edge", 2.5, 0.0),
+           ("vertex", 4.0, 4.0), ("in hole", 1.5, 1.5), ("hole edge", 2.0, 1.5), ("second part", 10.5, 10.5)]
+    df = spark.createDataFrame(pts, "name string, TargetLongitude double, TargetLatitude double")
+    for method in ("rings", "edges"):
+        out = spatial_join(df, fires, fire_cols=("FIRE_NAME",), cell=0.5, method=method).collect()
+        assert sorted(r["name"] for r in out if r["FIRE_NAME"]) == ["interior", "second part"], method
