@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from cinderwell.functions.splines import basis_np, second_difference_penalty
 from cinderwell.operators.stats import confusion, exact_quantile, weighted_metrics
+from cinderwell.session import passes_over
 from cinderwell.sources.schema import MODEL_FEATURES, q
 
 N_BASIS = 20          # basis functions per term
@@ -195,10 +196,11 @@ def gam_results(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col
             if (cp.x > 0).any() and (cp.x < 0).any() else None
         rows_t = model_df.select(*[q(c).cast("double").alias(c) for c in features], q(t),
                                  F.col(label_col)).dropna()
-        scored = add_prediction(rows_t, fit, "_pred")
-        med = exact_quantile(scored, "_pred", 0.5)[None]
-        scored = scored.withColumn("_cls", (F.col("_pred") >= F.lit(med)).cast("int"))
-        m = weighted_metrics(confusion(scored, label_col, "_cls")).first()
+        scored = add_prediction(rows_t, fit, "_pred").select("_pred", label_col)
+        with passes_over(scored) as scored:
+            med = exact_quantile(scored, "_pred", 0.5)[None]
+            cls = scored.withColumn("_cls", (F.col("_pred") >= F.lit(med)).cast("int"))
+            m = weighted_metrics(confusion(cls, label_col, "_cls")).first()
         f = lambda v: None if v is None or v != v else float(v)
         return ((labels[t], f(fit["mcfadden"]), f(fit["explained_deviance"]), f(ch),
                  "↑ increases" if (ch is not None and ch > 0) else "↓ decreases",

@@ -53,7 +53,7 @@ def hash_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = SEED
         counts = {r["_g"]: r["n"] for r in data.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
         want = {grp: math.ceil(test_size * n) for grp, n in counts.items()}
         ranks = {grp: [k - 1] for grp, k in want.items() if k >= 1}
-        th = select_ranks(data, ranks, 1024, 100_000)
+        th = select_ranks(data, ranks, 1024, 20_000)
     cut = F.create_map(*[x for grp, k in want.items() if k >= 1
                          for x in (F.lit(str(grp) if label_col else "_"), F.lit(int(th[(grp, k - 1)])))])
     lookup = cut[F.col("_g").cast("string")] if label_col else cut[F.lit("_")]
@@ -87,19 +87,20 @@ def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
         cols = list(features) + [a]
         d = model_df.select(*[q(c) for c in key_cols], *[q(c).cast("double").alias(c) for c in cols]) \
                     .dropna(subset=cols)
-        n = d.count()
-        if n < min_rows:
-            return None
-        s = hash_split(d, key_cols, 0.2, seed)
-        train = s.where(~F.col("is_test"))
-        if train_cap:
-            train = capped_sample(train, key_cols, train_cap, seed)
-        rf = RandomForestRegressor(featuresCol="features", labelCol=a, numTrees=num_trees,
-                                   maxDepth=max_depth, maxBins=max_bins, seed=seed,
-                                   featureSubsetStrategy="all", **TRAIN_OPTS)
-        model = rf.fit(_assemble(train, features))
-        pred = model.transform(_assemble(s.where(F.col("is_test")), features))
-        r2 = r2_score(pred, a, "prediction").first()["r2"]
+        with passes_over(d) as d:
+            n = d.count()
+            if n < min_rows:
+                return None
+            s = hash_split(d, key_cols, 0.2, seed)
+            train = s.where(~F.col("is_test"))
+            if train_cap:
+                train = capped_sample(train, key_cols, train_cap, seed)
+            rf = RandomForestRegressor(featuresCol="features", labelCol=a, numTrees=num_trees,
+                                       maxDepth=max_depth, maxBins=max_bins, seed=seed,
+                                       featureSubsetStrategy="all", **TRAIN_OPTS)
+            model = rf.fit(_assemble(train, features))
+            pred = model.transform(_assemble(s.where(F.col("is_test")), features))
+            r2 = r2_score(pred, a, "prediction").first()["r2"]
         fi = model.featureImportances.toArray()
         top = list(features)[int(fi.argmax())]
         return ((a, None if r2 is None else float(round(r2, 4)), top, int(n)),
@@ -139,29 +140,37 @@ def rf_classifier(model_df: DataFrame, analytes, display: dict | None = None, la
     spark = model_df.sparkSession
     display = display or {a: a for a in analytes}
     base = classifier_frame(model_df, analytes, label_col, min_present, key_cols)
-    med = column_medians(base, analytes)
-    imputed = median_impute(base, analytes, med)
-    scaled = standardize(imputed, analytes)
-    split = hash_split(scaled, key_cols, 0.2, seed, label_col=label_col)
-    train = split.where(~F.col("is_test"))
-    if train_cap:
-        train = capped_sample(train, key_cols, train_cap, seed)
-    train = balanced_weights(train, label_col, "weight")
-    clf = RandomForestClassifier(featuresCol="features", labelCol=label_col, weightCol="weight",
-                                 numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                 featureSubsetStrategy="sqrt", **TRAIN_OPTS)
-    model = clf.fit(_assemble(train, analytes))
-    pred = model.transform(_assemble(split.where(F.col("is_test")), analytes))
-    cm = confusion(pred, label_col, "prediction")
-    fi = model.featureImportances.toArray()
-    imp = spark.createDataFrame([(a, display[a], float(v)) for a, v in zip(analytes, fi)],
-                                "Analyte string, display string, importance double")
-    ranking = (class_means(imputed, analytes, label_col)
-               .join(F.broadcast(imp), "Analyte")
-               .select(F.col("display").alias("Analyte"),
-                       F.bround("before", 3).alias("Before"), F.bround("after", 3).alias("After"),
-                       F.bround("pct_change", 1).alias("pct_change"), F.col("direction").alias("Direction"),
-                       F.bround("importance", 4).alias("Importance"))
-               .orderBy(F.desc("Importance"), "Analyte"))
-    return {"confusion": cm, "metrics": weighted_metrics(cm),
-            "importances": imp.orderBy(F.desc("importance")), "ranking": ranking}
+    with passes_over(base) as base:
+        med = column_medians(base, analytes)
+        imputed = median_impute(base, analytes, med)
+        scaled = standardize(imputed, analytes)
+        split = hash_split(scaled, key_cols, 0.2, seed, label_col=label_col)
+        train = split.where(~F.col("is_test"))
+        if train_cap:
+            train = capped_sample(train, key_cols, train_cap, seed)
+        train = balanced_weights(train, label_col, "weight")
+        clf = RandomForestClassifier(featuresCol="features", labelCol=label_col, weightCol="weight",
+                                     numTrees=num_trees, maxDepth=max_depth, seed=seed,
+                                     featureSubsetStrategy="sqrt", **TRAIN_OPTS)
+        model = clf.fit(_assemble(train, analytes))
+        pred = model.transform(_assemble(split.where(F.col("is_test")), analytes))
+        cm = _local(confusion(pred, label_col, "prediction"))
+        fi = model.featureImportances.toArray()
+        imp = spark.createDataFrame([(a, display[a], float(v)) for a, v in zip(analytes, fi)],
+                                    "Analyte string, display string, importance double")
+        ranking = _local(class_means(imputed, analytes, label_col)
+                         .join(F.broadcast(imp), "Analyte")
+                         .select(F.col("display").alias("Analyte"),
+                                 F.bround("before", 3).alias("Before"), F.bround("after", 3).alias("After"),
+                                 F.bround("pct_change", 1).alias("pct_change"),
+                                 F.col("direction").alias("Direction"),
+                                 F.bround("importance", 4).alias("Importance")))
+    return {"confusion": cm, "metrics": _local(weighted_metrics(cm)),
+            "importances": imp.orderBy(F.desc("importance")),
+            "ranking": ranking.orderBy(F.desc("Importance"), "Analyte")}
+
+
+def _local(df: DataFrame) -> DataFrame:
+    """A model-sized result (a handful of rows) as a local relation, so it
+    outlives the working frames it was computed from."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

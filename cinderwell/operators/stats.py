@@ -19,7 +19,7 @@ from cinderwell.sources.schema import q
 
 
 def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str | None = None,
-                     buckets: int = 1024, max_collect: int = 100_000) -> dict:
+                     buckets: int = 1024, max_collect: int = 20_000) -> dict:
     """Exact k-th smallest non-NULL values (0-based ranks).
 
     ``ranks`` maps group value (or None without groups) to a list of ranks.
@@ -89,7 +89,7 @@ def select_ranks(data: DataFrame, ranks: dict, buckets: int, max_collect: int) -
 
 
 def exact_quantile(df: DataFrame, value_col: str, p: float = 0.5, group_col: str | None = None,
-                   buckets: int = 1024, max_collect: int = 100_000) -> dict:
+                   buckets: int = 1024, max_collect: int = 20_000) -> dict:
     """Exact quantile with linear interpolation (the pandas/numpy
     default), NULL/NaN skipped; {group: value} (group None without groups)."""
     g = F.col(group_col) if group_col else F.lit(None).cast("string")

@@ -241,10 +241,9 @@ MODEL_COLS = KEYS + ["FIRE_NAME", "days_since_fire", "post_fire", "log_acres", "
 
 
 def _model_frozen(spark, d):
-    """The model frame written once to the checkpoint folder: the fitting
-    loops make many passes, and each must not re-run the pipeline."""
-    from cinderwell.session import stable_checkpoint
-    return stable_checkpoint(_model(spark, d).select(*MODEL_COLS, *[q(a) for a in A]))
+    """The model frame for the fitting loops. It reads the materialised
+    joined stage table, so their many passes never re-run the pipeline."""
+    return _model(spark, d).select(*MODEL_COLS, *[q(a) for a in A])
 
 
 def q_model_frame(spark, d):
