@@ -89,12 +89,12 @@ def value_counts(df: DataFrame, col: str, out="count") -> DataFrame:
 
 
 def normalized_counts(df: DataFrame, col: str, digits: int = 2, out="share") -> DataFrame:
-    """Share of each value, half-even rounded. The total is a one-row
-    aggregate joined back, never a single-partition window."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_t"))
-    return (counts.crossJoin(F.broadcast(total))
-                  .select(col, F.bround(F.col("_n") / F.col("_t"), digits).alias(out)))
+    """Share of each value, half-even rounded. The total is counted
+    first and enters as a literal (no single-partition window)."""
+    base = df.where(F.col(col).isNotNull())
+    total = base.count()
+    counts = base.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.select(col, F.bround(F.col("_n") / F.lit(float(total or 1)), digits).alias(out))
 
 
 def date_range(df: DataFrame, col: str) -> DataFrame:

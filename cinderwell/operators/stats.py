@@ -126,28 +126,28 @@ def median_impute(df: DataFrame, cols, medians: dict | None = None) -> DataFrame
 
 def standardize(df: DataFrame, cols) -> DataFrame:
     """(x - mean) / population sd; a constant column divides by 1.
-    One aggregate row, cross-joined as a broadcast."""
-    stats = df.agg(*[F.avg(q(c)).alias(f"_m{i}") for i, c in enumerate(cols)],
-                   *[F.stddev_pop(q(c)).alias(f"_s{i}") for i, c in enumerate(cols)])
-    j = df.crossJoin(F.broadcast(stats))
+    Fit (one aggregate row) then transform with the fitted literals."""
+    st = df.agg(*[F.avg(q(c)).alias(f"_m{i}") for i, c in enumerate(cols)],
+                *[F.stddev_pop(q(c)).alias(f"_s{i}") for i, c in enumerate(cols)]).first()
     out = []
     for c in df.columns:
         if c in cols:
             i = list(cols).index(c)
-            sd = F.col(f"_s{i}")
-            scale = F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)
-            out.append(((q(c) - F.col(f"_m{i}")) / scale).alias(c))
+            mu, sd = st[f"_m{i}"], st[f"_s{i}"]
+            scale = 1.0 if sd is None or sd == 0 else float(sd)
+            out.append(((q(c) - F.lit(mu).cast("double")) / F.lit(scale)).alias(c))
         else:
             out.append(q(c))
-    return j.select(*out)
+    return df.select(*out)
 
 
 def balanced_weights(df: DataFrame, label_col: str, out="weight") -> DataFrame:
-    """N / (k * n_class) per row (k = number of classes present)."""
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(tot).select(label_col, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label_col)
+    """N / (k * n_class) per row (k = number of classes present). The
+    per-class counts (one row per class) become a literal map."""
+    counts = {r[0]: r[1] for r in df.groupBy(label_col).agg(F.count(F.lit(1))).collect()}
+    n, k = sum(counts.values()), len(counts)
+    w = F.create_map(*[x for c, nc in counts.items() for x in (F.lit(c), F.lit(n / (k * nc)))])
+    return df.withColumn(out, w[F.col(label_col)])
 
 
 def confusion(df: DataFrame, label_col="label", pred_col="prediction", classes=(0, 1)) -> DataFrame:
@@ -162,34 +162,42 @@ def confusion(df: DataFrame, label_col="label", pred_col="prediction", classes=(
                 .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
+def _grid(cm: DataFrame) -> dict:
+    """The confusion grid (classes^2 cells) as {(actual, predicted): n}."""
+    return {(r["actual"], r["predicted"]): r["n"] for r in cm.collect()}
+
+
+def _report_rows(cells: dict):
+    classes = sorted({a for a, _ in cells} | {p for _, p in cells})
+    rows = []
+    for c in classes:
+        tp = cells.get((c, c), 0)
+        support = sum(n for (a, _), n in cells.items() if a == c)
+        pred_pos = sum(n for (_, p), n in cells.items() if p == c)
+        prec = tp / pred_pos if pred_pos else 0.0
+        rec = tp / support if support else 0.0
+        f1 = 2 * prec * rec / (prec + rec) if prec + rec else 0.0
+        rows.append((int(c), float(prec), float(rec), float(f1), int(support)))
+    return rows
+
+
 def class_report(cm: DataFrame) -> DataFrame:
     """Per-class precision, recall, F1, support from a confusion grid;
     zero division gives 0."""
-    tp = cm.where(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("cls"), F.col("n").alias("tp"))
-    sup = cm.groupBy(F.col("actual").alias("cls")).agg(F.sum("n").alias("support"))
-    pp = cm.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("pred_pos"))
-    r = tp.join(sup, "cls").join(pp, "cls")
-    prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("pred_pos")), F.lit(0.0))
-    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
-    f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))
-    return r.select("cls", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), "support")
+    return cm.sparkSession.createDataFrame(
+        _report_rows(_grid(cm)), "cls int, precision double, recall double, f1 double, support long")
 
 
 def weighted_metrics(cm: DataFrame) -> DataFrame:
     """Accuracy and support-weighted precision, recall and F1."""
-    rep = class_report(cm)
-    tot = cm.agg(F.sum("n").alias("total"),
-                 F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))).alias("correct"))
-    w = rep.agg(F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    j = tot.crossJoin(w)
-    t = F.col("total").cast("double")
-    return j.select(F.coalesce(F.try_divide(F.col("correct").cast("double"), t), F.lit(0.0)).alias("accuracy"),
-                    F.coalesce(F.try_divide(F.col("wp"), t), F.lit(0.0)).alias("precision"),
-                    F.coalesce(F.try_divide(F.col("wr"), t), F.lit(0.0)).alias("recall"),
-                    F.coalesce(F.try_divide(F.col("wf"), t), F.lit(0.0)).alias("f1"),
-                    F.col("total").alias("n"))
+    cells = _grid(cm)
+    rows = _report_rows(cells)
+    total = sum(cells.values())
+    correct = sum(n for (a, p), n in cells.items() if a == p)
+    w = lambda i: sum(r[i] * r[4] for r in rows) / total if total else 0.0
+    return cm.sparkSession.createDataFrame(
+        [(correct / total if total else 0.0, w(1), w(2), w(3), int(total))],
+        "accuracy double, precision double, recall double, f1 double, n long")
 
 
 def r2_score(df: DataFrame, label_col="label", pred_col="prediction") -> DataFrame:

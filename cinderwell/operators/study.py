@@ -51,7 +51,10 @@ def fire_results(joined: DataFrame, analytes, scenarios=SCENARIOS, name_col="FIR
       NULL kept (A22); ``min_acres`` drops NULL sizes, ``None`` keeps them.
     """
     d, acres = F.col(days_col), F.col(acres_col)
-    order = F.struct(*[q(c) for c in order_cols if c in joined.columns])
+    if isinstance(order_cols, str):
+        order = q(order_cols)  # a single fixed-width key keeps the aggregate hash-based
+    else:
+        order = F.struct(*[q(c) for c in order_cols if c in joined.columns])
     base = (joined.where(F.col(name_col).isNotNull() & d.isNotNull())
                   .select(F.col(name_col).alias("Fire"), d.alias("_d"), acres.alias("_acres"),
                           order.alias("_ord"), *[q(a) for a in analytes],

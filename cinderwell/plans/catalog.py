@@ -7,6 +7,8 @@ tables. Outputs are normalised for hash comparison: doubles rounded to
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,7 +140,9 @@ def q_impacted_wkt(spark, d):
 
 # ---------------------------------------------------------------- stage B
 def _results(spark, d, scenarios=study.SCENARIOS):
-    return study.fire_results(_joined(spark, d), A, scenarios)
+    j = _joined(spark, d)
+    order = "row_ord" if "row_ord" in j.columns else study.DEFAULT_ORDER
+    return study.fire_results(j, A, scenarios, order_cols=order)
 
 
 def _wide(spark, d, scenarios, name):
@@ -255,17 +259,19 @@ def q_model_frame(spark, d):
 
 def q_row_counts(spark, d):
     j = _joined(spark, d)
-    m = ev.model_frame(j)
-    parts = [("master_rows", binding_master(spark, d)), ("joined_rows", j),
-             ("matched_rows", ev.matched(j)), ("same_year_rows", ev.same_year(j)),
-             ("one_month_rows", ev.day_window(ev.matched(j), 0, 30)),
-             ("window_rows", m), ("pre_fire_rows", m.where(F.col("post_fire") == 0)),
-             ("post_fire_rows", m.where(F.col("post_fire") == 1))]
-    out = None
-    for name, df in parts:
-        c = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-        out = c if out is None else out.unionByName(c)
-    return out
+    m_rows = binding_master(spark, d).count()
+    days, name = F.col("days_since_fire"), F.col("FIRE_NAME")
+    in_window = days.between(-1825, 1825)
+    r = j.agg(F.count(F.lit(1)).alias("joined_rows"),
+              F.count_if(name.isNotNull()).alias("matched_rows"),
+              F.count_if(name.isNotNull() & (F.col("SampleYear") == F.col("FireYear"))).alias("same_year_rows"),
+              F.count_if(name.isNotNull() & days.between(0, 30)).alias("one_month_rows"),
+              F.count_if(in_window).alias("window_rows"),
+              F.count_if(in_window & (days < 0)).alias("pre_fire_rows"),
+              F.count_if(in_window & (days >= 0)).alias("post_fire_rows"))
+    pairs = F.array(F.struct(F.lit("master_rows").alias("name"), F.lit(m_rows).cast("long").alias("n")),
+                    *[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in r.columns])
+    return r.select(F.explode(pairs).alias("p")).select("p.*")
 
 
 def _clf_base(spark, d):
@@ -299,12 +305,13 @@ def q_reproject_points(spark, d):
 
 def q_complete_cases(spark, d):
     m = _model(spark, d)
-    out = None
-    for a in A:
-        c = ev.complete_cases(m, list(MODEL_FEATURES) + [a]).agg(F.count(F.lit(1)).alias("n")) \
-              .select(F.lit(a).alias("Analyte"), "n")
-        out = c if out is None else out.unionByName(c)
-    return out
+
+    def complete(a):
+        return reduce(lambda x, y: x & y, [q(c).isNotNull() for c in list(MODEL_FEATURES) + [a]])
+    r = m.agg(*[F.count_if(complete(a)).alias(f"_{i}") for i, a in enumerate(A)])
+    pairs = F.array(*[F.struct(F.lit(a).alias("Analyte"), F.col(f"_{i}").cast("long").alias("n"))
+                      for i, a in enumerate(A)])
+    return r.select(F.explode(pairs).alias("p")).select("p.*")
 
 
 def q_min_non_null(spark, d):
@@ -396,9 +403,11 @@ def _clf(spark, d):
 
 def q_rf_classifier(spark, d):
     out = _clf(spark, d)
-    m = out["metrics"]
-    cm = out["confusion"]
-    return cm.crossJoin(m.select("accuracy", "precision", "recall", "f1"))
+    m = out["metrics"].first()
+    rows = [(r["actual"], r["predicted"], r["n"], m["accuracy"], m["precision"], m["recall"], m["f1"])
+            for r in out["confusion"].collect()]
+    return spark.createDataFrame(rows, "actual int, predicted int, n long, accuracy double, "
+                                       "precision double, recall double, f1 double")
 
 
 def q_impact_ranking(spark, d):

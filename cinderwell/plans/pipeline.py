@@ -31,7 +31,7 @@ def build_joined(master: DataFrame, fires: DataFrame, coords: DataFrame | None =
     index_right, fire attributes and FireYear, in the published column order."""
     j = spatial_join(master, fires, fire_cols=fire_cols, coords=coords, cell=cell)
     j = add_years(j)
-    lead = [c for c in master.columns]
+    lead = [c for c in master.columns]  # WaterQualityID first when present
     tail = ["SampleYear", "index_right", "FIRE_NAME", "ALARM_DATE", "FireYear", "GIS_ACRES"]
     extra = [c for c in fire_cols if c not in tail]
     return j.select(*[F.col(f"`{c}`") for c in lead + tail + extra])
@@ -61,10 +61,13 @@ _WRITTEN: set = set()
 
 def binding_master(spark: SparkSession, sf_dir: str, with_id: bool = False,
                    materialized: bool = True) -> DataFrame:
+    """Master table; the stored stage carries WaterQualityID (dense, in
+    reading order), which later stages use as a fixed-width row order."""
     def build():
-        return build_master(bindings.readings_long(spark, sf_dir), bindings.BINDING_ANALYTES)
+        m = build_master(bindings.readings_long(spark, sf_dir), bindings.BINDING_ANALYTES)
+        return add_surrogate_id(m, list(META_COLS))
     m = stage_table(spark, "master", sf_dir, build) if materialized else build()
-    return add_surrogate_id(m, list(META_COLS)) if with_id else m
+    return m if with_id else m.drop("WaterQualityID")
 
 
 def binding_joined(spark: SparkSession, sf_dir: str, with_days: bool = True,
@@ -72,14 +75,31 @@ def binding_joined(spark: SparkSession, sf_dir: str, with_days: bool = True,
     """The joined fact table on the driver tables. Station coordinates for
     the match table come from the (small) station dimension."""
     def build():
-        master = binding_master(spark, sf_dir, materialized=materialized)
+        master = binding_master(spark, sf_dir, with_id=True, materialized=materialized)
         sup = bindings.table(spark, sf_dir, "supplier")
         coords = sup.select(bindings.station_lon(F.col("s_suppkey")).alias("TargetLongitude"),
                             bindings.station_lat(F.col("s_suppkey")).alias("TargetLatitude"))
         cols = tuple(dict.fromkeys(tuple(FIRE_COLS) + ("CONT_DATE",)))
-        return add_event_time(build_joined(master, bindings.fires(spark, sf_dir), coords=coords,
-                                           fire_cols=cols))
+        fires = bindings.fires(spark, sf_dir)
+        j = add_event_time(build_joined(master, fires, coords=coords, fire_cols=cols))
+        return with_row_order(j, fires)
     j = stage_table(spark, "joined", sf_dir, build) if materialized else build()
-    keep = [c for c in j.columns if c not in ("CONT_DATE", "days_since_fire")
-            or (c == "CONT_DATE" and "CONT_DATE" in fire_cols) or (c == "days_since_fire" and with_days)]
+    hidden = {"CONT_DATE": "CONT_DATE" in fire_cols, "days_since_fire": with_days}
+    keep = [c for c in j.columns if hidden.get(c, True)]
     return j.select(*[F.col(f"`{c}`") for c in keep])
+
+
+def with_row_order(joined: DataFrame, fires: DataFrame, id_col="fire_id") -> DataFrame:
+    """``row_ord``: one LONG giving the joined table's row order (reading id,
+    then perimeter id), so "first row of a group" is a fixed-width
+    ``min_by`` that Spark hash-aggregates. Without a safe encoding (the
+    product would overflow) the column is left out and callers fall back to
+    a struct order."""
+    r = fires.agg(F.max(id_col).alias("f"), F.min(id_col).alias("lo")).first()
+    n = joined.agg(F.max("WaterQualityID").alias("n")).first()["n"] or 0
+    f_max, f_min = (r["f"] or 0), (r["lo"] or 0)
+    width = f_max + 2
+    if f_min < 0 or (n + 1) * width >= 2 ** 62:
+        return joined
+    return joined.withColumn("row_ord", F.col("WaterQualityID") * F.lit(width)
+                             + F.coalesce(F.col("index_right") + 1, F.lit(0)))
