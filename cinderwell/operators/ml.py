@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cinderwell.operators.stats import (select_ranks, balanced_weights, class_means,
                                         column_medians, confusion, median_impute, r2_score,
                                         standardize, weighted_metrics)
-from cinderwell.session import passes_over
+from cinderwell.session import checkpoint_dir, passes_over
 from cinderwell.sources.schema import MODEL_FEATURES, q
 
 SEED = 42
@@ -67,6 +67,12 @@ def capped_sample(df: DataFrame, key_cols, n: int, seed: int = SEED) -> DataFram
               .orderBy("_h").limit(n).drop("_h"))
 
 
+def _training_ready(spark) -> None:
+    """Node-id caching checkpoints every 10 iterations into the session's
+    checkpoint folder, so a lost executor does not restart a deep fit."""
+    checkpoint_dir(spark)
+
+
 def _assemble(df: DataFrame, features, out="features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
 
@@ -82,6 +88,7 @@ def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
     Analytes with fewer than ``min_rows`` complete rows are skipped.
     """
     spark = model_df.sparkSession
+    _training_ready(spark)
 
     def one(a):
         cols = list(features) + [a]
@@ -138,6 +145,7 @@ def rf_classifier(model_df: DataFrame, analytes, display: dict | None = None, la
     Direction, Importance — sorted by importance).
     """
     spark = model_df.sparkSession
+    _training_ready(spark)
     display = display or {a: a for a in analytes}
     base = classifier_frame(model_df, analytes, label_col, min_present, key_cols)
     with passes_over(base) as base:
