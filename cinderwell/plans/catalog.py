@@ -414,6 +414,16 @@ def q_impact_ranking(spark, d):
     return _clf(spark, d)["ranking"]
 
 
+def q_impact_by_change(spark, d):
+    """The impact ranking ordered by percent change, ascending."""
+    return _clf(spark, d)["ranking"].orderBy("pct_change", "Analyte")
+
+
+def q_rf_class_report(spark, d):
+    """A19 on the forest's held-out predictions."""
+    return stats.class_report(_clf(spark, d)["confusion"])
+
+
 def _gam(spark, d, model=None):
     model = model if model is not None else _model_frozen(spark, d)
     return gam_ops.gam_results(model, A, labels={a: a for a in A})
@@ -458,6 +468,8 @@ QUERIES.update({
     "rf_importance_matrix": q_rf_importance_matrix,
     "rf_classifier": q_rf_classifier,
     "impact_ranking": q_impact_ranking,
+    "impact_by_change": q_impact_by_change,
+    "rf_class_report": q_rf_class_report,
     "gam_results": q_gam_results,
     "gam_curve": q_gam_curve,
     "model_summary": q_model_summary,
