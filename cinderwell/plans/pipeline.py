@@ -57,6 +57,41 @@ def stage_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
 
 
 _WRITTEN: set = set()
+# Offsets stop being a broadcast literal table beyond this many files.
+OFFSET_BROADCAST_FILES = 200_000
+
+
+def stage_table_with_id(spark: SparkSession, name: str, key: str, build, order_cols,
+                        id_col: str = "WaterQualityID", num_partitions: int | None = None) -> DataFrame:
+    """A stage table written once in ``order_cols`` order, read back with a
+    dense 1..n id in that order.
+
+    The write is a range-partitioned sort (each task writes one file, in
+    order); the id is then ``rows in earlier files + row index in the file``,
+    from the part number in the file name and Parquet's ``row_index``. One
+    sort, one write, one per-file count — no second copy of the table.
+    """
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(f"`{c}`") for c in order_cols]
+
+    def sorted_build():
+        return build().repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    df = stage_table(spark, name, key, sorted_build)
+    fcol = F.col("_metadata.file_name")
+    part = F.regexp_extract(fcol, r"part-(\d+)", 1).cast("long")
+    counts = sorted((r["p"], r["f"], r["n"]) for r in
+                    df.select(part.alias("p"), fcol.alias("f")).groupBy("p", "f")
+                      .agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, acc = [], 0
+    for p_no, f, cnt in counts:
+        offsets.append((f, acc))
+        acc += cnt
+    offs = spark.createDataFrame(offsets, "_f string, _off long")
+    if len(offsets) <= OFFSET_BROADCAST_FILES:
+        offs = F.broadcast(offs)
+    tagged = df.select("*", fcol.alias("_f"), F.col("_metadata.row_index").alias("_ri"))
+    out = tagged.join(offs, "_f").withColumn(id_col, F.col("_off") + F.col("_ri") + 1)
+    return out.select(id_col, *[F.col(f"`{c}`") for c in df.columns])
 
 
 def binding_master(spark: SparkSession, sf_dir: str, with_id: bool = False,
@@ -64,9 +99,11 @@ def binding_master(spark: SparkSession, sf_dir: str, with_id: bool = False,
     """Master table; the stored stage carries WaterQualityID (dense, in
     reading order), which later stages use as a fixed-width row order."""
     def build():
-        m = build_master(bindings.readings_long(spark, sf_dir), bindings.BINDING_ANALYTES)
-        return add_surrogate_id(m, list(META_COLS))
-    m = stage_table(spark, "master", sf_dir, build) if materialized else build()
+        return build_master(bindings.readings_long(spark, sf_dir), bindings.BINDING_ANALYTES)
+    if materialized:
+        m = stage_table_with_id(spark, "master", sf_dir, build, list(META_COLS))
+    else:
+        m = add_surrogate_id(build(), list(META_COLS))
     return m if with_id else m.drop("WaterQualityID")
 
 
