@@ -58,3 +58,15 @@ def test_surrogate_id_dense_and_ordered(spark):
     by_id = sorted(out, key=lambda r: r["WaterQualityID"])
     keys = [(r["StationCode"], r["SampleDate"]) for r in by_id]
     assert keys == sorted(keys)
+
+
+def test_stage_table_ids_dense_and_ordered(spark):
+    from cinderwell.plans.pipeline import stage_table_with_id
+    rows = [(f"S{(i * 7919) % 37}", dt.date(2020, 1 + i % 12, 1 + i % 27), float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "StationCode string, SampleDate date, v double").repartition(7)
+    out = stage_table_with_id(spark, "ids-test", "k1", lambda: df, ["StationCode", "SampleDate", "v"],
+                              "rid", num_partitions=5).collect()
+    ids = [r["rid"] for r in out]
+    assert sorted(ids) == list(range(1, 501))
+    keys = [(r["StationCode"], r["SampleDate"], r["v"]) for r in sorted(out, key=lambda r: r["rid"])]
+    assert keys == sorted(keys)
