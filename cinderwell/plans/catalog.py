@@ -13,17 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinderwell.functions.geometry import wkt_point
-from cinderwell.functions.labels import short_label
+from cinderwell.functions.geometry import AlbersParams, albers_inverse, wkt_point
+from cinderwell.functions.labels import lookup, short_label
 from cinderwell.operators import events as ev
-from cinderwell.operators import study
-from cinderwell.operators.reshape import (add_surrogate_id, analytes_found, preview,
-                                          units_reference)
+from cinderwell.operators import gam as gam_ops
+from cinderwell.operators import ml, stats, study
+from cinderwell.operators.reshape import analytes_found, preview, units_reference
 from cinderwell.operators.spatial import spatial_join
 from cinderwell.plans.pipeline import binding_joined, binding_master
 from cinderwell.sources import bindings
 from cinderwell.sources.files import head_per_group, union_by_name
-from cinderwell.sources.schema import META_COLS, q
+from cinderwell.sources.schema import MODEL_FEATURES, q
 
 ROUND_DIGITS = 6
 A = sorted(bindings.BINDING_ANALYTES)
@@ -222,12 +222,6 @@ QUERIES = {
 
 
 # ---------------------------------------------------------------- stage C
-from cinderwell.functions.geometry import AlbersParams, albers_inverse  # noqa: E402
-from cinderwell.functions.labels import lookup  # noqa: E402
-from cinderwell.operators import gam as gam_ops  # noqa: E402
-from cinderwell.operators import ml  # noqa: E402
-from cinderwell.operators import stats  # noqa: E402
-from cinderwell.sources.schema import MODEL_FEATURES  # noqa: E402
 
 KEYS = ["StationCode", "SampleDate", "index_right"]
 # Display words of the binding's flag letters.

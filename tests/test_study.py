@@ -108,3 +108,24 @@ def test_four_scenarios_equal_separate_runs(spark):
         alone = study.fire_results(df, ["x"], (sc,), order_cols=("StationCode",)).collect()
         for r in alone:
             assert together[(r["scenario"], r["Fire"], r["Analyte"])] == r["change"]
+
+
+def test_same_name_two_alarm_dates(spark):
+    """T5: one group per name; each row classified by its own alarm date."""
+    from cinderwell.operators.events import add_event_time
+    rows = [("X", dt.date(2020, 1, 10), dt.datetime(2020, 1, 1), 1.0, "a", 1.0),   # +9 -> after
+            ("X", dt.date(2020, 1, 10), dt.datetime(2021, 1, 1), 1.0, "b", 3.0),   # -357 -> before
+            ("X", dt.date(2019, 6, 1), dt.datetime(2020, 1, 1), 1.0, "c", 5.0)]    # before
+    df = spark.createDataFrame(rows, "FIRE_NAME string, SampleDate date, ALARM_DATE timestamp, "
+                                     "GIS_ACRES double, StationCode string, x double")
+    r = study.fire_results(add_event_time(df), ["x"], study.SECTION1, order_cols=("StationCode",)).collect()
+    assert len(r) == 1
+    assert (r[0]["n_before"], r[0]["n_after"], r[0]["before"], r[0]["after"]) == (2, 1, 4.0, 1.0)
+
+
+def test_nan_is_missing(spark):
+    """NaN read from text is NULL before any comparison or mean."""
+    from cinderwell.sources.schema import READINGS_SCHEMA, typed_from_text
+    raw = spark.createDataFrame([("NaN",), ("nan",), ("2.5",), ("-0.005",)], "Result string")
+    got = [r["Result"] for r in typed_from_text(raw, READINGS_SCHEMA).collect()]
+    assert got == [None, None, 2.5, -0.005]
