@@ -16,7 +16,6 @@ expressions over the fitted coefficients, evaluated by Spark.
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderwell.functions.splines import basis_np, second_difference_penalty
-from cinderwell.operators.stats import confusion, exact_quantile, weighted_metrics
+from cinderwell.operators.stats import exact_quantile, report_rows
 from cinderwell.session import passes_over
 from cinderwell.sources.schema import MODEL_FEATURES, q
 
@@ -123,7 +122,8 @@ def fit_gam(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col="po
         m = np.zeros((p + 1, p + 1))
         m[iu] = r["s"].toArray()
         m = m + np.triu(m, 1).T
-        xtx, xty, yty, n = m[:p, :p], m[:p, p], m[p, p], m[0, 0]
+        # Summarizer.sum is mean x weight: the count cell is rounded back
+        xtx, xty, yty, n = m[:p, :p], m[:p, p], m[p, p], float(round(m[0, 0]))
         a_inv = np.linalg.pinv(xtx + pen)
         beta = a_inv @ xty
         rss = max(yty - 2 * beta @ xty + beta @ xtx @ beta, 0.0)
@@ -177,6 +177,45 @@ def effect_curve(spark, fit, term: int = 0, n: int = GRID) -> DataFrame:
     return spark.createDataFrame(pdf, "i int, x double, effect double, lower double, upper double")
 
 
+def score_all(model_df: DataFrame, fits: dict, label_col="post_fire") -> DataFrame:
+    """Fitted values of every target on its own complete rows, in ONE pass:
+    (target, prediction, label) rows from a single ``mapInPandas``."""
+    targets = list(fits)
+    features = fits[targets[0]]["features"]
+    cols = list(features) + targets + [label_col]
+    d = model_df.select(*[q(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    nf = len(features)
+
+    def fn(batches):
+        for pdf in batches:
+            pdf = pdf.rename(columns={f"_c{i}": c for i, c in enumerate(features)})
+            out = []
+            for ti, t in enumerate(targets):
+                y, lab = f"_c{nf + ti}", f"_c{len(cols) - 1}"
+                sub = pdf[list(features) + [y, lab]].dropna()
+                if sub.empty:
+                    continue
+                fit = fits[t]
+                pred = _design(sub, features, fit["ranges"]) @ fit["beta"]
+                out.append(pd.DataFrame({"target": t, "prediction": pred,
+                                         "label": sub[lab].to_numpy().astype("int32")}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+    return d.mapInPandas(fn, "target string, prediction double, label int")
+
+
+def _curve_pdf(fit, term: int = 0, n: int = GRID) -> pd.DataFrame:
+    f = fit["features"][term]
+    lo, hi = fit["ranges"][f]
+    coef, cov = _term(fit, term)
+    x = np.linspace(lo, hi, n)
+    b = basis_np(x, lo, hi, N_BASIS)
+    eff = b @ coef
+    se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", b, cov, b), 0.0))
+    return pd.DataFrame({"i": np.arange(n, dtype=np.int32), "x": x, "effect": eff,
+                         "lower": eff - Z975 * se, "upper": eff + Z975 * se})
+
+
 def gam_results(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col="post_fire",
                 labels: dict | None = None, min_rows: int = 100):
     """Per target the fit quality, post-event change of the first
@@ -184,37 +223,47 @@ def gam_results(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col
     the model used as a pre/post classifier (fitted value >= its exact
     median vs the label, on the fitted rows; weighted metrics).
 
-    Returns (results DataFrame, curves DataFrame)."""
+    Returns (results, curves, fits). Scoring, medians and confusion grids
+    for all targets share one scoring pass and one set of selection passes.
+    """
     spark = model_df.sparkSession
     labels = labels or {t: t for t in targets}
     fits = fit_gam(model_df, list(targets), features, label_col, min_rows)
-    def one(t):
+    if not fits:
+        empty = spark.createDataFrame([], "Analyte string")
+        return empty, empty, fits
+    with passes_over(score_all(model_df, fits, label_col)) as scored:
+        meds = exact_quantile(scored, "prediction", 0.5, group_col="target")
+        cut = F.create_map(*[x for t, m in meds.items() for x in (F.lit(t), F.lit(float(m)))])
+        cls = (F.col("prediction") >= cut[F.col("target")]).cast("int")
+        grid = {}
+        for r in scored.groupBy("target", "label", cls.alias("cls")).agg(F.count(F.lit(1)).alias("n")).collect():
+            grid.setdefault(r["target"], {})[(r["label"], r["cls"])] = r["n"]
+    rows, curves = [], []
+    for t in targets:
+        if t not in fits:
+            continue
         fit = fits[t]
-        curve = effect_curve(spark, fit).withColumn("Analyte", F.lit(labels[t]))
-        cp = curve.toPandas()
+        cp = _curve_pdf(fit)
+        curves.append(cp.assign(Analyte=labels[t]))
         ch = float(cp.loc[cp.x > 0, "effect"].mean() - cp.loc[cp.x < 0, "effect"].mean()) \
             if (cp.x > 0).any() and (cp.x < 0).any() else None
-        rows_t = model_df.select(*[q(c).cast("double").alias(c) for c in features], q(t),
-                                 F.col(label_col)).dropna()
-        scored = add_prediction(rows_t, fit, "_pred").select("_pred", label_col)
-        with passes_over(scored) as scored:
-            med = exact_quantile(scored, "_pred", 0.5)[None]
-            cls = scored.withColumn("_cls", (F.col("_pred") >= F.lit(med)).cast("int"))
-            m = weighted_metrics(confusion(cls, label_col, "_cls")).first()
+        cells = {k: v for k, v in grid.get(t, {}).items()}
+        for a in (0, 1):
+            for b in (0, 1):
+                cells.setdefault((a, b), 0)
+        rep = report_rows(cells)
+        total = sum(cells.values())
+        correct = sum(v for (a, b), v in cells.items() if a == b)
+        w = lambda i: sum(r[i] * r[4] for r in rep) / total if total else 0.0
         f = lambda v: None if v is None or v != v else float(v)
-        return ((labels[t], f(fit["mcfadden"]), f(fit["explained_deviance"]), f(ch),
-                 "↑ increases" if (ch is not None and ch > 0) else "↓ decreases",
-                 f(m["accuracy"]), f(m["precision"]), f(m["recall"]), f(m["f1"]), int(fit["n"])), curve)
-
-    done = [t for t in targets if t in fits]
-    with ThreadPoolExecutor(max_workers=max(1, min(len(done), 8))) as pool:
-        outs = list(pool.map(one, done))
-    rows = [o[0] for o in outs]
-    curves = [o[1] for o in outs]
+        rows.append((labels[t], f(fit["mcfadden"]), f(fit["explained_deviance"]), f(ch),
+                     "↑ increases" if (ch is not None and ch > 0) else "↓ decreases",
+                     f(correct / total if total else 0.0), f(w(1)), f(w(2)), f(w(3)), int(fit["n"])))
     schema = ("Analyte string, r2 double, explained_deviance double, post_fire_change double, "
               "Direction string, Accuracy double, Precision double, Recall double, F1 double, n long")
     res = spark.createDataFrame(rows, schema).orderBy(F.desc("post_fire_change"))
-    curves_df = curves[0] if curves else None
-    for c in curves[1:]:
-        curves_df = curves_df.unionByName(c)
+    curves_df = spark.createDataFrame(pd.concat(curves, ignore_index=True),
+                                      "i int, x double, effect double, lower double, upper double, "
+                                      "Analyte string")
     return res, curves_df, fits

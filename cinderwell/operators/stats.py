@@ -167,7 +167,7 @@ def _grid(cm: DataFrame) -> dict:
     return {(r["actual"], r["predicted"]): r["n"] for r in cm.collect()}
 
 
-def _report_rows(cells: dict):
+def report_rows(cells: dict):
     classes = sorted({a for a, _ in cells} | {p for _, p in cells})
     rows = []
     for c in classes:
@@ -185,13 +185,13 @@ def class_report(cm: DataFrame) -> DataFrame:
     """Per-class precision, recall, F1, support from a confusion grid;
     zero division gives 0."""
     return cm.sparkSession.createDataFrame(
-        _report_rows(_grid(cm)), "cls int, precision double, recall double, f1 double, support long")
+        report_rows(_grid(cm)), "cls int, precision double, recall double, f1 double, support long")
 
 
 def weighted_metrics(cm: DataFrame) -> DataFrame:
     """Accuracy and support-weighted precision, recall and F1."""
     cells = _grid(cm)
-    rows = _report_rows(cells)
+    rows = report_rows(cells)
     total = sum(cells.values())
     correct = sum(n for (a, p), n in cells.items() if a == p)
     w = lambda i: sum(r[i] * r[4] for r in rows) / total if total else 0.0

@@ -26,6 +26,7 @@ def test_gam_recovers_signal(spark):
     df = _frame(spark)
     fits = gam.fit_gam(df, ["y"])
     f = fits["y"]
+    assert f["n"] == df.count()
     assert f["explained_deviance"] > 0.95
     curve = gam.effect_curve(spark, f).toPandas()
     slope = (curve.effect.iloc[-1] - curve.effect.iloc[0]) / (curve.x.iloc[-1] - curve.x.iloc[0])
