@@ -15,6 +15,7 @@ expressions over the fitted coefficients, evaluated by Spark.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -31,6 +32,7 @@ from cinderwell.operators.stats import exact_quantile, report_rows
 from cinderwell.session import passes_over
 from cinderwell.sources.schema import MODEL_FEATURES, q
 
+LOG = logging.getLogger("cinderwell")
 N_BASIS = 20          # basis functions per term
 LAM = 0.6             # second-difference penalty weight per term
 RIDGE = 1e-6          # tiny ridge: intercept + full bases are rank deficient
@@ -119,31 +121,37 @@ def fit_gam(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col="po
     pen += RIDGE * np.eye(p)
     fits = {}
     for r in grams:
-        m = np.zeros((p + 1, p + 1))
-        m[iu] = r["s"].toArray()
-        m = m + np.triu(m, 1).T
-        # Summarizer.sum is mean x weight: the count cell is rounded back
-        xtx, xty, yty, n = m[:p, :p], m[:p, p], m[p, p], float(round(m[0, 0]))
-        a_inv = np.linalg.pinv(xtx + pen)
-        beta = a_inv @ xty
-        rss = max(yty - 2 * beta @ xty + beta @ xtx @ beta, 0.0)
-        ybar = xty[0] / n
-        rss0 = max(yty - n * ybar * ybar, 0.0)
-        edof = float(np.trace(a_inv @ xtx))
-        scale = rss / max(n - edof, 1.0)
-        if scale > 0:
-            ll = -0.5 * n * math.log(2 * math.pi * scale) - rss / (2 * scale)
-            ll0 = -0.5 * n * math.log(2 * math.pi * scale) - rss0 / (2 * scale)
-            mcf = ll / ll0 if ll0 != 0 else None
-        else:
-            mcf = None
-        fits[r["target"]] = dict(beta=beta, cov=scale * a_inv, ranges=ranges[r["target"]], n=int(n),
-                                 edof=edof, scale=scale, mcfadden=mcf,
-                                 explained_deviance=(1 - rss / rss0) if rss0 > 0 else None,
-                                 features=features)
+        try:
+            fits[r["target"]] = _solve(r, p, iu, pen, ranges[r["target"]], features)
+        except Exception as e:  # M12
+            LOG.warning("additive model for %s failed: %s", r["target"], e)
     return fits
 
 
+def _solve(r, p, iu, pen, ranges, features) -> dict:
+    """Penalised least squares from one target's summed statistics."""
+    m = np.zeros((p + 1, p + 1))
+    m[iu] = r["s"].toArray()
+    m = m + np.triu(m, 1).T
+    # Summarizer.sum is mean x weight: the count cell is rounded back
+    xtx, xty, yty, n = m[:p, :p], m[:p, p], m[p, p], float(round(m[0, 0]))
+    a_inv = np.linalg.pinv(xtx + pen)
+    beta = a_inv @ xty
+    rss = max(yty - 2 * beta @ xty + beta @ xtx @ beta, 0.0)
+    ybar = xty[0] / n
+    rss0 = max(yty - n * ybar * ybar, 0.0)
+    edof = float(np.trace(a_inv @ xtx))
+    scale = rss / max(n - edof, 1.0)
+    mcf = None
+    if scale > 0:
+        ll = -0.5 * n * math.log(2 * math.pi * scale) - rss / (2 * scale)
+        ll0 = -0.5 * n * math.log(2 * math.pi * scale) - rss0 / (2 * scale)
+        mcf = ll / ll0 if ll0 != 0 else None
+    return dict(beta=beta, cov=scale * a_inv, ranges=ranges, n=int(n), edof=edof, scale=scale,
+                mcfadden=mcf, explained_deviance=(1 - rss / rss0) if rss0 > 0 else None,
+                features=features)
+
+
 def _term(fit, k):
     s = 1 + k * N_BASIS
     return fit["beta"][s:s + N_BASIS], fit["cov"][s:s + N_BASIS, s:s + N_BASIS]
@@ -244,7 +252,11 @@ def gam_results(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col
         if t not in fits:
             continue
         fit = fits[t]
-        cp = _curve_pdf(fit)
+        try:
+            cp = _curve_pdf(fit)
+        except Exception as e:  # M12: a failing analyte is skipped, the run continues
+            LOG.warning("effect curve for %s failed: %s", t, e)
+            continue
         curves.append(cp.assign(Analyte=labels[t]))
         ch = float(cp.loc[cp.x > 0, "effect"].mean() - cp.loc[cp.x < 0, "effect"].mean()) \
             if (cp.x > 0).any() and (cp.x < 0).any() else None

@@ -9,6 +9,7 @@ selection (``order_statistics``) and then filter.
 
 from __future__ import annotations
 
+import logging
 import math
 from concurrent.futures import ThreadPoolExecutor
 
@@ -24,6 +25,7 @@ from cinderwell.operators.stats import (select_ranks, balanced_weights, class_me
 from cinderwell.session import checkpoint_dir, passes_over
 from cinderwell.sources.schema import MODEL_FEATURES, q
 
+LOG = logging.getLogger("cinderwell")
 SEED = 42
 # Forest training: more tree nodes per pass over the data (fewer passes) and
 # cached node ids (no re-descent of every tree per row and level).
@@ -91,6 +93,13 @@ def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
     _training_ready(spark)
 
     def one(a):
+        try:
+            return fit_one(a)
+        except Exception as e:  # M12: a failing analyte is skipped, the run continues
+            LOG.warning("forest for %s failed: %s", a, e)
+            return None
+
+    def fit_one(a):
         cols = list(features) + [a]
         d = model_df.select(*[q(c) for c in key_cols], *[q(c).cast("double").alias(c) for c in cols]) \
                     .dropna(subset=cols)

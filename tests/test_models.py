@@ -74,3 +74,18 @@ def test_mixed_effects_matches_dense_reml(spark):
     best = max(gams, key=lambda g: reml(g)[0])
     assert abs(got["Coefficient"] - round(reml(best)[1][1], 4)) <= 2e-4
     assert got["n_readings"] == len(rows) and got["n_stations"] == 12
+
+
+def test_failing_analyte_is_skipped(spark, monkeypatch):
+    """One analyte failing does not stop the others."""
+    df = _frame(spark, 300).withColumn("SampleDate", F.lit("2020-01-01").cast("date")) \
+                           .withColumn("index_right", F.lit(1)).withColumn("z", F.col("y") * 2)
+    real = ml.hash_split
+
+    def flaky(d, *a, **k):
+        if "z" in d.columns:
+            raise RuntimeError("boom")
+        return real(d, *a, **k)
+    monkeypatch.setattr(ml, "hash_split", flaky)
+    res, _ = ml.rf_regression(df, ["y", "z"], num_trees=3, max_depth=3)
+    assert [r["Analyte"] for r in res.collect()] == ["y"]
