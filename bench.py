@@ -43,7 +43,7 @@ def main() -> None:
     timings = {}
     # stage A: readings -> master (dense ids) -> joined, written once per
     # session as the stage tables every later query reads; timed on its own
-    from cinderwell.plans.pipeline import binding_joined
+    from cinderwell.plans.stages import binding_joined
     t0 = time.perf_counter()
     binding_joined(spark, sf_dir)
     timings["stage_tables"] = round(time.perf_counter() - t0, 3)

@@ -20,7 +20,7 @@ from cinderwell.operators import gam as gam_ops
 from cinderwell.operators import ml, stats, study
 from cinderwell.operators.reshape import analytes_found, preview, units_reference
 from cinderwell.operators.spatial import spatial_join
-from cinderwell.plans.pipeline import binding_joined, binding_master
+from cinderwell.plans.stages import binding_joined, binding_master
 from cinderwell.sources import bindings
 from cinderwell.sources.files import head_per_group, union_by_name
 from cinderwell.sources.schema import MODEL_FEATURES, q

@@ -61,7 +61,7 @@ def test_surrogate_id_dense_and_ordered(spark):
 
 
 def test_stage_table_ids_dense_and_ordered(spark):
-    from cinderwell.plans.pipeline import stage_table_with_id
+    from cinderwell.plans.stages import stage_table_with_id
     rows = [(f"S{(i * 7919) % 37}", dt.date(2020, 1 + i % 12, 1 + i % 27), float(i)) for i in range(500)]
     df = spark.createDataFrame(rows, "StationCode string, SampleDate date, v double").repartition(7)
     out = stage_table_with_id(spark, "ids-test", "k1", lambda: df, ["StationCode", "SampleDate", "v"],
