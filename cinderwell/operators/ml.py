@@ -62,6 +62,23 @@ def hash_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = SEED
     return hh.withColumn(out, F.coalesce(F.col("_h") <= lookup, F.lit(False))).drop("_h", "_g")
 
 
+def split_thresholds(df: DataFrame, masks: dict, test_size: float = 0.2,
+                     hash_col: str = "_h") -> dict:
+    """Exact-size split thresholds for several row subsets at once.
+
+    ``masks`` maps a name to a boolean Column selecting that subset; returns
+    {name: (rows, largest test hash)}. All subsets share one unpivoted
+    narrow frame and one set of selection passes."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("_g"), F.when(m, F.col(hash_col)).cast("double").alias("_v"))
+        for k, m in masks.items()])).alias("_x")).select("_x._g", "_x._v").where(F.col("_v").isNotNull())
+    with passes_over(long) as data:
+        counts = {r["_g"]: r["n"] for r in data.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+        want = {g: math.ceil(test_size * n) for g, n in counts.items()}
+        th = select_ranks(data, {g: [k - 1] for g, k in want.items() if k >= 1}, 1024, 20_000)
+    return {g: (counts[g], int(th[(g, want[g] - 1)]) if want[g] >= 1 else None) for g in counts}
+
+
 def capped_sample(df: DataFrame, key_cols, n: int, seed: int = SEED) -> DataFrame:
     """Exactly ``min(n, rows)`` rows chosen by key hash. The limit is the
     feature; each task keeps at most ``n`` rows (TakeOrderedAndProject)."""
@@ -91,6 +108,17 @@ def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
     """
     spark = model_df.sparkSession
     _training_ready(spark)
+    base = model_df.select(*[q(c) for c in key_cols],
+                           *[q(c).cast("double").alias(c) for c in list(features) + list(analytes)]) \
+                   .withColumn("_h", key_hash(row_key(key_cols), seed))
+
+    def complete(a):
+        cond = F.lit(True)
+        for c in list(features) + [a]:
+            cond = cond & F.col(f"`{c}`").isNotNull()
+        return cond
+    # one shared pass decides every analyte's exact-size test set
+    splits = split_thresholds(base, {a: complete(a) for a in analytes}, 0.2)
 
     def one(a):
         try:
@@ -100,23 +128,21 @@ def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
             return None
 
     def fit_one(a):
+        n, cut = splits.get(a, (0, None))
+        if n < min_rows:
+            return None
         cols = list(features) + [a]
-        d = model_df.select(*[q(c) for c in key_cols], *[q(c).cast("double").alias(c) for c in cols]) \
-                    .dropna(subset=cols)
-        with passes_over(d) as d:
-            n = d.count()
-            if n < min_rows:
-                return None
-            s = hash_split(d, key_cols, 0.2, seed)
-            train = s.where(~F.col("is_test"))
-            if train_cap:
-                train = capped_sample(train, key_cols, train_cap, seed)
-            rf = RandomForestRegressor(featuresCol="features", labelCol=a, numTrees=num_trees,
-                                       maxDepth=max_depth, maxBins=max_bins, seed=seed,
-                                       featureSubsetStrategy="all", **TRAIN_OPTS)
-            model = rf.fit(_assemble(train, features))
-            pred = model.transform(_assemble(s.where(F.col("is_test")), features))
-            r2 = r2_score(pred, a, "prediction").first()["r2"]
+        d = base.where(complete(a)).select(*[q(c) for c in key_cols], *[q(c) for c in cols], "_h") \
+                .withColumn("is_test", F.coalesce(F.col("_h") <= F.lit(cut), F.lit(False)))
+        train = d.where(~F.col("is_test"))
+        if train_cap:
+            train = capped_sample(train, key_cols, train_cap, seed)
+        rf = RandomForestRegressor(featuresCol="features", labelCol=a, numTrees=num_trees,
+                                   maxDepth=max_depth, maxBins=max_bins, seed=seed,
+                                   featureSubsetStrategy="all", **TRAIN_OPTS)
+        model = rf.fit(_assemble(train, features))
+        pred = model.transform(_assemble(d.where(F.col("is_test")), features))
+        r2 = r2_score(pred, a, "prediction").first()["r2"]
         fi = model.featureImportances.toArray()
         top = list(features)[int(fi.argmax())]
         return ((a, None if r2 is None else float(round(r2, 4)), top, int(n)),

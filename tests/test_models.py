@@ -80,12 +80,25 @@ def test_failing_analyte_is_skipped(spark, monkeypatch):
     """One analyte failing does not stop the others."""
     df = _frame(spark, 300).withColumn("SampleDate", F.lit("2020-01-01").cast("date")) \
                            .withColumn("index_right", F.lit(1)).withColumn("z", F.col("y") * 2)
-    real = ml.hash_split
+    real = ml.r2_score
 
-    def flaky(d, *a, **k):
-        if "z" in d.columns:
+    def flaky(d, label, *a, **k):
+        if label == "z":
             raise RuntimeError("boom")
-        return real(d, *a, **k)
-    monkeypatch.setattr(ml, "hash_split", flaky)
+        return real(d, label, *a, **k)
+    monkeypatch.setattr(ml, "r2_score", flaky)
     res, _ = ml.rf_regression(df, ["y", "z"], num_trees=3, max_depth=3)
     assert [r["Analyte"] for r in res.collect()] == ["y"]
+
+
+def test_shared_split_thresholds_equal_single_splits(spark):
+    rows = [(f"k{i}", float(i % 7) if i % 3 else None, float(i)) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    h = df.withColumn("_h", ml.key_hash(ml.row_key(["k"])))
+    th = ml.split_thresholds(h, {"a": F.col("a").isNotNull(), "b": F.col("b").isNotNull()}, 0.2)
+    for name in ("a", "b"):
+        one = ml.hash_split(df.where(F.col(name).isNotNull()), ["k"], 0.2)
+        n, cut = th[name]
+        assert n == one.count()
+        got = {r["k"] for r in h.where(F.col(name).isNotNull() & (F.col("_h") <= cut)).collect()}
+        assert got == {r["k"] for r in one.where("is_test").collect()}
