@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderwell.session import stable_checkpoint
 from cinderwell.sources.schema import KEY_COLS, META_COLS, q
@@ -36,25 +37,53 @@ def station_metadata(long: DataFrame, cols=META_COLS) -> DataFrame:
     return long.select(*cols).dropDuplicates()
 
 
+FIXED_WIDTH = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+               T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+# Conflicting cells at or below which their key table is broadcast.
+CONFLICT_BROADCAST_ROWS = 2_000_000
+
+
 def pivot_wide(long: DataFrame, analytes, keys=KEY_COLS, pivot_col="Analyte",
                value_col="Result", order_col="ord") -> DataFrame:
     """A4: first non-NULL value per (keys, analyte) as one column per analyte.
 
-    Written as conditional ``min_by`` aggregates under a single ``groupBy``:
-    one shuffle with map-side partial aggregation (a hot key is collapsed per
-    map task before it moves), instead of the two aggregations a
-    ``pivot()`` plans. Rows with NULL keys or NULL values are dropped first,
-    so a key whose values are all NULL produces no row.
+    With a fixed-width order key this is conditional ``min_by`` aggregates
+    under a single ``groupBy``: one shuffle with map-side partial
+    aggregation (a hot key is collapsed in each map task before it moves),
+    instead of the two aggregations a ``pivot()`` plans. Rows with NULL keys
+    or NULL values are dropped first, so a key whose values are all NULL
+    produces no row. Other order keys go through ``_pivot_by_conflicts``.
     """
     p, v, o = F.col(pivot_col), F.col(value_col), _order(order_col)
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).isNotNull()
     base = long.where(cond & v.isNotNull() & p.isin(*analytes))
+    if not isinstance(base.select(o.alias("_o")).schema[0].dataType, FIXED_WIDTH):
+        return _pivot_by_conflicts(base.withColumn("_o", o), analytes, keys, pivot_col, value_col)
     aggs = [F.min_by(F.when(p == a, v), F.when(p == a, o)).alias(a) for a in analytes]
     return base.groupBy(*keys).agg(*aggs)
 
 
+def _pivot_by_conflicts(base: DataFrame, analytes, keys, pivot_col, value_col) -> DataFrame:
+    """The same pivot for a composite order key (e.g. file, split, row)
+    while keeping every large aggregation hash-based: a cell whose non-NULL
+    values all agree needs no order; only cells with differing values are
+    resolved by the ordered ``min_by``, over their own rows."""
+    p, v = F.col(pivot_col), F.col(value_col)
+    cell_keys = list(keys) + [pivot_col]
+    cells = base.groupBy(*cell_keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    clear = cells.where(F.col("_lo") == F.col("_hi")).select(*cell_keys, F.col("_lo").alias("_v"))
+    conflict = cells.where(F.col("_lo") != F.col("_hi")).select(*cell_keys)
+    n_conflict = conflict.count()
+    if n_conflict:
+        side = F.broadcast(conflict) if n_conflict <= CONFLICT_BROADCAST_ROWS else conflict
+        resolved = (base.join(side, cell_keys, "left_semi")
+                        .groupBy(*cell_keys).agg(F.min_by(v, F.col("_o")).alias("_v")))
+        clear = clear.unionByName(resolved)
+    return clear.groupBy(*keys).agg(*[F.max(F.when(p == a, F.col("_v"))).alias(a) for a in analytes])
+
+
 def master_wide(long: DataFrame, analytes, keys=KEY_COLS, meta_cols=META_COLS,
                 order_col="ord", value_col="Result", pivot_col="Analyte") -> DataFrame:
     """A4 + J1 + P2: the wide table, metadata first, analytes in byte order.

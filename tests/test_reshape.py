@@ -70,3 +70,18 @@ def test_stage_table_ids_dense_and_ordered(spark):
     assert sorted(ids) == list(range(1, 501))
     keys = [(r["StationCode"], r["SampleDate"], r["v"]) for r in sorted(out, key=lambda r: r["rid"])]
     assert keys == sorted(keys)
+
+
+def test_struct_order_pivot_equals_long_order(spark):
+    """Composite (file, split, row) order: conflict path == ordered min_by."""
+    import random
+    from pyspark.sql import functions as F
+    rnd = random.Random(9)
+    rows = [(f"S{rnd.randint(0, 3)}", D1 if rnd.random() < 0.5 else D2, "n", 1.0, 2.0, 1,
+             rnd.choice(["pH", "X"]), rnd.choice([None, 1.0, 2.0, 3.0]), "u", i) for i in range(300)]
+    df = long(spark, rows)
+    a = {(r["StationCode"], r["SampleDate"]): (r["pH"], r["X"]) for r in pivot_wide(df, ["pH", "X"]).collect()}
+    s = df.withColumn("o2", F.struct(F.lit("f"), F.col("ord")))
+    b = {(r["StationCode"], r["SampleDate"]): (r["pH"], r["X"])
+         for r in pivot_wide(s, ["pH", "X"], order_col="o2").collect()}
+    assert a == b
