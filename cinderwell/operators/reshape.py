@@ -25,11 +25,24 @@ def units_reference(long: DataFrame, order_cols=("StationCode", "SampleDate", "o
                     analyte_col="Analyte", unit_col="Unit") -> DataFrame:
     """A2: first non-NULL unit per analyte in (station, date, file) order; an
     analyte whose units are all NULL still gets a row (NULL unit).
-    ``min_by`` is deterministic where ``first`` after a shuffle is not."""
-    u = F.col(unit_col)
-    key = F.when(u.isNotNull(), _order(order_cols))
-    return (long.where(F.col(analyte_col).isNotNull())
-                .groupBy(analyte_col).agg(F.min_by(u, key).alias(unit_col)))
+
+    An analyte with a single distinct unit needs no order, so the full pass
+    is one hash aggregation on (analyte, unit); only analytes with
+    differing units are resolved by an ordered ``min_by`` over their rows
+    (deterministic, where ``first`` after a shuffle is not)."""
+    a, u = F.col(analyte_col), F.col(unit_col)
+    base = long.where(a.isNotNull())
+    pairs = base.where(u.isNotNull()).groupBy(analyte_col, unit_col).agg(F.count(F.lit(1)).alias("_n"))
+    sets = pairs.groupBy(analyte_col).agg(F.collect_set(unit_col).alias("_us"))
+    single = sets.where(F.size("_us") == 1).select(analyte_col, F.col("_us")[0].alias(unit_col))
+    multi = sets.where(F.size("_us") > 1).select(analyte_col)
+    if multi.count():
+        key = F.when(u.isNotNull(), _order(order_cols))
+        resolved = (base.join(F.broadcast(multi), analyte_col, "left_semi")
+                        .groupBy(analyte_col).agg(F.min_by(u, key).alias(unit_col)))
+        single = single.unionByName(resolved)
+    names = base.select(analyte_col).distinct()
+    return names.join(F.broadcast(single), analyte_col, "left")
 
 
 def station_metadata(long: DataFrame, cols=META_COLS) -> DataFrame:

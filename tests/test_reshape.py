@@ -43,9 +43,12 @@ def test_metadata_variants_fan_out(spark):
 def test_units_first_non_null_and_all_null(spark):
     df = long(spark, [("S", D1, "n", 1.0, 2.0, 1, "pH", 1.0, None, 1),
                       ("S", D2, "n", 1.0, 2.0, 1, "pH", 1.0, "none", 2),
-                      ("S", D1, "n", 1.0, 2.0, 1, "X", 1.0, None, 3)])
+                      ("S", D1, "n", 1.0, 2.0, 1, "X", 1.0, None, 3),
+                      ("T", D1, "n", 1.0, 2.0, 1, "Y", 1.0, "b", 4),     # two units: order decides
+                      ("S", D2, "n", 1.0, 2.0, 1, "Y", 1.0, "c", 5),
+                      ("S", D2, "n", 1.0, 2.0, 1, "Y", 1.0, "a", 6)])
     got = {r["Analyte"]: r["Unit"] for r in units_reference(df).collect()}
-    assert got == {"pH": "none", "X": None}
+    assert got == {"pH": "none", "X": None, "Y": "c"}
 
 
 def test_surrogate_id_dense_and_ordered(spark):
