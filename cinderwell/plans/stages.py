@@ -57,6 +57,8 @@ def stage_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
 
 
 _WRITTEN: set = set()
+# Row totals of id-carrying stage tables (known from their per-file counts).
+STAGE_ROWS: dict = {}
 # Offsets stop being a broadcast literal table beyond this many files.
 OFFSET_BROADCAST_FILES = 200_000
 
@@ -91,6 +93,7 @@ def stage_table_with_id(spark: SparkSession, name: str, key: str, build, order_c
         offs = F.broadcast(offs)
     tagged = df.select("*", fcol.alias("_f"), F.col("_metadata.row_index").alias("_ri"))
     out = tagged.join(offs, "_f").withColumn(id_col, F.col("_off") + F.col("_ri") + 1)
+    STAGE_ROWS[(spark.sparkContext.applicationId, name, key)] = acc
     return out.select(id_col, *[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -119,21 +122,23 @@ def binding_joined(spark: SparkSession, sf_dir: str, with_days: bool = True,
         cols = tuple(dict.fromkeys(tuple(FIRE_COLS) + ("CONT_DATE",)))
         fires = bindings.fires(spark, sf_dir)
         j = add_event_time(build_joined(master, fires, coords=coords, fire_cols=cols))
-        return with_row_order(j, fires)
+        n = STAGE_ROWS.get((spark.sparkContext.applicationId, "master", sf_dir))
+        return with_row_order(j, fires, n_rows=n)
     j = stage_table(spark, "joined", sf_dir, build) if materialized else build()
     hidden = {"CONT_DATE": "CONT_DATE" in fire_cols, "days_since_fire": with_days}
     keep = [c for c in j.columns if hidden.get(c, True)]
     return j.select(*[F.col(f"`{c}`") for c in keep])
 
 
-def with_row_order(joined: DataFrame, fires: DataFrame, id_col="fire_id") -> DataFrame:
+def with_row_order(joined: DataFrame, fires: DataFrame, id_col="fire_id",
+                   n_rows: int | None = None) -> DataFrame:
     """``row_ord``: one LONG giving the joined table's row order (reading id,
     then perimeter id), so "first row of a group" is a fixed-width
     ``min_by`` that Spark hash-aggregates. Without a safe encoding (the
     product would overflow) the column is left out and callers fall back to
     a struct order."""
     r = fires.agg(F.max(id_col).alias("f"), F.min(id_col).alias("lo")).first()
-    n = joined.agg(F.max("WaterQualityID").alias("n")).first()["n"] or 0
+    n = n_rows if n_rows is not None else (joined.agg(F.max("WaterQualityID").alias("n")).first()["n"] or 0)
     f_max, f_min = (r["f"] or 0), (r["lo"] or 0)
     width = f_max + 2
     if f_min < 0 or (n + 1) * width >= 2 ** 62:
