@@ -134,15 +134,16 @@ def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
         cols = list(features) + [a]
         d = base.where(complete(a)).select(*[q(c) for c in key_cols], *[q(c) for c in cols], "_h") \
                 .withColumn("is_test", F.coalesce(F.col("_h") <= F.lit(cut), F.lit(False)))
-        train = d.where(~F.col("is_test"))
-        if train_cap:
-            train = capped_sample(train, key_cols, train_cap, seed)
-        rf = RandomForestRegressor(featuresCol="features", labelCol=a, numTrees=num_trees,
-                                   maxDepth=max_depth, maxBins=max_bins, seed=seed,
-                                   featureSubsetStrategy="all", **TRAIN_OPTS)
-        model = rf.fit(_assemble(train, features))
-        pred = model.transform(_assemble(d.where(F.col("is_test")), features))
-        r2 = r2_score(pred, a, "prediction").first()["r2"]
+        with passes_over(d) as d:  # the fit and the evaluation each pass over it
+            train = d.where(~F.col("is_test"))
+            if train_cap:
+                train = capped_sample(train, key_cols, train_cap, seed)
+            rf = RandomForestRegressor(featuresCol="features", labelCol=a, numTrees=num_trees,
+                                       maxDepth=max_depth, maxBins=max_bins, seed=seed,
+                                       featureSubsetStrategy="all", **TRAIN_OPTS)
+            model = rf.fit(_assemble(train, features))
+            pred = model.transform(_assemble(d.where(F.col("is_test")), features))
+            r2 = r2_score(pred, a, "prediction").first()["r2"]
         fi = model.featureImportances.toArray()
         top = list(features)[int(fi.argmax())]
         return ((a, None if r2 is None else float(round(r2, 4)), top, int(n)),
