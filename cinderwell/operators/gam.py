@@ -70,6 +70,26 @@ def _gram_fn(features, targets, ranges_by_target, label_col):
     return fn
 
 
+def basis_ranges(model_df: DataFrame, targets, features=MODEL_FEATURES,
+                 label_col="post_fire") -> DataFrame:
+    """M5/M6 preprocessing: per target, the rows complete for it and the
+    range of every feature over them (the knots of its spline basis), in
+    one aggregation. Long form: target, feature, n, lo, hi."""
+    aggs, cells = [], []
+    for ti, t in enumerate(targets):
+        ok = F.lit(True)
+        for c in list(features) + [t, label_col]:
+            ok = ok & q(c).isNotNull()
+        aggs.append(F.count_if(ok).alias(f"n{ti}"))
+        for fi, f in enumerate(features):
+            aggs += [F.min(F.when(ok, q(f).cast("double"))).alias(f"lo{ti}_{fi}"),
+                     F.max(F.when(ok, q(f).cast("double"))).alias(f"hi{ti}_{fi}")]
+            cells.append(F.struct(F.lit(t).alias("target"), F.lit(f).alias("feature"),
+                                  F.col(f"n{ti}").alias("n"), F.col(f"lo{ti}_{fi}").alias("lo"),
+                                  F.col(f"hi{ti}_{fi}").alias("hi")))
+    return model_df.agg(*aggs).select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+
+
 def fit_gam(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col="post_fire",
             min_rows: int = 100, lam: float = LAM) -> dict:
     """Fit one additive model per target; returns {target: fit dict}.
@@ -86,21 +106,11 @@ def fit_gam(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col="po
     tcols = [f"_c{len(features) + i}" for i in range(len(targets))]
     lcol = f"_c{len(cols) - 1}"
     # per-target ranges and counts over that target's complete rows: one aggregate
-    aggs = []
-    for ti, tc in enumerate(tcols):
-        ok = F.lit(True)
-        for c in fcols + [tc, lcol]:
-            ok = ok & F.col(c).isNotNull()
-        aggs.append(F.count(F.when(ok, 1)).alias(f"n{ti}"))
-        for fi, fc in enumerate(fcols):
-            aggs += [F.min(F.when(ok, F.col(fc))).alias(f"lo{ti}_{fi}"),
-                     F.max(F.when(ok, F.col(fc))).alias(f"hi{ti}_{fi}")]
-    st = d.agg(*aggs).first()
-    keep, ranges = [], {}
-    for ti, t in enumerate(targets):
-        if st[f"n{ti}"] >= min_rows:
-            keep.append(t)
-            ranges[t] = {features[fi]: (st[f"lo{ti}_{fi}"], st[f"hi{ti}_{fi}"]) for fi in range(len(features))}
+    keep, ranges, counts = [], {}, {}
+    for r in basis_ranges(model_df, list(targets), features, label_col).collect():
+        counts[r["target"]] = r["n"]
+        ranges.setdefault(r["target"], {})[r["feature"]] = (r["lo"], r["hi"])
+    keep = [t for t in targets if counts.get(t, 0) >= min_rows]
     if not keep:
         return {}
     renamed = d.select(*[F.col(c).alias(name[c]) for c in fcols],

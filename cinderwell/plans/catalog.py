@@ -418,6 +418,10 @@ def q_rf_class_report(spark, d):
     return stats.class_report(_clf(spark, d)["confusion"])
 
 
+def q_gam_basis_ranges(spark, d):
+    return normalise(gam_ops.basis_ranges(_model(spark, d), A))
+
+
 def _gam(spark, d, model=None):
     model = model if model is not None else _model_frozen(spark, d)
     return gam_ops.gam_results(model, A, labels={a: a for a in A})
@@ -464,6 +468,7 @@ QUERIES.update({
     "impact_ranking": q_impact_ranking,
     "impact_by_change": q_impact_by_change,
     "rf_class_report": q_rf_class_report,
+    "gam_basis_ranges": q_gam_basis_ranges,
     "gam_results": q_gam_results,
     "gam_curve": q_gam_curve,
     "model_summary": q_model_summary,

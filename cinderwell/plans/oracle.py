@@ -418,3 +418,17 @@ SQL["mixed_station_stats"] = with_(model_ctes() + ",\nlong AS (" + "\n  UNION AL
 FROM long WHERE y IS NOT NULL AND x IS NOT NULL AND StationCode IS NOT NULL GROUP BY Analyte, StationCode""")
 
 SQL["station_fire_join_edges"] = SQL["station_fire_join"]
+
+
+def _ranges_sql() -> str:
+    parts = []
+    for a in A:
+        ok = " AND ".join(f"{qi(c)} IS NOT NULL" for c in FEATS + [a, "post_fire"])
+        for f in FEATS:
+            parts.append(f"""SELECT '{a}' AS target, '{f}' AS feature, CAST(count(*) AS BIGINT) AS n,
+  {rnd(f'min(CAST({qi(f)} AS DOUBLE))')} AS lo, {rnd(f'max(CAST({qi(f)} AS DOUBLE))')} AS hi
+FROM model WHERE {ok}""")
+    return with_(model_ctes(), "\nUNION ALL ".join(parts))
+
+
+SQL["gam_basis_ranges"] = _ranges_sql()
