@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,19 +38,26 @@ def read_csv_text(spark: SparkSession, paths, *, with_order: bool = False) -> Da
     return df
 
 
+def list_files(spark: SparkSession, paths) -> list[str]:
+    """The files behind paths, directories or globs (one row per file; the
+    binary-file source lists without reading content when only ``path``
+    is selected)."""
+    return sorted(r["path"] for r in spark.read.format("binaryFile").load(_paths(paths))
+                  .select("path").collect())
+
+
 def file_headers(spark: SparkSession, paths) -> dict[str, tuple[str, ...]]:
-    """Header line of every file, found by Spark (first line of the first
-    split of each file). One row per file comes back to the driver."""
-    text = (spark.read.text(_paths(paths))
-            .where(F.col("_metadata.file_block_start") == 0)
-            .select(F.col("_metadata.file_path").alias("f"), "value",
-                    F.monotonically_increasing_id().alias("i"))
-            .groupBy("f").agg(F.min_by("value", "i").alias("header")))
-    out = {}
-    for r in text.collect():
-        cols = next(iter(__import__("csv").reader([r["header"] or ""])), [])
-        out[r["f"]] = tuple(cols)
-    return out
+    """Header of every file: the CSV reader's schema inference parses only
+    the first line of each file; the small jobs run concurrently."""
+    files = list_files(spark, paths)
+    if not files:
+        raise ValueError("no input files found")
+
+    def header(f):
+        return f, tuple(spark.read.option("header", True).option("inferSchema", False)
+                        .option("quote", '"').option("escape", '"').csv(f).columns)
+    with ThreadPoolExecutor(max_workers=max(1, min(len(files), 16))) as pool:
+        return dict(pool.map(header, files))
 
 
 def union_by_name(frames) -> DataFrame:
