@@ -1,9 +1,10 @@
 """Before/after event study.
 
 All scenarios (after-window length x minimum size) run in ONE aggregation:
-each row is expanded to the scenarios it can belong to by a generator in the
-map stage, then a single ``groupBy(scenario, event)`` with conditional
-aggregates and map-side partial aggregation replaces the per-event loops.
+a single ``groupBy(event)`` whose conditional aggregates carry each
+scenario's size filter and window (map-side partial aggregation, no row
+expansion) replaces the per-event loops; the small per-event result is then
+unpivoted to (scenario, event, analyte) rows.
 """
 
 from __future__ import annotations
@@ -29,12 +30,6 @@ DEFAULT_ORDER = ("StationCode", "SampleDate", "StationName", "TargetLatitude",
                  "TargetLongitude", "Region", "index_right")
 
 
-def _scenario_array(scenarios) -> Column:
-    return F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(int(d)).alias("after_days"),
-                              F.lit(None if m is None else float(m)).cast("double").alias("min_acres"))
-                     for n, d, m in scenarios])
-
-
 def fire_results(joined: DataFrame, analytes, scenarios=SCENARIOS, name_col="FIRE_NAME",
                  days_col="days_since_fire", acres_col="GIS_ACRES",
                  order_cols=DEFAULT_ORDER) -> DataFrame:
@@ -50,37 +45,44 @@ def fire_results(joined: DataFrame, analytes, scenarios=SCENARIOS, name_col="FIR
     * GIS_Acres is the size on the event's first row in reading order,
       NULL kept (A22); ``min_acres`` drops NULL sizes, ``None`` keeps them.
     """
-    d, acres = F.col(days_col), F.col(acres_col)
+    d = F.col(days_col)
     if isinstance(order_cols, str):
         order = q(order_cols)  # a single fixed-width key keeps the aggregate hash-based
     else:
         order = F.struct(*[q(c) for c in order_cols if c in joined.columns])
     base = (joined.where(F.col(name_col).isNotNull() & d.isNotNull())
-                  .select(F.col(name_col).alias("Fire"), d.alias("_d"), acres.alias("_acres"),
-                          order.alias("_ord"), *[q(a) for a in analytes],
-                          F.explode(_scenario_array(scenarios)).alias("_s")))
-    keep = F.col("_s.min_acres").isNull() | (F.col("_acres") >= F.col("_s.min_acres"))
-    base = base.where(keep)
-    is_b = F.col("_d") < 0
-    is_a = (F.col("_d") >= 0) & (F.col("_d") <= F.col("_s.after_days"))
-    aggs = [F.count_if(is_b).alias("n_before"), F.count_if(is_a).alias("n_after"),
-            F.min_by("_acres", "_ord").alias("GIS_Acres")]
-    for i, a in enumerate(analytes):
-        v = q(a)
-        aggs += [F.avg(F.when(is_b, v)).alias(f"_b{i}"), F.avg(F.when(is_a, v)).alias(f"_a{i}"),
-                 F.count(F.when(is_b, v)).alias(f"_nb{i}"), F.count(F.when(is_a, v)).alias(f"_na{i}")]
-    per_fire = (base.groupBy(F.col("_s.scenario").alias("scenario"), "Fire").agg(*aggs)
-                    .where((F.col("n_before") > 0) & (F.col("n_after") > 0)))
-    cells = []
-    for i, a in enumerate(analytes):
-        ok = (F.col(f"_nb{i}") > 0) & (F.col(f"_na{i}") > 0)
-        b, af = F.when(ok, F.col(f"_b{i}")), F.when(ok, F.col(f"_a{i}"))
-        cells.append(F.struct(F.lit(a).alias("Analyte"), F.col(f"_nb{i}").alias("n_b"),
-                              F.col(f"_na{i}").alias("n_a"), b.alias("before"),
-                              af.alias("after"), (af - b).alias("change")))
-    return (per_fire.select("scenario", "Fire", "GIS_Acres", "n_before", "n_after",
-                            F.explode(F.array(*cells)).alias("_c"))
-                    .select("scenario", "Fire", "GIS_Acres", "n_before", "n_after", "_c.*"))
+                  .select(F.col(name_col).alias("Fire"), d.alias("_d"), F.col(acres_col).alias("_acres"),
+                          order.alias("_ord"), *[q(a) for a in analytes]))
+    dd, ac = F.col("_d"), F.col("_acres")
+    aggs, per_scenario = [], []
+    for si, (name, after_days, min_acres) in enumerate(scenarios):
+        keep = F.lit(True) if min_acres is None else (ac >= F.lit(float(min_acres)))
+        is_b = keep & (dd < 0)
+        is_a = keep & (dd >= 0) & (dd <= F.lit(int(after_days)))
+        aggs += [F.count_if(is_b).alias(f"_nb_{si}"), F.count_if(is_a).alias(f"_na_{si}"),
+                 F.min_by(ac, F.when(keep, F.col("_ord"))).alias(f"_ac_{si}")]
+        cells = []
+        for i, a in enumerate(analytes):
+            v = q(a)
+            aggs += [F.avg(F.when(is_b, v)).alias(f"_b{si}_{i}"), F.avg(F.when(is_a, v)).alias(f"_a{si}_{i}"),
+                     F.count(F.when(is_b, v)).alias(f"_cb{si}_{i}"), F.count(F.when(is_a, v)).alias(f"_ca{si}_{i}")]
+            ok = (F.col(f"_cb{si}_{i}") > 0) & (F.col(f"_ca{si}_{i}") > 0)
+            b, af = F.when(ok, F.col(f"_b{si}_{i}")), F.when(ok, F.col(f"_a{si}_{i}"))
+            cells.append(F.struct(F.lit(a).alias("Analyte"), F.col(f"_cb{si}_{i}").alias("n_b"),
+                                  F.col(f"_ca{si}_{i}").alias("n_a"), b.alias("before"),
+                                  af.alias("after"), (af - b).alias("change")))
+        per_scenario.append(F.struct(F.lit(name).alias("scenario"), F.col(f"_ac_{si}").alias("GIS_Acres"),
+                                     F.col(f"_nb_{si}").alias("n_before"), F.col(f"_na_{si}").alias("n_after"),
+                                     F.array(*cells).alias("cells")))
+    # one aggregation per event for every scenario at once (no row expansion);
+    # the small per-event result is then unpivoted to scenarios and analytes
+    per_fire = base.groupBy("Fire").agg(*aggs)
+    rows = (per_fire.select("Fire", F.explode(F.array(*per_scenario)).alias("_s"))
+                    .where((F.col("_s.n_before") > 0) & (F.col("_s.n_after") > 0)))
+    return (rows.select(F.col("_s.scenario").alias("scenario"), "Fire", F.col("_s.GIS_Acres").alias("GIS_Acres"),
+                        F.col("_s.n_before").alias("n_before"), F.col("_s.n_after").alias("n_after"),
+                        F.explode("_s.cells").alias("_c"))
+                .select("scenario", "Fire", "GIS_Acres", "n_before", "n_after", "_c.*"))
 
 
 def fire_results_wide(results: DataFrame, analytes, labels: dict | None = None) -> DataFrame:
