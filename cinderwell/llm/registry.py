@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cinderwell.llm import mixing, quality, simhash
+from cinderwell.llm import mixing, pieces, quality, simhash
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op10_source_mix": mixing.op10_source_mix,
