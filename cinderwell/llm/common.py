@@ -36,11 +36,11 @@ def n_words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(or_empty(text), F.lit(WORD), F.lit(0))).cast("long")
 
 
-def packed(df: DataFrame, *derived: Column) -> DataFrame:
-    """All columns of ``df`` in one struct ``row`` beside the derived ones, so
-    that no name of the caller's can clash with a working column."""
-    row = F.struct(*[df[f"`{c}`"] for c in df.columns]) if df.columns else F.struct()
-    return df.select(row.alias("row"), *derived)
+def packed(df: DataFrame, *derived: Column, keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``df`` (those in ``keep``, or all) in one struct ``row``
+    beside the derived ones, so that no name of the caller's can clash with a
+    working column."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in (df.columns if keep is None else keep)]).alias("row"), *derived)
 
 
 def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -55,7 +55,3 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     """A fresh folder name below the shared checkpoint folder. Nothing is
     created here; the writer does that."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def pairwise_salt(c: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")

@@ -105,14 +105,17 @@ class Matcher:
     @staticmethod
     def _cuts(pieces) -> re.Pattern:
         """The finest of three ways to cut a text that no piece crosses: between
-        letters or digits and other characters (but "_"), before runs of marks,
-        not at all."""
+        word and other characters, before runs of marks, not at all. Word
+        characters that stand beside others in some piece keep what they touch
+        uncut."""
         if any(MARK in p.lstrip(MARK) for p in pieces):
             return re.compile(r"(?s:.+)")
-        mixed = re.compile(rf"[^\W_][^\w{MARK}]|[^\w{MARK}][^\W_]")
-        if any(mixed.search(p) for p in pieces):
+        word = {c: bool(re.match(r"\w", c)) for c in set("".join(pieces))}
+        glue = {a if word[a] else b for p in pieces for a, b in zip(p.lstrip(MARK), p.lstrip(MARK)[1:]) if word[a] != word[b]}
+        if len(glue) > 100:
             return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        return re.compile(rf"{MARK}*+(?:[^\W_]++(?!_)|[^\w{MARK}]++(?!_)|[^{MARK}]+)|{MARK}+")
+        held = "".join(map(re.escape, sorted(glue | {"_"})))
+        return re.compile(rf"{MARK}*+(?:[^\W{held}]++(?![{held}])|[^\w{MARK}]++(?![{held}])|[^{MARK}]+)|{MARK}+")
 
     # ---- merging two pieces, to see whether they stand side by side
     def side_by_side(self, left: int, right: int) -> bool:

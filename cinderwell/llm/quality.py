@@ -83,9 +83,7 @@ def with_features(docs: DataFrame, text: str = "text", keep: list[str] | None =
     hash collision cannot change a count.
     """
     t = F.col("t")
-    out = packed(docs, or_empty(docs[f"`{text}`"]).alias("t"))
-    if keep is not None:
-        out = out.select(F.struct(*[F.col("row").getField(c).alias(c) for c in keep]).alias("row"), "t")
+    out = packed(docs, or_empty(docs[f"`{text}`"]).alias("t"), keep=keep)
     out = out.select(
         "row", "t",
         F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("w"),

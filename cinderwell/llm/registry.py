@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from cinderwell.llm import mixing, pieces, quality, simhash
+from cinderwell.llm import licenses, mixing, pieces, quality, simhash, urls
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_license_scan": licenses.op6_license_scan,
+    "op7_url_filter": urls.op7_url_filter,
     "op10_source_mix": mixing.op10_source_mix,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_license_scan": licenses.OP6_SQL,
+    "op7_url_filter": urls.OP7_SQL,
+}
