@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from cinderwell.llm import licenses, mixing, pieces, quality, simhash, urls
+from cinderwell.llm import arrowfiles, digests, licenses, mixing, pieces, quality, rollup, simhash, urls, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op2_fingerprints": digests.op2_fingerprints,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_token_ids": arrowfiles.op4_token_ids,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_url_filter": urls.op7_url_filter,
+    "op8_token_rollup": rollup.op8_token_rollup,
+    "op9_warc_derivatives": warc.op9_warc_derivatives,
     "op10_source_mix": mixing.op10_source_mix,
 }
 
