@@ -140,7 +140,7 @@ class Matcher:
     # ---- the index
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Occurrences of all pieces in an array of code points, 0 between cuts:
-        (start, end, piece number), sorted by end and start."""
+        (start, end, piece number), sorted by end, shorter ones first."""
         order = self._suffixes(text)
         low, high = self._ranges(text, order)
         n = high - low
