@@ -63,9 +63,11 @@ def _encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer, known = Tokenizer.from_file(path), {}
+    # texts with these are encoded in one piece
+    whole = ["\0", *(t.content for t in tokenizer.get_added_tokens_decoder().values())]
 
     def encode(texts: list[str]) -> list[bytes]:
-        cuts = [[t] if "\0" in t else CUT.sub("\0", t).split("\0") for t in texts]
+        cuts = [[t] if any(x in t for x in whole) else CUT.sub("\0", t).split("\0") for t in texts]
         if len(known) > MEMO:
             known.clear()
         new = list(dict.fromkeys(c for cs in cuts for c in cs if c not in known))

@@ -84,17 +84,18 @@ def judge(keys: DataFrame, rules: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("host", "path"), F.col("parts")).cast("int")
     nothing = F.lit(None)
     # at one place, ends come before starts, and starts before URLs; an end
-    # stands behind all keys with its prefix
+    # stands behind all keys with its prefix (no UTF-8 text has a byte FF)
     at_url = probes.join(spread, "anchor").select(
-        "anchor", part.alias("part"), F.col("path").alias("key"), F.lit(2).alias("kind"), F.lit(0).alias("inner"),
+        "anchor", part.alias("part"), F.col("path").cast("binary").alias("key"), F.lit(2).alias("kind"), F.lit(0).alias("inner"),
         nothing.cast(stacks.schema["stack"].dataType).alias("stack"), "host", "path")
     edges = stacks.join(spread, "anchor").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     event = lambda key, kind, inner, stack: edges.select(
         "anchor", "part", key.alias("key"), F.lit(kind).alias("kind"), inner.alias("inner"), stack.alias("stack"),
         nothing.cast("string").alias("host"), nothing.cast("string").alias("path"))
     depth = F.size("stack")
-    events = at_url.unionByName(event(F.col("path"), 1, depth, F.col("stack"))) \
-        .unionByName(event(F.concat("path", F.lit("\U0010ffff")), 0, -depth, F.col("outer")))
+    start = F.col("path").cast("binary")
+    events = at_url.unionByName(event(start, 1, depth, F.col("stack"))) \
+        .unionByName(event(F.concat(start, F.lit(b"\xff")), 0, -depth, F.col("outer")))
     sweep = Window.partitionBy("anchor", "part").orderBy("key", "kind", "inner").rowsBetween(Window.unboundedPreceding, 0)
     open_ = events.withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 2 and size(open) > 0")
     best = open_.select("host", "path", F.element_at("open", -1).alias("best")).groupBy("host", "path").agg(F.max("best").alias("best"))
