@@ -40,9 +40,9 @@ from cinderwell.llm.common import or_empty, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: encoded cuts and pair tests a worker remembers, and characters of new cuts
-#: that are indexed at once
-MEMO_CUTS, MEMO_PAIRS, INDEX_CHARS = 1_000_000, 500_000, 1_000_000
+#: encoded cuts and pair tests a worker remembers, characters of new cuts that
+#: are indexed at once, and characters of text that are in work at once
+MEMO_CUTS, MEMO_PAIRS, INDEX_CHARS, TEXT_CHARS = 300_000, 500_000, 400_000, 4_000_000
 NO_SCORE = float("-inf")
 
 
@@ -100,6 +100,7 @@ class Matcher:
         self.lengths, self.chars, self.id_of = lengths, chars, np.array([pieces[p][0] for p in self.names], np.int32)
         self.cuts = self._cuts(pieces)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tested, self.passed = np.array([-1]), np.array([False])
 
     @staticmethod
@@ -325,12 +326,27 @@ class Matcher:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        norm = [self.normalize(t) for t in texts]
-        cut = [self.cuts.findall(t) for t in norm]
-        if len(self.known) >= MEMO_CUTS:
-            self.known.clear()
-        known = self.known
-        self.learn([c for c in dict.fromkeys(x for cs in cut for x in cs) if c not in known])
+        out, block, size = [], [], 0
+        for t in texts:
+            block.append(t)
+            size += len(t)
+            if size >= TEXT_CHARS:
+                out += self._encode(block)
+                block, size = [], 0
+        return out + self._encode(block)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cuts.findall(self.normalize(t)) for t in texts]
+        if len(self.known) >= MEMO_CUTS:  # what was not used since the last time goes
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for c in dict.fromkeys(x for cs in cut for x in cs):
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    new.append(c)
+        self.learn(new)
         return [b"".join([known[c] for c in cs]) for cs in cut]
 
 
