@@ -42,7 +42,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: encoded cuts and pair tests a worker remembers, characters of new cuts that
 #: are indexed at once, and characters of text that are in work at once
-MEMO_CUTS, MEMO_PAIRS, INDEX_CHARS, TEXT_CHARS = 300_000, 500_000, 400_000, 4_000_000
+MEMO_CUTS, MEMO_PAIRS, INDEX_CHARS, TEXT_CHARS = 300_000, 400_000, 400_000, 4_000_000
+SLOT_BITS = 20
 NO_SCORE = float("-inf")
 
 
@@ -101,7 +102,8 @@ class Matcher:
         self.cuts = self._cuts(pieces)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.tested, self.passed = np.array([-1]), np.array([False])
+        self.pairs: dict[int, bool] = {}
+        self.slot_pair, self.slot_fits = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
 
     @staticmethod
     def _cuts(pieces) -> re.Pattern:
@@ -142,8 +144,15 @@ class Matcher:
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Occurrences of all pieces in an array of code points, 0 between cuts:
         (start, end, piece number), sorted by end, shorter ones first."""
-        order = self._suffixes(text)
-        low, high = self._ranges(text, order)
+        letters, rank = np.unique(text, return_inverse=True)
+        rank = rank.astype(np.int64) + 1  # 0: behind the end
+        width = int(len(letters)).bit_length()
+        step = min(self.longest, 62 // width)  # as many characters as one key holds
+        key, padded = np.zeros(len(text), np.int64), np.concatenate([rank, np.zeros(step, np.int64)])
+        for k in range(step):
+            key = (key << width) | padded[k:k + len(text)]
+        order = self._suffixes(key, step)
+        low, high = self._ranges(text, order, key[order], letters, width, step)
         n = high - low
         which = np.repeat(np.arange(len(n)), n)
         first = np.repeat(np.cumsum(n) - n, n)
@@ -152,50 +161,52 @@ class Matcher:
         by_place = np.argsort(end * (self.longest + 1) + (end - start))
         return start[by_place], end[by_place], which[by_place]
 
-    def _suffixes(self, text: np.ndarray) -> np.ndarray:
+    def _suffixes(self, key: np.ndarray, depth: int) -> np.ndarray:
         """Places in the order of their suffixes, equal if they agree on the
-        length of the longest piece: prefix doubling."""
-        _, rank = np.unique(text, return_inverse=True)
-        rank, depth = rank.astype(np.int64), 1
-        width = max(1, int(rank.max()).bit_length())
-        step = max(1, 62 // width)  # as many characters as one key holds
-        key, padded = np.zeros(len(text), np.int64), np.concatenate([rank, np.zeros(step, np.int64)])
-        for k in range(step):
-            key = (key << width) | padded[k:k + len(text)]
-        depth = step
+        length of the longest piece: prefix doubling from keys of the first
+        ``depth`` characters."""
         order = np.argsort(key)
         while depth < self.longest:
             ranked = key[order]
-            new = np.zeros(len(text), np.int64)
+            new = np.zeros(len(key), np.int64)
             new[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
-            after = np.zeros(len(text), np.int64)
-            after[:max(0, len(text) - depth)] = new[depth:] + 1
-            key = new * (len(text) + 2) + after
+            after = np.zeros(len(key), np.int64)
+            after[:max(0, len(key) - depth)] = new[depth:] + 1
+            key = new * (len(key) + 2) + after
             depth *= 2
             order = np.argsort(key)
         return order
 
-    def _ranges(self, text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ranges(self, text, order, keys, letters, width, step) -> tuple[np.ndarray, np.ndarray]:
         """Of each piece, the range of ``order`` that starts with it: binary
-        search for all pieces at once."""
-        padded = np.concatenate([text, np.zeros(self.longest, text.dtype)])
+        search for all pieces at once, first among the sorted ``keys``, then
+        character by character for what a key does not hold."""
+        code = np.searchsorted(letters, self.chars)
         inside = np.arange(self.longest) < self.lengths[:, None]
+        occurs = ((letters[np.minimum(code, len(letters) - 1)] == self.chars) | ~inside).all(axis=1)
+        code = np.where(inside, code + 1, 0)[:, :step]
+        shift = width * np.arange(step - 1, -1, -1)
+        least = (code << shift).sum(axis=1)
+        most = least + (np.int64(1) << (width * (step - np.minimum(self.lengths, step))))
+        low = np.where(occurs, np.searchsorted(keys, least), 0)
+        high = np.where(occurs, np.searchsorted(keys, most), 0)
+        deep = np.flatnonzero((self.lengths > step) & (low < high))
+        padded = np.concatenate([text, np.zeros(self.longest, text.dtype)])
 
         def bound(after: bool) -> np.ndarray:
-            low, high = np.zeros(len(self.names), np.int64), np.full(len(self.names), len(order), np.int64)
-            while True:
-                open_ = np.flatnonzero(low < high)
-                if not len(open_):
-                    return low
-                mid = (low[open_] + high[open_]) // 2
-                differ = (padded[order[mid][:, None] + np.arange(self.longest)] - self.chars[open_]) * inside[open_]
+            a, b = low[deep], high[deep]
+            while len(open_ := np.flatnonzero(a < b)):
+                mid = (a[open_] + b[open_]) // 2
+                differ = (padded[order[mid][:, None] + np.arange(self.longest)] - self.chars[deep[open_]]) * inside[deep[open_]]
                 at = np.argmax(differ != 0, axis=1)
                 sign = differ[np.arange(len(open_)), at]
                 right = sign <= 0 if after else sign < 0
-                low[open_[right]] = mid[right] + 1
-                high[open_[~right]] = mid[~right]
+                a[open_[right]] = mid[right] + 1
+                b[open_[~right]] = mid[~right]
+            return a
 
-        return bound(False), bound(True)
+        low[deep], high[deep] = bound(False), bound(True)
+        return low, high
 
     # ---- relaxing
     def learn(self, cuts: list[str]) -> None:
@@ -225,22 +236,32 @@ class Matcher:
         return self.names[x - 1] if x <= len(self.names) else chr(x - len(self.names) - 1)
 
     def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """``side_by_side`` for arrays of symbol numbers (0: nothing); tests
-        done before are looked up."""
-        code = left * (len(self.names) + 0x110001) + right
-        at = np.searchsorted(self.tested, code)
-        new = np.flatnonzero(self.tested[np.minimum(at, len(self.tested) - 1)] != code)
-        if len(new):
-            fresh, one = np.unique(code[new], return_index=True)
-            if len(self.tested) + len(fresh) > MEMO_PAIRS:
-                self.tested, self.passed = np.array([-1]), np.array([False])
-                return self._fits(left, right) if len(fresh) < MEMO_PAIRS else np.array([self.side_by_side(a, b) for a, b in zip(left, right)])
-            answer = [self.side_by_side(a, b) for a, b in zip(left[new][one].tolist(), right[new][one].tolist())]
-            both = np.concatenate([self.tested, fresh])
-            order = np.argsort(both)
-            self.tested, self.passed = both[order], np.concatenate([self.passed, answer])[order]
-            at = np.searchsorted(self.tested, code)
-        return self.passed[at]
+        """``side_by_side`` for arrays of symbol numbers (0: nothing). Answers
+        are kept in a table by a hash of the pair; a slot holds one pair."""
+        base = len(self.names) + 0x110001
+        code = left * base + right
+        slot = self._slot(code)
+        out = self.slot_fits[slot]
+        miss = np.flatnonzero(self.slot_pair[slot] != code)
+        if len(miss):
+            fresh, place = np.unique(code[miss], return_inverse=True)
+            answer = np.array([self._pair(c, base) for c in fresh.tolist()])
+            out[miss] = answer[place]
+            slot = self._slot(fresh)
+            self.slot_pair[slot], self.slot_fits[slot] = fresh, answer
+        return out
+
+    @staticmethod
+    def _slot(code: np.ndarray) -> np.ndarray:
+        return (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+    def _pair(self, code: int, base: int) -> bool:
+        found = self.pairs.get(code)
+        if found is None:
+            if len(self.pairs) >= MEMO_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[code] = self.side_by_side(*divmod(code, base))
+        return found
 
     def _relax_bpe(self, text: np.ndarray, begin: np.ndarray, length: np.ndarray, edges) -> tuple[np.ndarray, np.ndarray]:
         """All cuts in step: first every prefix of one character, then of two,
@@ -340,7 +361,7 @@ class Matcher:
         if len(self.known) >= MEMO_CUTS:  # what was not used since the last time goes
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
-        for c in dict.fromkeys(x for cs in cut for x in cs):
+        for c in set().union(*cut):
             if c not in known:
                 if c in older:
                     known[c] = older[c]
