@@ -4,19 +4,18 @@
 Splits and samples are keyed on a content hash of each row's natural key, so
 they are reproducible, identical in SQL engines that have ``md5``, and need
 no global sort: exact-size splits find the k-th smallest hash by distributed
-selection (``order_statistics``) and then filter.
+selection (``select_ranks``) and then filter.
 """
 
 from __future__ import annotations
 
-import logging
 import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderwell.operators.stats import (select_ranks, balanced_weights, class_means,
@@ -25,7 +24,6 @@ from cinderwell.operators.stats import (select_ranks, balanced_weights, class_me
 from cinderwell.session import checkpoint_dir, passes_over
 from cinderwell.sources.schema import MODEL_FEATURES, q
 
-LOG = logging.getLogger("cinderwell")
 SEED = 42
 # Forest training: more tree nodes per pass over the data (fewer passes) and
 # cached node ids (no re-descent of every tree per row and level).
@@ -34,56 +32,57 @@ HASH_HEX_DIGITS = 13  # 52 bits: exact in a double, so selection on it is exact
 
 
 def row_key(cols) -> Column:
-    return F.concat_ws("|", *[q(c).cast("string") for c in cols])
+    """Text key of a row; a NULL part differs from every text."""
+    return F.concat_ws("|", *[F.coalesce(q(c).cast("string"), F.lit("\0")) for c in cols])
 
 
 def key_hash(key: Column, seed: int = SEED) -> Column:
-    """Deterministic 52-bit hash of a text key (md5 based)."""
+    """Deterministic 52-bit hash of a text key (md5 based). Keys may tie."""
     h = F.md5(F.concat(key, F.lit(f":{seed}")))
     return F.conv(F.substring(h, 1, HASH_HEX_DIGITS), 16, 10).cast("long")
 
 
+def _smallest(df: DataFrame, want, out: str) -> DataFrame:
+    """Flags exactly ``want(n)`` of each group's n rows, those with the smallest
+    hash. ``df`` has ``_g`` and ``_h``. The limit is found by distributed
+    selection. Only rows at a group's limit can tie; if they would overshoot,
+    these few are numbered in the order of their columns, the others are told
+    by a filter."""
+    with passes_over(df.select(F.col("_g"), F.col("_h").cast("double").alias("_v"))) as data:
+        limits, counts = select_ranks(data, lambda n: [want(n) - 1] if want(n) >= 1 else [])
+        cut = {g: int(limits[(g, want(n) - 1)]) for g, n in counts.items() if want(n) >= 1}
+        key = F.coalesce(F.col("_g").cast("string"), F.lit("\0"))
+        text = lambda g: "\0" if g is None else str(g).lower() if isinstance(g, bool) else str(g)
+        at = lambda m: F.create_map(*[x for g, k in m.items() for x in (F.lit(text(g)), F.lit(k))])[key] if m else F.lit(None).cast("long")
+        low = data.where(F.col("_v") <= at(cut)).groupBy("_g").agg(
+            F.count_if(F.col("_v") < at(cut)).alias("under"), F.count(F.lit(1)).alias("upto")).collect()
+    need = {r["_g"]: want(counts[r["_g"]]) - r["under"] for r in low if r["upto"] > want(counts[r["_g"]])}
+    flagged = df.withColumn(out, F.coalesce(F.col("_h") <= at(cut), F.lit(False)))
+    if not need:
+        return flagged
+    tied = F.coalesce((F.col("_h") == at(cut)) & at(need).isNotNull(), F.lit(False))
+    order = [F.col(f"`{c}`") for c in df.columns if c not in ("_g", "_h")]
+    place = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
+    return flagged.where(~tied).unionByName(
+        df.where(tied).withColumn(out, place <= at(need)).select(*flagged.columns))
+
+
 def hash_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = SEED,
                label_col: str | None = None, out="is_test") -> DataFrame:
     """M1/M2: exact-size split. Test rows are the ceil(test_size * n) rows
     with the smallest key hash — per class when ``label_col`` is given
-    (stratified)."""
+    (stratified). Rows may repeat their key."""
     g = F.col(label_col) if label_col else F.lit(None).cast("string")
     hh = df.withColumn("_h", key_hash(row_key(key_cols), seed)).withColumn("_g", g)
-    narrow = hh.select("_g", F.col("_h").cast("double").alias("_v"))
-    with passes_over(narrow) as data:
-        counts = {r["_g"]: r["n"] for r in data.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
-        want = {grp: math.ceil(test_size * n) for grp, n in counts.items()}
-        ranks = {grp: [k - 1] for grp, k in want.items() if k >= 1}
-        th = select_ranks(data, ranks, 1024, 20_000)
-    cut = F.create_map(*[x for grp, k in want.items() if k >= 1
-                         for x in (F.lit(str(grp) if label_col else "_"), F.lit(int(th[(grp, k - 1)])))])
-    lookup = cut[F.col("_g").cast("string")] if label_col else cut[F.lit("_")]
-    return hh.withColumn(out, F.coalesce(F.col("_h") <= lookup, F.lit(False))).drop("_h", "_g")
-
-
-def split_thresholds(df: DataFrame, masks: dict, test_size: float = 0.2,
-                     hash_col: str = "_h") -> dict:
-    """Exact-size split thresholds for several row subsets at once.
-
-    ``masks`` maps a name to a boolean Column selecting that subset; returns
-    {name: (rows, largest test hash)}. All subsets share one unpivoted
-    narrow frame and one set of selection passes."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("_g"), F.when(m, F.col(hash_col)).cast("double").alias("_v"))
-        for k, m in masks.items()])).alias("_x")).select("_x._g", "_x._v").where(F.col("_v").isNotNull())
-    with passes_over(long) as data:
-        counts = {r["_g"]: r["n"] for r in data.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
-        want = {g: math.ceil(test_size * n) for g, n in counts.items()}
-        th = select_ranks(data, {g: [k - 1] for g, k in want.items() if k >= 1}, 1024, 20_000)
-    return {g: (counts[g], int(th[(g, want[g] - 1)]) if want[g] >= 1 else None) for g in counts}
+    return _smallest(hh, lambda n: math.ceil(test_size * n), out).drop("_h", "_g")
 
 
 def capped_sample(df: DataFrame, key_cols, n: int, seed: int = SEED) -> DataFrame:
     """Exactly ``min(n, rows)`` rows chosen by key hash. The limit is the
-    feature; each task keeps at most ``n`` rows (TakeOrderedAndProject)."""
-    return (df.withColumn("_h", key_hash(row_key(key_cols), seed))
-              .orderBy("_h").limit(n).drop("_h"))
+    feature; it becomes a threshold on the hash, so nothing is sorted and no
+    task gathers the sample."""
+    hh = df.withColumn("_h", key_hash(row_key(key_cols), seed)).withColumn("_g", F.lit(None).cast("string"))
+    return _smallest(hh, lambda rows: min(n, rows), "_in").where("_in").drop("_h", "_g", "_in")
 
 
 def _training_ready(spark) -> None:
@@ -99,63 +98,53 @@ def _assemble(df: DataFrame, features, out="features") -> DataFrame:
 def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
                   key_cols=("StationCode", "SampleDate", "index_right"), num_trees: int = 20,
                   max_depth: int = 10, max_bins: int = 32, min_rows: int = 100,
-                  train_cap: int | None = None, seed: int = SEED, parallel: int = 8):
+                  seed: int = SEED, parallel: int = 8):
     """M3 + M4: one forest per analyte on complete cases.
 
-    Returns (results, importances): results Analyte, r2, top_feature, n
+    Returns (results, importances): results Analyte, r2, top_feature, n, status
     (n counted before the split); importances Analyte, feature, importance.
-    Analytes with fewer than ``min_rows`` complete rows are skipped.
+    An analyte with fewer than ``min_rows`` complete rows is not fitted; its row
+    says so. A fit that fails, fails the call.
     """
     spark = model_df.sparkSession
     _training_ready(spark)
     base = model_df.select(*[q(c) for c in key_cols],
                            *[q(c).cast("double").alias(c) for c in list(features) + list(analytes)]) \
-                   .withColumn("_h", key_hash(row_key(key_cols), seed))
+                   .withColumn("_h", key_hash(row_key(key_cols), seed)).withColumn("_g", F.lit(None).cast("string"))
 
     def complete(a):
         cond = F.lit(True)
         for c in list(features) + [a]:
             cond = cond & F.col(f"`{c}`").isNotNull()
         return cond
-    # one shared pass decides every analyte's exact-size test set
-    splits = split_thresholds(base, {a: complete(a) for a in analytes}, 0.2)
-
-    def one(a):
-        try:
-            return fit_one(a)
-        except Exception as e:  # M12: a failing analyte is skipped, the run continues
-            LOG.warning("forest for %s failed: %s", a, e)
-            return None
-
-    def fit_one(a):
-        n, cut = splits.get(a, (0, None))
-        if n < min_rows:
-            return None
+
+    def one(d, a, n):
+        # the fit and the evaluation each pass over the shared frame
         cols = list(features) + [a]
-        d = base.where(complete(a)).select(*[q(c) for c in key_cols], *[q(c) for c in cols], "_h") \
-                .withColumn("is_test", F.coalesce(F.col("_h") <= F.lit(cut), F.lit(False)))
-        with passes_over(d) as d:  # the fit and the evaluation each pass over it
-            train = d.where(~F.col("is_test"))
-            if train_cap:
-                train = capped_sample(train, key_cols, train_cap, seed)
+        d = d.where(complete(a)).select(*[q(c) for c in key_cols], *[q(c) for c in cols], "_h", "_g")
+        with passes_over(_smallest(d, lambda rows: math.ceil(0.2 * rows), "is_test")) as d:
             rf = RandomForestRegressor(featuresCol="features", labelCol=a, numTrees=num_trees,
                                        maxDepth=max_depth, maxBins=max_bins, seed=seed,
                                        featureSubsetStrategy="all", **TRAIN_OPTS)
-            model = rf.fit(_assemble(train, features))
+            model = rf.fit(_assemble(d.where(~F.col("is_test")), features))
             pred = model.transform(_assemble(d.where(F.col("is_test")), features))
             r2 = r2_score(pred, a, "prediction").first()["r2"]
         fi = model.featureImportances.toArray()
         top = list(features)[int(fi.argmax())]
-        return ((a, None if r2 is None else float(round(r2, 4)), top, int(n)),
+        return ((a, None if r2 is None else float(round(r2, 4)), top, int(n), "ok"),
                 [(a, f, float(v)) for f, v in zip(features, fi)])
 
     # independent fits run as concurrent Spark jobs (the scheduler shares the
     # executors between them); each job is itself distributed
-    with ThreadPoolExecutor(max_workers=max(1, min(len(analytes), parallel))) as pool:
-        outs = [o for o in pool.map(one, analytes) if o is not None]
-    res = [o[0] for o in outs]
-    imp = [x for o in outs for x in o[1]]
-    results = spark.createDataFrame(res, "Analyte string, r2 double, top_feature string, n long")
+    with passes_over(base) as shared:
+        sizes = shared.agg(*[F.count_if(complete(a)).alias(f"n{i}") for i, a in enumerate(analytes)]).first()
+        rows = {a: sizes[i] for i, a in enumerate(analytes)}
+        fitted = [a for a in analytes if rows[a] >= min_rows]
+        with ThreadPoolExecutor(max_workers=max(1, min(len(fitted), parallel))) as pool:
+            outs = dict(zip(fitted, pool.map(lambda a: one(shared, a, rows[a]), fitted)))
+    res = [outs[a][0] if a in outs else (a, None, None, int(rows[a]), f"fewer than {min_rows} complete rows") for a in analytes]
+    imp = [x for a in fitted for x in outs[a][1]]
+    results = spark.createDataFrame(res, "Analyte string, r2 double, top_feature string, n long, status string")
     importances = spark.createDataFrame(imp, "Analyte string, feature string, importance double")
     return results, importances
 

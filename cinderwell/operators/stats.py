@@ -18,39 +18,46 @@ from cinderwell.session import passes_over
 from cinderwell.sources.schema import q
 
 
-def order_statistics(df: DataFrame, value_col: str, ranks: dict, group_col: str | None = None,
-                     buckets: int = 1024, max_collect: int = 20_000) -> dict:
-    """Exact k-th smallest non-NULL values (0-based ranks).
-
-    ``ranks`` maps group value (or None without groups) to a list of ranks.
-    Returns {(group, rank): value}. Every pass is one aggregation over the
-    values still in contention; a bracket is gathered to the driver only once
-    it holds at most ``max_collect`` values.
-    """
-    g = F.col(group_col) if group_col else F.lit(None).cast("string")
-    narrow = df.select(g.alias("_g"), F.col(value_col).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
-    with passes_over(narrow) as data:
-        return select_ranks(data, ranks, buckets, max_collect)
+def _finite(c):
+    return c.isNotNull() & ~F.isnan(c) & (c > float("-inf")) & (c < float("inf"))
+
 
+def select_ranks(data: DataFrame, wanted, buckets: int = 1024, max_collect: int = 20_000) -> tuple[dict, dict]:
+    """Exact k-th smallest values (0-based ranks) of ``_v`` in each group ``_g``.
 
-def select_ranks(data: DataFrame, ranks: dict, buckets: int, max_collect: int) -> dict:
-    first = data.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
-                                   F.count(F.lit(1)).alias("n")).collect()
-    stats = {r["_g"]: (r["lo"], r["hi"], r["n"]) for r in first}
+    ``wanted`` maps a group's row count to its ranks. Returns ({(group, rank):
+    value}, {group: rows}). Infinities are end ranks and never enter a
+    bracket. Every pass is one aggregation of the values still in contention;
+    a bracket is gathered to the driver only once it holds at most
+    ``max_collect`` values, and each pass must shrink it.
+    """
+    v, inf = F.col("_v"), float("inf")
+    finite = F.when(_finite(v), v)
+    first = data.groupBy("_g").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count("_v").alias("n"),
+                                   F.count_if(v == -inf).alias("below"), F.count_if(v == inf).alias("above")).collect()
+    counts = {r["_g"]: r["n"] for r in first}
     # (group, rank) -> [lo, hi, values below lo, values in [lo, hi]]
-    state = {(grp, k): [stats[grp][0], stats[grp][1], 0, stats[grp][2]]
-             for grp, rks in ranks.items() if grp in stats for k in rks
-             if 0 <= k < stats[grp][2]}
-    result = {}
+    state, result = {}, {}
+    for r in first:
+        for k in wanted(r["n"]):
+            if k < r["below"]:
+                result[(r["_g"], k)] = -inf
+            elif k >= r["n"] - r["above"]:
+                result[(r["_g"], k)] = inf
+            else:
+                state[(r["_g"], k)] = [r["lo"], r["hi"], r["below"], r["n"] - r["below"] - r["above"]]
 
     def in_brackets(targets):
-        tgt = F.array(*[F.struct(F.lit(i).alias("tid"), F.lit(t[0]).alias("g"),
-                                 F.lit(float(s[0])).alias("lo"), F.lit(float(s[1])).alias("hi"))
-                        for i, (t, s) in enumerate(targets)])
-        return (data.select("_g", "_v", F.explode(tgt).alias("_t"))
-                    .where(F.col("_g").eqNullSafe(F.col("_t.g"))
-                           & (F.col("_v") >= F.col("_t.lo")) & (F.col("_v") <= F.col("_t.hi"))))
+        """Each row beside the targets of its own group whose bracket holds it."""
+        by_group: dict = {}
+        for i, (t, s) in enumerate(targets):
+            by_group.setdefault(t[0], []).append(F.struct(F.lit(i).alias("tid"), F.lit(float(s[0])).alias("lo"), F.lit(float(s[1])).alias("hi")))
+        if set(by_group) == {None}:
+            own = F.array(*by_group[None])
+        else:
+            own = F.create_map(*[x for g, ts in by_group.items() for x in (F.lit(str(g)), F.array(*ts))])[F.col("_g").cast("string")]
+        return (data.select("_v", F.explode(own).alias("_t"))
+                    .where((v >= F.col("_t.lo")) & (v <= F.col("_t.hi"))))
 
     while state:
         for t, s in list(state.items()):
@@ -65,13 +72,14 @@ def select_ranks(data: DataFrame, ranks: dict, buckets: int, max_collect: int) -
             for i, (t, s) in enumerate(small):
                 result[t] = sorted(got[i])[t[1] - s[2]]
                 del state[t]
-        large = [(t, s) for t, s in state.items()]
+        large = list(state.items())
         if not large:
             break
         x = in_brackets(large)
-        width = F.col("_t.hi") - F.col("_t.lo")
-        b = F.least(F.floor((F.col("_v") - F.col("_t.lo")) / width * F.lit(float(buckets))),
-                    F.lit(buckets - 1)).cast("int")
+        lo, hi = F.col("_t.lo"), F.col("_t.hi")
+        # halves first: hi - lo may overflow
+        share = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+        b = F.least(F.floor(share * F.lit(float(buckets))), F.lit(buckets - 1)).cast("int")
         by_t: dict = {}
         for r in (x.groupBy(F.col("_t.tid").alias("tid"), b.alias("b"))
                    .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("mn"),
@@ -82,10 +90,12 @@ def select_ranks(data: DataFrame, ranks: dict, buckets: int, max_collect: int) -
             for _, n, mn, mx in sorted(by_t.get(i, [])):
                 if below + n > t[1]:
                     # values in [mn, mx] are exactly this bin's values (bins are monotone)
+                    if mn != mx and n == s[3]:
+                        raise RuntimeError("a pass of the exact selection did not shrink its bracket")
                     state[t] = [mn, mx, below, n]
                     break
                 below += n
-    return result
+    return result, counts
 
 
 def exact_quantile(df: DataFrame, value_col: str, p: float = 0.5, group_col: str | None = None,
@@ -95,16 +105,17 @@ def exact_quantile(df: DataFrame, value_col: str, p: float = 0.5, group_col: str
     g = F.col(group_col) if group_col else F.lit(None).cast("string")
     narrow = df.select(g.alias("_g"), F.col(value_col).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
+
+    def around(n):
+        return sorted({math.floor((n - 1) * p), math.ceil((n - 1) * p)}) if n else []
     with passes_over(narrow) as data:
-        counts = {r["_g"]: r["n"] for r in data.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
-        ranks = {grp: sorted({math.floor((n - 1) * p), math.ceil((n - 1) * p)})
-                 for grp, n in counts.items()}
-        got = select_ranks(data, ranks, buckets, max_collect)
+        got, counts = select_ranks(data, around, buckets, max_collect)
     out = {}
     for grp, n in counts.items():
-        h = (n - 1) * p
-        lo, hi = got[(grp, math.floor(h))], got[(grp, math.ceil(h))]
-        out[grp] = lo + (hi - lo) * (h - math.floor(h))
+        if n:
+            h = (n - 1) * p
+            lo, hi = got[(grp, math.floor(h))], got[(grp, math.ceil(h))]
+            out[grp] = lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))
     return out
 
 
@@ -182,10 +193,20 @@ def report_rows(cells: dict):
 
 
 def class_report(cm: DataFrame) -> DataFrame:
-    """Per-class precision, recall, F1, support from a confusion grid;
-    zero division gives 0."""
+    """Per-class precision, recall, F1 and support from a confusion grid,
+    then the accuracy, macro-average and weighted-average rows; zero division
+    gives 0."""
+    cells = _grid(cm)
+    rows = report_rows(cells)
+    total = sum(r[4] for r in rows)
+    correct = sum(n for (a, p), n in cells.items() if a == p)
+    mean = lambda i: sum(r[i] for r in rows) / len(rows) if rows else 0.0
+    w = lambda i: sum(r[i] * r[4] for r in rows) / total if total else 0.0
+    out = [(str(r[0]), *r[1:]) for r in rows]
+    out += [("accuracy", None, None, correct / total if total else 0.0, total),
+            ("macro avg", mean(1), mean(2), mean(3), total), ("weighted avg", w(1), w(2), w(3), total)]
     return cm.sparkSession.createDataFrame(
-        report_rows(_grid(cm)), "cls int, precision double, recall double, f1 double, support long")
+        out, "cls string, precision double, recall double, f1 double, support long")
 
 
 def weighted_metrics(cm: DataFrame) -> DataFrame:
@@ -201,11 +222,12 @@ def weighted_metrics(cm: DataFrame) -> DataFrame:
 
 
 def r2_score(df: DataFrame, label_col="label", pred_col="prediction") -> DataFrame:
-    """1 - SSE/SST in one pass (SST from the sum and sum of squares)."""
+    """1 - SSE/SST in one pass; SST from the running variance, which
+    keeps its digits however far the values are from zero."""
     y, p = F.col(label_col), F.col(pred_col)
-    s = df.agg(F.count(y).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"),
+    s = df.agg(F.count(y).alias("n"), F.var_pop(y).alias("var"),
                F.sum((y - p) * (y - p)).alias("sse"))
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    sst = F.col("n") * F.col("var")
     return s.select(F.when(sst > 0, 1 - F.col("sse") / sst).alias("r2"), "n")
 
 

@@ -391,8 +391,12 @@ UNION ALL SELECT 'post_fire_rows', CAST(count(*) AS BIGINT) FROM model WHERE pos
   row_number() OVER (PARTITION BY post_fire ORDER BY {_hash()}) <= ceil(0.2 * count(*) OVER (PARTITION BY post_fire))
   AS is_test FROM clf"""),
     "capped_sample": with_(model_ctes(), f"SELECT {KEYS_SQL}, days_since_fire FROM model ORDER BY {_hash()} LIMIT 5000"),
-    "confusion_report": with_(_class_report(RULE_PRED), f"""SELECT cls, {_r('precision')}, {_r('recall')},
-  {_r('f1')}, support FROM rep2"""),
+    "confusion_report": with_(_class_report(RULE_PRED), f"""SELECT CAST(cls AS VARCHAR) AS cls, {_r('precision')}, {_r('recall')},
+  {_r('f1')}, support FROM rep2
+UNION ALL SELECT 'accuracy', NULL, NULL, {rnd('(SELECT CAST(sum(n) AS DOUBLE) FROM cm WHERE actual = predicted) / (SELECT sum(n) FROM cm)')}, (SELECT CAST(sum(n) AS BIGINT) FROM cm)
+UNION ALL SELECT 'macro avg', {rnd('avg(precision)')}, {rnd('avg(recall)')}, {rnd('avg(f1)')}, CAST(sum(support) AS BIGINT) FROM rep2
+UNION ALL SELECT 'weighted avg', {rnd('sum(precision * support) / sum(support)')}, {rnd('sum(recall * support) / sum(support)')},
+  {rnd('sum(f1 * support) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM rep2"""),
     "weighted_metrics": with_(_class_report(RULE_PRED), f"""SELECT
   {rnd('(SELECT CAST(sum(n) AS DOUBLE) FROM cm WHERE actual = predicted) / (SELECT sum(n) FROM cm)')} AS accuracy,
   {rnd('sum(precision * support) / sum(support)')} AS precision,

@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from cinderwell.operators import gam, ml
@@ -76,8 +78,8 @@ def test_mixed_effects_matches_dense_reml(spark):
     assert got["n_readings"] == len(rows) and got["n_stations"] == 12
 
 
-def test_failing_analyte_is_skipped(spark, monkeypatch):
-    """One analyte failing does not stop the others."""
+def test_failing_forest_raises(spark, monkeypatch):
+    """A lost executor or a bug must not look like a table with an analyte less."""
     df = _frame(spark, 300).withColumn("SampleDate", F.lit("2020-01-01").cast("date")) \
                            .withColumn("index_right", F.lit(1)).withColumn("z", F.col("y") * 2)
     real = ml.r2_score
@@ -87,18 +89,15 @@ def test_failing_analyte_is_skipped(spark, monkeypatch):
             raise RuntimeError("boom")
         return real(d, label, *a, **k)
     monkeypatch.setattr(ml, "r2_score", flaky)
-    res, _ = ml.rf_regression(df, ["y", "z"], num_trees=3, max_depth=3)
-    assert [r["Analyte"] for r in res.collect()] == ["y"]
-
-
-def test_shared_split_thresholds_equal_single_splits(spark):
-    rows = [(f"k{i}", float(i % 7) if i % 3 else None, float(i)) for i in range(700)]
-    df = spark.createDataFrame(rows, "k string, a double, b double")
-    h = df.withColumn("_h", ml.key_hash(ml.row_key(["k"])))
-    th = ml.split_thresholds(h, {"a": F.col("a").isNotNull(), "b": F.col("b").isNotNull()}, 0.2)
-    for name in ("a", "b"):
-        one = ml.hash_split(df.where(F.col(name).isNotNull()), ["k"], 0.2)
-        n, cut = th[name]
-        assert n == one.count()
-        got = {r["k"] for r in h.where(F.col(name).isNotNull() & (F.col("_h") <= cut)).collect()}
-        assert got == {r["k"] for r in one.where("is_test").collect()}
+    with pytest.raises(RuntimeError):
+        ml.rf_regression(df, ["y", "z"], num_trees=3, max_depth=3)
+
+
+def test_small_analyte_is_listed_with_its_status(spark):
+    df = _frame(spark, 300).withColumn("SampleDate", F.lit("2020-01-01").cast("date")).withColumn("index_right", F.lit(1)) \
+        .withColumn("z", F.when(F.substring("StationCode", 2, 9).cast("int") < 99, F.col("y")))
+    res, imp = ml.rf_regression(df, ["y", "z"], num_trees=3, max_depth=3)
+    got = {r["Analyte"]: r for r in res.collect()}
+    assert got["y"]["status"] == "ok" and got["y"]["n"] == 300
+    assert got["z"]["n"] == 99 and got["z"]["r2"] is None and got["z"]["status"] == "fewer than 100 complete rows"
+    assert {r["Analyte"] for r in imp.collect()} == {"y"}

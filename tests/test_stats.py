@@ -65,3 +65,42 @@ def test_rounding_half_even(spark):
     from cinderwell.functions.labels import round_half_even
     df = spark.createDataFrame([(0.00025,)], "v double")
     assert df.select(round_half_even("v", 4).alias("r")).first()["r"] == 0.0002
+
+
+def test_exact_size_with_repeated_and_null_keys(spark):
+    rows = [(f"k{i // 7}" if i % 5 else None, i) for i in range(98)]
+    df = spark.createDataFrame(rows, "k string, i int")
+    split = ml.hash_split(df, ["k"], 0.2).collect()
+    assert len(split) == 98 and sum(r["is_test"] for r in split) == 20
+    again = ml.hash_split(df.repartition(5), ["k"], 0.2).collect()
+    assert sorted(map(str, again)) == sorted(map(str, split))
+    for n in (1, 20, 97, 500):
+        sample = ml.capped_sample(df, ["k"], n)
+        assert sample.count() == min(n, 98) and sample.distinct().count() == min(n, 98)
+
+
+def test_null_key_part_differs_from_missing_part(spark):
+    df = spark.createDataFrame([("a", None, "b"), (None, "a", "b"), ("a", "b", None)], "x string, y string, z string")
+    assert df.select(ml.row_key(["x", "y", "z"]).alias("k")).distinct().count() == 3
+
+
+def test_quantile_with_infinities_and_wide_ranges(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, inf)], "v double")
+    assert stats.exact_quantile(df, "v", buckets=4, max_collect=1)[None] == 3.0
+    df = spark.createDataFrame([(v,) for v in (-inf, -inf, -1.7e308, 0.5, 1.7e308, inf)], "v double")
+    for p, want in ((0.0, -inf), (0.2, -inf), (0.4, -1.7e308), (0.6, 0.5), (0.8, 1.7e308), (1.0, inf)):
+        assert stats.exact_quantile(df, "v", p, buckets=3, max_collect=1)[None] == want
+
+
+def test_r2_far_from_zero(spark):
+    df = spark.createDataFrame([(1e9 + i, 1e9 + i + (0.9 if i % 2 else -0.9)) for i in range(10)], "label double, prediction double")
+    assert abs(stats.r2_score(df).first()["r2"] - (1 - 8.1 / 82.5)) < 1e-6
+
+
+def test_class_report_has_the_average_rows(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1)], "label int, prediction int")
+    got = {r["cls"]: r for r in stats.class_report(stats.confusion(df)).collect()}
+    assert got["accuracy"]["f1"] == 0.75 and got["accuracy"]["support"] == 4
+    assert abs(got["macro avg"]["precision"] - (1 + 2 / 3) / 2) < 1e-12
+    assert abs(got["weighted avg"]["recall"] - 0.75) < 1e-12
