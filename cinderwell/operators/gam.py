@@ -2,41 +2,39 @@
 
 Fit in one pass over the data, for all targets at once:
 
-* per Arrow batch (``mapInPandas``) build the sparse B-spline design of the
-  rows that are complete for a target and emit the partial sufficient
-  statistics [X y]^T [X y] (upper triangle) as a vector;
-* ``Summarizer.sum`` adds the partial vectors per target (tree aggregation);
+* per Arrow batch (``mapInPandas``) build the B-spline design of the rows that
+  are complete for a target and add up the partial sufficient statistics
+  [X y]^T [X y] (upper triangle), y centred on the target's mean;
+* the partial vectors of all tasks are summed per target in two levels, first
+  by a salt, so that no task receives a vector from every other;
 * the driver solves the (1 + 20 * 6)-sized penalised system — the only thing
   that reaches it is a 122 x 122 matrix per target.
 
-Scoring (the pre/post classifier) and the 200-point effect curve are Column
-expressions over the fitted coefficients, evaluated by Spark.
+Scoring (the pre/post classifier) goes over Arrow batches through the same
+basis kernel; the 200-point effect curve is computed from the fit.
 """
 
 from __future__ import annotations
 
-import logging
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql import types as T
-
 from cinderwell.functions.splines import basis_np, second_difference_penalty
 from cinderwell.operators.stats import exact_quantile, report_rows
 from cinderwell.session import passes_over
 from cinderwell.sources.schema import MODEL_FEATURES, q
 
-LOG = logging.getLogger("cinderwell")
 N_BASIS = 20          # basis functions per term
 LAM = 0.6             # second-difference penalty weight per term
 RIDGE = 1e-6          # tiny ridge: intercept + full bases are rank deficient
 GRID = 200            # effect-curve points
+SALTS = 64            # first-level groups when partial sums of all tasks meet
 Z975 = 1.959963984540054  # fixed value: standard normal 97.5% quantile
 
 
@@ -48,7 +46,7 @@ def _design(pdf: pd.DataFrame, features, ranges) -> np.ndarray:
     return np.hstack(blocks)
 
 
-def _gram_fn(features, targets, ranges_by_target, label_col):
+def _gram_fn(features, targets, ranges_by_target, centres, label_col):
     p = 1 + N_BASIS * len(features)
     iu = np.triu_indices(p + 1)
 
@@ -62,7 +60,7 @@ def _gram_fn(features, targets, ranges_by_target, label_col):
                 if sub.empty:
                     continue
                 x = _design(sub, features, ranges_by_target[t])
-                xy = np.hstack([x, sub[[f"_y{ti}"]].to_numpy(dtype=float)])
+                xy = np.hstack([x, sub[[f"_y{ti}"]].to_numpy(dtype=float) - centres[t]])
                 acc[t] += (xy.T @ xy)[iu]
                 seen[t] += len(sub)
         rows = [(t, acc[t].tolist()) for t in targets if seen[t]]
@@ -74,53 +72,66 @@ def basis_ranges(model_df: DataFrame, targets, features=MODEL_FEATURES,
                  label_col="post_fire") -> DataFrame:
     """M5/M6 preprocessing: per target, the rows complete for it and the
     range of every feature over them (the knots of its spline basis), in
-    one aggregation. Long form: target, feature, n, lo, hi."""
+    one aggregation. Long form: target, feature, n, lo, hi, mean (of the
+    target)."""
     aggs, cells = [], []
     for ti, t in enumerate(targets):
         ok = F.lit(True)
         for c in list(features) + [t, label_col]:
             ok = ok & q(c).isNotNull()
-        aggs.append(F.count_if(ok).alias(f"n{ti}"))
+        aggs += [F.count_if(ok).alias(f"n{ti}"), F.avg(F.when(ok, q(t).cast("double"))).alias(f"mean{ti}")]
         for fi, f in enumerate(features):
             aggs += [F.min(F.when(ok, q(f).cast("double"))).alias(f"lo{ti}_{fi}"),
                      F.max(F.when(ok, q(f).cast("double"))).alias(f"hi{ti}_{fi}")]
             cells.append(F.struct(F.lit(t).alias("target"), F.lit(f).alias("feature"),
                                   F.col(f"n{ti}").alias("n"), F.col(f"lo{ti}_{fi}").alias("lo"),
-                                  F.col(f"hi{ti}_{fi}").alias("hi")))
+                                  F.col(f"hi{ti}_{fi}").alias("hi"), F.col(f"mean{ti}").alias("mean")))
     return model_df.agg(*aggs).select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
 
 
+def gram_sums(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col="post_fire",
+              min_rows: int = 100) -> tuple[DataFrame, dict]:
+    """(target, s) with the summed upper triangle of [X y]^T [X y] of each
+    target that has ``min_rows`` complete rows, and {target: (n, mean, ranges)}
+    of all targets."""
+    features, targets = list(features), list(targets)
+    facts: dict = {}
+    for r in basis_ranges(model_df, targets, features, label_col).collect():
+        facts.setdefault(r["target"], (r["n"], r["mean"], {}))[2][r["feature"]] = (r["lo"], r["hi"])
+    keep = [t for t in targets if facts[t][0] >= max(min_rows, 1)]
+    d = model_df.select(*[q(c).cast("double").alias(c) for c in features],
+                        *[q(t).cast("double").alias(f"_y{i}") for i, t in enumerate(keep)],
+                        q(label_col).cast("double").alias(label_col))
+    fn = _gram_fn(features, keep, {t: facts[t][2] for t in keep}, {t: facts[t][1] for t in keep}, label_col)
+    parts = d.mapInPandas(fn, "target string, stats array<double>") \
+        .select("target", array_to_vector("stats").alias("v"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    partial = parts.groupBy("target", "salt").agg(Summarizer.sum(F.col("v")).alias("v"))
+    return partial.groupBy("target").agg(Summarizer.sum(F.col("v")).alias("s")), facts
+
+
+def gram_cells(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col="post_fire",
+               min_rows: int = 100) -> DataFrame:
+    """The summed statistics in long form: target, i, j, value for i <= j; index
+    0 is the intercept, the last index the centred target."""
+    sums, _ = gram_sums(model_df, targets, features, label_col, min_rows)
+    p = 1 + N_BASIS * len(list(features))
+    i, j = (F.array(*[F.lit(int(x)) for x in side]) for side in np.triu_indices(p + 1))
+    cells = sums.select("target", F.posexplode(vector_to_array("s")).alias("k", "value"))
+    return cells.select("target", F.get(i, F.col("k")).alias("i"), F.get(j, F.col("k")).alias("j"), "value")
+
+
 def fit_gam(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col="post_fire",
             min_rows: int = 100, lam: float = LAM) -> dict:
     """Fit one additive model per target; returns {target: fit dict}.
 
-    Each fit holds coefficients, covariance, feature ranges, n, edof,
-    scale, the log-likelihood ratio (``mcfadden``, the ratio of model to
-    null log-likelihood at the model scale) and explained deviance.
+    Each fit holds ``status`` and n; if the status is "ok" also coefficients,
+    covariance, feature ranges, edof, scale, the log-likelihood ratio
+    (``mcfadden``, the ratio of model to null log-likelihood at the model
+    scale) and explained deviance. A target with too few rows, or whose system
+    cannot be solved (M12), says so in its status; other errors are raised.
     """
     features = list(features)
-    cols = features + list(targets) + [label_col]
-    d = model_df.select(*[q(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
-    name = {f"_c{i}": c for i, c in enumerate(cols)}
-    fcols = [f"_c{i}" for i in range(len(features))]
-    tcols = [f"_c{len(features) + i}" for i in range(len(targets))]
-    lcol = f"_c{len(cols) - 1}"
-    # per-target ranges and counts over that target's complete rows: one aggregate
-    keep, ranges, counts = [], {}, {}
-    for r in basis_ranges(model_df, list(targets), features, label_col).collect():
-        counts[r["target"]] = r["n"]
-        ranges.setdefault(r["target"], {})[r["feature"]] = (r["lo"], r["hi"])
-    keep = [t for t in targets if counts.get(t, 0) >= min_rows]
-    if not keep:
-        return {}
-    renamed = d.select(*[F.col(c).alias(name[c]) for c in fcols],
-                       *[F.col(tcols[targets.index(t)]).alias(f"_y{ki}") for ki, t in enumerate(keep)],
-                       F.col(lcol).alias(label_col))
-    grams = (renamed.mapInPandas(_gram_fn(features, keep, ranges, label_col),
-                                 "target string, stats array<double>")
-                    .withColumn("v", array_to_vector("stats"))
-                    .groupBy("target").agg(Summarizer.sum(F.col("v")).alias("s"))
-                    .collect())
+    sums, facts = gram_sums(model_df, targets, features, label_col, min_rows)
     p = 1 + N_BASIS * len(features)
     iu = np.triu_indices(p + 1)
     pen = np.zeros((p, p))
@@ -129,16 +140,17 @@ def fit_gam(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col="po
         s = 1 + k * N_BASIS
         pen[s:s + N_BASIS, s:s + N_BASIS] = lam * block
     pen += RIDGE * np.eye(p)
-    fits = {}
-    for r in grams:
+    fits = {t: {"status": f"fewer than {min_rows} complete rows", "n": int(facts[t][0])} for t in targets}
+    for r in sums.collect():
+        n, mean, ranges = facts[r["target"]]
         try:
-            fits[r["target"]] = _solve(r, p, iu, pen, ranges[r["target"]], features)
-        except Exception as e:  # M12
-            LOG.warning("additive model for %s failed: %s", r["target"], e)
+            fits[r["target"]] = _solve(r, p, iu, pen, ranges, features, mean)
+        except (np.linalg.LinAlgError, ArithmeticError, ValueError) as e:
+            fits[r["target"]] = {"status": f"not solved: {e}", "n": int(n)}
     return fits
 
 
-def _solve(r, p, iu, pen, ranges, features) -> dict:
+def _solve(r, p, iu, pen, ranges, features, mean) -> dict:
     """Penalised least squares from one target's summed statistics."""
     m = np.zeros((p + 1, p + 1))
     m[iu] = r["s"].toArray()
@@ -146,7 +158,7 @@ def _solve(r, p, iu, pen, ranges, features) -> dict:
     # Summarizer.sum is mean x weight: the count cell is rounded back
     xtx, xty, yty, n = m[:p, :p], m[:p, p], m[p, p], float(round(m[0, 0]))
     a_inv = np.linalg.pinv(xtx + pen)
-    beta = a_inv @ xty
+    beta = a_inv @ xty  # for the centred target
     rss = max(yty - 2 * beta @ xty + beta @ xtx @ beta, 0.0)
     ybar = xty[0] / n
     rss0 = max(yty - n * ybar * ybar, 0.0)
@@ -157,7 +169,11 @@ def _solve(r, p, iu, pen, ranges, features) -> dict:
         ll = -0.5 * n * math.log(2 * math.pi * scale) - rss / (2 * scale)
         ll0 = -0.5 * n * math.log(2 * math.pi * scale) - rss0 / (2 * scale)
         mcf = ll / ll0 if ll0 != 0 else None
-    return dict(beta=beta, cov=scale * a_inv, ranges=ranges, n=int(n), edof=edof, scale=scale,
+    # the basis is rank deficient: the inverse alone explodes in the directions
+    # that only the ridge holds, which X'X has not
+    cov = scale * a_inv @ xtx @ a_inv
+    beta[0] += mean
+    return dict(status="ok", beta=beta, cov=cov, ranges=ranges, n=int(n), edof=edof, scale=scale,
                 mcfadden=mcf, explained_deviance=(1 - rss / rss0) if rss0 > 0 else None,
                 features=features)
 
@@ -167,34 +183,6 @@ def _term(fit, k):
     return fit["beta"][s:s + N_BASIS], fit["cov"][s:s + N_BASIS, s:s + N_BASIS]
 
 
-def add_prediction(df: DataFrame, fit, out: str = "prediction") -> DataFrame:
-    """Fitted value of every row. Arrow batches through the same basis
-    kernel as the fit (``mapInPandas``), so scoring and fitting agree."""
-    features, ranges, beta = fit["features"], fit["ranges"], fit["beta"]
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-
-    def fn(batches):
-        for pdf in batches:
-            x = _design(pdf, features, ranges)
-            yield pdf.assign(**{out: x @ beta})
-    return df.mapInPandas(fn, schema)
-
-
-def effect_curve(spark, fit, term: int = 0, n: int = GRID) -> DataFrame:
-    """M8 + M9: the term's partial effect on ``n`` evenly spaced values over
-    its range, with a 95% band (model-sized: ``n`` rows from the fit)."""
-    f = fit["features"][term]
-    lo, hi = fit["ranges"][f]
-    coef, cov = _term(fit, term)
-    x = np.linspace(lo, hi, n)
-    b = basis_np(x, lo, hi, N_BASIS)
-    eff = b @ coef
-    se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", b, cov, b), 0.0))
-    pdf = pd.DataFrame({"i": np.arange(n, dtype=np.int32), "x": x, "effect": eff,
-                        "lower": eff - Z975 * se, "upper": eff + Z975 * se})
-    return spark.createDataFrame(pdf, "i int, x double, effect double, lower double, upper double")
-
-
 def score_all(model_df: DataFrame, fits: dict, label_col="post_fire") -> DataFrame:
     """Fitted values of every target on its own complete rows, in ONE pass:
     (target, prediction, label) rows from a single ``mapInPandas``."""
@@ -222,7 +210,9 @@ def score_all(model_df: DataFrame, fits: dict, label_col="post_fire") -> DataFra
     return d.mapInPandas(fn, "target string, prediction double, label int")
 
 
-def _curve_pdf(fit, term: int = 0, n: int = GRID) -> pd.DataFrame:
+def effect_curve(fit, term: int = 0, n: int = GRID) -> pd.DataFrame:
+    """M8 + M9: the term's partial effect on ``n`` evenly spaced values over its
+    range, with a 95% band (model-sized: ``n`` rows from the fit)."""
     f = fit["features"][term]
     lo, hi = fit["ranges"][f]
     coef, cov = _term(fit, term)
@@ -234,6 +224,10 @@ def _curve_pdf(fit, term: int = 0, n: int = GRID) -> pd.DataFrame:
                          "lower": eff - Z975 * se, "upper": eff + Z975 * se})
 
 
+RESULT_SCHEMA = ("Analyte string, r2 double, explained_deviance double, post_fire_change double, Direction string, "
+                 "Accuracy double, Precision double, Recall double, F1 double, n long, status string")
+
+
 def gam_results(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col="post_fire",
                 labels: dict | None = None, min_rows: int = 100):
     """Per target the fit quality, post-event change of the first
@@ -243,13 +237,17 @@ def gam_results(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col
 
     Returns (results, curves, fits). Scoring, medians and confusion grids
     for all targets share one scoring pass and one set of selection passes.
+    Published values are rounded to 4 digits (P21). A target without a fit has a
+    row with its status and n.
     """
     spark = model_df.sparkSession
     labels = labels or {t: t for t in targets}
-    fits = fit_gam(model_df, list(targets), features, label_col, min_rows)
+    every = fit_gam(model_df, list(targets), features, label_col, min_rows)
+    fits = {t: f for t, f in every.items() if f["status"] == "ok"}
+    curve_schema = "i int, x double, effect double, lower double, upper double, Analyte string"
+    none = [(labels[t], *[None] * 8, f["n"], f["status"]) for t, f in every.items() if t not in fits]
     if not fits:
-        empty = spark.createDataFrame([], "Analyte string")
-        return empty, empty, fits
+        return spark.createDataFrame(none, RESULT_SCHEMA), spark.createDataFrame([], curve_schema), every
     with passes_over(score_all(model_df, fits, label_col)) as scored:
         meds = exact_quantile(scored, "prediction", 0.5, group_col="target")
         cut = F.create_map(*[x for t, m in meds.items() for x in (F.lit(t), F.lit(float(m)))])
@@ -257,35 +255,20 @@ def gam_results(model_df: DataFrame, targets, features=MODEL_FEATURES, label_col
         grid = {}
         for r in scored.groupBy("target", "label", cls.alias("cls")).agg(F.count(F.lit(1)).alias("n")).collect():
             grid.setdefault(r["target"], {})[(r["label"], r["cls"])] = r["n"]
-    rows, curves = [], []
-    for t in targets:
-        if t not in fits:
-            continue
-        fit = fits[t]
-        try:
-            cp = _curve_pdf(fit)
-        except Exception as e:  # M12: a failing analyte is skipped, the run continues
-            LOG.warning("effect curve for %s failed: %s", t, e)
-            continue
+    rows, curves = none, []
+    for t, fit in fits.items():
+        cp = effect_curve(fit)
         curves.append(cp.assign(Analyte=labels[t]))
         ch = float(cp.loc[cp.x > 0, "effect"].mean() - cp.loc[cp.x < 0, "effect"].mean()) \
             if (cp.x > 0).any() and (cp.x < 0).any() else None
-        cells = {k: v for k, v in grid.get(t, {}).items()}
-        for a in (0, 1):
-            for b in (0, 1):
-                cells.setdefault((a, b), 0)
+        cells = {(a, b): grid.get(t, {}).get((a, b), 0) for a in (0, 1) for b in (0, 1)}
         rep = report_rows(cells)
         total = sum(cells.values())
         correct = sum(v for (a, b), v in cells.items() if a == b)
         w = lambda i: sum(r[i] * r[4] for r in rep) / total if total else 0.0
-        f = lambda v: None if v is None or v != v else float(v)
+        f = lambda v: None if v is None or v != v else round(float(v), 4)
         rows.append((labels[t], f(fit["mcfadden"]), f(fit["explained_deviance"]), f(ch),
                      "↑ increases" if (ch is not None and ch > 0) else "↓ decreases",
-                     f(correct / total if total else 0.0), f(w(1)), f(w(2)), f(w(3)), int(fit["n"])))
-    schema = ("Analyte string, r2 double, explained_deviance double, post_fire_change double, "
-              "Direction string, Accuracy double, Precision double, Recall double, F1 double, n long")
-    res = spark.createDataFrame(rows, schema).orderBy(F.desc("post_fire_change"))
-    curves_df = spark.createDataFrame(pd.concat(curves, ignore_index=True),
-                                      "i int, x double, effect double, lower double, upper double, "
-                                      "Analyte string")
-    return res, curves_df, fits
+                     f(correct / total if total else 0.0), f(w(1)), f(w(2)), f(w(3)), int(fit["n"]), "ok"))
+    res = spark.createDataFrame(rows, RESULT_SCHEMA).orderBy(F.desc_nulls_last("post_fire_change"), "Analyte")
+    return res, spark.createDataFrame(pd.concat(curves, ignore_index=True), curve_schema), every

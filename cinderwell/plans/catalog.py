@@ -422,6 +422,12 @@ def q_gam_basis_ranges(spark, d):
     return normalise(gam_ops.basis_ranges(_model(spark, d), A))
 
 
+def q_gam_gram(spark, d):
+    """The sums the additive models are solved from, cell by cell."""
+    cells = gam_ops.gram_cells(_model_frozen(spark, d), A, min_rows=1)
+    return cells.select("target", "i", "j", F.round("value", 4).alias("value")).where("abs(value) > 0.0001")
+
+
 def _gam(spark, d, model=None):
     model = model if model is not None else _model_frozen(spark, d)
     return gam_ops.gam_results(model, A, labels={a: a for a in A})
@@ -469,6 +475,7 @@ QUERIES.update({
     "impact_by_change": q_impact_by_change,
     "rf_class_report": q_rf_class_report,
     "gam_basis_ranges": q_gam_basis_ranges,
+    "gam_gram": q_gam_gram,
     "gam_results": q_gam_results,
     "gam_curve": q_gam_curve,
     "model_summary": q_model_summary,

@@ -30,11 +30,50 @@ def test_gam_recovers_signal(spark):
     f = fits["y"]
     assert f["n"] == df.count()
     assert f["explained_deviance"] > 0.95
-    curve = gam.effect_curve(spark, f).toPandas()
+    curve = gam.effect_curve(f)
     slope = (curve.effect.iloc[-1] - curve.effect.iloc[0]) / (curve.x.iloc[-1] - curve.x.iloc[0])
     assert abs(slope - 0.002) < 0.0003
-    scored = gam.add_prediction(df, f, "p").select(F.max(F.abs(F.col("p") - F.col("y"))).alias("e")).first()
-    assert scored["e"] < 0.5
+    pdf = df.toPandas()
+    fitted = gam._design(pdf, f["features"], f["ranges"]) @ f["beta"]
+    assert abs(fitted - pdf.y).max() < 0.5
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e9])
+def test_gam_band_matches_a_dense_fit(spark, offset):
+    """Coefficients and the band against the plain normal equations, also for a
+    target far from zero."""
+    import numpy as np
+    df = _frame(spark, 150).withColumn("y", F.col("y") + offset)
+    f = gam.fit_gam(df, ["y"])["y"]
+    pdf = df.toPandas()
+    x = gam._design(pdf, f["features"], f["ranges"])
+    p = x.shape[1]
+    pen = gam.RIDGE * np.eye(p)
+    for k in range(len(f["features"])):
+        a = 1 + 20 * k
+        d = np.diff(np.eye(20), 2, axis=0)
+        pen[a:a + 20, a:a + 20] += gam.LAM * d.T @ d
+    inv = np.linalg.inv(x.T @ x + pen)
+    y = pdf.y - pdf.y.mean()
+    beta = inv @ x.T @ y
+    res = y - x @ beta
+    edof = np.trace(inv @ x.T @ x)
+    sigma2 = res @ res / (len(y) - edof)
+    cov = sigma2 * inv @ x.T @ x @ inv
+    curve = gam.effect_curve(f)
+    from cinderwell.functions.splines import basis_np
+    b = basis_np(curve.x.to_numpy(), *f["ranges"][f["features"][0]], 20)
+    se = np.sqrt(np.einsum("ij,jk,ik->i", b, cov[1:21, 1:21], b))
+    width = (curve.upper - curve.lower) / (2 * gam.Z975)
+    assert np.allclose(width, se, rtol=1e-3, atol=1e-5 if not offset else 1e-4)
+
+
+def test_gam_lists_analytes_without_a_fit(spark):
+    df = _frame(spark, 200).withColumn("z", F.when(F.substring("StationCode", 2, 9).cast("int") < 50, F.col("y"))).withColumn("none", F.lit(None).cast("double"))
+    res, curves, _ = gam.gam_results(df, ["y", "z", "none"])
+    got = {r["Analyte"]: (r["n"], r["status"], r["r2"] is None) for r in res.collect()}
+    assert got == {"y": (200, "ok", False), "z": (50, "fewer than 100 complete rows", True), "none": (0, "fewer than 100 complete rows", True)}
+    assert {r["Analyte"] for r in curves.select("Analyte").distinct().collect()} == {"y"}
 
 
 def test_rf_importances_sum_to_one(spark):
