@@ -416,6 +416,20 @@ def ids_column(text: Column, path: str) -> Column:
     return encode(or_empty(text))
 
 
+def both_columns(text: Column, path: str) -> Column:
+    """struct(ids, decoded): encoded and decoded again in one pass."""
+    @F.arrow_udf("ids array<int>, decoded string")
+    def encode(texts: pa.Array) -> pa.Array:
+        matcher, decoder = load(path)
+        rows = matcher.encode(texts.to_pylist())
+        ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+        decoded = pa.array((decoder.decode(np.frombuffer(r, np.int32).tolist()) for r in rows), pa.string())
+        return pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+
+    return encode(or_empty(text))
+
+
 def text_column(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
@@ -438,5 +452,6 @@ def decoded(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataF
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decoded(encoded(docs)).select("doc_id", "n_ids", "ids", "decoded")
+    docs = table(spark, sf_dir, "documents")
+    both = docs.select("doc_id", both_columns(F.col("text"), model_path()).alias("both"))
+    return both.select("doc_id", F.size("both.ids").alias("n_ids"), "both.ids", "both.decoded")
