@@ -2,10 +2,10 @@
 
 A shard holds the ids of a range of documents in order, cut into sequences of
 ``LENGTH``: an Arrow IPC file whose batches have ``input_ids``
-(fixed_size_list<uint32>) and ``mask`` (fixed_size_list<uint8>: 1 for an id, 0
-for the padding at the end of a shard). Batches have equal numbers of
-sequences, so the place of any token follows by division, and a memory-mapped
-batch is read without a copy. Beside it, a second Arrow file lists the
+(fixed_size_list<uint16>, or <uint32> for a vocabulary beyond 65,536) and
+``mask`` (fixed_size_list<bool>: true for an id, false for the padding at the
+end of a shard). Batches have equal numbers of sequences, so the place of any
+token follows by division, and a memory-mapped batch is read without a copy. Beside it, a second Arrow file lists the
 shard's documents: doc_id, offset in the shard, number of ids.
 
 Documents are range-partitioned by doc_id (null first, equal ids by text), one
@@ -14,17 +14,19 @@ token number. A shard is written under a name of its own attempt and renamed
 when it is whole, so a lost or repeated task leaves one whole shard.
 
 A null text counts as empty and has the end id alone. Texts are encoded whole:
-they are cut only where the tokenizer's own first split falls, and each
-distinct cut is encoded once by a worker. Repeated rows are written each. An
+they are cut only where the tokenizer's own first split falls, and a worker
+remembers the ids of cuts. Repeated rows are written each. An
 empty table gives no shards and an empty result.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ END_ID = 2
 LENGTH = 2048
 BATCH = 64
 DOC_BATCH = 4096
-MEMO = 1_000_000
+MEMO = 1_200_000
 
 #: where byte-level BPE's first split always falls: before a single space,
 #: between a letter and punctuation or a line end, after a single line end
@@ -54,29 +56,50 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str):
-    """Once for each worker process: list of texts -> bytes of uint32 ids."""
-    import os
+def _cut(text: str) -> list[str]:
+    """A text whose white space is all single spaces and line ends is cut at
+    each of these; others only where that is sure to be right."""
+    if text.replace("\n", " ").split(" ") == text.split():
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+    return CUT.sub("\0", text).split("\0")
+
+
+class Encoder(dict):
+    """Texts to ids with the tokenizers library: a dictionary of the cuts known
+    so far, which encodes a cut that it is asked for and does not know."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        # texts with these are encoded in one piece
+        self.whole = ["\0", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.type, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
 
-    tokenizer, known = Tokenizer.from_file(path), {}
-    # texts with these are encoded in one piece
-    whole = ["\0", *(t.content for t in tokenizer.get_added_tokens_decoder().values())]
+    def ids(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def encode(texts: list[str]) -> list[bytes]:
-        cuts = [[t] if any(x in t for x in whole) else CUT.sub("\0", t).split("\0") for t in texts]
-        if len(known) > MEMO:
-            known.clear()
-        new = list(dict.fromkeys(c for cs in cuts for c in cs if c not in known))
-        for a in range(0, len(new), 10_000):
-            part = new[a:a + 10_000]
-            known.update(zip(part, [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
-        return [b"".join([known[c] for c in cs]) for cs in cuts]
+    def __missing__(self, cut: str) -> bytes:
+        # a new word may end in punctuation: its parts are likely known
+        parts = CUT.sub("\0", cut).split("\0")
+        ids = self[cut] = b"".join([self[p] for p in parts]) if len(parts) > 1 else self.ids(cut)
+        return ids
 
-    return encode
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as bytes of ``type``."""
+        if any(x in text for x in self.whole):
+            return self.ids(text)
+        if len(self) > MEMO:
+            self.clear()
+        return b"".join(map(self.__getitem__, _cut(text)))
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """Once for each worker process."""
+    return Encoder(path)
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -84,8 +107,8 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))],
+def _schema(length: int, ids: np.dtype) -> pa.Schema:
+    return pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(ids), length)), ("mask", pa.list_(pa.bool_(), length))],
                      {b"length": str(length).encode(), b"batch": str(BATCH).encode()})
 
 
@@ -95,11 +118,11 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens",
 class ShardWriter:
     """Writes one shard; holds a batch of sequences and of documents."""
 
-    def __init__(self, fs: pafs.FileSystem, folder: str, shard: int, length: int = LENGTH):
-        self.fs, self.length, self.tag = fs, length, uuid.uuid4().hex
+    def __init__(self, fs: pafs.FileSystem, folder: str, shard: int, ids: np.dtype, length: int = LENGTH):
+        self.fs, self.length, self.type, self.tag = fs, length, ids, uuid.uuid4().hex
         self.names = [f"{folder}/{kind}-{shard:06d}.arrow" for kind in ("tokens", "docs")]
         fs.create_dir(folder, recursive=True)
-        self.schema = _schema(length)
+        self.schema = _schema(length, ids)
         self.sinks = [fs.open_output_stream(f"{n}.{self.tag}") for n in self.names]
         self.tokens = pa.ipc.new_file(self.sinks[0], self.schema)
         self.docs = pa.ipc.new_file(self.sinks[1], _DOCS)
@@ -122,8 +145,8 @@ class ShardWriter:
         for a in range(0, stop, size):
             part = flat[a:min(a + size, stop)]
             n = -(-len(part) // self.length) * self.length
-            ids, mask = np.zeros(n, np.uint32), np.zeros(n, np.uint8)
-            ids[:len(part)], mask[:len(part)] = part, 1
+            ids, mask = np.zeros(n, self.type), np.zeros(n, bool)
+            ids[:len(part)], mask[:len(part)] = part, True
             self.tokens.write_batch(pa.record_batch([
                 pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=self.schema))
         self.held, self.n_held = [flat[stop:]], len(flat) - stop
@@ -159,12 +182,11 @@ class ShardReader:
             self.at, self.batch = k, self.file.get_batch(k)
         return self.batch
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k, without a copy."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence k, without a copy (the mask stays in bits)."""
         n = self.size // self.length
-        batch = self._batch(k // n)
-        a = k % n * self.length
-        return tuple(c.flatten()[a:a + self.length].to_numpy() for c in batch.columns)
+        ids, mask = (c.flatten()[k % n * self.length:][:self.length] for c in self._batch(k // n).columns)
+        return ids.to_numpy(), mask
 
     def ids(self, offset: int, n: int):
         while n:
@@ -182,12 +204,12 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     path, spark = path or tokenizer_path(), docs.sparkSession
 
     def shard(batches):
-        writer, end, k = None, np.array([end_id], np.uint32), TaskContext.get().partitionId()
+        encoder, writer, k = _encoder(path), None, TaskContext.get().partitionId()
+        end = np.array([end_id], encoder.type).tobytes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, ids in zip(batch.column("doc_id").to_pylist(), _encoder(path)(texts)):
-                writer = writer or ShardWriter(*_filesystem(folder), k, length)
-                writer.add(i, np.concatenate([np.frombuffer(ids, np.uint32), end]))
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                writer = writer or ShardWriter(*_filesystem(folder), k, encoder.type, length)
+                writer.add(i, np.frombuffer(encoder.encode(text.as_py()) + end, encoder.type))
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([writer.offset], pa.int64())], ["shard", "n"])
