@@ -419,13 +419,13 @@ def q_rf_class_report(spark, d):
 
 
 def q_gam_basis_ranges(spark, d):
-    return normalise(gam_ops.basis_ranges(_model(spark, d), A))
+    return normalise(gam_ops.basis_ranges(_model(spark, d), A).drop("mean"))
 
 
 def q_gam_gram(spark, d):
     """The sums the additive models are solved from, cell by cell."""
     cells = gam_ops.gram_cells(_model_frozen(spark, d), A, min_rows=1)
-    return cells.select("target", "i", "j", F.round("value", 4).alias("value")).where("abs(value) > 0.0001")
+    return cells.select("target", "i", "j", F.round("value", 4).alias("value")).where("value <> 0")
 
 
 def _gam(spark, d, model=None):

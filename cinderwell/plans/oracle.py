@@ -436,3 +436,36 @@ FROM model WHERE {ok}""")
 
 
 SQL["gam_basis_ranges"] = _ranges_sql()
+
+
+def _gram_sql() -> str:
+    """Cubic B-spline design of every complete row as (row, index, weight)
+    entries, joined to itself and summed."""
+    from cinderwell.sources.schema import MODEL_FEATURES
+    feats = list(MODEL_FEATURES)
+    complete = " UNION ALL ".join(
+        f"SELECT '{t}' AS target, rn, {qi(t)} AS y, " + ", ".join(f"CAST({qi(f)} AS DOUBLE) AS f{i}" for i, f in enumerate(feats))
+        + f" FROM numbered WHERE {qi(t)} IS NOT NULL AND post_fire IS NOT NULL AND " + " AND ".join(f"{qi(f)} IS NOT NULL" for f in feats)
+        for t in A)
+    facts = ", ".join(f"min(f{i}) AS lo{i}, max(f{i}) AS hi{i}" for i in range(len(feats)))
+    places = " UNION ALL ".join(
+        f"SELECT c.target, rn, {1 + 20 * i} AS base, greatest(0.0, least(1.0, (f{i} - lo{i}) / CASE WHEN hi{i} > lo{i} THEN hi{i} - lo{i} ELSE 1.0 END)) * 17.0 AS u "
+        f"FROM complete c JOIN facts USING (target)" for i in range(len(feats)))
+    weights = ["(1 - t) * (1 - t) * (1 - t) / 6.0", "(3 * t * t * t - 6 * t * t + 4) / 6.0", "(-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6.0", "t * t * t / 6.0"]
+    last = 1 + 20 * len(feats)
+    entries = " UNION ALL ".join(f"SELECT target, rn, base + j + {k} AS i, {w} AS v FROM placed" for k, w in enumerate(weights))
+    return with_(model_ctes() + f""",
+numbered AS (SELECT row_number() OVER () AS rn, * FROM model),
+complete AS ({complete}),
+facts AS (SELECT target, avg(y) AS mean, {facts} FROM complete GROUP BY target),
+located AS ({places}),
+placed AS (SELECT target, rn, base, CAST(least(floor(u), 16) AS INTEGER) AS j, u - least(floor(u), 16) AS t FROM located),
+entries AS ({entries}
+  UNION ALL SELECT target, rn, 0, 1.0 FROM complete
+  UNION ALL SELECT target, rn, {last}, y - mean FROM complete JOIN facts USING (target)),
+cells AS (SELECT a.target, a.i, b.i AS j, round(sum(a.v * b.v), 4) AS value
+  FROM entries a JOIN entries b ON a.target = b.target AND a.rn = b.rn AND a.i <= b.i GROUP BY ALL)""",
+        "SELECT target, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, value FROM cells WHERE value <> 0")
+
+
+SQL["gam_gram"] = _gram_sql()
