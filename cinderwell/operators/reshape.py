@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinderwell.session import stable_checkpoint
+from cinderwell.session import stable_checkpoint, written_table
 from cinderwell.sources.schema import KEY_COLS, META_COLS, q
 
 
@@ -26,23 +26,22 @@ def units_reference(long: DataFrame, order_cols=("StationCode", "SampleDate", "o
     """A2: first non-NULL unit per analyte in (station, date, file) order; an
     analyte whose units are all NULL still gets a row (NULL unit).
 
-    An analyte with a single distinct unit needs no order, so the full pass
-    is one hash aggregation on (analyte, unit); only analytes with
-    differing units are resolved by an ordered ``min_by`` over their rows
-    (deterministic, where ``first`` after a shuffle is not)."""
+    An analyte with a single distinct unit needs no order, so the full pass is
+    one hash aggregation on (analyte, unit), whose few rows are written and
+    reread; only analytes with differing units are resolved by an ordered
+    ``min_by`` over their rows (deterministic, where ``first`` after a shuffle
+    is not)."""
     a, u = F.col(analyte_col), F.col(unit_col)
     base = long.where(a.isNotNull())
-    pairs = base.where(u.isNotNull()).groupBy(analyte_col, unit_col).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = stable_checkpoint(base.groupBy(analyte_col, unit_col).agg(F.count(F.lit(1)).alias("_n")))
     sets = pairs.groupBy(analyte_col).agg(F.collect_set(unit_col).alias("_us"))
-    single = sets.where(F.size("_us") == 1).select(analyte_col, F.col("_us")[0].alias(unit_col))
+    single = sets.where(F.size("_us") <= 1).select(analyte_col, F.get("_us", F.lit(0)).alias(unit_col))
     multi = sets.where(F.size("_us") > 1).select(analyte_col)
-    if multi.count():
-        key = F.when(u.isNotNull(), _order(order_cols))
-        resolved = (base.join(F.broadcast(multi), analyte_col, "left_semi")
-                        .groupBy(analyte_col).agg(F.min_by(u, key).alias(unit_col)))
-        single = single.unionByName(resolved)
-    names = base.select(analyte_col).distinct()
-    return names.join(F.broadcast(single), analyte_col, "left")
+    if multi.isEmpty():
+        return single
+    key = F.when(u.isNotNull(), _order(order_cols))
+    resolved = base.join(multi, analyte_col, "left_semi").groupBy(analyte_col).agg(F.min_by(u, key).alias(unit_col))
+    return single.unionByName(resolved)
 
 
 def station_metadata(long: DataFrame, cols=META_COLS) -> DataFrame:
@@ -52,8 +51,6 @@ def station_metadata(long: DataFrame, cols=META_COLS) -> DataFrame:
 
 FIXED_WIDTH = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
-# Conflicting cells at or below which their key table is broadcast.
-CONFLICT_BROADCAST_ROWS = 2_000_000
 
 
 def pivot_wide(long: DataFrame, analytes, keys=KEY_COLS, pivot_col="Analyte",
@@ -88,12 +85,9 @@ def _pivot_by_conflicts(base: DataFrame, analytes, keys, pivot_col, value_col) -
     cells = base.groupBy(*cell_keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     clear = cells.where(F.col("_lo") == F.col("_hi")).select(*cell_keys, F.col("_lo").alias("_v"))
     conflict = cells.where(F.col("_lo") != F.col("_hi")).select(*cell_keys)
-    n_conflict = conflict.count()
-    if n_conflict:
-        side = F.broadcast(conflict) if n_conflict <= CONFLICT_BROADCAST_ROWS else conflict
-        resolved = (base.join(side, cell_keys, "left_semi")
-                        .groupBy(*cell_keys).agg(F.min_by(v, F.col("_o")).alias("_v")))
-        clear = clear.unionByName(resolved)
+    resolved = (base.join(conflict, cell_keys, "left_semi")
+                    .groupBy(*cell_keys).agg(F.min_by(v, F.col("_o")).alias("_v")))
+    clear = clear.unionByName(resolved)
     return clear.groupBy(*keys).agg(*[F.max(F.when(p == a, F.col("_v"))).alias(a) for a in analytes])
 
 
@@ -101,42 +95,56 @@ def master_wide(long: DataFrame, analytes, keys=KEY_COLS, meta_cols=META_COLS,
                 order_col="ord", value_col="Result", pivot_col="Analyte") -> DataFrame:
     """A4 + J1 + P2: the wide table, metadata first, analytes in byte order.
 
-    A key with several metadata variants fans out to one row per variant (left
-    join, as the metadata may differ between the files of one key)."""
+    A key with several metadata variants fans out to one row per variant (the
+    metadata may differ between the files of one key). With a fixed-width order
+    key the readings are read once and there is no join: they are collapsed by
+    key and metadata with map-side partial sums, and the few rows of a key then
+    share the first value of each analyte through a window."""
     analytes = sorted(analytes)
-    wide = pivot_wide(long, analytes, keys, pivot_col, value_col, order_col)
-    meta = station_metadata(long, meta_cols)
-    joined = wide.join(meta, list(keys), "left")
     lead = [c for c in ("StationCode", "StationName", "TargetLatitude", "TargetLongitude",
-                        "Region", "SampleDate") if c in joined.columns]
-    rest = [c for c in joined.columns if c not in lead and c not in analytes]
-    return joined.select(*[q(c) for c in lead + rest + analytes])
-
-
-def add_surrogate_id(df: DataFrame, order_cols, id_col: str = "WaterQualityID",
-                     num_partitions: int | None = None) -> DataFrame:
+                        "Region", "SampleDate") if c in meta_cols]
+    rest = [c for c in meta_cols if c not in lead]
+    o = _order(order_col)
+    if not isinstance(long.select(o.alias("_o")).schema[0].dataType, FIXED_WIDTH):
+        wide = pivot_wide(long, analytes, keys, pivot_col, value_col, order_col)
+        joined = wide.join(station_metadata(long, meta_cols), list(keys), "left")
+        return joined.select(*[q(c) for c in lead + rest + analytes])
+    p, v = F.col(pivot_col), F.col(value_col)
+    aggs = []
+    for i, a in enumerate(analytes):
+        mine = (p == a) & v.isNotNull()
+        aggs += [F.min_by(F.when(mine, v), F.when(mine, o)).alias(f"_v{i}"), F.min(F.when(mine, o)).alias(f"_o{i}")]
+    per_variant = long.dropna(subset=list(keys)).groupBy(*meta_cols).agg(*aggs)
+    w = Window.partitionBy(*keys)
+    out = per_variant.select(*[q(c) for c in lead + rest],
+                             *[F.min_by(f"_v{i}", f"_o{i}").over(w).alias(a) for i, a in enumerate(analytes)])
+    return out.dropna(how="all", subset=[f"`{a}`" if "." in a else a for a in analytes])
+
+
+def add_surrogate_id(df: DataFrame, order_cols, id_col: str = "WaterQualityID") -> DataFrame:
     """Dense 1..n id in the given order, first column.
 
-    Range-partitioned sort (no single-task global window), frozen by a
-    reliable checkpoint, then id = rows in earlier partitions + position
-    inside the partition. Only one count per partition reaches the driver.
+    The frame is written once, range-partitioned and sorted (each task writes
+    one file, in order), and read back: the id is the number of rows in earlier
+    files plus the row's place in its file, from the part number in the file
+    name and Parquet's row index. One sort, one write, one count per file.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    frozen = stable_checkpoint(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols))
-    tagged = frozen.withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33).cast("int"))
-    counts = {r["_pid"]: r["n"] for r in
-              tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = [], 0
-    for pid in range(max(counts, default=-1) + 1):
-        offsets.append(acc)
-        acc += counts.get(pid, 0)
-    offs = F.array(*[F.lit(int(x)) for x in offsets]) if offsets else F.array().cast("array<long>")
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    out = tagged.withColumn(id_col, (F.element_at(offs, F.col("_pid") + 1) + pos + 1).cast("long"))
-    return out.select(id_col, *[q(c) for c in df.columns])
+    cols = [F.col(f"`{c}`") if isinstance(c, str) else c for c in order_cols]
+    stored = written_table(df.repartitionByRange(*cols).sortWithinPartitions(*cols), "ids")
+    return with_file_order_id(stored, id_col)
+
+
+def with_file_order_id(stored: DataFrame, id_col: str) -> DataFrame:
+    """``stored`` is read from Parquet files whose part numbers are in order."""
+    names = stored.columns
+    file = F.col("_metadata.file_name")
+    part = F.regexp_extract(file, r"part-(\d+)", 1).cast("long")
+    tagged = stored.select("*", file.alias("_f"), part.alias("_p"), F.col("_metadata.row_index").alias("_ri"))
+    counts = tagged.groupBy("_p", "_f").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p", "_f").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    offsets = counts.select("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = tagged.join(offsets, "_f").withColumn(id_col, (F.col("_off") + F.col("_ri") + 1).cast("long"))
+    return out.select(id_col, *[q(c) for c in names])
 
 
 def preview(df: DataFrame, order_cols, n: int = 5) -> DataFrame:

@@ -5,11 +5,14 @@ Grid-partitioned plan, all DataFrame work:
 1. distinct station coordinates (stations repeat over dates: test each once);
 2. perimeters -> bounding box -> every grid cell the box touches;
 3. equi-join points to cells on (cx, cy), bounding-box residual;
-4. exact even-odd test over all rings with the boundary excluded;
-5. left-join the (coordinate -> perimeter) matches back to the readings.
-
-Every broadcast is behind a row count of the side being broadcast; above the
-limit the join stays a shuffle join (AQE splits skewed partitions).
+4. exact even-odd test, boundary excluded: candidates meet the edges of their
+   perimeter in their own horizontal band, so work follows the edges nearby
+   and not the size of the perimeter;
+5. the (coordinate -> perimeter) matches are written once and left-joined back
+   to the readings.
+
+No side is broadcast by hint: the optimizer decides by size in bytes, which it
+knows for the written match table.
 """
 
 from __future__ import annotations
@@ -17,15 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderwell.functions.geometry import bbox, cell_index, cell_range, vertex_count, within
-
-# Cell rows at or below which the perimeter-cell table is broadcast.
-BROADCAST_ROWS = 2_000_000
-# Vertices summed over all perimeters at or below which geometry is broadcast.
-BROADCAST_VERTICES = 5_000_000
-# Match rows at or below which the match table becomes a broadcast local
-# relation (fetched with limit(bound + 1), so the bound is proven).
-LOCAL_MATCH_ROWS = 200_000
+from cinderwell.functions.geometry import bbox, cell_index, cell_range, within
+from cinderwell.session import written_table
 
 
 def fire_cells(fires: DataFrame, cell: float, id_col="fire_id", rings_col="rings") -> DataFrame:
@@ -36,23 +32,6 @@ def fire_cells(fires: DataFrame, cell: float, id_col="fire_id", rings_col="rings
                  .withColumn("cy", F.explode(cell_range("miny", "maxy", cell))))
 
 
-def fire_sizes(fires: DataFrame, cell: float, rings_col="rings") -> tuple[int, int, int, int]:
-    """(perimeters, grid-cell rows, vertices, most vertices of one
-    perimeter) in one aggregation."""
-    bb = bbox(rings_col)
-    ncell = ((cell_index(bb["maxx"], cell) - cell_index(bb["minx"], cell) + 1)
-             * (cell_index(bb["maxy"], cell) - cell_index(bb["miny"], cell) + 1))
-    vc = vertex_count(rings_col)
-    r = fires.agg(F.count(F.lit(1)).alias("f"), F.coalesce(F.sum(ncell), F.lit(0)).alias("c"),
-                  F.coalesce(F.sum(vc), F.lit(0)).alias("v"),
-                  F.coalesce(F.max(vc), F.lit(0)).alias("m")).first()
-    return int(r["f"]), int(r["c"]), int(r["v"]), int(r["m"])
-
-
-# Perimeters with more vertices than this are tested edge-by-edge (below).
-EDGE_METHOD_VERTICES = 2_000
-
-
 def fire_edges(fires: DataFrame, band: float, id_col="fire_id", rings_col="rings") -> DataFrame:
     """One row per (perimeter, edge, horizontal band the edge spans)."""
     rings = fires.select(id_col, F.explode(rings_col).alias("r"))
@@ -87,69 +66,50 @@ def edge_band_within(cand: DataFrame, fires: DataFrame, band: float, id_col="fir
 
 def point_fire_matches(coords: DataFrame, fires: DataFrame, lon="TargetLongitude",
                        lat="TargetLatitude", cell: float = 0.25, id_col="fire_id",
-                       rings_col="rings", sizes: tuple | None = None,
-                       method: str = "auto") -> DataFrame:
+                       rings_col="rings", method: str = "edges") -> DataFrame:
     """(lon, lat, fire_id) for every distinct coordinate strictly inside a
     perimeter. A point inside k overlapping perimeters yields k rows.
 
-    ``method``: "rings" evaluates the parity over whole rings per candidate,
-    "edges" joins candidates to banded edges; "auto" picks "edges" once a
-    perimeter has more than ``EDGE_METHOD_VERTICES`` vertices."""
-    _, n_cells, n_vertices, max_vertices = sizes or fire_sizes(fires, cell, rings_col)
-    if method == "auto":
-        method = "edges" if max_vertices > EDGE_METHOD_VERTICES else "rings"
+    ``method`` "edges" joins candidates to banded edges; "rings" evaluates the
+    parity over whole rings per candidate, for layers of small perimeters."""
+    if method not in ("edges", "rings"):
+        raise ValueError(f"unknown method {method!r}")
     pts = (coords.select(F.col(lon).alias("_px"), F.col(lat).alias("_py"))
                  .where(F.col("_px").isNotNull() & F.col("_py").isNotNull()
                         & ~F.isnan("_px") & ~F.isnan("_py"))
                  .distinct()
                  .withColumn("cx", cell_index("_px", cell))
                  .withColumn("cy", cell_index("_py", cell)))
-    cells = fire_cells(fires, cell, id_col, rings_col)
-    cells = F.broadcast(cells) if n_cells <= BROADCAST_ROWS else cells
-    cand = (pts.join(cells, ["cx", "cy"])
+    cand = (pts.join(fire_cells(fires, cell, id_col, rings_col), ["cx", "cy"])
                .where((F.col("_px") > F.col("minx")) & (F.col("_px") < F.col("maxx"))
                       & (F.col("_py") > F.col("miny")) & (F.col("_py") < F.col("maxy")))
                .select("_px", "_py", id_col))
     if method == "edges":
         hits = edge_band_within(cand, fires, cell / 4, id_col, rings_col)
-        return hits.select(F.col("_px").alias(lon), F.col("_py").alias(lat), id_col)
-    geom = fires.select(id_col, rings_col)
-    geom = F.broadcast(geom) if n_vertices <= BROADCAST_VERTICES else geom
-    hits = cand.join(geom, id_col).where(within(F.col("_px"), F.col("_py"), F.col(rings_col)))
+    else:
+        hits = cand.join(fires.select(id_col, rings_col), id_col).where(within(F.col("_px"), F.col("_py"), F.col(rings_col)))
     return hits.select(F.col("_px").alias(lon), F.col("_py").alias(lat), id_col)
 
 
 def spatial_join(points: DataFrame, fires: DataFrame, fire_cols=("FIRE_NAME", "ALARM_DATE", "GIS_ACRES"),
                  lon="TargetLongitude", lat="TargetLatitude", cell: float = 0.25,
                  coords: DataFrame | None = None, id_col="fire_id", rings_col="rings",
-                 id_alias="index_right", how: str = "left", method: str = "auto") -> DataFrame:
+                 id_alias="index_right", how: str = "left", method: str = "edges") -> DataFrame:
     """Left spatial join of readings to perimeters.
 
     ``coords`` may be a cheaper frame holding the same coordinates (e.g. the
     station metadata) so the match table is computed without the readings.
     No match -> one row with NULL fire columns; NULL coordinates never match.
+    The ids of the perimeters must differ; a repeated id is an error.
     """
-    spark = points.sparkSession
-    sizes = fire_sizes(fires, cell, rings_col)
+    twice = fires.groupBy(id_col).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"perimeter id {twice[0][0]} occurs more than once")
     matches = point_fire_matches(coords if coords is not None else points, fires,
-                                 lon, lat, cell, id_col, rings_col, sizes, method)
-    m = matches.select(F.col(lon).alias("_mlon"), F.col(lat).alias("_mlat"),
-                       F.col(id_col).alias(id_alias))
-    local = m.limit(LOCAL_MATCH_ROWS + 1).collect()
-    if len(local) <= LOCAL_MATCH_ROWS:
-        m = F.broadcast(spark.createDataFrame(local, m.schema))
+                                 lon, lat, cell, id_col, rings_col, method)
+    m = written_table(matches.select(F.col(lon).alias("_mlon"), F.col(lat).alias("_mlat"),
+                                     F.col(id_col).alias(id_alias)), "matches")
     attrs = fires.select(F.col(id_col).alias(id_alias), *fire_cols)
-    attrs = F.broadcast(attrs) if sizes[0] <= BROADCAST_ROWS else attrs
     cond = (F.col(lon) == F.col("_mlon")) & (F.col(lat) == F.col("_mlat"))
     joined = points.join(m, cond, how).drop("_mlon", "_mlat")
     return joined.join(attrs, id_alias, "left")
-
-
-def brute_force_join(points: DataFrame, fires: DataFrame, fire_cols=("FIRE_NAME", "ALARM_DATE", "GIS_ACRES"),
-                     lon="TargetLongitude", lat="TargetLatitude", id_col="fire_id",
-                     rings_col="rings", id_alias="index_right") -> DataFrame:
-    """Every point tested against every perimeter (test oracle for small
-    fixtures only — a nested-loop join)."""
-    f = fires.select(F.col(id_col).alias(id_alias), rings_col, *fire_cols)
-    return (points.join(f, within(F.col(lon), F.col(lat), F.col(rings_col)), "left")
-                  .drop(rings_col))

@@ -85,7 +85,7 @@ def q_union_by_name(spark, d):
     return normalise(union_by_name([a, b]))
 
 
-def q_station_fire_join(spark, d, method="auto"):
+def q_station_fire_join(spark, d, method="rings"):
     sup = bindings.table(spark, d, "supplier")
     pts = sup.select(F.col("s_suppkey").alias("station_key"),
                      bindings.station_lon(F.col("s_suppkey")).alias("TargetLongitude"),
@@ -95,7 +95,7 @@ def q_station_fire_join(spark, d, method="auto"):
 
 
 def q_station_fire_join_edges(spark, d):
-    """The same join through the edge-band test used for large perimeters."""
+    """The same join through the edge-band test that the stage tables use."""
     return q_station_fire_join(spark, d, "edges")
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderwell.operators.events import add_event_time, add_years
-from cinderwell.operators.reshape import add_surrogate_id, master_wide
+from cinderwell.operators.reshape import add_surrogate_id, master_wide, with_file_order_id
 from cinderwell.operators.spatial import spatial_join
-from cinderwell.session import checkpoint_dir
+from cinderwell.session import checkpoint_dir, delete_on_exit
 from cinderwell.sources import bindings
 from cinderwell.sources.schema import META_COLS
 
@@ -38,13 +38,24 @@ def build_joined(master: DataFrame, fires: DataFrame, coords: DataFrame | None =
 
 
 _STAGE_LOCK = threading.RLock()
+_WRITTEN: set = set()
+
+
+def input_version(spark: SparkSession, paths) -> str:
+    """Changes when an input file is added, removed or rewritten; files are
+    listed, not read, and only a sum reaches the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    r = files.agg(F.count(F.lit(1)).alias("n"),
+                  F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("s")).first()
+    return f"{r['n']}:{r['s']}"
 
 
 def stage_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
     """A stage output written once per session as a Parquet table under
     the session's checkpoint folder, then re-read by every later stage (the
     hand-off the reference makes with files between its scripts). Cuts
-    lineage and survives executor loss; inputs are read-only for a session."""
+    lineage and survives executor loss. ``key`` names the inputs, their version
+    and the parameters of the build. The folder goes with the application."""
     base = checkpoint_dir(spark).rstrip("/")
     app = spark.sparkContext.applicationId
     digest = hashlib.sha1(key.encode()).hexdigest()[:12]
@@ -52,49 +63,26 @@ def stage_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
     with _STAGE_LOCK:
         if path not in _WRITTEN:
             build().write.mode("overwrite").parquet(path)
+            delete_on_exit(spark, path)
             _WRITTEN.add(path)
     return spark.read.parquet(path)
 
 
-_WRITTEN: set = set()
-# Row totals of id-carrying stage tables (known from their per-file counts).
-STAGE_ROWS: dict = {}
-# Offsets stop being a broadcast literal table beyond this many files.
-OFFSET_BROADCAST_FILES = 200_000
-
-
 def stage_table_with_id(spark: SparkSession, name: str, key: str, build, order_cols,
-                        id_col: str = "WaterQualityID", num_partitions: int | None = None) -> DataFrame:
+                        id_col: str = "WaterQualityID") -> DataFrame:
     """A stage table written once in ``order_cols`` order, read back with a
-    dense 1..n id in that order.
-
-    The write is a range-partitioned sort (each task writes one file, in
-    order); the id is then ``rows in earlier files + row index in the file``,
-    from the part number in the file name and Parquet's ``row_index``. One
-    sort, one write, one per-file count — no second copy of the table.
-    """
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dense 1..n id in that order (see ``with_file_order_id``). The number of
+    files follows ``spark.sql.shuffle.partitions`` and AQE's partition size."""
     cols = [F.col(f"`{c}`") for c in order_cols]
 
     def sorted_build():
-        return build().repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-    df = stage_table(spark, name, key, sorted_build)
-    fcol = F.col("_metadata.file_name")
-    part = F.regexp_extract(fcol, r"part-(\d+)", 1).cast("long")
-    counts = sorted((r["p"], r["f"], r["n"]) for r in
-                    df.select(part.alias("p"), fcol.alias("f")).groupBy("p", "f")
-                      .agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, acc = [], 0
-    for p_no, f, cnt in counts:
-        offsets.append((f, acc))
-        acc += cnt
-    offs = spark.createDataFrame(offsets, "_f string, _off long")
-    if len(offsets) <= OFFSET_BROADCAST_FILES:
-        offs = F.broadcast(offs)
-    tagged = df.select("*", fcol.alias("_f"), F.col("_metadata.row_index").alias("_ri"))
-    out = tagged.join(offs, "_f").withColumn(id_col, F.col("_off") + F.col("_ri") + 1)
-    STAGE_ROWS[(spark.sparkContext.applicationId, name, key)] = acc
-    return out.select(id_col, *[F.col(f"`{c}`") for c in df.columns])
+        return build().repartitionByRange(*cols).sortWithinPartitions(*cols)
+    return with_file_order_id(stage_table(spark, name, key, sorted_build), id_col)
+
+
+def _binding_key(spark: SparkSession, sf_dir: str) -> str:
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "supplier", "nation")]
+    return f"{sf_dir}|{input_version(spark, paths)}|{bindings.BINDING_ANALYTES}"
 
 
 def binding_master(spark: SparkSession, sf_dir: str, with_id: bool = False,
@@ -104,7 +92,11 @@ def binding_master(spark: SparkSession, sf_dir: str, with_id: bool = False,
     def build():
         return build_master(bindings.readings_long(spark, sf_dir), bindings.BINDING_ANALYTES)
     if materialized:
-        m = stage_table_with_id(spark, "master", sf_dir, build, list(META_COLS))
+        if not with_id:  # the stored rows are enough
+            cols = [F.col(f"`{c}`") for c in META_COLS]
+            return stage_table(spark, "master", _binding_key(spark, sf_dir),
+                               lambda: build().repartitionByRange(*cols).sortWithinPartitions(*cols))
+        m = stage_table_with_id(spark, "master", _binding_key(spark, sf_dir), build, list(META_COLS))
     else:
         m = add_surrogate_id(build(), list(META_COLS))
     return m if with_id else m.drop("WaterQualityID")
@@ -122,9 +114,8 @@ def binding_joined(spark: SparkSession, sf_dir: str, with_days: bool = True,
         cols = tuple(dict.fromkeys(tuple(FIRE_COLS) + ("CONT_DATE",)))
         fires = bindings.fires(spark, sf_dir)
         j = add_event_time(build_joined(master, fires, coords=coords, fire_cols=cols))
-        n = STAGE_ROWS.get((spark.sparkContext.applicationId, "master", sf_dir))
-        return with_row_order(j, fires, n_rows=n)
-    j = stage_table(spark, "joined", sf_dir, build) if materialized else build()
+        return with_row_order(j, fires, n_rows=binding_master(spark, sf_dir).count() if materialized else None)
+    j = stage_table(spark, "joined", _binding_key(spark, sf_dir), build) if materialized else build()
     hidden = {"CONT_DATE": "CONT_DATE" in fire_cols, "days_since_fire": with_days}
     keep = [c for c in j.columns if hidden.get(c, True)]
     return j.select(*[F.col(f"`{c}`") for c in keep])

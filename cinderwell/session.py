@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,23 @@ def stable_checkpoint(df: DataFrame) -> DataFrame:
         df.unpersist()
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Remove a working folder when the application ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def written_table(df: DataFrame, what: str) -> DataFrame:
+    """The frame written once as Parquet below the shared checkpoint folder
+    and read back: lineage is cut, and the optimizer knows its size in bytes.
+    The folder goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    delete_on_exit(spark, path)
+    return spark.read.parquet(path)
+
+
 class passes_over:
     """Context manager for multi-pass operators: the (narrow) frame is
     persisted for the passes and released afterwards. Lost partitions are

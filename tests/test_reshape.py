@@ -55,7 +55,7 @@ def test_surrogate_id_dense_and_ordered(spark):
     rows = [(f"S{i % 7}", dt.date(2020, 1, 1 + i % 28), "n", 1.0, 2.0, 1, "pH", float(i), "none", i)
             for i in range(200)]
     wide = master_wide(long(spark, rows).repartition(5), ["pH"])
-    out = add_surrogate_id(wide, ["StationCode", "SampleDate"], num_partitions=4).collect()
+    out = add_surrogate_id(wide, ["StationCode", "SampleDate"]).collect()
     ids = [r["WaterQualityID"] for r in out]
     assert sorted(ids) == list(range(1, len(out) + 1))
     by_id = sorted(out, key=lambda r: r["WaterQualityID"])
@@ -68,7 +68,7 @@ def test_stage_table_ids_dense_and_ordered(spark):
     rows = [(f"S{(i * 7919) % 37}", dt.date(2020, 1 + i % 12, 1 + i % 27), float(i)) for i in range(500)]
     df = spark.createDataFrame(rows, "StationCode string, SampleDate date, v double").repartition(7)
     out = stage_table_with_id(spark, "ids-test", "k1", lambda: df, ["StationCode", "SampleDate", "v"],
-                              "rid", num_partitions=5).collect()
+                              "rid").collect()
     ids = [r["rid"] for r in out]
     assert sorted(ids) == list(range(1, 501))
     keys = [(r["StationCode"], r["SampleDate"], r["v"]) for r in sorted(out, key=lambda r: r["rid"])]
@@ -88,3 +88,16 @@ def test_struct_order_pivot_equals_long_order(spark):
     b = {(r["StationCode"], r["SampleDate"]): (r["pH"], r["X"])
          for r in pivot_wide(s, ["pH", "X"], order_col="o2").collect()}
     assert a == b
+
+
+def test_metadata_variant_without_values_and_null_metadata(spark):
+    """A variant seen only on a row without a value still fans out; a key whose
+    values are all NULL does not appear; NULL metadata is a variant like others."""
+    df = long(spark, [("S", D1, "a", 1.0, 2.0, 1, "pH", 7.0, "none", 5), ("S", D1, "b", 1.0, 2.0, 1, "pH", None, "none", 1),
+                      ("S", D1, None, None, None, None, "pH", 6.0, "none", 2), ("S", D1, None, None, None, None, "pH", 5.0, "none", 3),
+                      ("T", D1, "c", 1.0, 2.0, 1, "pH", None, "none", 4), ("S", None, "a", 1.0, 2.0, 1, "pH", 1.0, "none", 0)])
+    got = sorted((str(r["StationName"]), r["pH"]) for r in master_wide(df, ["pH"]).collect())
+    assert got == [("None", 6.0), ("a", 6.0), ("b", 6.0)]
+    from pyspark.sql import functions as F
+    s = df.withColumn("o2", F.struct(F.lit("f"), F.col("ord")))
+    assert sorted((str(r["StationName"]), r["pH"]) for r in master_wide(s, ["pH"], order_col="o2").collect()) == got

@@ -3,7 +3,14 @@
 from pyspark.sql import functions as F
 
 from cinderwell.functions.geometry import within
-from cinderwell.operators.spatial import brute_force_join, spatial_join
+from cinderwell.operators.spatial import spatial_join
+
+
+def brute_force_join(points, fires):
+    """Every point tested against every perimeter."""
+    f = fires.select(F.col("fire_id").alias("index_right"), "rings", "FIRE_NAME")
+    return points.join(f, within(F.col("TargetLongitude"), F.col("TargetLatitude"), F.col("rings")), "left").drop("rings")
+
 
 SQUARE = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]]
 HOLE = [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)]
@@ -48,7 +55,7 @@ def test_grid_equals_brute_force(spark):
                                 "id long, TargetLongitude double, TargetLatitude double")
     for cell, method in ((0.3, "rings"), (1.0, "rings"), (5.0, "rings"), (0.3, "edges"), (1.0, "edges")):
         a = spatial_join(pts, _fires(spark), fire_cols=("FIRE_NAME",), cell=cell, method=method)
-        b = brute_force_join(pts, _fires(spark), fire_cols=("FIRE_NAME",))
+        b = brute_force_join(pts, _fires(spark))
         key = lambda r: (r["id"], r["FIRE_NAME"] or "")
         assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
 
@@ -64,3 +71,10 @@ def test_edge_method_boundary_cases(spark):
     for method in ("rings", "edges"):
         out = spatial_join(df, fires, fire_cols=("FIRE_NAME",), cell=0.5, method=method).collect()
         assert sorted(r["name"] for r in out if r["FIRE_NAME"]) == ["interior", "second part"], method
+
+
+def test_repeated_perimeter_id_is_an_error(spark):
+    import pytest
+    pts = spark.createDataFrame([("a", 3.0, 3.0)], "name string, TargetLongitude double, TargetLatitude double")
+    with pytest.raises(ValueError, match="more than once"):
+        spatial_join(pts, _fires(spark).union(_fires(spark)), fire_cols=("FIRE_NAME",))
