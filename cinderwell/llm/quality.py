@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderwell.llm.common import SPACE_CLASS, SPACES, WORD, or_empty, packed, table, unpacked
-from cinderwell.session import stable_checkpoint
+from cinderwell.session import written_table
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -213,11 +213,10 @@ def judged(feats: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Features and verdict of every row; ``keep`` names the input columns to
-    carry along (without the text the features are written once and reread)."""
-    feats = with_features(docs, text, keep)
-    if keep is not None and text not in keep:
-        feats = stable_checkpoint(feats)
-    return judged(feats)
+    carry along, all by default. The features are written once and reread for
+    the pattern counts and for the verdicts; it also keeps the optimizer from
+    copying their expressions into a filter on the verdict."""
+    return judged(written_table(with_features(docs, text, keep), "quality"))
 
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
