@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,11 +55,6 @@ def day_window(df: DataFrame, lo: int | None, hi: int | None, days_col="days_sin
     return df.where(cond)
 
 
-def min_size(df: DataFrame, min_acres: float, acres_col="GIS_ACRES") -> DataFrame:
-    """size at least ``min_acres``; NULL sizes drop even for 0."""
-    return df.where(F.col(acres_col) >= F.lit(float(min_acres)))
-
-
 def model_frame(joined: DataFrame, window_days: int = 1825, days_col="days_since_fire",
                 acres_col="GIS_ACRES", sample_col="SampleDate") -> DataFrame:
     """M0: +/- window, post_fire flag, log1p(acres), month, season."""
@@ -89,12 +84,11 @@ def value_counts(df: DataFrame, col: str, out="count") -> DataFrame:
 
 
 def normalized_counts(df: DataFrame, col: str, digits: int = 2, out="share") -> DataFrame:
-    """Share of each value, half-even rounded. The total is counted
-    first and enters as a literal (no single-partition window)."""
-    base = df.where(F.col(col).isNotNull())
-    total = base.count()
-    counts = base.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.select(col, F.bround(F.col("_n") / F.lit(float(total or 1)), digits).alias(out))
+    """Count ``n`` and half-even rounded share of each value, NULL
+    excluded. One aggregation; the total is summed over its rows."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # over a row for each value
+    return counts.select(col, F.bround(F.col("n") / total, digits).alias(out), "n")
 
 
 def date_range(df: DataFrame, col: str) -> DataFrame:

@@ -82,7 +82,11 @@ def mixed_effects(df: DataFrame, targets, x_col="post_fire", group_col="StationC
     summaries report)."""
     spark = df.sparkSession
     labels = labels or {t: t for t in targets}
-    stats = station_stats(df, targets, x_col, group_col)
+    # a shift of y moves only the intercept; centred sums keep their digits
+    means = df.where(F.col(x_col).isNotNull() & q(group_col).isNotNull()).agg(
+        *[F.avg(q(t).cast("double")).alias(f"m{i}") for i, t in enumerate(targets)]).first()
+    centred = df.select(q(group_col), q(x_col), *[(q(t).cast("double") - F.lit(means[i]).cast("double")).alias(t) for i, t in enumerate(targets)])
+    stats = station_stats(centred, targets, x_col, group_col)
     stats = stats.persist()
     try:
         grids = {t: np.concatenate([[0.0], np.logspace(-6, 4, GRID)]) for t in targets}

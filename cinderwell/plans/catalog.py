@@ -7,6 +7,7 @@ tables. Outputs are normalised for hash comparison: doubles rounded to
 
 from __future__ import annotations
 
+import threading
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from cinderwell.operators import gam as gam_ops
 from cinderwell.operators import ml, stats, study
 from cinderwell.operators.reshape import analytes_found, preview, units_reference
 from cinderwell.operators.spatial import spatial_join
-from cinderwell.plans.stages import binding_joined, binding_master
+from cinderwell.plans.stages import _binding_key, binding_joined, binding_master
 from cinderwell.sources import bindings
 from cinderwell.sources.files import head_per_group, union_by_name
 from cinderwell.sources.schema import MODEL_FEATURES, q
@@ -70,12 +71,11 @@ def q_surrogate_id(spark, d):
     return normalise(binding_master(spark, d, with_id=True))
 
 
-FILE_HEAD_N = 1000  # rows kept per analyte file by the reduction step
-
-
 def q_file_head_n(spark, d):
+    """The reduction step's first 1000 rows of each analyte; the limit is
+    the feature."""
     long = bindings.readings_long(spark, d)
-    return normalise(head_per_group(long, "Analyte", [F.col("ord")], FILE_HEAD_N))
+    return normalise(head_per_group(long, "Analyte", [F.col("ord")], 1000))
 
 
 def q_union_by_name(spark, d):
@@ -156,7 +156,8 @@ def q_fire_paired_1yr(spark, d):
 
 
 def _scenario_query(name):
-    return lambda spark, d: _wide(spark, d, study.SCENARIOS, name)
+    only = tuple(s for s in study.SCENARIOS if s[0] == name)
+    return lambda spark, d: _wide(spark, d, only, name)
 
 
 def q_fire_results_long(spark, d):
@@ -273,10 +274,7 @@ def _clf_base(spark, d):
 
 
 def q_class_balance(spark, d):
-    b = _clf_base(spark, d)
-    shares = ev.normalized_counts(b, "post_fire", 2)
-    counts = b.groupBy("post_fire").agg(F.count(F.lit(1)).alias("n"))
-    return shares.join(counts, "post_fire")
+    return ev.normalized_counts(_clf_base(spark, d), "post_fire", 2)
 
 
 def q_display_names(spark, d):
@@ -346,11 +344,9 @@ def q_stratified_split(spark, d):
     return s.select(*KEYS, "post_fire", "is_test")
 
 
-CAP = 5000
-
-
 def q_capped_sample(spark, d):
-    return ml.capped_sample(_model(spark, d).select(*KEYS, "days_since_fire"), KEYS, CAP)
+    """The bounded training sample; the limit is the feature."""
+    return ml.capped_sample(_model(spark, d).select(*KEYS, "days_since_fire"), KEYS, 5000)
 
 
 def _rule_predictions(spark, d):
@@ -378,21 +374,36 @@ def q_r2(spark, d):
 
 RF_TREES, RF_DEPTH = 20, 10
 CLF_TREES = 100
+_FITS: dict = {}
+_FIT_LOCK = threading.RLock()
+
+
+def _fitted(spark, d, what, fit):
+    """A fit is made once per session and input version; its results are a
+    handful of rows, shared by the queries that report on it."""
+    key = (spark.sparkContext.applicationId, what, _binding_key(spark, d))
+    with _FIT_LOCK:
+        if key not in _FITS:
+            _FITS[key] = fit()
+        return _FITS[key]
+
+
+def _forests(spark, d):
+    return _fitted(spark, d, "forests", lambda: ml.rf_regression(_model_frozen(spark, d), A, num_trees=RF_TREES, max_depth=RF_DEPTH))
 
 
 def q_rf_regression(spark, d):
-    res, _ = ml.rf_regression(_model_frozen(spark, d), A, num_trees=RF_TREES, max_depth=RF_DEPTH)
-    return res.orderBy(F.desc("r2"))
+    return _forests(spark, d)[0].orderBy(F.desc_nulls_last("r2"), "Analyte")
 
 
 def q_rf_importance_matrix(spark, d):
-    _, imp = ml.rf_regression(_model_frozen(spark, d), A, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    imp = _forests(spark, d)[1]
     return imp.groupBy("Analyte").pivot("feature", list(MODEL_FEATURES)).agg(F.first("importance"))
 
 
 def _clf(spark, d):
-    return ml.rf_classifier(_model_frozen(spark, d), A, BINDING_DISPLAY, num_trees=CLF_TREES,
-                            min_present=CLF_MIN_PRESENT)
+    return _fitted(spark, d, "classifier", lambda: ml.rf_classifier(
+        _model_frozen(spark, d), A, BINDING_DISPLAY, num_trees=CLF_TREES, min_present=CLF_MIN_PRESENT))
 
 
 def q_rf_classifier(spark, d):
@@ -428,9 +439,8 @@ def q_gam_gram(spark, d):
     return cells.select("target", "i", "j", F.round("value", 4).alias("value")).where("value <> 0")
 
 
-def _gam(spark, d, model=None):
-    model = model if model is not None else _model_frozen(spark, d)
-    return gam_ops.gam_results(model, A, labels={a: a for a in A})
+def _gam(spark, d):
+    return _fitted(spark, d, "gam", lambda: gam_ops.gam_results(_model_frozen(spark, d), A, labels={a: a for a in A}))
 
 
 def q_gam_results(spark, d):
@@ -442,9 +452,7 @@ def q_gam_curve(spark, d):
 
 
 def q_model_summary(spark, d):
-    model = _model_frozen(spark, d)
-    rf, _ = ml.rf_regression(model, A, num_trees=RF_TREES, max_depth=RF_DEPTH)
-    g = _gam(spark, d, model)[0]
+    rf, g = _forests(spark, d)[0], _gam(spark, d)[0]
     return (rf.select("Analyte", F.col("r2").alias("rf_r2"), "top_feature")
               .join(g.select("Analyte", F.col("r2").alias("gam_r2"), "post_fire_change", "Direction"),
                     "Analyte", "full"))

@@ -9,8 +9,10 @@ A user of the original scripts calls these with their own paths:
 * ``event_study(joined)`` -> dict of the stage-2 tables; ``run_models(joined)``
   -> dict of the stage-3 tables; ``run_all(...)`` writes them all.
 
-Everything is lazy DataFrames except where a model fit or a selection pass
-must run; outputs are written with ``write_table`` (CSV with header or
+The master and the joined table are written once below the checkpoint folder
+and read back by all that follows; a fixed-width row order makes the event
+study one hash aggregation. ``run_all`` writes the published tables, ordered
+and with the published headers, with ``write_table`` (CSV with header or
 Parquet).
 """
 
@@ -20,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderwell.functions.dates import parse_date
-from cinderwell.functions.labels import DISPLAY_NAMES, short_label_py
+from cinderwell.functions.labels import DISPLAY_NAMES, short_label, short_label_py
 from cinderwell.operators import events as ev
 from cinderwell.operators import gam, ml, study
 from cinderwell.operators.mixed import mixed_effects
 from cinderwell.operators.reshape import add_surrogate_id, master_wide, units_reference
 from cinderwell.operators.spatial import spatial_join
+from cinderwell.plans.stages import with_row_order
+from cinderwell.session import written_table
 from cinderwell.sources.files import (BLOCK_COL, FILE_COL, SEQ_COL, read_readings, write_if_nonempty,
                                       write_table)
 from cinderwell.sources.schema import (CLASSIFIER_ANALYTES, DOMAIN_ANALYTES, META_COLS, STUDY_ANALYTES, q)
@@ -33,17 +37,22 @@ from cinderwell.sources.schema import (CLASSIFIER_ANALYTES, DOMAIN_ANALYTES, MET
 FIRE_COLS = ("FIRE_NAME", "ALARM_DATE", "GIS_ACRES")
 
 
-def load_readings(spark: SparkSession, analyte_files) -> DataFrame:
-    """S1 + P5: typed long readings with a file-order key ``ord``."""
-    r = read_readings(spark, analyte_files)
-    return r.withColumn("SampleDate", parse_date(F.col("SampleDate"))) \
+def load_readings(spark: SparkSession, analyte_files, multi_line: bool = False, strict: bool = True) -> DataFrame:
+    """S1 + P5: typed long readings with a file-order key ``ord``. Numbers and
+    dates that cannot be read raise, or are NULL without ``strict``."""
+    r = read_readings(spark, analyte_files, multi_line=multi_line, strict=strict)
+    raw, date = F.col("SampleDate"), parse_date(F.col("SampleDate"))
+    if strict:
+        date = F.when(raw.isNotNull() & date.isNull(), F.raise_error(F.concat(F.lit("SampleDate: cannot read "), raw))).otherwise(date)
+    return r.withColumn("SampleDate", date) \
             .withColumn("ord", F.struct(F.col(FILE_COL), F.col(BLOCK_COL), F.col(SEQ_COL)))
 
 
-def build_master(spark: SparkSession, analyte_files, analytes=None):
+def build_master(spark: SparkSession, analyte_files, analytes=None, **reading):
     """Stage 1a: (master, units). ``analytes`` defaults to the analytes found
-    in the files (A1), which fixes the wide schema in one small job."""
-    long = load_readings(spark, analyte_files)
+    in the files (A1), which fixes the wide schema in one small job. The master
+    is written once, in order (``add_surrogate_id``)."""
+    long = load_readings(spark, analyte_files, **reading)
     if analytes is None:
         analytes = sorted(r[0] for r in long.select("Analyte").where(F.col("Analyte").isNotNull())
                           .distinct().collect())
@@ -53,11 +62,15 @@ def build_master(spark: SparkSession, analyte_files, analytes=None):
 
 
 def build_spatial_join(master: DataFrame, fires: DataFrame, cell: float = 0.25) -> DataFrame:
-    """Stage 1b (J2): readings x perimeters, left, with years."""
+    """Stage 1b (J2): readings x perimeters, left, with years; written once,
+    with the row order ``row_ord`` as the last column."""
     j = spatial_join(master, fires, fire_cols=FIRE_COLS, cell=cell)
     j = ev.add_years(j)
     tail = ["SampleYear", "index_right", "FIRE_NAME", "ALARM_DATE", "FireYear", "GIS_ACRES"]
-    return j.select(*[q(c) for c in master.columns + tail])
+    j = j.select(*[q(c) for c in master.columns + tail])
+    if "WaterQualityID" in j.columns:
+        j = with_row_order(j, fires)
+    return written_table(j, "joined")
 
 
 def same_year(joined: DataFrame) -> DataFrame:
@@ -73,7 +86,8 @@ def event_study(joined: DataFrame, analytes=STUDY_ANALYTES, large_acres: float =
     summaries and matrix), and the one-month impact rows."""
     timed = ev.add_event_time(ev.matched(joined))
     analytes = _present(timed, analytes)
-    order = ("WaterQualityID", "index_right") if "WaterQualityID" in timed.columns else study.DEFAULT_ORDER
+    order = "row_ord" if "row_ord" in timed.columns else \
+        ("WaterQualityID", "index_right") if "WaterQualityID" in timed.columns else study.DEFAULT_ORDER
     labels = {a: short_label_py(a) for a in analytes}
     s1 = study.fire_results(timed, analytes, study.SECTION1, order_cols=order)
     scen = tuple((n, d, m if m == 0 else large_acres) for n, d, m in study.SCENARIOS)
@@ -86,7 +100,7 @@ def event_study(joined: DataFrame, analytes=STUDY_ANALYTES, large_acres: float =
         "scenario_matrix": study.scenario_matrix(res, analytes, scen),
         "large_fires_5yr_results": study.fire_results_wide(res.where(F.col("scenario") == "5yr_large"),
                                                            analytes, labels).drop("scenario"),
-        "impacted_within_1month": ev.day_window(timed, 0, 30),
+        "impacted_within_1month": ev.day_window(timed, 0, 30).drop("row_ord"),
     }
 
 
@@ -114,14 +128,47 @@ def run_models(joined: DataFrame, analytes=DOMAIN_ANALYTES, clf_analytes=CLASSIF
     return out
 
 
-def run_all(spark: SparkSession, analyte_files, fires: DataFrame, out_dir: str, fmt: str = "csv") -> dict:
-    """All three stages; every table written under ``out_dir/<name>``."""
-    master, units = build_master(spark, analyte_files)
+#: fixed values: headers of the published tables, by column here
+HEADERS = {
+    "random_forest_results": {"Analyte": "Analyte", "r2": "R²", "top_feature": "top_feature", "n": "n"},
+    "gam_results": {"Analyte": "Analyte", "r2": "R²", "post_fire_change": "Post-fire change", "Direction": "Direction", "Accuracy": "Accuracy",
+                    "Precision": "Precision", "Recall": "Recall", "F1": "F1", "n": "n"},
+    "analyte_impact_ranking": {"Analyte": "Analyte", "Before": "Before", "After": "After", "pct_change": "% Change", "Direction": "Direction", "Importance": "Importance"},
+    "mixed_effects_results": {"Analyte": "Analyte", "Coefficient": "Coefficient", "p_value": "p-value", "Significant": "Significant", "Direction": "Direction",
+                              "n_readings": "n_readings", "n_stations": "n_stations"},
+    "scenario_summary": {"scenario": "scenario", "Analyte": "Analyte", "mean_change": "Mean Change", "p_value": "p-value", "n_fires": "n_fires"},
+}
+
+def published(name: str, df: DataFrame) -> DataFrame:
+    """A result table in its published order, with its published headers."""
+    order = {
+        "analyte_units_reference": ["Analyte"], "water_quality_allinfo_master": ["WaterQualityID"],
+        "all_stations_fire_joined": ["WaterQualityID", "index_right"], "stations_within_fires_sameyear": ["WaterQualityID", "index_right"],
+        "impacted_within_1month": ["WaterQualityID", "index_right"], "fire_paired_results": ["Fire"], "large_fires_5yr_results": ["Fire"],
+        "random_forest_results": [F.desc_nulls_last("r2"), "Analyte"], "gam_results": [F.desc_nulls_last("post_fire_change"), "Analyte"],
+        "analyte_impact_ranking": [F.desc("Importance"), "Analyte"], "scenario_summary": ["scenario", "Analyte"],
+    }.get(name)
+    df = df.orderBy(*order) if order else df
+    if name == "scenario_summary":
+        df = df.withColumn("Analyte", short_label("Analyte"))
+    headers = HEADERS.get(name)
+    return df.select(*[q(c).alias(h) for c, h in headers.items()]) if headers else df
+
+
+def run_all(spark: SparkSession, analyte_files, fires: DataFrame, out_dir: str, fmt: str = "csv", **reading) -> dict:
+    """All three stages; every table written under ``out_dir/<name>``. Analytes
+    that a model did not fit are in ``model_status``, with the reason."""
+    master, units = build_master(spark, analyte_files, **reading)
     joined = build_spatial_join(master, fires)
+    plain = joined.drop("row_ord")
     tables = {"analyte_units_reference": units, "water_quality_allinfo_master": master,
-              "all_stations_fire_joined": joined, "stations_within_fires_sameyear": same_year(joined)}
+              "all_stations_fire_joined": plain, "stations_within_fires_sameyear": same_year(plain)}
     tables.update(event_study(joined))
-    tables.update(run_models(joined))
+    models = run_models(joined)
+    states = [models[n].select(F.lit(n).alias("table"), "Analyte", "n", "status") for n in ("random_forest_results", "gam_results")]
+    tables["model_status"] = states[0].unionByName(states[1])
+    tables.update({n: t.where("status = 'ok'") if "status" in t.columns else t for n, t in models.items()})
+    tables = {n: published(n, t) for n, t in tables.items()}
     for name, df in tables.items():
         if name == "gam_results":
             write_if_nonempty(df, f"{out_dir.rstrip('/')}/{name}", fmt)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinderwell.session import checkpoint_dir
 from cinderwell.sources.schema import READINGS_SCHEMA, typed_from_text
 
 FILE_COL, BLOCK_COL, SEQ_COL = "_file", "_block", "_seq"
@@ -25,12 +24,13 @@ def _paths(paths) -> list[str]:
     return paths
 
 
-def read_csv_text(spark: SparkSession, paths, *, with_order: bool = False) -> DataFrame:
+def read_csv_text(spark: SparkSession, paths, *, with_order: bool = False, multi_line: bool = False) -> DataFrame:
     """Header CSV read as text (no inference), quote/escape as written by
-    common CSV writers. ``with_order`` adds the file path, the split start and
+    common CSV writers. ``multi_line`` allows line ends inside quotes; a file is
+    then one task. ``with_order`` adds the file path, the split start and
     a read sequence, which together give file order (T3)."""
     df = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-          .option("multiLine", False).option("inferSchema", False).csv(_paths(paths)))
+          .option("multiLine", multi_line).option("inferSchema", False).csv(_paths(paths)))
     if with_order:
         df = df.select("*", F.col("_metadata.file_path").alias(FILE_COL),
                        F.col("_metadata.file_block_start").alias(BLOCK_COL),
@@ -69,25 +69,20 @@ def union_by_name(frames) -> DataFrame:
 
 
 def read_readings(spark: SparkSession, paths, schema: T.StructType = READINGS_SCHEMA,
-                  *, with_order: bool = True) -> DataFrame:
+                  *, with_order: bool = True, multi_line: bool = False, strict: bool = False) -> DataFrame:
     """All analyte files, union by column name, typed with the null-token
-    and NaN rules. Files with the same header are read by one scan; only
+    and NaN rules; ``strict`` raises on values that cannot be read. Files with the same header are read by one scan; only
     differing header groups are unioned."""
     paths = _paths(paths)
     groups: dict[tuple, list[str]] = {}
     for f, header in file_headers(spark, paths).items():
         groups.setdefault(header, []).append(f)
     keep = (FILE_COL, BLOCK_COL, SEQ_COL) if with_order else ()
-    frames = [typed_from_text(read_csv_text(spark, files, with_order=with_order), schema, keep)
+    frames = [typed_from_text(read_csv_text(spark, files, with_order=with_order, multi_line=multi_line), schema, keep, strict)
               for files in groups.values()]
     return union_by_name(frames)
 
 
-def file_order(prefix_cols=(FILE_COL,)):
-    """Sort key that reproduces file order."""
-    return F.struct(*[F.col(c) for c in prefix_cols], F.col(BLOCK_COL), F.col(SEQ_COL))
-
-
 def head_per_group(df: DataFrame, group_col: str, order_cols, n: int) -> DataFrame:
     """First ``n`` rows of every group in the given order.
 
@@ -123,13 +118,3 @@ def write_if_nonempty(df: DataFrame, path: str, fmt: str = "parquet", **kw) -> b
         return False
     write_table(df, path, fmt, **kw)
     return True
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage output as a Parquet table under the session's
-    checkpoint folder and continue from the written copy (cuts lineage and
-    survives executor loss)."""
-    base = checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/tables/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -30,9 +30,6 @@ READINGS_SCHEMA = T.StructType([
 KEY_COLS = ("StationCode", "SampleDate")
 META_COLS = ("StationCode", "SampleDate", "StationName", "TargetLatitude",
              "TargetLongitude", "Region")
-# Output order of the wide table's leading columns.
-WIDE_LEAD = ("WaterQualityID", "StationCode", "StationName", "TargetLatitude",
-             "TargetLongitude", "Region", "SampleDate")
 
 # The nine domain analytes and their units.
 DOMAIN_UNITS = {
@@ -75,10 +72,11 @@ def nan_to_null(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
-def typed_from_text(df: DataFrame, schema: T.StructType, keep=()) -> DataFrame:
-    """Cast an all-text frame to ``schema`` by name: tokens -> NULL, numbers
-    that fail to parse -> NULL (try_cast), NaN -> NULL. Columns absent from
-    the input come out NULL; ``keep`` columns pass through unchanged."""
+def typed_from_text(df: DataFrame, schema: T.StructType, keep=(), strict: bool = False) -> DataFrame:
+    """Cast an all-text frame to ``schema`` by name: tokens -> NULL, NaN ->
+    NULL. A value that fails to parse is NULL, or with ``strict`` an error.
+    Columns absent from the input come out NULL; ``keep`` columns pass through
+    unchanged."""
     cols = []
     present = set(df.columns)
     for f in schema.fields:
@@ -90,14 +88,21 @@ def typed_from_text(df: DataFrame, schema: T.StructType, keep=()) -> DataFrame:
             v = raw
         else:
             v = raw.try_cast(f.dataType)
+            if strict:
+                v = F.when(raw.isNotNull() & v.isNull(), F.raise_error(F.concat(F.lit(f"{f.name}: cannot read "), raw))).otherwise(v)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
                 v = nan_to_null(v)
         cols.append(v.alias(f.name))
     return df.select(*cols, *[q(k) for k in keep])
 
 
-def clean_doubles(df: DataFrame, names) -> DataFrame:
-    """NaN -> NULL for the given double columns, other columns untouched."""
-    names = set(names)
-    return df.select(*[nan_to_null(q(c)).alias(c) if c in names else q(c)
-                       for c in df.columns])
+def reject_counts(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Values of an all-text frame that are neither missing nor readable as
+    ``schema`` says: column, n (a row for each typed column)."""
+    names = [f for f in schema.fields if f.name in df.columns and not isinstance(f.dataType, T.StringType)]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, n long")
+    bad = [F.count_if(null_tokens_to_null(q(f.name).cast("string")).isNotNull() & q(f.name).cast("string").try_cast(f.dataType).isNull()).alias(f"n{i}")
+           for i, f in enumerate(names)]
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"n{i}").alias("n")) for i, f in enumerate(names)])
+    return df.agg(*bad).select(F.inline(pairs))

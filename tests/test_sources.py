@@ -51,7 +51,7 @@ def test_geojson_polygon_and_multipolygon(spark, tmp_dir):
     feats = [{"type": "Feature", "properties": {"FIRE_NAME": "A", "ALARM_DATE": "2017-08-10 00:00:00+00:00",
                                                  "GIS_ACRES": "12.5", "fire_id": "7"}, "geometry": poly},
              {"type": "Feature", "properties": {"FIRE_NAME": "B", "ALARM_DATE": "2018-01-02",
-                                                 "GIS_ACRES": "NaN"}, "geometry": multi}]
+                                                 "GIS_ACRES": "NaN", "fire_id": "9"}, "geometry": multi}]
     with open(p, "w") as f:
         f.write("\n".join(json.dumps(x) for x in feats) + "\n")
     rows = {r["FIRE_NAME"]: r for r in read_geojson_polygons(spark, p).collect()}
@@ -64,3 +64,48 @@ def test_write_if_nonempty(spark, tmp_dir):
     empty = spark.createDataFrame([], "a int")
     assert not write_if_nonempty(empty, os.path.join(tmp_dir, "x"))
     assert write_if_nonempty(spark.range(3), os.path.join(tmp_dir, "y"), "csv")
+
+
+def _feature(name, fid=None, geometry=None):
+    props = {"FIRE_NAME": name, "ALARM_DATE": "2017-08-10"} | ({"fire_id": fid} if fid is not None else {})
+    return {"type": "Feature", "properties": props,
+            "geometry": geometry or {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}
+
+
+def test_feature_collections(spark, tmp_dir):
+    features = [_feature("A", "1"), _feature("B", "2")]
+    for indent, multi in ((None, False), (2, True)):
+        p = os.path.join(tmp_dir, f"c{indent}.geojson")
+        with open(p, "w") as f:
+            json.dump({"type": "FeatureCollection", "name": "x", "features": features}, f, indent=indent)
+        rows = read_geojson_polygons(spark, p, multi_line=multi).collect()
+        assert sorted((r["fire_id"], r["FIRE_NAME"], len(r["rings"])) for r in rows) == [(1, "A", 1), (2, "B", 1)]
+
+
+def test_missing_or_repeated_ids_number_the_layer(spark, tmp_dir):
+    for ids in ((None, "0"), ("7", "7"), (None, None)):
+        p = os.path.join(tmp_dir, f"ids{ids}.geojsonl")
+        _write(p, [json.dumps(_feature(n, i)) for n, i in zip(("NOID", "ZERO"), ids)])
+        assert sorted((r["fire_id"], r["FIRE_NAME"]) for r in read_geojson_polygons(spark, p).collect()) == [(0, "NOID"), (1, "ZERO")]
+
+
+@pytest.mark.parametrize("line", ['{"type": "Feature", "properties": {"FIRE_NAME": "A"}, "geometry": {"type": "Poly', '{"a": 1}',
+                                  json.dumps(_feature("P", geometry={"type": "Point", "coordinates": [1, 2]}))])
+def test_bad_perimeters_raise(spark, tmp_dir, line):
+    p = os.path.join(tmp_dir, "bad.geojsonl")
+    _write(p, [json.dumps(_feature("A", "1")), line])
+    with pytest.raises(Exception, match="MALFORMED|not a"):
+        read_geojson_polygons(spark, p).collect()
+
+
+def test_unreadable_values_and_quoted_line_ends(spark, tmp_dir):
+    from cinderwell.sources.files import read_csv_text
+    from cinderwell.sources.schema import READINGS_SCHEMA, reject_counts
+    p = os.path.join(tmp_dir, "q.csv")
+    _write(p, [HEADER, 'S1,1/2/2020,"two\nlines",34.5,-120.1,3,pH,<0.5,none', 'S2,1/2/2020,n,NA,-120.1,x,pH,7,none'])
+    rows = read_readings(spark, [p], multi_line=True).orderBy("StationCode").collect()
+    assert [(r["StationCode"], r["StationName"], r["Result"]) for r in rows] == [("S1", "two\nlines", None), ("S2", "n", 7.0)]
+    counts = {r["column"]: r["n"] for r in reject_counts(read_csv_text(spark, [p], multi_line=True), READINGS_SCHEMA).collect()}
+    assert counts == {"TargetLatitude": 0, "TargetLongitude": 0, "Region": 1, "Result": 1}
+    with pytest.raises(Exception, match="cannot read"):
+        read_readings(spark, [p], multi_line=True, strict=True).collect()

@@ -60,7 +60,41 @@ def test_three_stages(spark, tmp_dir):
     assert stage2["scenario_summary"].count() >= 0
     out = workflow.run_models(joined)
     rf = out["random_forest_results"].collect()
-    assert rf and all(r["n"] >= 100 for r in rf)
+    assert rf and all(r["n"] >= 100 for r in rf if r["status"] == "ok")
+    plan = stage2["scenario_results"]._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "within" not in plan  # reads the written join
     ranking = out["analyte_impact_ranking"].collect()
     assert {r["Analyte"] for r in ranking} == {"Dissolved Oxygen", "Turbidity", "pH"}
     assert abs(sum(r["Importance"] for r in ranking) - 1.0) < 2e-3
+
+
+def test_published_tables(spark, tmp_dir):
+    """Headers, order and rounding of what ``run_all`` writes."""
+    files, fires_path = _fixture(tmp_dir)
+    out = os.path.join(tmp_dir, "out")
+    workflow.run_all(spark, files, read_geojson_polygons(spark, fires_path), out)
+    read = lambda n: spark.read.option("header", True).csv(f"{out}/{n}")
+    assert read("random_forest_results").columns == ["Analyte", "R²", "top_feature", "n"]
+    assert read("gam_results").columns == ["Analyte", "R²", "Post-fire change", "Direction", "Accuracy", "Precision", "Recall", "F1", "n"]
+    assert read("analyte_impact_ranking").columns == ["Analyte", "Before", "After", "% Change", "Direction", "Importance"]
+    assert read("mixed_effects_results").columns == ["Analyte", "Coefficient", "p-value", "Significant", "Direction", "n_readings", "n_stations"]
+    assert read("scenario_summary").columns == ["scenario", "Analyte", "Mean Change", "p-value", "n_fires"]
+    assert {r["Analyte"] for r in read("scenario_summary").collect()} <= {"Oxygen", "Turbidity", "pH"}
+    assert [r["Analyte"] for r in read("analyte_units_reference").collect()] == sorted(UNITS)
+    fires = [r["Fire"] for r in read("fire_paired_results").collect()]
+    assert fires == sorted(fires)
+    r2 = [float(r["R²"]) for r in read("random_forest_results").collect()]
+    assert r2 == sorted(r2, reverse=True)
+    assert all(len(r["R²"].split(".")[1]) <= 4 for r in read("gam_results").collect())
+    assert {(r["table"], r["Analyte"]) for r in read("model_status").collect()} == {(t, a) for t in ("random_forest_results", "gam_results") for a in ("Oxygen", "Turbidity", "pH")}
+    assert "row_ord" not in read("all_stations_fire_joined").columns
+
+
+def test_unreadable_date_raises(spark, tmp_dir):
+    import pytest
+    p = os.path.join(tmp_dir, "a.csv")
+    with open(p, "w") as f:
+        f.write(HEADER + "\nS1,2020/01/04,n,1,2,3,pH,7,none\n")
+    with pytest.raises(Exception, match="cannot read 2020/01/04"):
+        workflow.load_readings(spark, [p]).collect()
+    assert workflow.load_readings(spark, [p], strict=False).first()["SampleDate"] is None
