@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from cinderwell.llm.arrowfiles import _filesystem
 from cinderwell.llm.common import or_empty, shared_folder, table
+from cinderwell.session import stable_checkpoint
 
 #: tokenizer versions that the query counts with
 VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
@@ -115,7 +116,8 @@ class Rollup:
         if batch in self.committed():
             return False
         new = F.struct((F.col("op") == "upsert").alias("upsert"), "n_tokens", "n_chars", "source", "lang")
-        last = changes.groupBy(*KEY).agg(F.max(new).alias("new"))
+        # counting is the dear part: the changes are computed once
+        last = stable_checkpoint(changes.groupBy(*KEY).agg(F.max(new).alias("new")))
         before = self.state(batch)
         known = (before["doc_id"].eqNullSafe(last["doc_id"])) & (before["version"].eqNullSafe(last["version"]))
         taken = before.join(last.select(*KEY), known, "left_semi").select(*ENTRY, F.lit(-1).cast("long").alias("sign"))
@@ -151,8 +153,8 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     rollup = Rollup(spark, shared_folder(spark, "token-rollup"))
     rollup.apply(1, counted(docs))
-    copies = later_copies(docs)
+    copies = stable_checkpoint(later_copies(docs))
     rollup.apply(2, deletes(copies))
     rollup.apply(2, deletes(copies))
-    rollup.apply(3, counted(without_repeated_lines(docs)).join(copies, "doc_id", "left_anti"))
+    rollup.apply(3, counted(without_repeated_lines(docs).join(copies, "doc_id", "left_anti")))
     return rollup.totals()
