@@ -20,11 +20,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def point(lon, lat) -> Column:
-    """Point struct from longitude/latitude columns."""
-    return F.struct(_c(lon).cast("double").alias("x"), _c(lat).cast("double").alias("y"))
-
-
 def _edge_indices(ring: Column) -> Column:
     # 0 .. size-2; empty for degenerate rings (sequence(0,-1) would count down).
     return F.when(F.size(ring) >= 2, F.sequence(F.lit(0), F.size(ring) - 2)) \
@@ -70,10 +65,6 @@ def within(px, py, rings) -> Column:
     return F.coalesce(px.isNotNull() & py.isNotNull() & inside, F.lit(False))
 
 
-def vertex_count(rings) -> Column:
-    return F.aggregate(_c(rings), F.lit(0), lambda acc, r: acc + F.size(r))
-
-
 def bbox(rings) -> dict[str, Column]:
     """Bounding box of all vertices: dict of minx, miny, maxx, maxy columns."""
     pts = F.flatten(_c(rings))

@@ -22,9 +22,6 @@ UP_DOWN_WORDS = ("↑ increased", "↓ decreased")
 UP_DOWN_ARROWS = ("↑", "↓")
 UP_DOWN_VERBS = ("↑ increases", "↓ decreases")
 
-SIGNIFICANCE = 0.05
-
-
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -49,19 +46,3 @@ def direction(c, words=UP_DOWN_ARROWS) -> Column:
     """Strictly positive is 'up'; zero, negative and NULL are 'down'."""
     up, down = words
     return F.when(_c(c) > 0, F.lit(up)).otherwise(F.lit(down))
-
-
-def significant(p) -> Column:
-    """P20: p < 0.05 (NULL p is not significant)."""
-    return F.coalesce(_c(p) < F.lit(SIGNIFICANCE), F.lit(False))
-
-
-def pct_change(before, after) -> Column:
-    """(after - before) / before * 100; NULL when before is 0."""
-    b, a = _c(before), _c(after)
-    return F.try_divide(a - b, b) * F.lit(100.0)
-
-
-def round_half_even(c, digits: int) -> Column:
-    """banker's rounding, as numpy/Python round do."""
-    return F.bround(_c(c), digits)

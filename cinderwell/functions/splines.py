@@ -3,17 +3,13 @@
 A feature with range [lo, hi] gets ``n_basis`` basis functions over
 ``n_basis - 3`` equal intervals. A value in interval j has exactly four
 non-zero weights, at basis indices j..j+3, given in closed form by the
-fractional position t inside the interval. The same closed form exists as
-a numpy kernel (for the Gram pass) and as Column expressions (for scoring
-rows and the effect grid inside the JVM).
+fractional position t inside the interval. One numpy kernel serves the Gram
+pass, scoring and the effect curve.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 ORDER = 3
 
 
@@ -41,44 +37,6 @@ def basis_np(x: np.ndarray, lo: float, hi: float, n_basis: int) -> np.ndarray:
     return out
 
 
-def position_col(x: Column, lo: float, hi: float, n_basis: int):
-    k = n_basis - ORDER
-    span = hi - lo if hi > lo else 1.0
-    u = F.least(F.greatest((x - F.lit(lo)) / F.lit(span), F.lit(0.0)), F.lit(1.0)) * F.lit(float(k))
-    j = F.least(F.floor(u), F.lit(k - 1)).cast("int")
-    return j, u - j
-
-
-def effect_from_position(j: Column, t: Column, coefs) -> Column:
-    """sum_k w_k(t) * coefs[j + k] for precomputed interval/position columns."""
-    beta = F.array(*[F.lit(float(c)) for c in coefs])
-    ws = _cubic_weights(t)
-    return sum((w * F.element_at(beta, j + (i + 1)) for i, w in enumerate(ws)), F.lit(0.0))
-
-
-def variance_from_position(j: Column, t: Column, cov_block) -> Column:
-    """w^T Cov w over the four active basis functions."""
-    cov_block = np.asarray(cov_block)
-    n_basis = cov_block.shape[0]
-    flat = F.array(*[F.lit(float(v)) for v in cov_block.ravel()])
-    ws = _cubic_weights(t)
-    terms = []
-    for a, wa in enumerate(ws):
-        for b, wb in enumerate(ws):
-            terms.append(wa * wb * F.element_at(flat, (j + a) * n_basis + (j + b) + 1))
-    return sum(terms, F.lit(0.0))
-
-
-def with_positions(df, specs: dict):
-    """Add ``<name>_j`` / ``<name>_t`` columns for {name: (x, lo, hi, n_basis)};
-    keeping them as columns keeps the generated code small."""
-    cols = {}
-    for name, (x, lo, hi, n_basis) in specs.items():
-        j, t = position_col(x, lo, hi, n_basis)
-        cols[f"{name}_j"], cols[f"{name}_t"] = j, t
-    return df.withColumns(cols)
-
-
 def second_difference_penalty(n_basis: int) -> np.ndarray:
     d = np.diff(np.eye(n_basis), n=2, axis=0)
     return d.T @ d

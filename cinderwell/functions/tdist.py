@@ -10,8 +10,15 @@ theta = atan(|t| / sqrt(v)):
 * v even:         A = sin(theta) * sum_{k=0}^{(v-2)/2} c_k cos^{2k} theta,
                    c_0 = 1, c_k = c_{k-1} * (2k-1)/(2k)
 
-and the two-sided p-value is 1 - A. The series is folded with
-``aggregate(sequence(...))`` so it stays a Catalyst expression.
+and the two-sided p-value is 1 - A. Far out (t^2 > v) that difference has no
+digits left; there the p-value is the tail series itself, with x = v / (v + t^2)
+(the incomplete beta function I_x(v/2, 1/2)):
+
+  p = C_v x^{v/2} sqrt(1 - x) sum_k prod_{j<k} (v + 1 + 2j) / (v + 2 + 2j) x^k,
+  C_1 = 2/pi, C_2 = 1/2, C_{v+2} = C_v (v + 1) / (v + 2).
+
+The series are folded with ``aggregate(sequence(...))`` so they stay Catalyst
+expressions.
 """
 
 from __future__ import annotations
@@ -40,6 +47,26 @@ def _series(cos2: Column, terms: Column, odd: bool) -> Column:
     return F.aggregate(ks, init, step, lambda acc: acc["total"])
 
 
+TAIL_TERMS = 60  # x <= 1/2, so the rest is below 2^-60 of the sum
+
+
+def _tail(t: Column, v: Column) -> Column:
+    vd = v.cast("double")
+    x = 1 / (1 + t * t / vd)
+    odd = F.pmod(v, F.lit(2)) == 1
+    steps = F.when(v >= 3, F.sequence(F.when(odd, 1).otherwise(2), v - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    log_c = F.aggregate(steps, F.when(odd, F.lit(math.log(2 / math.pi))).otherwise(F.lit(math.log(0.5))),
+                        lambda acc, u: acc + F.log((u + 1.0) / (u + 2.0)))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def step(acc, j):
+        term = acc["term"] * (vd + 1 + 2 * j) / (vd + 2 + 2 * j) * x
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(0), F.lit(TAIL_TERMS)), start, step, lambda acc: acc["total"])
+    return F.exp(log_c + vd / 2 * F.log(x)) * F.sqrt(1 - x) * series
+
+
 def t_two_sided_p(t, dof) -> Column:
     """p = P(|T_v| >= |t|) for integer v >= 1. Infinite |t| gives 0; NULL or
     NaN t gives NULL."""
@@ -51,29 +78,6 @@ def t_two_sided_p(t, dof) -> Column:
         F.lit(2 / math.pi) * (theta + s * c * _series(cos2, F.floor((v - 3) / 2).cast("int"), True)))
     even_a = s * _series(cos2, F.floor((v - 2) / 2).cast("int"), False)
     a = F.when(F.pmod(v, F.lit(2)) == 1, odd_a).otherwise(even_a)
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - a))
+    p = F.when(t * t > v, _tail(t, v)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - a)))
     return F.when(t.isNull() | F.isnan(t) | v.isNull() | (v < 1), F.lit(None).cast("double")) \
             .when(F.abs(t) == F.lit(float("inf")), F.lit(0.0)).otherwise(p)
-
-
-def t_sf_python(t: float, v: int) -> float:
-    """Same series in plain Python (tests cross-check the SQL with it)."""
-    theta = math.atan(abs(t) / math.sqrt(v))
-    s, c = math.sin(theta), math.cos(theta)
-    c2 = c * c
-    if v % 2 == 1:
-        if v == 1:
-            a = 2 * theta / math.pi
-        else:
-            term = total = 1.0
-            for k in range(1, (v - 3) // 2 + 1):
-                term *= (2 * k) / (2 * k + 1) * c2
-                total += term
-            a = 2 / math.pi * (theta + s * c * total)
-    else:
-        term = total = 1.0
-        for k in range(1, (v - 2) // 2 + 1):
-            term *= (2 * k - 1) / (2 * k) * c2
-            total += term
-        a = s * total
-    return min(1.0, max(0.0, 1 - a))

@@ -41,8 +41,9 @@ def station_stats(df: DataFrame, targets, x_col="post_fire", group_col="StationC
         F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"))
 
 
-def _grid_sums(stats: DataFrame, grids: dict) -> dict:
-    """{(analyte, g): sums} for every grid value of every analyte, one pass."""
+def grid_sums(stats: DataFrame, grids: dict) -> DataFrame:
+    """A row of sums for every grid value of every analyte, one pass. The grid
+    (some forty values an analyte) is the only broadcast side."""
     spark = stats.sparkSession
     rows = [(a, float(g)) for a, gs in grids.items() for g in gs]
     grid = spark.createDataFrame(rows, "Analyte string, gamma double")
@@ -55,7 +56,7 @@ def _grid_sums(stats: DataFrame, grids: dict) -> dict:
         F.sum(sxy - w * sx * sy).alias("b1"), F.sum(syy - w * sy * sy).alias("c"),
         F.sum(F.log1p(n * F.col("gamma"))).alias("logdet"), F.sum(n).alias("N"),
         F.count(F.lit(1)).alias("groups"))
-    return {(r["Analyte"], r["gamma"]): r.asDict() for r in agg.collect()}
+    return agg
 
 
 def _reml(s: dict):
@@ -92,7 +93,7 @@ def mixed_effects(df: DataFrame, targets, x_col="post_fire", group_col="StationC
         grids = {t: np.concatenate([[0.0], np.logspace(-6, 4, GRID)]) for t in targets}
         best: dict = {}
         for _ in range(ROUNDS):
-            sums = _grid_sums(stats, grids)
+            sums = {(r["Analyte"], r["gamma"]): r.asDict() for r in grid_sums(stats, grids).collect()}
             for t in targets:
                 cands = sorted(g for (a, g) in sums if a == t)
                 fits = [(g, _reml(sums[(t, g)])) for g in cands]

@@ -505,3 +505,16 @@ def q_mixed_station_stats(spark, d):
 
 
 QUERIES["mixed_station_stats"] = q_mixed_station_stats
+
+
+MIXED_RATIOS = (0.0, 0.01, 0.1, 1.0, 10.0)
+
+
+def q_mixed_grid_sums(spark, d):
+    """The sums of the mixed model's profiled likelihood at fixed variance
+    ratios."""
+    from cinderwell.operators.mixed import grid_sums, station_stats
+    return normalise(grid_sums(station_stats(_model(spark, d), A, "post_fire", "StationCode"), {a: MIXED_RATIOS for a in A}), 4)
+
+
+QUERIES["mixed_grid_sums"] = q_mixed_grid_sums

@@ -469,3 +469,14 @@ cells AS (SELECT a.target, a.i, b.i AS j, round(sum(a.v * b.v), 4) AS value
 
 
 SQL["gam_gram"] = _gram_sql()
+
+
+SQL["mixed_grid_sums"] = with_(model_ctes() + ",\nlong AS (" + "\n  UNION ALL ".join(
+    f"SELECT '{a}' AS Analyte, StationCode, CAST(post_fire AS DOUBLE) AS x, {qi(a)} AS y FROM model" for a in A) + """),
+st AS (SELECT Analyte, StationCode, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy
+  FROM long WHERE y IS NOT NULL AND x IS NOT NULL AND StationCode IS NOT NULL GROUP BY Analyte, StationCode),
+ratio(gamma) AS (VALUES (0.0::DOUBLE), (0.01::DOUBLE), (0.1::DOUBLE), (1.0::DOUBLE), (10.0::DOUBLE)),
+w AS (SELECT *, gamma / (1 + n * gamma) AS w FROM st, ratio)""",
+    f"""SELECT Analyte, gamma, {rnd('sum(n - w * n * n)', 4)} AS a00, {rnd('sum(sx - w * n * sx)', 4)} AS a01, {rnd('sum(sxx - w * sx * sx)', 4)} AS a11,
+  {rnd('sum(sy - w * n * sy)', 4)} AS b0, {rnd('sum(sxy - w * sx * sy)', 4)} AS b1, {rnd('sum(syy - w * sy * sy)', 4)} AS c,
+  {rnd('sum(ln(1 + n * gamma))', 4)} AS logdet, {rnd('sum(n)', 4)} AS N, count(*) AS groups FROM w GROUP BY Analyte, gamma""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cinderwell.functions.dates import parse_date, parse_utc_timestamp
 from cinderwell.functions.geometry import AlbersParams, albers_inverse, wkt_point
-from cinderwell.functions.labels import DISPLAY_NAMES, direction, lookup, pct_change, short_label
+from cinderwell.functions.labels import DISPLAY_NAMES, direction, lookup, short_label
 
 
 def test_parse_dates(spark):
@@ -35,10 +35,9 @@ def test_labels(spark):
     df = spark.createDataFrame([("Phosphorus as P, Total", 0.0, 2.0, 0.0), ("pH", 1.0, 0.5, -1.0)],
                                "a string, b double, af double, ch double")
     r = df.select(short_label("a").alias("s"), lookup("a", DISPLAY_NAMES).alias("n"),
-                  pct_change("b", "af").alias("p"), direction("ch").alias("d")).collect()
+                  direction("ch").alias("d")).collect()
     assert [x["s"] for x in r] == ["Phosphorus as P", "pH"]
     assert [x["n"] for x in r] == ["Phosphorus", "pH"]
-    assert r[0]["p"] is None and r[1]["p"] == -50.0
     assert [x["d"] for x in r] == ["↓", "↓"]
 
 

@@ -61,12 +61,6 @@ def test_hash_split_exact_size_and_stratified(spark):
         assert st.where(f"is_test and lab = {lab}").count() == math.ceil(0.2 * n)
 
 
-def test_rounding_half_even(spark):
-    from cinderwell.functions.labels import round_half_even
-    df = spark.createDataFrame([(0.00025,)], "v double")
-    assert df.select(round_half_even("v", 4).alias("r")).first()["r"] == 0.0002
-
-
 def test_exact_size_with_repeated_and_null_keys(spark):
     rows = [(f"k{i // 7}" if i % 5 else None, i) for i in range(98)]
     df = spark.createDataFrame(rows, "k string, i int")

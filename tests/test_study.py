@@ -1,11 +1,12 @@
 """Event time, windows and the event study (FIXTURES §3)."""
 
+import math
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from cinderwell.functions.dates import days_between, season_of_month
-from cinderwell.functions.tdist import t_sf_python
+
 from cinderwell.operators import study
 
 SCHEMA = ("FIRE_NAME string, days_since_fire int, GIS_ACRES double, StationCode string, "
@@ -129,3 +130,28 @@ def test_nan_is_missing(spark):
     raw = spark.createDataFrame([("NaN",), ("nan",), ("2.5",), ("-0.005",)], "Result string")
     got = [r["Result"] for r in typed_from_text(raw, READINGS_SCHEMA).collect()]
     assert got == [None, None, 2.5, -0.005]
+
+
+def t_sf_python(t: float, v: int) -> float:
+    """The two-sided p-value by Simpson's rule on the density."""
+    log_k = math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(v * math.pi)
+    n, b = 20_000, abs(t)
+    f = lambda x: math.exp(log_k - (v + 1) / 2 * math.log1p(x * x / v))
+    h = b / n
+    area = sum((1 if i in (0, n) else 4 if i % 2 else 2) * f(i * h) for i in range(n + 1)) * h / 3
+    return 1 - 2 * area
+
+
+def test_far_tail_keeps_its_digits(spark):
+    from pyspark.sql import functions as F
+
+    from cinderwell.functions.tdist import t_two_sided_p
+    rows = [(t, v) for t in (1.5, 3.0, 9.0, 20.0, 1e6) for v in (1, 2, 4, 60, 100)]
+    got = {(r["t"], r["v"]): r["p"] for r in spark.createDataFrame(rows, "t double, v int").withColumn("p", t_two_sided_p("t", "v")).collect()}
+    for t in (1.5, 9.0, 1e6):
+        assert math.isclose(got[t, 1], 2 / math.pi * math.atan(1 / t), rel_tol=1e-9)
+        r = t / math.sqrt(2 + t * t)
+        assert math.isclose(got[t, 2], 2 / (2 + t * t) / (1 + r), rel_tol=1e-9)
+    assert 0 < got[20.0, 100] < 1e-30 and 0 < got[9.0, 60] < 2e-12 and got[1e6, 100] == 0.0
+    for t, v in ((1.5, 60), (3.0, 4), (3.0, 100)):
+        assert math.isclose(got[t, v], t_sf_python(t, v), rel_tol=1e-7)
