@@ -1,7 +1,7 @@
 """WARC derivatives: metadata and conversion records from responses.
 
-Records are rows: ``record_id``, ``type``, ``headers`` (the WARC named fields in
-order, names as written) and ``block`` (bytes). For each response ``derive``
+Records are rows: ``record_id``, ``type``, ``headers`` (the WARC named fields as
+they stand in a file, a line each) and ``block`` (bytes). For each response ``derive``
 adds a ``metadata`` record (JSON: the response's WARC fields, its HTTP status
 and headers, and the page's title, meta tags and links) and a ``conversion``
 record (plain text of the page). Both name the response in
@@ -21,7 +21,6 @@ length are converted whole. An empty table gives no records and no files.
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import html
@@ -38,11 +37,11 @@ from pyspark.sql import functions as F
 from cinderwell.llm.arrowfiles import _filesystem
 from cinderwell.llm.common import or_empty, shared_folder, table
 
-RECORD = "record_id string, type string, headers array<struct<name string, value string>>, block binary"
-_HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
-_RECORD = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("headers", _HEADERS), ("block", pa.binary())])
+RECORD = "record_id string, type string, headers string, block binary"
+_RECORD = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("headers", pa.string()), ("block", pa.binary())])
 ROLL = 16_000_000
 LEVEL = 1
+PIECE = 8192
 BATCH = 256
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -57,8 +56,15 @@ _LINK = re.compile(r"<a\b([^>]*)>(.*?)(?=</a\s*>|<a\b|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w:]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
+#: two base-32 digits for each ten bits
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_PAIRS = [a + b for a in _DIGITS for b in _DIGITS]
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """SHA-1 in base 32, as WARC files have it."""
+    n = int.from_bytes(hashlib.sha1(data).digest(), "big")
+    return "sha1:" + "".join([_PAIRS[n >> shift & 1023] for shift in range(150, -1, -10)])
 
 
 def derived_id(record_id: str, kind: str) -> str:
@@ -126,17 +132,18 @@ def derivatives(record_id: str, headers: list[tuple[str, str]], block: bytes) ->
     by = {n.lower(): v for n, v in headers}
     status, http, payload = http_message(block)
     page = _decoded(payload, http)
+    entity = digest(payload)
     title = _TITLE.search(page)
     metas = [a for a in map(_attributes, _META.findall(page)) if a]
     links = [{"url": a["href"], "text": _line(t)} for a, t in ((_attributes(tag), t) for tag, t in _LINK.findall(page)) if "href" in a]
     meta_id, text_id = derived_id(record_id, "metadata"), derived_id(record_id, "conversion")
     envelope = {"WARC-Header-Metadata": [list(x) for x in headers], "Block-Digest": by.get("warc-block-digest") or digest(block),
-                "HTTP-Response-Metadata": {"Response-Message": status, "Headers": http, "Entity-Length": len(payload), "Entity-Digest": digest(payload)},
+                "HTTP-Response-Metadata": {"Response-Message": status, "Headers": http, "Entity-Length": len(payload), "Entity-Digest": entity},
                 "HTML-Metadata": {"Title": _line(title[1]) if title else None, "Metas": metas, "Links": links}}
     kept = [(n, by[n.lower()]) for n in ("WARC-Target-URI", "WARC-Date") if n.lower() in by]
     # other named fields of the source, such as a crawler's own, go along
     kept += [(n, v) for n, v in headers if n.lower().startswith("x-")]
-    source = by.get("warc-payload-digest") or digest(payload)
+    source = by.get("warc-payload-digest") or entity
 
     def record(own: str, other: str, kind: str, content: str, body: bytes) -> tuple:
         fields = [("WARC-Type", kind), ("WARC-Record-ID", own), *kept, ("WARC-Refers-To", record_id), ("WARC-Concurrent-To", other),
@@ -148,7 +155,7 @@ def derivatives(record_id: str, headers: list[tuple[str, str]], block: bytes) ->
 
 
 def _batches(rows):
-    """Rows (record_id, type, [(name, value)], block) as record batches."""
+    """Rows (record_id, type, headers, block) as record batches."""
     held, size = [], 0
     for r in rows:
         held.append(r)
@@ -160,22 +167,29 @@ def _batches(rows):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    fields = [[{"name": n, "value": v} for n, v in r[2]] for r in rows]
-    columns = [[r[0] for r in rows], [r[1] for r in rows], fields, [r[3] for r in rows]]
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _RECORD)], schema=_RECORD)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RECORD)], schema=_RECORD)
+
+
+def lines_of(fields: list[tuple[str, str]]) -> str:
+    return "".join([f"{n}: {' '.join(v.splitlines())}\r\n" for n, v in fields])
+
+
+def fields_of(lines: str) -> list[tuple[str, str]]:
+    return [(n.strip(), v.strip()) for n, found, v in (x.partition(":") for x in lines.split("\r\n")) if found]
 
 
 def _rows(batch: pa.RecordBatch):
     for a in range(0, batch.num_rows, BATCH):
         part = batch.slice(a, BATCH)
-        for i, kind, fields, block in zip(*(part.column(n).to_pylist() for n in ("record_id", "type", "headers", "block"))):
-            yield i, kind, [(f["name"], f["value"]) for f in fields or []], block or b""
+        for i, kind, lines, block in zip(*(part.column(n).to_pylist() for n in ("record_id", "type", "headers", "block"))):
+            yield i, kind, lines or "", block or b""
 
 
 def derive(records: DataFrame) -> DataFrame:
     """Response records -> their metadata and conversion records."""
     def each(batches):
-        yield from _batches(r for b in batches for i, kind, fields, block in _rows(b) if kind == "response" for r in derivatives(i, fields, block))
+        yield from _batches((own, made, lines_of(fields), body) for b in batches for i, kind, lines, block in _rows(b) if kind == "response"
+                            for own, made, fields, body in derivatives(i, fields_of(lines), block))
 
     return records.select("record_id", "type", "headers", "block").mapInArrow(each, RECORD)
 
@@ -197,16 +211,15 @@ def responses(pages: DataFrame, date: str, page_id: str = "page_id", url: str =
                         fields = [("WARC-Type", "response"), ("WARC-Record-ID", own), ("WARC-Target-URI", target), ("WARC-Date", date),
                                   ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(payload)),
                                   ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
-                        yield own, "response", fields + ([("X-Page-ID", i)] if i is not None else []), block
+                        yield own, "response", lines_of(fields + ([("X-Page-ID", i)] if i is not None else [])), block
 
         yield from _batches(records())
 
     return rows.mapInArrow(each, RECORD)
 
 
-def _member(fields: list[tuple[str, str]], block: bytes) -> bytes:
-    head = "WARC/1.1\r\n" + "".join(f"{n}: {' '.join(str(v).splitlines())}\r\n" for n, v in fields) + "\r\n"
-    return gzip.compress(head.encode() + block + b"\r\n\r\n", LEVEL, mtime=0)
+def _member(lines: str, block: bytes) -> bytes:
+    return gzip.compress(f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
 def write(records: DataFrame, folder: str) -> int:
@@ -223,11 +236,11 @@ def write(records: DataFrame, folder: str) -> int:
             fs.move(f"{names[-1]}.{tag}", names[-1])
 
         for b in batches:
-            for _, _, fields, block in _rows(b):
+            for _, _, lines, block in _rows(b):
                 if sink is None:
                     names.append(f"{base}/part-{part:06d}-{len(names):04d}.warc.gz")
                     sink, size = fs.open_output_stream(f"{names[-1]}.{tag}", compression=None), 0
-                data = _member(fields, block)
+                data = _member(lines, block)
                 sink.write(data)
                 size += len(data)
                 if size >= ROLL:
@@ -240,22 +253,35 @@ def write(records: DataFrame, folder: str) -> int:
     return records.select("record_id", "type", "headers", "block").mapInArrow(each, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def _members(data: bytes):
+    """Contents of the gzip members of a file, or of a plain file."""
+    at = 0
+    while at < len(data):
+        if data[at:at + 2] != b"\x1f\x8b":
+            yield data[at:]
+            return
+        member, parts = zlib.decompressobj(31), []
+        while at < len(data) and not member.eof:
+            parts.append(member.decompress(data[at:at + PIECE]))
+            at += len(data[at:at + PIECE])
+        at -= len(member.unused_data)
+        yield b"".join(parts)
+
+
 def parsed(data: bytes):
     """Records of a WARC file, gzipped by member or plain."""
-    while data:
-        if data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            text = member.decompress(data)
-            data = member.unused_data
-        else:
-            text, data = data, b""
-        while text.strip(b"\r\n"):
-            head, _, rest = text.lstrip(b"\r\n").partition(b"\r\n\r\n")
-            fields = [(n.strip(), v.strip()) for n, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])]
-            by = {n.lower(): v for n, v in fields}
+    for text in _members(data):
+        at = 0
+        while (end := text.find(b"\r\n\r\n", at)) >= 0:
+            head = text[at:end].lstrip(b"\r\n").decode("utf-8", "replace")
+            if not head:  # the end of a record
+                at = end + 2
+                continue
+            lines = head.partition("\r\n")[2] + "\r\n"
+            by = {n.lower(): v for n, v in fields_of(lines)}
             n = int(by.get("content-length") or 0)
-            yield by.get("warc-record-id"), by.get("warc-type"), fields, rest[:n]
-            text = rest[n:]
+            yield by.get("warc-record-id"), by.get("warc-type"), lines, text[end + 4:end + 4 + n]
+            at = end + 4 + n
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -267,7 +293,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def field(name: str):
     """The value of a named field, null if there is none."""
-    return F.get(F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == name.lower()), lambda h: h["value"]), F.lit(0))
+    return F.nullif(F.regexp_extract("headers", rf"(?im)^{re.escape(name)}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

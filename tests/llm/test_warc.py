@@ -47,18 +47,23 @@ def test_round_trip_through_files(spark, tmp_path, monkeypatch):
     made = warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string"), "2024-01-01T00:00:00Z")).persist()
     assert warc.write(made, str(tmp_path / "w")) >= 1
     back = warc.read(spark, str(tmp_path / "w"))
-    key = lambda r: (r.record_id, r.type, str(r.headers), bytes(r.block))
+    key = lambda r: (r.record_id, r.type, r.headers, bytes(r.block))
     assert sorted(map(key, back.collect())) == sorted(map(key, made.collect())) and back.count() == 2 * len(pages)
     assert not [p.name for p in (tmp_path / "w").iterdir() if not p.name.endswith((".gz", ".crc"))]
 
 
 def test_plain_file_and_several_records():
-    member = gzip.decompress(warc._member([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("Content-Length", "9")], b"\r\n\r\nab\r\n\n"))
-    assert [(r[0], r[3]) for r in warc.parsed(member * 2)] == [("<a>", b"\r\n\r\nab\r\n\n")] * 2
+    lines = warc.lines_of([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("X-Odd", "a: b\nc"), ("Content-Length", "9")])
+    assert warc.fields_of(lines)[2] == ("X-Odd", "a: b c")
+    packed = warc._member(lines, b"\r\n\r\nab\r\n\n")
+    empty = warc._member(warc.lines_of([("WARC-Type", "metadata"), ("WARC-Record-ID", "<b>"), ("Content-Length", "0")]), b"")
+    want = [("<a>", lines, b"\r\n\r\nab\r\n\n"), ("<b>", None, b"")] * 3
+    for data in ((packed + empty) * 3, gzip.decompress(packed + empty) * 3):
+        assert [(r[0], r[2] if r[0] == "<a>" else None, r[3]) for r in warc.parsed(data)] == want
 
 
 def test_other_types_pass_and_empty_tables(spark, tmp_path):
-    rows = [("<1>", "request", [], b"x"), ("<2>", "response", None, None)]
+    rows = [("<1>", "request", "", b"x"), ("<2>", "response", None, None)]
     out = warc.derive(spark.createDataFrame(rows, warc.RECORD)).collect()
     assert [r.type for r in out] == ["metadata", "conversion"]
     d = write_table(spark, tmp_path, "pages", spark.createDataFrame([], "page_id long, url string, html string"))
