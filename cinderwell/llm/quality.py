@@ -95,7 +95,7 @@ def with_features(docs: DataFrame, text: str = "text", keep: list[str] | None =
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…。]" + SPACE_CLASS + r"*$"))).cast("long").alias("n_ended_lines"),
+        F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…。]" + SPACE_CLASS + r"*\z"))).cast("long").alias("n_ended_lines"),
         F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
     done = ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_ended_lines", "n_upper"]
@@ -229,3 +229,72 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, keep=["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    """The same counts by unnesting, the same fit as a recursive query over one
+    row of vote patterns (lists are numbered from 1 there)."""
+    words, space, steps = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]", N_RULES + 1
+    own, other = list(PRIOR_OWN), list(PRIOR_OTHER)
+    vote = lambda bad, good="false": f"CASE WHEN {bad} THEN 1 WHEN {good} THEN 0 ELSE 2 END"
+    length = "(word_chars / greatest(n_words, 1))"
+    votes = ", ".join([
+        vote(f"n_words < {MIN_WORDS}", "n_words >= 50"),
+        vote("n_symbols / greatest(n_words, 1) > 0.1"),
+        vote("n_repeat_words / greatest(n_words, 1) > 0.2"),
+        vote("n_dup_lines / greatest(n_lines, 1) > 0.3"),
+        vote("n_stutters / greatest(n_words, 1) > 0.2"),
+        vote(f"n_words > 0 AND NOT ({length} BETWEEN 2.5 AND 12)", f"{length} BETWEEN 3.5 AND 8"),
+        vote("n_words > 0 AND n_ended_lines / greatest(n_lines, 1) < 0.3", "n_words > 0 AND n_ended_lines / greatest(n_lines, 1) >= 0.7"),
+        vote("n_upper / greatest(word_chars, 1) > 0.3")])
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '{words}') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{words}')) AS lines
+  FROM documents),
+grams AS (SELECT rn, i, list_slice(w, i, i + {WINDOW - 1}) AS g FROM (SELECT rn, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+twice AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, g) AS n FROM grams) WHERE n > 1),
+covered AS (
+  SELECT rn, sum(least({WINDOW}, coalesce(next - i, {WINDOW}))) AS n
+  FROM (SELECT rn, i, lead(i) OVER (PARTITION BY rn ORDER BY i) AS next FROM twice) GROUP BY rn),
+f AS (
+  SELECT rn, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+         length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         len(lines) AS n_lines, len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…。]{space}*\z'))) AS n_ended_lines,
+         length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters, coalesce(covered.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN covered USING (rn)),
+voted AS (SELECT *, [{votes}] AS v FROM f),
+patterns AS (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY v),
+em(k, post) AS (
+  SELECT 0, list({{'n': n, 'v': v, 'g': list_transform(range({steps}), lambda c:
+    CASE WHEN NOT list_contains(v, 1) THEN CASE WHEN c = 0 THEN 0.9 ELSE 0.1 / {N_RULES} END
+         WHEN c = 0 THEN 0.1 ELSE CASE WHEN v[c] = 1 THEN 0.9 ELSE 0.0 END / len(list_filter(v, lambda x: x = 1)) END::DOUBLE)}} ORDER BY v)
+  FROM patterns
+  UNION ALL
+  SELECT k + 1, list_transform(likely, lambda p: {{'n': p.n, 'v': p.v, 'g': list_transform(p.g, lambda x: x / list_sum(p.g))}})
+  FROM (
+    SELECT k, list_transform(post, lambda p: {{'n': p.n, 'v': p.v, 'g': list_transform(range({steps}), lambda c:
+      exp(weight[c + 1] + list_sum(list_transform(range({N_RULES}), lambda j: rate[c + 1][j + 1][p.v[j + 1] + 1]))))}}) AS likely
+    FROM (
+      SELECT k, post, weight, list_transform(range({steps}), lambda c: list_transform(counted[c + 1], lambda by_vote: list_transform(range(3), lambda t:
+               ln(greatest(by_vote[t + 1] / list_sum(by_vote), CASE WHEN c = 0 AND t = 1 THEN {RULE_ERROR} ELSE 1e-6 END))))) AS rate
+      FROM (
+        SELECT k, post,
+               list_transform(range({steps}), lambda c: ln((list_sum(list_transform(post, lambda p: p.n * p.g[c + 1])) + 1.0)
+                 / (list_sum(list_transform(post, lambda p: p.n)) + {N_RULES} + 1.0))) AS weight,
+               list_transform(range({steps}), lambda c: list_transform(range({N_RULES}), lambda j: list_transform(range(3), lambda t:
+                 list_sum(list_transform(post, lambda p: CASE WHEN p.v[j + 1] = t THEN p.n * p.g[c + 1] ELSE 0.0 END))
+                 + CASE WHEN c = j + 1 THEN {own}[t + 1] ELSE {other}[t + 1] END))) AS counted
+        FROM em WHERE k < {ITERATIONS} AND len(post) > 0)))),
+fit AS (SELECT p.v AS v, p.g[1] AS posterior FROM (SELECT unnest(post) AS p FROM em WHERE k = {ITERATIONS})),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM voted JOIN fit USING (v))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND posterior >= {THRESHOLD} AS kept
+FROM judged
+"""
+
+
+OP3_SQL = _sql()

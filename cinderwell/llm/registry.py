@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_quality_rules": quality.OP3_SQL,
     "op6_license_scan": licenses.OP6_SQL,
     "op7_url_filter": urls.OP7_SQL,
 }
