@@ -42,7 +42,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: encoded cuts and pair tests a worker remembers, characters of new cuts that
 #: are indexed at once, and characters of text that are in work at once
-MEMO_CUTS, MEMO_PAIRS, INDEX_CHARS, TEXT_CHARS = 300_000, 400_000, 400_000, 4_000_000
+MEMO_CUTS, MEMO_PAIRS, INDEX_CHARS, TEXT_CHARS = 200_000, 250_000, 300_000, 3_000_000
+ROWS = 1000
 SLOT_BITS = 20
 NO_SCORE = float("-inf")
 
@@ -406,28 +407,38 @@ def load(path: str) -> tuple[Matcher, Decoder]:
     return Matcher(pieces, _model_type(sp.serialized_model_proto()) == 2, table_, sp.unk_id(), sp.normalize), Decoder(surfaces, leading)
 
 
+def _list_array(rows: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
 def ids_column(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        rows = load(path)[0].encode(texts.to_pylist())
-        ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+        matcher = load(path)[0]
+        parts = [_list_array(matcher.encode(texts.slice(a, ROWS).to_pylist())) for a in range(0, len(texts), ROWS)]
+        return pa.concat_arrays(parts) if parts else _list_array([])
 
     return encode(or_empty(text))
 
 
-def both_columns(text: Column, path: str) -> Column:
-    """struct(ids, decoded): encoded and decoded again in one pass."""
-    @F.arrow_udf("ids array<int>, decoded string")
-    def encode(texts: pa.Array) -> pa.Array:
+def recoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """(doc_id, n_ids, ids, decoded): encoded and decoded again in one pass that
+    holds ``ROWS`` rows at a time."""
+    path = path or model_path()
+
+    def each(batches):
         matcher, decoder = load(path)
-        rows = matcher.encode(texts.to_pylist())
-        ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-        decoded = pa.array((decoder.decode(np.frombuffer(r, np.int32).tolist()) for r in rows), pa.string())
-        return pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                rows = matcher.encode(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), pa.array([len(r) // 4 for r in rows], pa.int32()), _list_array(rows),
+                    pa.array([decoder.decode(np.frombuffer(r, np.int32).tolist()) for r in rows], pa.string())], ["doc_id", "n_ids", "ids", "decoded"])
 
-    return encode(or_empty(text))
+    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), or_empty(docs[f"`{text}`"]).alias("text"))
+    return rows.mapInArrow(each, "doc_id long, n_ids int, ids array<int>, decoded string")
 
 
 def text_column(ids: Column, path: str) -> Column:
@@ -452,6 +463,4 @@ def decoded(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataF
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    both = docs.select("doc_id", both_columns(F.col("text"), model_path()).alias("both"))
-    return both.select("doc_id", F.size("both.ids").alias("n_ids"), "both.ids", "both.decoded")
+    return recoded(table(spark, sf_dir, "documents"))
