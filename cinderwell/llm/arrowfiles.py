@@ -48,6 +48,7 @@ MEMO = 1_200_000
 #: where byte-level BPE's first split always falls: before a single space,
 #: between a letter and punctuation or a line end, after a single line end
 CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[^\W\d_])(?=[.,;:!?#$%*&|\n])|(?<=\S\n)(?=\S)")
+MARKS = ".,;:!?"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -82,9 +83,15 @@ class Encoder(dict):
         return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, cut: str) -> bytes:
-        # a new word may end in punctuation: its parts are likely known
-        parts = CUT.sub("\0", cut).split("\0")
-        ids = self[cut] = b"".join([self[p] for p in parts]) if len(parts) > 1 else self.ids(cut)
+        word = cut[1:] if cut[:1] == " " else cut
+        if word.isalpha():
+            ids = self.ids(cut)
+        elif word[-1:] in MARKS and word[:-1].isalpha():  # its parts are likely known
+            ids = self[cut[:-1]] + self[cut[-1]]
+        else:
+            parts = CUT.sub("\0", cut).split("\0")
+            ids = b"".join([self[p] for p in parts]) if len(parts) > 1 else self.ids(cut)
+        self[cut] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
