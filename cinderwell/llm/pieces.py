@@ -42,8 +42,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: encoded cuts and pair tests a worker remembers, characters of new cuts that
 #: are indexed at once, and characters of text that are in work at once
-MEMO_CUTS, MEMO_PAIRS, INDEX_CHARS, TEXT_CHARS = 200_000, 250_000, 300_000, 3_000_000
-ROWS = 1000
+MEMO_CUTS, MEMO_PAIRS, INDEX_CHARS, TEXT_CHARS = 120_000, 150_000, 100_000, 1_000_000
+ROWS = 300
 SLOT_BITS = 20
 NO_SCORE = float("-inf")
 
