@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinderwell.llm.common import or_empty, shared_folder, shuffle_partitions, table
+from cinderwell.llm.common import or_empty, shared_folder, shuffle_partitions, small_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -222,7 +222,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([writer.offset], pa.int64())], ["shard", "n"])
 
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), or_empty(docs[f"`{text}`"]).alias("text"))
-    rows = rows.repartitionByRange(parts or shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = small_batches(rows).repartitionByRange(parts or shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     # a row for each shard
     return sorted((r["shard"], r["n"]) for r in rows.mapInArrow(shard, "shard int, n long").collect())
 

@@ -55,3 +55,18 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     """A fresh folder name below the shared checkpoint folder. Nothing is
     created here; the writer does that."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+#: rows of whole texts in an Arrow batch at most
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, in a session that sends at most ``BATCH_ROWS`` rows to a
+    Python worker at once. Rows of whole texts are wide; Spark's 10,000 of them
+    would hold hundreds of megabytes on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df

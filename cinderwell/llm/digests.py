@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderwell.llm.common import or_empty, shuffle_partitions, table
+from cinderwell.llm.common import or_empty, shuffle_partitions, small_batches, table
 
 WINDOW = 5
 #: places in the window of each triplet; the first is the newest byte
@@ -174,7 +174,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Digest of each whole text and of its splice with the next document, and
     the likeness of its digest to the splice's and to the next document's."""
-    return with_next(docs, doc_id, text, parts).mapInArrow(
+    return with_next(small_batches(docs), doc_id, text, parts).mapInArrow(
         _read_through, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderwell.llm.common import or_empty, table
+from cinderwell.llm.common import or_empty, small_batches, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -438,7 +438,7 @@ def recoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
                     pa.array([decoder.decode(np.frombuffer(r, np.int32).tolist()) for r in rows], pa.string())], ["doc_id", "n_ids", "ids", "decoded"])
 
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), or_empty(docs[f"`{text}`"]).alias("text"))
-    return rows.mapInArrow(each, "doc_id long, n_ids int, ids array<int>, decoded string")
+    return small_batches(rows).mapInArrow(each, "doc_id long, n_ids int, ids array<int>, decoded string")
 
 
 def text_column(ids: Column, path: str) -> Column:
@@ -452,6 +452,7 @@ def text_column(ids: Column, path: str) -> Column:
 
 def encoded(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """Replaces ``text`` by ``ids`` (array<int>) and ``n_ids``."""
+    docs = small_batches(docs)
     rest = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in (text.lower(), "ids", "n_ids")]
     out = docs.select(*rest, ids_column(docs[f"`{text}`"], path or model_path()).alias("ids"))
     return out.withColumn("n_ids", F.size("ids"))
@@ -459,7 +460,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
 
 def decoded(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """Adds ``decoded``, the text of the ids."""
-    return docs.withColumn("decoded", text_column(docs[f"`{ids}`"], path or model_path()))
+    return small_batches(docs).withColumn("decoded", text_column(docs[f"`{ids}`"], path or model_path()))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderwell.llm.arrowfiles import _filesystem
-from cinderwell.llm.common import or_empty, shared_folder, table
+from cinderwell.llm.common import or_empty, shared_folder, small_batches, table
 from cinderwell.session import stable_checkpoint
 
 #: tokenizer versions that the query counts with
@@ -69,6 +69,7 @@ def counted(docs: DataFrame, versions: tuple = VERSIONS) -> DataFrame:
     documents under each tokenizer version."""
     import public_tokenizers as public
 
+    docs = small_batches(docs)
     text = docs["text"]
     each = [F.struct(F.lit(v).alias("version"), token_count(text, public.path(f"{v}.tiktoken"), public.PATTERN).alias("n_tokens")) for v in versions]
     out = docs.select(F.lit("upsert").alias("op"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), docs["lang"].alias("lang"),

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderwell.llm.common import or_empty, packed, table, unpacked
+from cinderwell.llm.common import or_empty, packed, small_batches, table, unpacked
 from cinderwell.session import stable_checkpoint
 
 SHINGLE = 3
@@ -230,6 +230,7 @@ def groups(marked: DataFrame, member: str, max_bits: int = MAX_BITS, blocks: int
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
+    docs = small_batches(docs)
     marked = stable_checkpoint(docs.select(docs[f"`{doc_id}`"].alias("doc_id"), fingerprint_column(docs[f"`{text}`"]).alias("fp")))
     return marked.join(groups(marked, "doc_id", **how).withColumnRenamed("component", "component_id"), "fp", "left") \
         .select("doc_id", "fp", "component_id")
@@ -239,6 +240,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **h
     """One row of each group of near-duplicates, the one with the smallest
     doc_id (null last; then the smallest text hash), all columns as they were.
     The texts are hashed where they lie and moved once, for the final join."""
+    docs = small_batches(docs)
     key = F.struct(docs[f"`{doc_id}`"].isNull().alias("none"), docs[f"`{doc_id}`"].alias("id"),
                    F.xxhash64(docs[f"`{text}`"]).alias("h"))
     marked = stable_checkpoint(docs.select(key.alias("key"), fingerprint_column(docs[f"`{text}`"]).alias("fp")))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderwell.llm.arrowfiles import _filesystem
-from cinderwell.llm.common import or_empty, shared_folder, table
+from cinderwell.llm.common import or_empty, shared_folder, small_batches, table
 
 RECORD = "record_id string, type string, headers string, block binary"
 _RECORD = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("headers", pa.string()), ("block", pa.binary())])
@@ -191,7 +191,7 @@ def derive(records: DataFrame) -> DataFrame:
         yield from _batches((own, made, lines_of(fields), body) for b in batches for i, kind, lines, block in _rows(b) if kind == "response"
                             for own, made, fields, body in derivatives(i, fields_of(lines), block))
 
-    return records.select("record_id", "type", "headers", "block").mapInArrow(each, RECORD)
+    return small_batches(records).select("record_id", "type", "headers", "block").mapInArrow(each, RECORD)
 
 
 def responses(pages: DataFrame, date: str, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -215,7 +215,7 @@ def responses(pages: DataFrame, date: str, page_id: str = "page_id", url: str =
 
         yield from _batches(records())
 
-    return rows.mapInArrow(each, RECORD)
+    return small_batches(rows).mapInArrow(each, RECORD)
 
 
 def _member(lines: str, block: bytes) -> bytes:
