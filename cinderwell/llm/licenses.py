@@ -79,8 +79,7 @@ def words_of(text: Column) -> Column:
 
 
 def idf(words: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """Word arrays ``w`` (distinct words suffice) -> idf of each word of the
-    vocabulary, over all rows. The result has one row a word."""
+    """Word arrays ``w`` -> idf of each word of the vocabulary, over all rows. The result has one row a word."""
     known = F.array(*[F.lit(w) for w in vocabulary])
     total = F.struct(F.lit(None).cast("string").alias("word"), F.lit(1).alias("one"))
     each = F.transform(F.array_intersect(F.col("w"), known), lambda w: F.struct(w.alias("word"), F.lit(1).alias("one")))
@@ -138,8 +137,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[Template] | None =
     templates = BASE + MORE if templates is None else templates
     t = docs[f"`{text}`"]
     known = vocabulary(templates)
-    lower = lambda w: F.transform(w, ascii_lower)
-    weight = idf(docs.select(lower(F.array_distinct(words_of(t))).alias("w")), known)
+    weight = idf(docs.select(words_of(ascii_lower(t)).alias("w")), known)
     files = packed(docs, t.alias("t"), keep=[c for c in docs.columns if c != text])
     files = files.select("row", words_of(ascii_lower(F.col("t"))).alias("w"))
     hits = with_matches(files, templates, weight).select("row", F.size("w").cast("long").alias("n_words"), "found")
