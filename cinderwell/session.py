@@ -82,9 +82,12 @@ def stable_checkpoint(df: DataFrame) -> DataFrame:
 
 
 def delete_on_exit(spark: SparkSession, path: str) -> None:
-    """Remove a working folder when the application ends."""
+    """Make a working folder, if it is not there, that goes when the
+    application ends."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
 
 
 def written_table(df: DataFrame, what: str) -> DataFrame:

@@ -30,3 +30,15 @@ def test_event_study_scan_is_pruned(spark):
     assert "HashAggregate" in plan and plan.count("Exchange") == 1
     read = re.findall(r"ReadSchema: struct<([^>]*)>", plan) or re.findall(r"struct<([^>]*)>", plan)
     assert all("StationName" not in r for r in read)  # only the study's columns are read
+
+
+def test_master_reads_the_readings_once(spark):
+    """One pass over lineitem, no join of the readings with themselves, partial
+    sums before the first exchange."""
+    from cinderwell.operators.reshape import master_wide
+    from cinderwell.sources import bindings
+    df = master_wide(bindings.readings_long(spark, SMOKE), bindings.BINDING_ANALYTES)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+    assert "SortMergeJoin" not in plan and plan.count("HashAggregate") == 2
