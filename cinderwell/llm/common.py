@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderwell.session import checkpoint_dir
+from cinderwell.session import checkpoint_dir, delete_on_exit
 
 #: a word is a run of anything but these white-space characters
 SPACES = " \t\n\x0b\f\r"
@@ -52,9 +52,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A fresh folder name below the shared checkpoint folder. Nothing is
-    created here; the writer does that."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared checkpoint folder, which goes when the
+    application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    return path
 
 
 #: rows of whole texts in an Arrow batch at most
