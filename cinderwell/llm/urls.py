@@ -14,8 +14,9 @@ innermost rule on the stack is the longest that fits; of several ancestors'
 winners the longest wins (host and path together, then the host alone).
 
 Distinct (host, path) pairs are looked up, and the verdicts joined back. The
-sweep is partitioned by ancestor; an ancestor with more than ``SPREAD`` keys is
-spread over several partitions, each with a copy of that ancestor's rules.
+sweep is partitioned by ancestor; an ancestor with more than ``SPREAD`` keys (or
+than it has rules, if those are more) is spread over several partitions, each
+with a copy of that ancestor's rules.
 
 A null URL or one without "://" has empty host and path, which no rule fits.
 URLs without a fitting rule get the ``default`` verdict. Repeated rows are
@@ -33,7 +34,7 @@ from cinderwell.llm.common import ascii_lower, or_empty, packed, table
 #: (verdict, host, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
-SPREAD = 50_000
+SPREAD = 1_000
 
 
 def host_of(url: Column) -> Column:
@@ -80,7 +81,11 @@ def judge(keys: DataFrame, rules: DataFrame) -> DataFrame:
     stacks = _stacks(rules)
     probes = keys.select("host", "path", F.explode(ancestors(F.col("host"))).alias("anchor")) \
         .join(stacks.select("anchor").distinct(), "anchor")
-    spread = probes.groupBy("anchor").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts"))
+    # no more copies of an ancestor's rules than it has keys
+    size = F.greatest(F.col("n_rules"), F.lit(SPREAD))
+    spread = probes.groupBy("anchor").agg(F.count("*").alias("n")) \
+        .join(stacks.groupBy("anchor").agg(F.count("*").alias("n_rules")), "anchor") \
+        .select("anchor", F.ceil(F.col("n") / size).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("host", "path"), F.col("parts")).cast("int")
     nothing = F.lit(None)
     # at one place, ends come before starts, and starts before URLs; an end
