@@ -35,6 +35,7 @@ from cinderwell.llm.common import ascii_lower, or_empty, packed, table
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
 SPREAD = 1_000
+SALTS = 32
 
 
 def host_of(url: Column) -> Column:
@@ -79,8 +80,11 @@ def judge(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct (host, path) -> (host, path, rule, verdict) for those that a
     rule fits."""
     stacks = _stacks(rules)
-    probes = keys.select("host", "path", F.explode(ancestors(F.col("host"))).alias("anchor")) \
-        .join(stacks.select("anchor").distinct(), "anchor")
+    # an ancestor may hold a third of all keys: joins on it are salted
+    salt = F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int").alias("salt")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    probes = keys.select("host", "path", salt, F.explode(ancestors(F.col("host"))).alias("anchor")) \
+        .join(stacks.select("anchor").distinct().select("anchor", every_salt), ["anchor", "salt"])
     # no more copies of an ancestor's rules than it has keys
     size = F.greatest(F.col("n_rules"), F.lit(SPREAD))
     spread = probes.groupBy("anchor").agg(F.count("*").alias("n")) \
@@ -90,7 +94,7 @@ def judge(keys: DataFrame, rules: DataFrame) -> DataFrame:
     nothing = F.lit(None)
     # at one place, ends come before starts, and starts before URLs; an end
     # stands behind all keys with its prefix (no UTF-8 text has a byte FF)
-    at_url = probes.join(spread, "anchor").select(
+    at_url = probes.join(spread.select("*", every_salt), ["anchor", "salt"]).select(
         "anchor", part.alias("part"), F.col("path").cast("binary").alias("key"), F.lit(2).alias("kind"), F.lit(0).alias("inner"),
         nothing.cast(stacks.schema["stack"].dataType).alias("stack"), "host", "path")
     edges = stacks.join(spread, "anchor").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
