@@ -37,7 +37,8 @@ THRESHOLD = 0.5
 #: a rule is taken to object to at least so many good documents by mistake
 RULE_ERROR = 0.002
 #: (good vote, bad vote, abstention): what a rule is taken to have said of
-#: documents of its own defect, and of all others, before it sees any
+#: documents of its own defect (SQL twin only), and of all others, before it
+#: sees any
 PRIOR_OWN = (0.5, 9.0, 0.5)
 PRIOR_OTHER = (4.5, 1.0, 4.5)
 
@@ -72,6 +73,8 @@ def rules() -> list[tuple[str, Column]]:
 
 
 N_RULES = 8
+#: rules that only look for a defect
+ONE_SIDED = {"symbols", "repeats", "dup_lines", "stutter", "capitals"}
 
 
 def with_features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -137,53 +140,60 @@ def posteriors(patterns: DataFrame) -> DataFrame:
 
     The latent class is "good" or one defect for each rule, so that rules which
     object to the same documents do not outvote a rule with a defect of its
-    own. In each class, each rule votes good, votes bad and abstains at
-    unknown rates (its accuracy and coverage there), independently of the other
-    rules. The first guess is the strict one: good if no rule objects, else
-    shared by the defects objected to. The state is one struct: log weight of
-    each class, log rate by class, rule and vote, and for each pattern the
-    class probabilities. Odd steps estimate weights and rates from the
-    probabilities, even steps the reverse; the fold runs over 2 x ITERATIONS
-    steps. Rates start from pseudo-counts, so a rule that never votes is
-    harmless, and RULE_ERROR bounds what one lone objection can weigh.
+    own. A document has a defect only if the rule for it objects, so one to
+    which no rule objects is good. In each class, each rule that votes objects
+    at an unknown rate, independently of the other rules. Where a rule abstains
+    it says nothing and is left out of the likelihood; a rule that only looks
+    for a defect and finds none has voted. A rule that votes both ways and objects
+    to most of what it votes on does not fit the corpus (line ends in a script
+    without full stops) and is taken to abstain. The first guess is the strict one:
+    good if no rule objects, else shared by the defects objected to. The state
+    is one struct: log weight of each class, log rates of the two votes by
+    class and rule, and for each pattern the class probabilities. Odd steps
+    estimate weights and rates from the probabilities, even steps the reverse;
+    the fold runs over 2 x ITERATIONS steps. Rates start from pseudo-counts, so
+    a rule that never votes is harmless, and RULE_ERROR bounds what one lone
+    objection can weigh.
     """
     classes, rule_ids = (F.sequence(F.lit(0), F.lit(k)) for k in (N_RULES, N_RULES - 1))
-    vote_at = lambda v: F.when(v == 1, 0).when(v == -1, 1).otherwise(2)  # noqa: E731  place in a rate triple
-    votes = F.transform(rule_ids, lambda j: vote_at(F.floor(F.col("pattern") / F.pow(F.lit(3.0), j)) % 3 - 1))
+    one_sided = F.array(*[F.lit(name in ONE_SIDED) for name, _ in rules()])
+    vote_at = lambda v, j: F.when((v == 1) | ((v == 0) & F.get(one_sided, j)), 0).when(v == -1, 1).otherwise(2)  # noqa: E731  place in a rate pair
+    votes = F.transform(rule_ids, lambda j: vote_at(F.floor(F.col("pattern") / F.pow(F.lit(3.0), j)) % 3 - 1, j))
     one = patterns.select("pattern", F.col("n").cast("double").alias("n"), votes.alias("v")) \
         .groupBy().agg(F.array_sort(F.collect_list(F.struct("pattern", "n", "v"))).alias("all"))
-
     def total(items: Column, f) -> Column:
         return F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
 
+    of = lambda j, vote: total(F.col("all"), lambda p: F.when(F.get(p["v"], j) == vote, p["n"]).otherwise(0.0))
+    one = one.select("all", F.transform(rule_ids, lambda j: ~F.get(one_sided, j) & (of(j, 1) > of(j, 0))).alias("off"))
+    one = one.select(F.transform("all", lambda p: F.struct(p["pattern"].alias("pattern"), p["n"].alias("n"), F.transform(
+        p["v"], lambda x, j: F.when(F.get(F.col("off"), j), 2).otherwise(x)).alias("v"))).alias("all"))
+
     def first(p: Column) -> Column:
         objections = total(p["v"], lambda x: F.when(x == 1, 1.0).otherwise(0.0))
-        share = F.transform(classes, lambda c: F.when(objections == 0, F.when(c == 0, 0.9).otherwise(0.1 / N_RULES))
+        share = F.transform(classes, lambda c: F.when(objections == 0, F.when(c == 0, 1.0).otherwise(0.0))
                             .when(c == 0, 0.1).otherwise(F.when(F.get(p["v"], c - 1) == 1, 0.9).otherwise(0.0) / objections))
         return F.struct(p["n"].alias("n"), p["v"].alias("v"), share.alias("g"))
 
-    def prior(c: Column, j: Column, vote: Column) -> Column:
-        own, other = (F.get(F.array(*[F.lit(x) for x in xs]), vote) for xs in (PRIOR_OWN, PRIOR_OTHER))
-        return F.when(c == j + 1, own).otherwise(other)
-
     def estimate(state: Column) -> Column:
         post = state["post"]
         n = total(post, lambda p: p["n"])
         weight = F.transform(classes, lambda c: F.log((total(post, lambda p: p["n"] * F.get(p["g"], c)) + 1.0) / (n + N_RULES + 1.0)))
         rate = F.transform(classes, lambda c: F.transform(rule_ids, lambda j: F.transform(
-            F.sequence(F.lit(0), F.lit(2)), lambda vote: total(post, lambda p: F.when(
-                F.get(p["v"], j) == vote, p["n"] * F.get(p["g"], c)).otherwise(0.0)) + prior(c, j, vote))))
-        # counts of the three votes to log rates
-        rate = F.transform(rate, lambda by_rule, c: F.transform(by_rule, lambda by_vote: F.transform(
-            by_vote, lambda x, vote: F.log(F.greatest(
-                x / (F.get(by_vote, F.lit(0)) + F.get(by_vote, F.lit(1)) + F.get(by_vote, F.lit(2))),
-                F.when((c == 0) & (vote == 1), RULE_ERROR).otherwise(1e-6))))))
+            F.sequence(F.lit(0), F.lit(1)), lambda vote: total(post, lambda p: F.when(
+                F.get(p["v"], j) == vote, p["n"] * F.get(p["g"], c)).otherwise(0.0))
+            + F.when(vote == 1, PRIOR_OTHER[1]).otherwise(PRIOR_OTHER[0]))))
+        # counts of the two votes to log rates; of its own defect a rule says nothing but that
+        rate = F.transform(rate, lambda by_rule, c: F.transform(by_rule, lambda by_vote, j: F.when(c == j + 1, F.array(F.lit(0.0), F.lit(0.0))).otherwise(
+            F.transform(by_vote, lambda x, vote: F.log(
+                F.greatest(x / (F.get(by_vote, F.lit(0)) + F.get(by_vote, F.lit(1))), F.when((c == 0) & (vote == 1), RULE_ERROR).otherwise(1e-6)))))))
         return F.struct(weight.alias("weight"), rate.alias("rate"), post.alias("post"))
 
     def expect(state: Column) -> Column:
         def share(p: Column) -> Column:
-            likely = F.transform(classes, lambda c: F.exp(F.get(state["weight"], c) + total(
-                rule_ids, lambda j: F.get(F.get(F.get(state["rate"], c), j), F.get(p["v"], j)))))
+            likely = F.transform(classes, lambda c: F.when((c > 0) & (F.get(p["v"], c - 1) != 1), 0.0).otherwise(F.exp(
+                F.get(state["weight"], c) + total(rule_ids, lambda j: F.coalesce(
+                    F.get(F.get(F.get(state["rate"], c), j), F.get(p["v"], j)), F.lit(0.0))))))
             g = F.get(F.transform(F.array(likely), lambda e: F.transform(e, lambda x: x / total(e, lambda y: y))), F.lit(0))
             return F.struct(p["n"].alias("n"), p["v"].alias("v"), g.alias("g"))
 

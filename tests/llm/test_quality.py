@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -46,6 +47,37 @@ def test_posterior_is_the_em_fixed_point_of_the_patterns(spark):
     assert p[clean] > 0.99 and p[often] < 0.5 < p[rarely]
 
 
+RULES = ["length", "symbols", "repeats", "dup_lines", "stutter", "word_length", "line_ends", "capitals"]
+
+
+def pattern(**votes):
+    return sum((votes.get(name, 0) + 1) * 3 ** j for j, name in enumerate(RULES))
+
+
+GOOD = {"length": 1, "word_length": 1, "line_ends": 1}
+#: the most frequent patterns of a corpus of 10,000 documents
+COUNTS = {pattern(**GOOD): 8163, pattern(**GOOD, symbols=-1): 479, pattern(word_length=1, line_ends=1): 254,
+          pattern(**GOOD, repeats=-1, dup_lines=-1, capitals=-1): 172, pattern(**GOOD, repeats=-1, capitals=-1): 154,
+          pattern(length=1, word_length=1, line_ends=-1, repeats=-1, stutter=-1): 149, pattern(length=-1, word_length=1, line_ends=1): 116,
+          pattern(length=1, line_ends=1, symbols=-1): 93, pattern(**GOOD, dup_lines=-1): 14, pattern(line_ends=1): 3}
+
+
+def fitted(spark, counts):
+    return {r.pattern: r.posterior for r in quality.posteriors(spark.createDataFrame(list(counts.items()), "pattern int, n long")).collect()}
+
+
+def test_abstention_does_not_count_against_a_document(spark):
+    """No bad vote, and enough words: kept, whatever the others are."""
+    abstains = {pattern(line_ends=1): 3, pattern(): 1, pattern(length=1): 1, pattern(word_length=1, line_ends=1): 2}
+    mostly_junk = {pattern(**GOOD, symbols=-1): 9000, pattern(length=1, word_length=1, line_ends=-1, stutter=-1): 900}
+    for counts in (COUNTS, {k: 5 * n for k, n in COUNTS.items()}, mostly_junk):
+        p = fitted(spark, abstains | counts)
+        assert all(p[k] > 0.999 for k in abstains)
+    words = " ".join(f"k{i}" for i in range(10, 30)) + "."
+    rows = [(i, " ".join(f"%% {w}$$" for w in prose(random.Random(i), 60).split()), "en", "a", 0) for i in range(40)] + [(99, words, "en", "a", 0)]
+    assert [r.doc_id for r in quality.filter_documents(spark.createDataFrame(rows, SCHEMA)).collect()] == [99]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)], [(None, "", "en", "s", 0)] * 2])
 def test_degenerate_tables(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
