@@ -32,15 +32,21 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = r"[#*$%&|<>]"
+#: steps of the fit in the SQL twin only
 ITERATIONS = 25
+#: the fit ends when no posterior moves by more; not to get there is an error
+TOLERANCE = 1e-9
+MAX_STEPS = 20_000
 THRESHOLD = 0.5
-#: a rule is taken to object to at least so many good documents by mistake
+#: share of the good documents that a rule is taken to object to by mistake
 RULE_ERROR = 0.002
 #: (good vote, bad vote, abstention): what a rule is taken to have said of
 #: documents of its own defect (SQL twin only), and of all others, before it
 #: sees any
 PRIOR_OWN = (0.5, 9.0, 0.5)
 PRIOR_OTHER = (4.5, 1.0, 4.5)
+#: what one of these counts, and one document in each class, is of the corpus
+PSEUDO = 1e-4
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "n_lines", "n_ended_lines", "n_upper", "n_stutters"]
@@ -150,17 +156,24 @@ def posteriors(patterns: DataFrame) -> DataFrame:
     good if no rule objects, else shared by the defects objected to. The state
     is one struct: log weight of each class, log rates of the two votes by
     class and rule, and for each pattern the class probabilities. Odd steps
-    estimate weights and rates from the probabilities, even steps the reverse;
-    the fold runs over 2 x ITERATIONS steps. Rates start from pseudo-counts, so
-    a rule that never votes is harmless, and RULE_ERROR bounds what one lone
-    objection can weigh.
+    estimate weights and rates from the probabilities, even steps the reverse,
+    until no posterior moves by more than TOLERANCE; the steps left of the fold
+    then hand the state on.
+
+    Counts are shares of the corpus, pseudo-counts too, so that the same shares
+    of patterns give the same posteriors at any size. Pseudo-counts make a rule
+    that never votes harmless. Good documents are objected to at the fixed rate
+    RULE_ERROR, others at this rate at least: were it estimated, a frequent lone
+    objection could be taken for a habit of good documents.
     """
     classes, rule_ids = (F.sequence(F.lit(0), F.lit(k)) for k in (N_RULES, N_RULES - 1))
     one_sided = F.array(*[F.lit(name in ONE_SIDED) for name, _ in rules()])
     vote_at = lambda v, j: F.when((v == 1) | ((v == 0) & F.get(one_sided, j)), 0).when(v == -1, 1).otherwise(2)  # noqa: E731  place in a rate pair
     votes = F.transform(rule_ids, lambda j: vote_at(F.floor(F.col("pattern") / F.pow(F.lit(3.0), j)) % 3 - 1, j))
     one = patterns.select("pattern", F.col("n").cast("double").alias("n"), votes.alias("v")) \
-        .groupBy().agg(F.array_sort(F.collect_list(F.struct("pattern", "n", "v"))).alias("all"))
+        .groupBy().agg(F.array_sort(F.collect_list(F.struct("pattern", "n", "v"))).alias("all"), F.sum("n").alias("size"))
+    one = one.select(F.transform("all", lambda p: F.struct(p["pattern"].alias("pattern"), (p["n"] / F.col("size")).alias("n"), p["v"].alias("v"))).alias("all"))
+
     def total(items: Column, f) -> Column:
         return F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
 
@@ -173,20 +186,20 @@ def posteriors(patterns: DataFrame) -> DataFrame:
         objections = total(p["v"], lambda x: F.when(x == 1, 1.0).otherwise(0.0))
         share = F.transform(classes, lambda c: F.when(objections == 0, F.when(c == 0, 1.0).otherwise(0.0))
                             .when(c == 0, 0.1).otherwise(F.when(F.get(p["v"], c - 1) == 1, 0.9).otherwise(0.0) / objections))
-        return F.struct(p["n"].alias("n"), p["v"].alias("v"), share.alias("g"))
+        return F.struct(p["n"].alias("n"), p["v"].alias("v"), share.alias("g"), F.lit(1.0).alias("moved"))
 
     def estimate(state: Column) -> Column:
         post = state["post"]
-        n = total(post, lambda p: p["n"])
-        weight = F.transform(classes, lambda c: F.log((total(post, lambda p: p["n"] * F.get(p["g"], c)) + 1.0) / (n + N_RULES + 1.0)))
+        weight = F.transform(classes, lambda c: F.log((total(post, lambda p: p["n"] * F.get(p["g"], c)) + PSEUDO) / (1.0 + (N_RULES + 1) * PSEUDO)))
         rate = F.transform(classes, lambda c: F.transform(rule_ids, lambda j: F.transform(
             F.sequence(F.lit(0), F.lit(1)), lambda vote: total(post, lambda p: F.when(
                 F.get(p["v"], j) == vote, p["n"] * F.get(p["g"], c)).otherwise(0.0))
-            + F.when(vote == 1, PRIOR_OTHER[1]).otherwise(PRIOR_OTHER[0]))))
+            + PSEUDO * F.when(vote == 1, PRIOR_OTHER[1]).otherwise(PRIOR_OTHER[0]))))
         # counts of the two votes to log rates; of its own defect a rule says nothing but that
         rate = F.transform(rate, lambda by_rule, c: F.transform(by_rule, lambda by_vote, j: F.when(c == j + 1, F.array(F.lit(0.0), F.lit(0.0))).otherwise(
             F.transform(by_vote, lambda x, vote: F.log(
-                F.greatest(x / (F.get(by_vote, F.lit(0)) + F.get(by_vote, F.lit(1))), F.when((c == 0) & (vote == 1), RULE_ERROR).otherwise(1e-6)))))))
+                F.when(c == 0, F.when(vote == 1, RULE_ERROR).otherwise(1.0 - RULE_ERROR))
+                .otherwise(F.least(F.greatest(x / (F.get(by_vote, F.lit(0)) + F.get(by_vote, F.lit(1))), F.lit(RULE_ERROR)), F.lit(1.0 - RULE_ERROR))))))))
         return F.struct(weight.alias("weight"), rate.alias("rate"), post.alias("post"))
 
     def expect(state: Column) -> Column:
@@ -195,7 +208,9 @@ def posteriors(patterns: DataFrame) -> DataFrame:
                 F.get(state["weight"], c) + total(rule_ids, lambda j: F.coalesce(
                     F.get(F.get(F.get(state["rate"], c), j), F.get(p["v"], j)), F.lit(0.0))))))
             g = F.get(F.transform(F.array(likely), lambda e: F.transform(e, lambda x: x / total(e, lambda y: y))), F.lit(0))
-            return F.struct(p["n"].alias("n"), p["v"].alias("v"), g.alias("g"))
+            before = F.get(p["g"], F.lit(0))
+            return F.get(F.transform(F.array(g), lambda x: F.struct(
+                p["n"].alias("n"), p["v"].alias("v"), x.alias("g"), F.abs(F.get(x, F.lit(0)) - before).alias("moved"))), F.lit(0))
 
         return F.struct(state["weight"].alias("weight"), state["rate"].alias("rate"),
                         F.transform(state["post"], share).alias("post"))
@@ -203,10 +218,12 @@ def posteriors(patterns: DataFrame) -> DataFrame:
     start = F.struct(F.expr("cast(array() as array<double>)").alias("weight"),
                      F.expr("cast(array() as array<array<array<double>>>)").alias("rate"),
                      F.transform("all", first).alias("post"))
+    moving = lambda state: F.exists(state["post"], lambda p: p["moved"] > TOLERANCE)
     fitted = one.select("all", F.aggregate(
-        F.sequence(F.lit(1), F.lit(2 * ITERATIONS)), start,
-        lambda state, k: F.when(k % 2 == 1, estimate(state)).otherwise(expect(state))).alias("fit"))
-    return fitted.select(F.explode(F.arrays_zip(F.col("all.pattern").alias("pattern"), F.col("fit.post.g").alias("g"))).alias("x")) \
+        F.sequence(F.lit(1), F.lit(2 * MAX_STEPS)), start,
+        lambda state, k: F.when(~moving(state), state).when(k % 2 == 1, estimate(state)).otherwise(expect(state))).alias("fit"))
+    g = F.when(moving(F.col("fit")), F.raise_error(F.lit(f"quality rules: the fit still moves after {MAX_STEPS} steps"))).otherwise(F.col("fit.post.g"))
+    return fitted.select(F.explode(F.arrays_zip(F.col("all.pattern").alias("pattern"), g.alias("g"))).alias("x")) \
         .select(F.col("x.pattern").alias("pattern"), F.get(F.col("x.g"), F.lit(0)).alias("posterior"))
 
 

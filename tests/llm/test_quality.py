@@ -66,6 +66,16 @@ def fitted(spark, counts):
     return {r.pattern: r.posterior for r in quality.posteriors(spark.createDataFrame(list(counts.items()), "pattern int, n long")).collect()}
 
 
+def test_frequent_lone_objection_is_trusted_at_any_size(spark):
+    """The same shares give the same posteriors, and the fit has settled."""
+    assert [name for name, _ in quality.rules()] == RULES
+    once = fitted(spark, COUNTS)
+    assert once[pattern(**GOOD, symbols=-1)] < 0.1 and once[pattern(**GOOD)] > 0.99 and once[pattern(**GOOD, dup_lines=-1)] > 0.5
+    for scale in (10, 100):
+        p = fitted(spark, {k: n * scale for k, n in COUNTS.items()})
+        assert p == pytest.approx(once, abs=1e-6)
+
+
 def test_abstention_does_not_count_against_a_document(spark):
     """No bad vote, and enough words: kept, whatever the others are."""
     abstains = {pattern(line_ends=1): 3, pattern(): 1, pattern(length=1): 1, pattern(word_length=1, line_ends=1): 2}
@@ -78,6 +88,13 @@ def test_abstention_does_not_count_against_a_document(spark):
     assert [r.doc_id for r in quality.filter_documents(spark.createDataFrame(rows, SCHEMA)).collect()] == [99]
 
 
+def test_rule_that_does_not_fit_the_corpus_is_left_out(spark):
+    """All lines without a full stop: the lines say nothing, symbols still do."""
+    bare, junk = pattern(length=1, word_length=1, line_ends=-1), pattern(length=1, word_length=1, line_ends=-1, symbols=-1)
+    p = fitted(spark, {bare: 900, junk: 100, pattern(**GOOD): 20})
+    assert p[bare] > 0.999 and p[junk] < 0.1
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)], [(None, "", "en", "s", 0)] * 2])
 def test_degenerate_tables(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
