@@ -10,8 +10,9 @@ date and payload digest, and have digests of their own; their ids are made from
 the response's, so a rerun gives the same records.
 
 ``write`` packs records into files of one gzip member a record, a new file
-after ``ROLL`` bytes; a file is renamed when it is whole. ``read`` parses such
-files (through Spark's binary-file source, so one file must fit in memory).
+after ``ROLL`` bytes; a file is renamed when it is whole, until then a leading
+``_`` hides it from ``read``, also what a failed attempt leaves. ``read`` parses
+``*.warc`` and ``*.warc.gz`` files (through Spark's binary-file source, so one file must fit in memory).
 
 A response whose block is no HTTP message is taken as a bare payload. A null
 block counts as empty: the text is empty, the metadata has no title. Rows of
@@ -233,13 +234,16 @@ def write(records: DataFrame, folder: str) -> int:
 
         def close():
             sink.close()
-            fs.move(f"{names[-1]}.{tag}", names[-1])
+            fs.move(attempt(names[-1]), names[-1])
+
+        def attempt(name):
+            return f"{base}/_{name.rpartition('/')[2]}.{tag}"
 
         for b in batches:
             for _, _, lines, block in _rows(b):
                 if sink is None:
                     names.append(f"{base}/part-{part:06d}-{len(names):04d}.warc.gz")
-                    sink, size = fs.open_output_stream(f"{names[-1]}.{tag}", compression=None), 0
+                    sink, size = fs.open_output_stream(attempt(names[-1]), compression=None), 0
                 data = _member(lines, block)
                 sink.write(data)
                 size += len(data)
@@ -288,7 +292,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def each(batches):
         yield from _batches(r for b in batches for content in b.column("content") for r in parsed(content.as_py()))
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content").mapInArrow(each, RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("content").mapInArrow(each, RECORD)
 
 
 def field(name: str):

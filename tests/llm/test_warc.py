@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cinderwell.llm import warc
@@ -52,6 +53,28 @@ def test_round_trip_through_files(spark, tmp_path, monkeypatch):
     assert not [p.name for p in (tmp_path / "w").iterdir() if not p.name.endswith((".gz", ".crc"))]
 
 
+def test_what_a_failed_attempt_leaves_is_not_read(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", PAGE.replace("Head", f"Head {i}")) for i in range(6)], "page_id long, url string, html string")
+    made = warc.derive(warc.responses(pages, "2024-01-01T00:00:00Z")).persist()
+
+    member, folder = warc._member, tmp_path / "w"
+
+    def torn(lines, block):
+        if b"Head 4" in block:
+            raise RuntimeError("executor lost")
+        return member(lines, block)
+
+    with monkeypatch.context() as m, pytest.raises(Exception, match="executor lost"):
+        m.setattr(warc, "_member", torn)
+        warc.write(made.coalesce(1), str(folder))
+    assert [p for p in folder.iterdir() if ".warc.gz." in p.name]
+    warc.write(made, str(folder))
+    whole = next(p for p in folder.iterdir() if p.name.endswith(".gz")).read_bytes()
+    (folder / "part-000000-0000.warc.gz.0123").write_bytes(whole[:-100])
+    key = lambda r: (r.record_id, r.headers, bytes(r.block))
+    assert sorted(map(key, warc.read(spark, str(folder)).collect())) == sorted(map(key, made.collect()))
+
+
 def test_plain_file_and_several_records():
     lines = warc.lines_of([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("X-Odd", "a: b\nc"), ("Content-Length", "9")])
     assert warc.fields_of(lines)[2] == ("X-Odd", "a: b c")
