@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinderwell.llm import arrowfiles, digests, licenses, mixing, pieces, quality, rollup, simhash, urls, warc
+from cinderwell.llm import arrowfiles, digests, licenses, mixing, pieces, quality, resample, rollup, simhash, urls, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_token_rollup": rollup.op8_token_rollup,
     "op9_warc_derivatives": warc.op9_warc_derivatives,
     "op10_source_mix": mixing.op10_source_mix,
+    "op11_importance_resampling": resample.op11_importance_resampling,
 }
 
 SQL = {
     "op3_quality_rules": quality.OP3_SQL,
     "op6_license_scan": licenses.OP6_SQL,
     "op7_url_filter": urls.OP7_SQL,
+    "op11_importance_resampling": resample.OP11_SQL,
 }
