@@ -96,7 +96,6 @@ def suffixes(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         after = np.zeros(n, np.int64)
         after[:max(n - step, 0)] = rank[step:] + 1
         after[rest <= step] = 0
-        # only suffixes that are not alone with their rank can move
         _, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
         levels.append(rank.astype(np.int32))
         step *= 2
