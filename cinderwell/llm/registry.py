@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinderwell.llm import arrowfiles, digests, licenses, mixing, pieces, quality, resample, rollup, runs, simhash, urls, warc
+from cinderwell.llm import arrowfiles, digests, licenses, lm, mixing, pieces, quality, resample, rollup, runs, simhash, urls, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_source_mix": mixing.op10_source_mix,
     "op11_importance_resampling": resample.op11_importance_resampling,
     "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_lm_scoring": lm.op13_lm_scoring,
 }
 
 SQL = {
