@@ -13,7 +13,11 @@ words before say.
 Documents lie end to end in parallel lanes. The state is carried through all
 windows of a document and is zero at its start, so the probability of a document
 is that of the whole of it. Lanes are sorted by length and the shorter ones drop
-out as they end. Training goes back ``WINDOW`` words and updates by Adagrad.
+out as they end; the fewer are left, the longer a window is, so that the outputs
+of some ``OUTPUTS`` words are always worked out together. Training goes back
+``WINDOW`` words and updates by Adagrad. It learns from every word, from those
+of a long document in spans of ``SPAN`` that start like documents, as a lane that
+lasts much longer than the others would leave the machine idle.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ HEADS = VOCAB // IN_CLASS
 CLASSES = HEADS + ENDINGS
 #: input rows: words, then endings, then the start of a document
 START = VOCAB + ENDINGS
-LANES, WINDOW, RATE, CLIP = 256, 16, 0.1, 5.0
+LANES, WINDOW, SPAN, OUTPUTS, RATE, CLIP = 256, 16, 1000, 8192, 0.1, 5.0
 
 SHAPES = {
     "inputs": (START + 1, 3 * HIDDEN), "again": (HIDDEN, 3 * HIDDEN),
@@ -90,16 +94,21 @@ class Lanes:
                 self.input[at + 1:at + m, lane] = docs[k][:-1]
                 at += m
 
-    def windows(self, steps: int):
-        """(rows, columns) of each window: lanes that have ended are left out."""
-        for a in range(0, len(self.target), steps):
-            b = min(a + steps, len(self.target))
-            yield slice(a, b), slice(0, int(np.searchsorted(-self.length, -a)))
+    def windows(self, steps: int = WINDOW, words: int = 0):
+        """(rows, columns) of each window: lanes that have ended are left out.
+        Windows have ``steps`` rows, or more to have ``words`` words."""
+        a = 0
+        while a < len(self.target):
+            lanes = int(np.searchsorted(-self.length, -a))
+            b = min(a + max(steps, words // lanes), len(self.target))
+            yield slice(a, b), slice(0, lanes)
+            a = b
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
-    np.exp(np.minimum(x, 60, out=x), out=x)
+    with np.errstate(over="ignore"):  # the reciprocal of infinity is the wanted 0
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -182,7 +191,7 @@ class Model:
         out = np.zeros(len(docs))
         lanes = Lanes(docs)
         state = np.zeros((lanes.target.shape[1], HIDDEN), np.float32)
-        for rows, columns in lanes.windows(2 * WINDOW):
+        for rows, columns in lanes.windows(WINDOW, OUTPUTS):
             states, _, _ = self._states(lanes.input[rows, columns], state[columns], False)
             state[columns] = states[-1]
             target = lanes.target[rows, columns]
@@ -194,7 +203,7 @@ class Model:
     def learn(self, docs: list[np.ndarray]) -> float:
         """One pass of truncated backpropagation; the sum of log probabilities
         as they were met."""
-        lanes, total = Lanes(docs), 0.0
+        lanes, total = Lanes([d[a:a + SPAN] for d in docs for a in range(0, len(d), SPAN)]), 0.0
         state = np.zeros((lanes.target.shape[1], HIDDEN), np.float32)
         for rows, columns in lanes.windows(WINDOW):
             inputs, target = lanes.input[rows, columns], lanes.target[rows, columns]

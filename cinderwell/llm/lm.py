@@ -34,6 +34,7 @@ import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ ADDED = 0.1
 HELD_OUT, ROUNDS = 10, 4
 LOOKUP, LONGEST = 100_000, 64
 #: words in work at a time, and distinct words that a task counts before it hands them on
-GROUP, COUNTED = 1_000_000, 200_000
+GROUP, COUNTED = 3_000_000, 200_000
 #: parameters a row, and groups of tasks, when parameters are averaged
 BLOCK, GROUPS = 1 << 14, 256
 END = b""
@@ -152,7 +153,11 @@ def lexicon(counts: DataFrame, lookup: int = LOOKUP) -> Lexicon:
 def _places(known: Lexicon, words: list[bytes]) -> np.ndarray:
     """Place of each word but the end, -1 for one that is not frequent."""
     get = known.place.get
-    return np.array([get(w, -1) if len(w) <= LONGEST else get(key(w), -1) for w in words[:-1]], np.int64)
+    out = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))[:-1]
+    for i in np.flatnonzero(out < 0):
+        if len(words[i]) > LONGEST:
+            out[i] = get(key(words[i]), -1)
+    return out
 
 
 def _numbers(known: Lexicon, words: list[bytes], at: np.ndarray) -> np.ndarray:
@@ -165,18 +170,23 @@ def _numbers(known: Lexicon, words: list[bytes], at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _groups(batches, columns):
-    """Rows (columns..., words) by GROUP words or one text."""
-    held, n = [], 0
+def _rows(batches, columns):
+    """(columns..., words) of each row."""
     for batch in batches:
         texts = batch.column("text")
         for i, rest in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
-            words = tokens(texts[i].as_py())
-            if held and n + len(words) > GROUP:
-                yield held
-                held, n = [], 0
-            held.append((*rest, words))
-            n += len(words)
+            yield *rest, tokens(texts[i].as_py())
+
+
+def _groups(rows, size):
+    """Lists of rows that have GROUP words together, or one row."""
+    held, n = [], 0
+    for row in rows:
+        if held and n + size(row) > GROUP:
+            yield held
+            held, n = [], 0
+        held.append(row)
+        n += size(row)
     if held:
         yield held
 
@@ -186,8 +196,7 @@ def _learned(known, flat):
     number of words met, in (task, block, words, values)."""
     def each(batches):
         model, met = gru.Model(flat.value), 0
-        for group in _groups(batches, ("part",)):
-            docs = [_numbers(known.value, w, _places(known.value, w)) for _, w in group]
+        for docs in _groups((_numbers(known.value, w, _places(known.value, w)) for _, w in _rows(batches, ("part",))), len):
             model.learn(docs)
             met += sum(map(len, docs))
         if met:
@@ -237,27 +246,27 @@ def _scores(told, params):
         log_count = np.log10(known.count + ADDED)
         log_ending = np.log10(np.maximum(known.ending_mass, 1e-300))
         log_all, log_end = np.log10(known.all_mass), np.log10(known.end_count + ADDED)
-        for group in _groups(batches, ("doc_id", "part")):
-            docs, out = [], []
-            for doc_id, part, words in group:
-                at = _places(known, words)
-                docs.append(_numbers(known, words, at))
-                rare = Counter(key(words[i]) for i in np.flatnonzero(at < 0))
-                at = at[at >= 0]
-                counted = float(log_count[at].sum())
-                # shares in their classes: of frequent words outside the vocabulary, and the lower part of those of rare ones
-                outside = docs[-1][docs[-1] >= gru.VOCAB] - gru.VOCAB
-                share = float(log_count[at[known.number[at] >= gru.VOCAB]].sum() if len(at) else 0) - float(log_ending[outside].sum())
-                out.append((doc_id, part % HELD_OUT == 0, len(words), int((known.count[at] > 0).sum()) + (known.end_count > 0),
-                            counted + log_end - len(words) * log_all, share, [{"word": w.decode("utf-8", "replace"), "n": n} for w, n in rare.items()]))
-            logs = model.score(docs) / np.log(10)
-            c = list(zip(*out))
-            for a in range(0, len(out), 1000):
+
+        def counted(row):
+            doc_id, part, words = row
+            at = _places(known, words)
+            numbers = _numbers(known, words, at)
+            rare = Counter(key(words[i]) for i in np.flatnonzero(at < 0).tolist())
+            at = at[at >= 0]
+            # shares in their classes: of frequent words outside the vocabulary, and the lower part of those of rare ones
+            outside = numbers[numbers >= gru.VOCAB] - gru.VOCAB
+            share = float(log_count[at[known.number[at] >= gru.VOCAB]].sum() if len(at) else 0) - float(log_ending[outside].sum())
+            return (numbers, doc_id, part % HELD_OUT == 0, len(words), int((known.count[at] > 0).sum()) + int(known.end_count > 0),
+                    float(log_count[at].sum()) + log_end - len(words) * log_all, share, [{"word": w.decode("utf-8", "replace"), "n": n} for w, n in rare.items()])
+
+        for group in _groups(map(counted, _rows(batches, ("doc_id", "part"))), lambda r: r[3]):
+            numbers, *c, shares, rest = zip(*group)
+            score = model.score(list(numbers)) / np.log(10) + np.array(shares)
+            for a in range(0, len(group), 1000):
                 part = slice(a, a + 1000)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(c[0][part], pa.int64()), pa.array(c[1][part], pa.bool_()), pa.array(c[2][part], pa.int64()), pa.array(c[3][part], pa.int64()),
-                    pa.array(c[4][part], pa.float64()), pa.array(np.array(c[5][part]) + logs[part]), pa.array(c[6][part], _REST)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+                arrays = [pa.array(x[part], kind) for x, kind in zip(c, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(score[part]), pa.array(rest[part], _REST)],
+                                                 ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
     return each
 
 
