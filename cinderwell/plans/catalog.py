@@ -447,8 +447,16 @@ def q_gam_results(spark, d):
     return _gam(spark, d)[0]
 
 
+def q_gam_coefficients(spark, d):
+    """The additive models' coefficients, solved in the engine from the sums
+    of ``gam_gram``; index 0 is the intercept."""
+    ok = _gam(spark, d)[2].where("status = 'ok'")
+    return ok.select("target", F.posexplode("beta").alias("i", "_b")).select("target", "i", F.round("_b", 5).alias("beta"))
+
+
 def q_gam_curve(spark, d):
-    return _gam(spark, d)[1]
+    c = _gam(spark, d)[1]
+    return c.select("Analyte", "i", *[F.round(x, 5).alias(x) for x in ("x", "effect", "lower", "upper")])
 
 
 def q_model_summary(spark, d):
@@ -485,6 +493,7 @@ QUERIES.update({
     "gam_basis_ranges": q_gam_basis_ranges,
     "gam_gram": q_gam_gram,
     "gam_results": q_gam_results,
+    "gam_coefficients": q_gam_coefficients,
     "gam_curve": q_gam_curve,
     "model_summary": q_model_summary,
 })

@@ -438,37 +438,126 @@ FROM model WHERE {ok}""")
 SQL["gam_basis_ranges"] = _ranges_sql()
 
 
-def _gram_sql() -> str:
+#: the four cubic weights at place t of an interval
+_CUBIC = ["(1 - t) * (1 - t) * (1 - t) / 6.0", "(3 * t * t * t - 6 * t * t + 4) / 6.0", "(-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6.0", "t * t * t / 6.0"]
+
+
+def gram_ctes() -> str:
     """Cubic B-spline design of every complete row as (row, index, weight)
     entries, joined to itself and summed."""
     from cinderwell.sources.schema import MODEL_FEATURES
     feats = list(MODEL_FEATURES)
     complete = " UNION ALL ".join(
-        f"SELECT '{t}' AS target, rn, {qi(t)} AS y, " + ", ".join(f"CAST({qi(f)} AS DOUBLE) AS f{i}" for i, f in enumerate(feats))
+        f"SELECT '{t}' AS target, rn, {qi(t)} AS y, post_fire AS label, " + ", ".join(f"CAST({qi(f)} AS DOUBLE) AS f{i}" for i, f in enumerate(feats))
         + f" FROM numbered WHERE {qi(t)} IS NOT NULL AND post_fire IS NOT NULL AND " + " AND ".join(f"{qi(f)} IS NOT NULL" for f in feats)
         for t in A)
     facts = ", ".join(f"min(f{i}) AS lo{i}, max(f{i}) AS hi{i}" for i in range(len(feats)))
     places = " UNION ALL ".join(
         f"SELECT c.target, rn, {1 + 20 * i} AS base, greatest(0.0, least(1.0, (f{i} - lo{i}) / CASE WHEN hi{i} > lo{i} THEN hi{i} - lo{i} ELSE 1.0 END)) * 17.0 AS u "
         f"FROM complete c JOIN facts USING (target)" for i in range(len(feats)))
-    weights = ["(1 - t) * (1 - t) * (1 - t) / 6.0", "(3 * t * t * t - 6 * t * t + 4) / 6.0", "(-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6.0", "t * t * t / 6.0"]
     last = 1 + 20 * len(feats)
-    entries = " UNION ALL ".join(f"SELECT target, rn, base + j + {k} AS i, {w} AS v FROM placed" for k, w in enumerate(weights))
-    return with_(model_ctes() + f""",
+    entries = " UNION ALL ".join(f"SELECT target, rn, base + j + {k} AS i, {w} AS v FROM placed" for k, w in enumerate(_CUBIC))
+    return model_ctes() + f""",
 numbered AS (SELECT row_number() OVER () AS rn, * FROM model),
 complete AS ({complete}),
-facts AS (SELECT target, avg(y) AS mean, {facts} FROM complete GROUP BY target),
+facts AS (SELECT target, count(*) AS n, avg(y) AS mean, {facts} FROM complete GROUP BY target),
 located AS ({places}),
 placed AS (SELECT target, rn, base, CAST(least(floor(u), 16) AS INTEGER) AS j, u - least(floor(u), 16) AS t FROM located),
 entries AS ({entries}
   UNION ALL SELECT target, rn, 0, 1.0 FROM complete
   UNION ALL SELECT target, rn, {last}, y - mean FROM complete JOIN facts USING (target)),
-cells AS (SELECT a.target, a.i, b.i AS j, round(sum(a.v * b.v), 4) AS value
-  FROM entries a JOIN entries b ON a.target = b.target AND a.rn = b.rn AND a.i <= b.i GROUP BY ALL)""",
-        "SELECT target, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, value FROM cells WHERE value <> 0")
-
-
-SQL["gam_gram"] = _gram_sql()
+cells AS (SELECT a.target, a.i, b.i AS j, sum(a.v * b.v) AS value
+  FROM entries a JOIN entries b ON a.target = b.target AND a.rn = b.rn AND a.i <= b.i GROUP BY ALL)"""
+
+
+
+SQL["gam_gram"] = with_(gram_ctes(), """SELECT target, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(value, 4) AS value
+FROM cells WHERE round(value, 4) <> 0""")
+
+
+def gam_ctes(lam: float = 0.6, ridge: float = 1e-6, min_rows: int = 100) -> str:
+    """The penalised system of each target with enough rows, a list for each
+    row of the matrix, eliminated by a recursive query, one pivot a step."""
+    p = 1 + 20 * len(FEATS)
+    d2 = "CASE abs(a - b) WHEN 0 THEN CASE WHEN a IN (0, 19) THEN 1.0 WHEN a IN (1, 18) THEN 5.0 ELSE 6.0 END " \
+         "WHEN 1 THEN CASE WHEN least(a, b) IN (0, 18) THEN -2.0 ELSE -4.0 END WHEN 2 THEN 1.0 ELSE 0.0 END"
+    return f"""{gram_ctes()},
+idx AS (SELECT CAST(range AS INTEGER) AS i FROM range({p + 1})),
+dense AS (
+  SELECT f.target, a.i, b.i AS j, coalesce(c.value, 0.0)::DOUBLE AS v
+  FROM (SELECT target FROM facts WHERE n >= {min_rows}) f CROSS JOIN idx a CROSS JOIN idx b
+  LEFT JOIN cells c ON c.target = f.target AND c.i = least(a.i, b.i) AND c.j = greatest(a.i, b.i)),
+gram AS (SELECT target, i, list(v ORDER BY j) AS r FROM dense GROUP BY target, i),
+pen AS (SELECT a.i, b.i AS j, {lam}::DOUBLE * {d2} AS v
+  FROM (SELECT i, (i - 1) % 20 AS a FROM idx WHERE i BETWEEN 1 AND {p - 1}) a
+  JOIN (SELECT i, (i - 1) % 20 AS b FROM idx WHERE i BETWEEN 1 AND {p - 1}) b ON (a.i - 1) // 20 = (b.i - 1) // 20),
+start AS (
+  SELECT d.target, d.i, list(d.v + coalesce(pen.v + z.r[d.i + 1] * z.r[d.j + 1] / z.r[1], 0.0)
+                             + CASE WHEN d.i = d.j AND d.i < {p} THEN {ridge}::DOUBLE ELSE 0.0 END ORDER BY d.j) AS r
+  FROM dense d JOIN gram z ON z.target = d.target AND z.i = 0 LEFT JOIN pen ON pen.i = d.i AND pen.j = d.j GROUP BY d.target, d.i),
+steps AS (
+  WITH RECURSIVE e AS (
+    SELECT 0 AS k, target, i, r FROM start
+    UNION ALL
+    SELECT k + 1, target, i,
+           CASE WHEN i = k THEN list_transform(z, lambda v, j: CASE WHEN j = k + 1 THEN 1 / v ELSE v / z[k + 1] END)
+                ELSE list_transform(r, lambda v, j: CASE WHEN j = k + 1 THEN -v / z[k + 1] ELSE v - r[k + 1] * z[j] / z[k + 1] END) END
+    FROM (SELECT *, max(CASE WHEN i = k THEN r END) OVER (PARTITION BY target) AS z FROM e) WHERE k < {p})
+  SELECT target, i, r FROM e WHERE k = {p}),
+sol AS (SELECT target, list(r[{p + 1}] ORDER BY i) AS beta FROM steps WHERE i < {p} GROUP BY target),
+sums AS (
+  SELECT g.target, sum(list_dot_product(e.r[1:{p}], g.r[1:{p}])) AS edof,
+         sum(s.beta[g.i + 1] * (list_dot_product(g.r[1:{p}], s.beta) - 2 * g.r[{p + 1}])) AS part
+  FROM gram g JOIN steps e USING (target, i) JOIN sol s USING (target) WHERE g.i < {p} GROUP BY g.target),
+fit AS (
+  SELECT target, f.n, f.mean, s.beta, edof, greatest(y.r[{p + 1}] + part, 0) AS rss,
+         greatest(y.r[{p + 1}] - y.r[1] * y.r[1] / f.n, 0) AS rss0, rss / greatest(f.n - edof, 1) AS scale, f.lo0, f.hi0
+  FROM facts f JOIN sol s USING (target) JOIN sums USING (target) JOIN gram y USING (target) WHERE y.i = {p}),
+half AS (
+  SELECT e.target, e.i, list(list_dot_product(e.r[1:{p}], g.r[1:{p}]) ORDER BY g.i) AS h
+  FROM steps e JOIN gram g USING (target) WHERE e.i BETWEEN 1 AND 20 AND g.i < {p} GROUP BY e.target, e.i),
+cov AS (SELECT h.target, h.i AS a, e.i AS b, list_dot_product(h.h, e.r[1:{p}]) AS v FROM half h JOIN steps e USING (target) WHERE e.i BETWEEN 1 AND 20),
+grid AS (
+  SELECT target, CAST(range AS INTEGER) AS i, lo0 + (hi0 - lo0) * range / 199 AS x,
+         greatest(0.0, least(1.0, (lo0 + (hi0 - lo0) * range / 199 - lo0) / CASE WHEN hi0 > lo0 THEN hi0 - lo0 ELSE 1.0 END)) * 17.0 AS u, beta, scale
+  FROM fit CROSS JOIN range(200)),
+gridp AS (SELECT *, CAST(least(floor(u), 16) AS INTEGER) AS j, u - least(floor(u), 16) AS t FROM grid),
+gridw AS (SELECT target, i, x, beta, scale, unnest([j + 1, j + 2, j + 3, j + 4]) AS a,
+          unnest([{", ".join(_CUBIC)}]) AS w FROM gridp),
+curve AS (
+  SELECT g.target, g.i, g.x, sum(g.w * g.beta[g.a + 1]) AS effect, any_value(g.scale) AS scale FROM gridw g GROUP BY g.target, g.i, g.x),
+spread AS (SELECT a.target, a.i, sum(a.w * b.w * c.v) AS v FROM gridw a JOIN gridw b USING (target, i) JOIN cov c ON c.target = a.target AND c.a = a.a AND c.b = b.a GROUP BY a.target, a.i),
+predicted AS (
+  SELECT e.target, e.rn, round(any_value(f.mean) + sum(e.v * f.beta[e.i + 1]), 9) AS prediction
+  FROM entries e JOIN fit f USING (target) WHERE e.i < {p} GROUP BY e.target, e.rn),
+judged AS (
+  SELECT c.target, c.label, CAST(p.prediction >= m.cut AS INTEGER) AS cls
+  FROM predicted p JOIN complete c USING (target, rn) JOIN (SELECT target, median(prediction) AS cut FROM predicted GROUP BY target) m USING (target)),
+classes AS (
+  SELECT target, c AS cls, count(*) AS n, count_if(label = c AND cls = c) AS tp, count_if(label = c) AS support, count_if(cls = c) AS named
+  FROM judged CROSS JOIN (VALUES (0), (1)) v(c) GROUP BY target, c),
+rates AS (SELECT *, coalesce(tp / nullif(named, 0), 0) AS pr, coalesce(tp / nullif(support, 0), 0) AS re FROM classes),
+metrics AS (
+  SELECT target, sum(tp) / any_value(n) AS acc, sum(pr * support) / any_value(n) AS pr, sum(re * support) / any_value(n) AS re,
+         sum(coalesce(2 * pr * re / nullif(pr + re, 0), 0) * support) / any_value(n) AS f1 FROM rates GROUP BY target),
+change AS (SELECT target, avg(effect) FILTER (x > 0) - avg(effect) FILTER (x < 0) AS change FROM curve GROUP BY target),
+every(target) AS (VALUES {", ".join(f"('{a}')" for a in A)})"""
+
+
+_LL = "f.n * ln(2 * pi() * f.scale)"
+SQL["gam_coefficients"] = with_(gam_ctes(), """SELECT target, CAST(i AS INTEGER) AS i, round(beta[i + 1] + CASE WHEN i = 0 THEN mean ELSE 0 END, 5) AS beta
+FROM fit JOIN idx ON i < len(beta)""")
+SQL["gam_curve"] = with_(gam_ctes(), """SELECT c.target AS Analyte, c.i, round(c.x, 5) AS x, round(effect, 5) AS effect,
+  round(effect - 1.959963984540054 * sqrt(greatest(scale * s.v, 0)), 5) AS lower, round(effect + 1.959963984540054 * sqrt(greatest(scale * s.v, 0)), 5) AS upper
+FROM curve c JOIN spread s ON s.target = c.target AND s.i = c.i""")
+SQL["gam_results"] = with_(gam_ctes(), f"""SELECT e.target AS Analyte,
+  round_even(CASE WHEN f.scale > 0 THEN ({_LL} + f.rss / f.scale) / nullif({_LL} + f.rss0 / f.scale, 0) END, 4) AS r2,
+  round_even(CASE WHEN f.rss0 > 0 THEN 1 - f.rss / f.rss0 END, 4) AS explained_deviance,
+  round_even(c.change, 4) AS post_fire_change,
+  CASE WHEN f.target IS NULL THEN NULL WHEN c.change > 0 THEN '↑ increases' ELSE '↓ decreases' END AS Direction,
+  round_even(m.acc, 4) AS Accuracy, round_even(m.pr, 4) AS "Precision", round_even(m.re, 4) AS Recall, round_even(m.f1, 4) AS F1,
+  CAST(coalesce(k.n, 0) AS BIGINT) AS n, CASE WHEN f.target IS NULL THEN 'fewer than 100 complete rows' ELSE 'ok' END AS status
+FROM every e LEFT JOIN facts k USING (target) LEFT JOIN fit f USING (target) LEFT JOIN change c USING (target) LEFT JOIN metrics m USING (target)""")
 
 
 SQL["mixed_grid_sums"] = with_(model_ctes() + ",\nlong AS (" + "\n  UNION ALL ".join(

@@ -5,9 +5,11 @@ import random
 
 import pytest
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cinderwell.operators import gam, ml
+from cinderwell.sources.schema import MODEL_FEATURES
 
 
 def _frame(spark, n=600, seed=3):
@@ -24,48 +26,84 @@ def _frame(spark, n=600, seed=3):
                                        "Region int, post_fire int, y double")
 
 
+def _fit(spark, df, **kw):
+    return gam.fit_gam(df, ["y"], **kw)
+
+
+def _plain_design(pdf, fit):
+    ranges = {f: (lo, hi) for f, lo, hi in zip(MODEL_FEATURES, fit["lo"], fit["hi"])}
+    return gam._design(pdf, list(MODEL_FEATURES), ranges)
+
+
 def test_gam_recovers_signal(spark):
     df = _frame(spark)
-    fits = gam.fit_gam(df, ["y"])
-    f = fits["y"]
-    assert f["n"] == df.count()
+    fits = _fit(spark, df)
+    f = fits.first()
+    assert f["n"] == df.count() and f["status"] == "ok"
     assert f["explained_deviance"] > 0.95
-    curve = gam.effect_curve(f)
+    curve = gam.effect_curves(fits).orderBy("i").toPandas()
     slope = (curve.effect.iloc[-1] - curve.effect.iloc[0]) / (curve.x.iloc[-1] - curve.x.iloc[0])
     assert abs(slope - 0.002) < 0.0003
-    pdf = df.toPandas()
-    fitted = gam._design(pdf, f["features"], f["ranges"]) @ f["beta"]
-    assert abs(fitted - pdf.y).max() < 0.5
+    change = gam.effect_change(gam.effect_curves(fits)).first()["change"]
+    assert change == pytest.approx(curve.effect[curve.x > 0].mean() - curve.effect[curve.x < 0].mean())
+    got = gam.score_all(df, fits).toPandas().prediction.to_numpy()
+    assert np.allclose(np.sort(got), np.sort(_plain_design(df.toPandas(), f) @ np.array(f["beta"])), atol=1e-6)
 
 
 @pytest.mark.parametrize("offset", [0.0, 1e9])
-def test_gam_band_matches_a_dense_fit(spark, offset):
-    """Coefficients and the band against the plain normal equations, also for a
-    target far from zero."""
-    import numpy as np
+def test_gam_fit_is_that_of_the_dense_normal_equations(spark, offset):
+    """Coefficients, edof and the band of every term, also for a target far
+    from zero."""
     df = _frame(spark, 150).withColumn("y", F.col("y") + offset)
-    f = gam.fit_gam(df, ["y"])["y"]
+    f = _fit(spark, df).first()
     pdf = df.toPandas()
-    x = gam._design(pdf, f["features"], f["ranges"])
+    x = _plain_design(pdf, f)
     p = x.shape[1]
     pen = gam.RIDGE * np.eye(p)
-    for k in range(len(f["features"])):
-        a = 1 + 20 * k
+    for k in range(len(MODEL_FEATURES)):
+        own = slice(1 + 20 * k, 21 + 20 * k)
         d = np.diff(np.eye(20), 2, axis=0)
-        pen[a:a + 20, a:a + 20] += gam.LAM * d.T @ d
+        sums = x[:, own].sum(0)
+        pen[own, own] += gam.LAM * d.T @ d + np.outer(sums, sums) / len(x)
     inv = np.linalg.inv(x.T @ x + pen)
     y = pdf.y - pdf.y.mean()
     beta = inv @ x.T @ y
     res = y - x @ beta
     edof = np.trace(inv @ x.T @ x)
-    sigma2 = res @ res / (len(y) - edof)
-    cov = sigma2 * inv @ x.T @ x @ inv
-    curve = gam.effect_curve(f)
-    from cinderwell.functions.splines import basis_np
-    b = basis_np(curve.x.to_numpy(), *f["ranges"][f["features"][0]], 20)
-    se = np.sqrt(np.einsum("ij,jk,ik->i", b, cov[1:21, 1:21], b))
-    width = (curve.upper - curve.lower) / (2 * gam.Z975)
-    assert np.allclose(width, se, rtol=1e-3, atol=1e-5 if not offset else 1e-4)
+    cov = res @ res / (len(y) - edof) * inv @ x.T @ x @ inv
+    tol = 1e-6 if not offset else 1e-4
+    assert f["edof"] == pytest.approx(edof, rel=1e-6)
+    assert np.allclose(f["beta"][1:], beta[1:], atol=tol) and f["beta"][0] == pytest.approx(beta[0] + pdf.y.mean())
+    for k in range(len(MODEL_FEATURES)):
+        own = slice(1 + 20 * k, 21 + 20 * k)
+        assert np.allclose(f["cov"][k], cov[own, own], atol=tol)
+        assert abs((x[:, own] @ np.array(f["beta"])[own]).mean()) < 1e-4  # terms have mean zero
+
+
+def test_spline_columns_are_the_numpy_basis(spark):
+    from cinderwell.functions.splines import basis_np, place, spline_value, spline_variance
+    rng = np.random.default_rng(0)
+    xs, coefs, m = [-9.0, 0.0, 0.1, 1.5, 2.9999, 3.0, 7.0], rng.normal(size=23), rng.normal(size=(20, 20))
+    df = spark.createDataFrame([(i, x, coefs.tolist(), m.tolist()) for i, x in enumerate(xs)], "i int, x double, b array<double>, m array<array<double>>")
+    for lo, hi in ((0.0, 3.0), (2.0, 2.0)):
+        j, t = place(F.col("x"), F.lit(lo), F.lit(hi), 20)
+        got = df.orderBy("i").select(spline_value(F.col("b"), 3, j, t).alias("v"), spline_variance(F.col("m"), j, t).alias("q")).collect()
+        b = basis_np(np.array(xs), lo, hi, 20)
+        assert np.allclose([r["v"] for r in got], b @ coefs[3:]) and np.allclose([r["q"] for r in got], np.einsum("ij,jk,ik->i", b, m, b))
+
+
+def test_scoring_and_curves_need_no_python_worker(spark):
+    df = _frame(spark, 200)
+    fits = _fit(spark, df)
+    for out in (gam.score_all(df, fits), gam.effect_curves(fits)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "MapInPandas" not in plan and "Arrow" not in plan
+
+
+def test_gam_with_a_feature_that_does_not_vary(spark):
+    df = _frame(spark, 200).withColumn("Region", F.lit(4))
+    f = _fit(spark, df).first()
+    assert f["status"] == "ok" and f["explained_deviance"] > 0.9
 
 
 def test_gam_lists_analytes_without_a_fit(spark):
