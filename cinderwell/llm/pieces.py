@@ -422,10 +422,11 @@ def ids_column(text: Column, path: str) -> Column:
     return encode(or_empty(text))
 
 
-def recoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, n_ids, ids, decoded): encoded and decoded again in one pass that
-    holds ``ROWS`` rows at a time."""
+def recoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_ids, ids, decoded), and the columns ``keep`` behind them:
+    encoded and decoded again in one pass that holds ``ROWS`` rows at a time."""
     path = path or model_path()
+    names = ["doc_id", "n_ids", "ids", "decoded", *keep]
 
     def each(batches):
         matcher, decoder = load(path)
@@ -435,10 +436,12 @@ def recoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
                 rows = matcher.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([len(r) // 4 for r in rows], pa.int32()), _list_array(rows),
-                    pa.array([decoder.decode(np.frombuffer(r, np.int32).tolist()) for r in rows], pa.string())], ["doc_id", "n_ids", "ids", "decoded"])
+                    pa.array([decoder.decode(np.frombuffer(r, np.int32).tolist()) for r in rows], pa.string()),
+                    *part.columns[2:]], names)
 
-    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), or_empty(docs[f"`{text}`"]).alias("text"))
-    return small_batches(rows).mapInArrow(each, "doc_id long, n_ids int, ids array<int>, decoded string")
+    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), or_empty(docs[f"`{text}`"]).alias("text"), *[docs[f"`{c}`"] for c in keep])
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return small_batches(rows).mapInArrow(each, "doc_id long, n_ids int, ids array<int>, decoded string" + kept)
 
 
 def text_column(ids: Column, path: str) -> Column:

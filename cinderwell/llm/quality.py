@@ -32,19 +32,15 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = r"[#*$%&|<>]"
-#: steps of the fit in the SQL twin only
-ITERATIONS = 25
 #: the fit ends when no posterior moves by more; not to get there is an error
 TOLERANCE = 1e-9
 MAX_STEPS = 20_000
 THRESHOLD = 0.5
 #: share of the good documents that a rule is taken to object to by mistake
 RULE_ERROR = 0.002
-#: (good vote, bad vote, abstention): what a rule is taken to have said of
-#: documents of its own defect (SQL twin only), and of all others, before it
-#: sees any
-PRIOR_OWN = (0.5, 9.0, 0.5)
-PRIOR_OTHER = (4.5, 1.0, 4.5)
+#: (good votes, bad votes) that a rule is taken to have cast on documents of a
+#: defect that is not its own before it sees any
+PRIOR_OTHER = (4.5, 1.0)
 #: what one of these counts, and one document in each class, is of the corpus
 PSEUDO = 1e-4
 
@@ -78,7 +74,8 @@ def rules() -> list[tuple[str, Column]]:
     ]
 
 
-N_RULES = 8
+RULE_NAMES = ("length", "symbols", "repeats", "dup_lines", "stutter", "word_length", "line_ends", "capitals")
+N_RULES = len(RULE_NAMES)
 #: rules that only look for a defect
 ONE_SIDED = {"symbols", "repeats", "dup_lines", "stutter", "capitals"}
 
@@ -262,8 +259,10 @@ def _sql() -> str:
     """The same counts by unnesting, the same fit as a recursive query over one
     row of vote patterns (lists are numbered from 1 there)."""
     words, space, steps = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]", N_RULES + 1
-    own, other = list(PRIOR_OWN), list(PRIOR_OTHER)
-    vote = lambda bad, good="false": f"CASE WHEN {bad} THEN 1 WHEN {good} THEN 0 ELSE 2 END"
+    # place of a vote in a rate pair; a rule for a defect that finds none has voted
+    vote = lambda bad, good="true": f"CASE WHEN {bad} THEN 1 WHEN {good} THEN 0 ELSE 2 END"
+    two_sided = [name not in ONE_SIDED for name in RULE_NAMES]
+    capped = lambda x: f"ln(least(greatest({x}, {RULE_ERROR}), {1 - RULE_ERROR}))"
     length = "(word_chars / greatest(n_words, 1))"
     votes = ", ".join([
         vote(f"n_words < {MIN_WORDS}", "n_words >= 50"),
@@ -293,29 +292,35 @@ f AS (
          len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters, coalesce(covered.n, 0) AS n_repeat_words
   FROM d LEFT JOIN covered USING (rn)),
 voted AS (SELECT *, [{votes}] AS v FROM f),
-patterns AS (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY v),
+shares AS (SELECT v, n / sum(n) OVER () AS n FROM (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY v)),
+off AS (
+  SELECT list(off ORDER BY j) AS off FROM (
+    SELECT j, {two_sided}[j + 1] AND coalesce(sum(n) FILTER (v[j + 1] = 1), 0) > coalesce(sum(n) FILTER (v[j + 1] = 0), 0) AS off
+    FROM shares CROSS JOIN (SELECT unnest(range({N_RULES})) AS j) GROUP BY j)),
+used AS (SELECT v, n, list_transform(v, lambda x, j: CASE WHEN off[j] THEN 2 ELSE x END) AS u FROM shares CROSS JOIN off),
 em(k, post) AS (
-  SELECT 0, list({{'n': n, 'v': v, 'g': list_transform(range({steps}), lambda c:
-    CASE WHEN NOT list_contains(v, 1) THEN CASE WHEN c = 0 THEN 0.9 ELSE 0.1 / {N_RULES} END
-         WHEN c = 0 THEN 0.1 ELSE CASE WHEN v[c] = 1 THEN 0.9 ELSE 0.0 END / len(list_filter(v, lambda x: x = 1)) END::DOUBLE)}} ORDER BY v)
-  FROM patterns
+  SELECT 0, list({{'n': n, 'v': v, 'u': u, 'g': list_transform(range({steps}), lambda c:
+    CASE WHEN NOT list_contains(u, 1) THEN CASE WHEN c = 0 THEN 1.0 ELSE 0.0 END
+         WHEN c = 0 THEN 0.1 ELSE CASE WHEN u[c] = 1 THEN 0.9 ELSE 0.0 END / len(list_filter(u, lambda x: x = 1)) END::DOUBLE), 'moved': 1::DOUBLE}} ORDER BY v)
+  FROM used
   UNION ALL
-  SELECT k + 1, list_transform(likely, lambda p: {{'n': p.n, 'v': p.v, 'g': list_transform(p.g, lambda x: x / list_sum(p.g))}})
+  SELECT k + 1, list_transform(likely, lambda p: {{'n': p.n, 'v': p.v, 'u': p.u, 'g': list_transform(p.g, lambda x: x / list_sum(p.g)),
+                                                   'moved': abs(p.g[1] / list_sum(p.g) - p.moved)}})
   FROM (
-    SELECT k, list_transform(post, lambda p: {{'n': p.n, 'v': p.v, 'g': list_transform(range({steps}), lambda c:
-      exp(weight[c + 1] + list_sum(list_transform(range({N_RULES}), lambda j: rate[c + 1][j + 1][p.v[j + 1] + 1]))))}}) AS likely
+    SELECT k, list_transform(post, lambda p: {{'n': p.n, 'v': p.v, 'u': p.u, 'g': list_transform(range({steps}), lambda c:
+      CASE WHEN c > 0 AND p.u[c] <> 1 THEN 0.0
+           ELSE exp(weight[c + 1] + list_sum(list_transform(range({N_RULES}), lambda j: rate[c + 1][j + 1][p.u[j + 1] + 1]))) END), 'moved': p.g[1]}}) AS likely
     FROM (
-      SELECT k, post, weight, list_transform(range({steps}), lambda c: list_transform(counted[c + 1], lambda by_vote: list_transform(range(3), lambda t:
-               ln(greatest(by_vote[t + 1] / list_sum(by_vote), CASE WHEN c = 0 AND t = 1 THEN {RULE_ERROR} ELSE 1e-6 END))))) AS rate
+      SELECT k, post, weight, list_transform(range({steps}), lambda c: list_transform(range({N_RULES}), lambda j:
+               CASE WHEN c = j + 1 THEN [0.0, 0.0, 0.0] WHEN c = 0 THEN [ln({1 - RULE_ERROR}), ln({RULE_ERROR}), 0.0]
+                    ELSE [{capped("cast_[c + 1][j + 1][1] / list_sum(cast_[c + 1][j + 1])")}, {capped("cast_[c + 1][j + 1][2] / list_sum(cast_[c + 1][j + 1])")}, 0.0] END)) AS rate
       FROM (
         SELECT k, post,
-               list_transform(range({steps}), lambda c: ln((list_sum(list_transform(post, lambda p: p.n * p.g[c + 1])) + 1.0)
-                 / (list_sum(list_transform(post, lambda p: p.n)) + {N_RULES} + 1.0))) AS weight,
-               list_transform(range({steps}), lambda c: list_transform(range({N_RULES}), lambda j: list_transform(range(3), lambda t:
-                 list_sum(list_transform(post, lambda p: CASE WHEN p.v[j + 1] = t THEN p.n * p.g[c + 1] ELSE 0.0 END))
-                 + CASE WHEN c = j + 1 THEN {own}[t + 1] ELSE {other}[t + 1] END))) AS counted
-        FROM em WHERE k < {ITERATIONS} AND len(post) > 0)))),
-fit AS (SELECT p.v AS v, p.g[1] AS posterior FROM (SELECT unnest(post) AS p FROM em WHERE k = {ITERATIONS})),
+               list_transform(range({steps}), lambda c: ln((list_sum(list_transform(post, lambda p: p.n * p.g[c + 1])) + {PSEUDO}) / {1 + steps * PSEUDO})) AS weight,
+               list_transform(range({steps}), lambda c: list_transform(range({N_RULES}), lambda j: list_transform(range(2), lambda t:
+                 list_sum(list_transform(post, lambda p: CASE WHEN p.u[j + 1] = t THEN p.n * p.g[c + 1] ELSE 0.0 END)) + {PSEUDO} * {list(PRIOR_OTHER)}[t + 1]))) AS cast_
+        FROM em WHERE k < {MAX_STEPS} AND len(list_filter(post, lambda p: p.moved > {TOLERANCE})) > 0)))),
+fit AS (SELECT p.v AS v, p.g[1] AS posterior FROM (SELECT unnest(post) AS p FROM (SELECT post FROM em ORDER BY k DESC LIMIT 1))),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM voted JOIN fit USING (v))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
