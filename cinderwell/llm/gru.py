@@ -105,12 +105,12 @@ class Lanes:
             a = b
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
+def _sigmoid(x: np.ndarray) -> None:
+    """In place. Where ``exp`` is infinite, the reciprocal is the wanted 0."""
     np.negative(x, out=x)
-    with np.errstate(over="ignore"):  # the reciprocal of infinity is the wanted 0
-        np.exp(x, out=x)
+    np.exp(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    np.reciprocal(x, out=x)
 
 
 def _log_soften(x: np.ndarray, row: np.ndarray, target: np.ndarray, learn: bool) -> np.ndarray:
@@ -132,27 +132,34 @@ class Model:
         self.p, self.squares = _views(self.flat[:SIZE]), _views(self.flat[SIZE:])
 
     def _states(self, inputs, state, keep: bool):
-        """States after each input; with ``keep`` also what going back needs."""
+        """States after each input; with ``keep`` also what going back needs:
+        states before, gates, new states and what the gate let in of them."""
         again = self.p["again"]
         steps, lanes = inputs.shape
         x = self.p["inputs"][inputs]
         out = np.empty((steps + 1, lanes, HIDDEN), np.float32)
         out[0] = state
-        held = [np.empty((steps, lanes, n), np.float32) for n in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)] if keep else None
+        before, gates, new, inner = (np.empty((steps if keep else 1, lanes, n), np.float32) for n in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN))
         start = inputs == START
-        for t in range(steps):
-            h = out[t]
-            if start[t].any():
-                h = np.where(start[t][:, None], np.float32(0), h)
-            g = h @ again
-            gates = _sigmoid(x[t, :, :2 * HIDDEN] + g[:, :2 * HIDDEN])
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            inner = g[:, 2 * HIDDEN:]
-            new = np.tanh(x[t, :, 2 * HIDDEN:] + r * inner)
-            np.add(new, z * (h - new), out=out[t + 1])
-            if keep:
-                held[0][t], held[1][t], held[2][t], held[3][t] = h, gates, new, inner
-        return out, held, start
+        starts = start.any(1)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                at = t if keep else 0
+                h, gate, n, after = out[t], gates[at], new[at], out[t + 1]
+                if starts[t]:
+                    h = np.where(start[t][:, None], np.float32(0), h)
+                g = h @ again
+                np.add(x[t, :, :2 * HIDDEN], g[:, :2 * HIDDEN], out=gate)
+                _sigmoid(gate)
+                np.multiply(gate[:, HIDDEN:], g[:, 2 * HIDDEN:], out=n)
+                n += x[t, :, 2 * HIDDEN:]
+                np.tanh(n, out=n)
+                np.subtract(h, n, out=after)
+                after *= gate[:, :HIDDEN]
+                after += n
+                if keep:
+                    before[t], inner[t] = h, g[:, 2 * HIDDEN:]
+        return out, (before, gates, new, inner), start
 
     def _outputs(self, states, target, learn: bool):
         """Natural log probability of each target (of an ending, of its class
@@ -220,24 +227,28 @@ class Model:
 
     def _back(self, held, start, at_state, inputs):
         before, gates, new, inner = held
-        again = self.p["again"]
+        again = self.p["again"].T.copy()
         steps, lanes, _ = at_state.shape
-        at_input = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-        at_again = np.empty_like(at_input)
-        after = np.zeros((lanes, HIDDEN), np.float32)
+        z, r = gates[..., :HIDDEN], gates[..., HIDDEN:]
+        # gradient of the two gates and the new state, each by the state's
+        by = np.empty((steps, lanes, 3, HIDDEN), np.float32)
+        by[:, :, 2] = (1 - z) * (1 - new * new)
+        by[:, :, 1] = by[:, :, 2] * inner * r * (1 - r)
+        by[:, :, 0] = (before - new) * z * (1 - z)
+        at_input, at_again = np.empty_like(by), np.empty_like(by)
+        after, starts = np.zeros((lanes, HIDDEN), np.float32), start.any(1)
         for t in range(steps - 1, -1, -1):
             d = at_state[t] + after
-            z, r, n, h = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:], new[t], before[t]
-            d_new = d * (1 - z) * (1 - n * n)
-            d_z = d * (h - n) * z * (1 - z)
-            d_r = d_new * inner[t] * r * (1 - r)
-            at_input[t, :, :HIDDEN], at_input[t, :, HIDDEN:2 * HIDDEN], at_input[t, :, 2 * HIDDEN:] = d_z, d_r, d_new
-            at_again[t, :, :2 * HIDDEN] = at_input[t, :, :2 * HIDDEN]
-            np.multiply(d_new, r, out=at_again[t, :, 2 * HIDDEN:])
-            after = d * z + at_again[t] @ again.T
-            after[start[t]] = 0
+            np.multiply(d[:, None, :], by[t], out=at_input[t])
+            at_again[t] = at_input[t]
+            at_again[t, :, 2] *= r[t]
+            after = at_again[t].reshape(lanes, 3 * HIDDEN) @ again
+            d *= z[t]
+            after += d
+            if starts[t]:
+                after[start[t]] = 0
         flat = at_again.reshape(-1, 3 * HIDDEN)
-        ids = inputs.ravel()
+        ids = inputs.ravel().astype(np.int16)
         order = np.argsort(ids, kind="stable")
         used, first = np.unique(ids[order], return_index=True)
         return {"again": before.reshape(-1, HIDDEN).T @ flat,

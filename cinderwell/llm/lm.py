@@ -5,20 +5,22 @@ tasks count, Spark sums). From the counts come a smoothed unigram score and the
 parts of the recurrent model (``gru``) that are not learned: its vocabulary, the
 mass of each class, and the share of every word in its class.
 
+The second reading turns each document into numbers of the model's vocabulary
+(two bytes a word), adds up what the counts of its frequent words give, and
+lists its other words with how often it holds them. These rows, each with a
+number of its own, are written once; texts are not read again. Counts of
+frequent words go to all tasks: those of the ``LOOKUP`` most frequent ones at
+most, and long words go by their digest, so the bound holds in bytes too. The
+other words are joined with the counts, and their sums come back to the row. No
+text is shuffled. Since frequent words do not take part in it, the join has no
+hot key: a word of it occurs in less than one LOOKUP-th of all tokens.
+
 The network learns in ``ROUNDS`` rounds. In each, every task learns from its
 part of one in ROUNDS training documents, starting from the same parameters, and
 the parameters are averaged by the number of words they have met, in two levels
 of groups; so every training document is learned from once. A set of parameters
-has a fixed size (under a megabyte), whatever the corpus.
-
-Scoring reads the documents once more, with the state carried from the first to
-the last word of each. Counts of frequent words go to all tasks: those of the
-``LOOKUP`` most frequent ones at most, and long words go by their digest, so the
-bound holds in bytes too. All other words of a document leave the task with how
-often it holds them, are joined with the counts, and their sums come back to the
-row, which has a number of its own by then. No text is shuffled. Since frequent
-words do not take part in it, the join has no hot key: a word of it occurs in
-less than one LOOKUP-th of all tokens.
+has a fixed size (under a megabyte), whatever the corpus. Scoring carries the
+state from the first to the last word of each document.
 
 Nulls and empty texts have the end token alone. A document without an id counts
 as one whose id is the empty text, which is held out. Repeated rows are counted,
@@ -51,6 +53,8 @@ HELD_OUT, ROUNDS = 10, 4
 LOOKUP, LONGEST = 100_000, 64
 #: words in work at a time, and distinct words that a task counts before it hands them on
 GROUP, COUNTED = 3_000_000, 200_000
+#: documents numbered at a time
+ROWS = 500
 #: parameters a row, and groups of tasks, when parameters are averaged
 BLOCK, GROUPS = 1 << 14, 256
 END = b""
@@ -170,12 +174,59 @@ def _numbers(known: Lexicon, words: list[bytes], at: np.ndarray) -> np.ndarray:
     return out
 
 
+_NUMBERED = ("doc_id long, part long, n_tokens long, n_known long, base double, share double, "
+             "numbers binary, rest array<struct<word: string, n: int>>")
+
+
+def _number(told):
+    """What the second reading makes of each document. ``base`` is its unigram
+    score, ``share`` the score of words within their ending classes, both
+    without what the counts of the words in ``rest`` add."""
+    def each(batches):
+        known = told.value
+        log_count = np.log10(known.count + ADDED)
+        log_ending = np.log10(np.maximum(known.ending_mass, 1e-300))
+        log_all, log_end = np.log10(known.all_mass), np.log10(known.end_count + ADDED)
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                out, ends, listed, times = [], [0], [], []
+                for text in part.column("text"):
+                    words = tokens(text.as_py())
+                    at = _places(known, words)
+                    numbers = _numbers(known, words, at)
+                    rest = Counter(key(words[i]) for i in np.flatnonzero(at < 0).tolist())
+                    listed += rest.keys()
+                    times += rest.values()
+                    ends.append(len(listed))
+                    at = at[at >= 0]
+                    outside = numbers[numbers >= gru.VOCAB] - gru.VOCAB
+                    share = (log_count[at[known.number[at] >= gru.VOCAB]].sum() if len(at) else 0.0) - log_ending[outside].sum()
+                    out.append((len(words), int((known.count[at] > 0).sum()) + int(known.end_count > 0),
+                                log_count[at].sum() + log_end - len(words) * log_all, share, numbers.astype(np.uint16).tobytes()))
+                words = pa.array([w.decode("utf-8", "replace") for w in listed], pa.string())
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, pa.array(times, pa.int32())], ["word", "n"]))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds)), rare],
+                                                 ["doc_id", "part", "n_tokens", "n_known", "base", "share", "numbers", "rest"])
+    return each
+
+
+def numbered(docs: DataFrame, known: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A written row for each document, with a number ``row`` of its own."""
+    told = docs.sparkSession.sparkContext.broadcast(known)
+    rows = _dealt(docs, doc_id, text).mapInArrow(_number(told), _NUMBERED)
+    out = written_table(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    told.unpersist()
+    return out
+
+
 def _rows(batches, columns):
-    """(columns..., words) of each row."""
+    """(columns..., numbers) of each row."""
     for batch in batches:
-        texts = batch.column("text")
+        numbers = batch.column("numbers")
         for i, rest in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
-            yield *rest, tokens(texts[i].as_py())
+            yield *rest, np.frombuffer(numbers[i].as_py(), np.uint16).astype(np.int32)
 
 
 def _groups(rows, size):
@@ -191,12 +242,12 @@ def _groups(rows, size):
         yield held
 
 
-def _learned(known, flat):
+def _learned(flat):
     """Learns from a task's documents; blocks of the parameters times the
     number of words met, in (task, block, words, values)."""
     def each(batches):
         model, met = gru.Model(flat.value), 0
-        for docs in _groups((_numbers(known.value, w, _places(known.value, w)) for _, w in _rows(batches, ("part",))), len):
+        for docs in _groups((numbers for _, numbers in _rows(batches, ("part",))), len):
             model.learn(docs)
             met += sum(map(len, docs))
         if met:
@@ -215,79 +266,53 @@ def _summed(group: pa.Table) -> pa.Table:
                      "words": pa.array([sum(r[2] for r in rows)], pa.int64()), "values": pa.array([total.tobytes()], pa.binary())})
 
 
-def fitted(docs: DataFrame, known: Lexicon, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
-    """The model's parameters after all rounds."""
-    sc = docs.sparkSession.sparkContext
+def fitted(rows: DataFrame, known: Lexicon, rounds: int = ROUNDS) -> np.ndarray:
+    """The model's parameters after all rounds over numbered documents."""
+    sc = rows.sparkSession.sparkContext
     flat = gru.initial(np.array(known.vocabulary) + ADDED, known.ending_mass)
-    told = sc.broadcast(known)
     kind = "task int, block int, words long, values binary"
-    train = _dealt(docs, doc_id, text).where(~_is_held_out())
+    train = rows.where(~_is_held_out()).select("part", "numbers")
     for r in range(rounds):
         now = sc.broadcast(flat)
-        parts = train.where(F.floor(F.col("part") / HELD_OUT) % rounds == r).mapInArrow(_learned(told, now), kind)
+        parts = train.where(F.floor(F.col("part") / HELD_OUT) % rounds == r).mapInArrow(_learned(now), kind)
         some = parts.groupBy("block", F.col("task") % GROUPS).applyInArrow(_summed, kind)
         blocks = some.groupBy("block").applyInArrow(_summed, kind).orderBy("block").collect()
         if blocks:
             flat = np.concatenate([np.frombuffer(b["values"], np.float64) / b["words"] for b in blocks]).astype(np.float32)
         now.unpersist()
-    told.unpersist()
     return flat
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word: string, n: int>>"
-_REST = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
-
-
-def _scores(told, params):
-    """Scores of each document without what the counts of its rare words add;
-    these words are in ``rest``."""
+def _scores(params):
+    """(row, log10 probability of the document's numbers)."""
     def each(batches):
-        known, model = told.value, gru.Model(params.value)
-        log_count = np.log10(known.count + ADDED)
-        log_ending = np.log10(np.maximum(known.ending_mass, 1e-300))
-        log_all, log_end = np.log10(known.all_mass), np.log10(known.end_count + ADDED)
-
-        def counted(row):
-            doc_id, part, words = row
-            at = _places(known, words)
-            numbers = _numbers(known, words, at)
-            rare = Counter(key(words[i]) for i in np.flatnonzero(at < 0).tolist())
-            at = at[at >= 0]
-            # shares in their classes: of frequent words outside the vocabulary, and the lower part of those of rare ones
-            outside = numbers[numbers >= gru.VOCAB] - gru.VOCAB
-            share = float(log_count[at[known.number[at] >= gru.VOCAB]].sum() if len(at) else 0) - float(log_ending[outside].sum())
-            return (numbers, doc_id, part % HELD_OUT == 0, len(words), int((known.count[at] > 0).sum()) + int(known.end_count > 0),
-                    float(log_count[at].sum()) + log_end - len(words) * log_all, share, [{"word": w.decode("utf-8", "replace"), "n": n} for w, n in rare.items()])
-
-        for group in _groups(map(counted, _rows(batches, ("doc_id", "part"))), lambda r: r[3]):
-            numbers, *c, shares, rest = zip(*group)
-            score = model.score(list(numbers)) / np.log(10) + np.array(shares)
-            for a in range(0, len(group), 1000):
-                part = slice(a, a + 1000)
-                arrays = [pa.array(x[part], kind) for x, kind in zip(c, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(score[part]), pa.array(rest[part], _REST)],
-                                                 ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+        model = gru.Model(params.value)
+        for group in _groups(_rows(batches, ("row",)), lambda r: len(r[1])):
+            rows, docs = zip(*group)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(model.score(list(docs)) / np.log(10))], ["row", "model"])
     return each
 
 
-def scored(docs: DataFrame, counts: DataFrame, known: Lexicon, params: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    sc = docs.sparkSession.sparkContext
-    rows = _dealt(docs, doc_id, text).select("doc_id", "part", "text").mapInArrow(_scores(sc.broadcast(known), sc.broadcast(params)), _SCORED)
-    rows = written_table(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+def scored(rows: DataFrame, counts: DataFrame, known: Lexicon, params: np.ndarray) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
+    numbered documents."""
+    sc = rows.sparkSession.sparkContext
+    logs = rows.select("row", "numbers").mapInArrow(_scores(sc.broadcast(params)), "row long, model double")
     rare = rows.select("row", F.inline("rest")).join(counts.where(F.col("train") > 0).select("word", "train"), "word", "left")
     count = F.coalesce("train", F.lit(0))
     sums = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(count + ADDED)).alias("more"), F.sum(F.when(count > 0, F.col("n")).otherwise(0)).alias("seen"))
     more = F.coalesce("more", F.lit(0.0))
-    return rows.drop("rest").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(known.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    return rows.drop("rest", "numbers").join(logs, "row").join(sums, "row", "left").select(
+        "doc_id", _is_held_out().alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+        F.lit(known.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
+        (F.col("model") + F.col("share") + more).alias("score"))
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lookup: int = LOOKUP) -> DataFrame:
     counts = written_table(word_counts(docs, doc_id, text), "lm-counts")
     known = lexicon(counts, lookup)
-    return scored(docs, counts, known, fitted(docs, known, doc_id, text), doc_id, text)
+    rows = numbered(docs, known, doc_id, text)
+    return scored(rows, counts, known, fitted(rows, known))
 
 
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def test_untrained_model_is_the_unigram_model(spark):
     counts = lm.word_counts(docs).cache()
     known = lm.lexicon(counts, 50)
     params = gru.initial(np.array(known.vocabulary) + lm.ADDED, known.ending_mass)
-    for r in lm.scored(docs, counts, known, params).collect():
+    for r in lm.scored(lm.numbered(docs, known), counts, known, params).collect():
         assert r["score"] == pytest.approx(r["base_score"], rel=1e-3)
 
 
