@@ -28,8 +28,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each remaining document, with its source and language."""
-    return pieces.encoded(docs.select("doc_id", "source", "lang", "text"))
+    """Piece ids of each remaining document and the text they decode to, with
+    its source and language."""
+    return pieces.recoded(docs, keep=("source", "lang"))
 
 
 STAGES = [
