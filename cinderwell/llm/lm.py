@@ -50,9 +50,9 @@ from cinderwell.session import written_table
 
 ADDED = 0.1
 HELD_OUT, ROUNDS = 10, 4
-LOOKUP, LONGEST = 100_000, 64
+LOOKUP, LONGEST = 200_000, 64
 #: words in work at a time, and distinct words that a task counts before it hands them on
-GROUP, COUNTED = 3_000_000, 200_000
+GROUP, COUNTED = 3_000_000, 500_000
 #: documents numbered at a time
 ROWS = 500
 #: parameters a row, and groups of tasks, when parameters are averaged
@@ -95,7 +95,7 @@ def _count(batches):
         # distinct long words have distinct digests
         return pa.RecordBatch.from_arrays([
             pa.array([key(w).decode("utf-8", "replace") for w in words], pa.string()), pa.array(map(ending, words), pa.int32(), size=len(words)),
-            *(pa.array([c[w] for w in words], pa.int64()) for c in both)], ["word", "ending", "train", "held"])
+            *(pa.array([c.get(w, 0) for w in words], pa.int64()) for c in both)], ["word", "ending", "train", "held"])
 
     for batch in batches:
         for part, text in zip(batch.column("part").to_pylist(), batch.column("text")):
