@@ -18,7 +18,7 @@ from cinderwell.functions.geometry import AlbersParams, albers_inverse, wkt_poin
 from cinderwell.functions.labels import lookup, short_label
 from cinderwell.operators import events as ev
 from cinderwell.operators import gam as gam_ops
-from cinderwell.operators import ml, stats, study
+from cinderwell.operators import ml, stats, study, trees
 from cinderwell.operators.reshape import analytes_found, preview, units_reference
 from cinderwell.operators.spatial import spatial_join
 from cinderwell.plans.stages import _binding_key, binding_joined, binding_master
@@ -429,6 +429,81 @@ def q_rf_class_report(spark, d):
     return stats.class_report(_clf(spark, d)["confusion"])
 
 
+#: features with many values, which the trees see in bins of equal counts
+TREE_BINNED = ("days_since_fire", "log_acres", "TargetLatitude", "TargetLongitude")
+
+
+def _tree_rows(spark, d):
+    """Train and test rows of the regression trees: the exact-size hash split
+    of the model frame, features in bins."""
+    m = _model_frozen(spark, d)
+    seen = trees.binned(m, trees.quantile_cuts(m, TREE_BINNED))
+    split = ml.hash_split(seen, KEYS, 0.2)
+    return [trees.long_rows(split.where(F.col("is_test") == t), A, MODEL_FEATURES) for t in (False, True)]
+
+
+def _tree(spark, d):
+    def fit():
+        train, test = _tree_rows(spark, d)
+        tree = trees.grow(train)
+        return tree, ml._local(trees.r2_by_target(trees.predict(test, tree)))
+    return _fitted(spark, d, "tree", fit)
+
+
+def q_rf_tree_splits(spark, d):
+    """M3: the regression tree of each analyte, node by node."""
+    return normalise(_tree(spark, d)[0].drop("weight"), 4)
+
+
+def q_rf_tree_importances(spark, d):
+    """M4: each feature's share of a tree's gains."""
+    return normalise(trees.importances(_tree(spark, d)[0], MODEL_FEATURES).withColumnRenamed("target", "Analyte"))
+
+
+def q_rf_tree_results(spark, d):
+    """M3 + O6: held-out R2, rows and the most important feature (ties to the
+    earlier one)."""
+    tree, r2 = _tree(spark, d)
+    names = F.array(*[F.lit(f) for f in MODEL_FEATURES])
+    # one number orders by importance, then by place: the greatest is the first of the greatest
+    key = F.round(F.col("importance") * 1e9).cast("long") * 64 + 64 - F.array_position(names, F.col("feature"))
+    top = trees.importances(tree, MODEL_FEATURES).groupBy("target").agg(F.max(key).alias("k")) \
+        .select("target", F.get(names, 63 - F.pmod("k", F.lit(64)).cast("int")).alias("top_feature"))
+    return normalise(r2.join(top, "target").select(F.col("target").alias("Analyte"), "r2", "top_feature", F.col("n").alias("n_test")), 4)
+
+
+def _clf_tree(spark, d):
+    def fit():
+        imputed = _imputed(spark, d)
+        split = ml.hash_split(imputed, KEYS, 0.2, label_col="post_fire")
+        train = stats.balanced_weights(split.where(~F.col("is_test")), "post_fire", "weight")
+        tree = trees.grow(trees.long_rows(train, ["post_fire"], A, F.col("weight")))
+        voted = trees.predict(trees.long_rows(split.where("is_test"), ["post_fire"], A), tree)
+        cm = ml._local(stats.confusion(voted.withColumn("vote", (F.col("prediction") > 0.5).cast("int")), "y", "vote"))
+        return tree, cm, ml._local(stats.class_means(imputed, A, "post_fire"))
+    return _fitted(spark, d, "clf_tree", fit)
+
+
+def q_clf_tree_splits(spark, d):
+    """Splits by Gini impurity with balanced class weights; ``value`` is
+    the weighted share of rows after the event."""
+    return normalise(_clf_tree(spark, d)[0], 4)
+
+
+def q_clf_tree_confusion(spark, d):
+    """A18 on held-out rows, soft votes of the tree."""
+    return _clf_tree(spark, d)[1]
+
+
+def q_clf_tree_ranking(spark, d):
+    """M18 + M19 + J4: change of each analyte beside its importance."""
+    tree, _, change = _clf_tree(spark, d)
+    imp = trees.importances(tree, A).select(F.col("feature").alias("Analyte"), "importance")
+    return change.join(F.broadcast(imp), "Analyte").select(
+        lookup("Analyte", BINDING_DISPLAY).alias("Analyte"), F.bround("before", 3).alias("Before"), F.bround("after", 3).alias("After"),
+        F.bround("pct_change", 1).alias("pct_change"), F.col("direction").alias("Direction"), F.bround("importance", 4).alias("Importance"))
+
+
 def q_gam_basis_ranges(spark, d):
     return normalise(gam_ops.basis_ranges(_model(spark, d), A).drop("mean"))
 
@@ -490,6 +565,12 @@ QUERIES.update({
     "impact_ranking": q_impact_ranking,
     "impact_by_change": q_impact_by_change,
     "rf_class_report": q_rf_class_report,
+    "rf_tree_splits": q_rf_tree_splits,
+    "rf_tree_importances": q_rf_tree_importances,
+    "rf_tree_results": q_rf_tree_results,
+    "clf_tree_splits": q_clf_tree_splits,
+    "clf_tree_confusion": q_clf_tree_confusion,
+    "clf_tree_ranking": q_clf_tree_ranking,
     "gam_basis_ranges": q_gam_basis_ranges,
     "gam_gram": q_gam_gram,
     "gam_results": q_gam_results,

@@ -569,3 +569,110 @@ w AS (SELECT *, gamma / (1 + n * gamma) AS w FROM st, ratio)""",
     f"""SELECT Analyte, gamma, {rnd('sum(n - w * n * n)', 4)} AS a00, {rnd('sum(sx - w * n * sx)', 4)} AS a01, {rnd('sum(sxx - w * sx * sx)', 4)} AS a11,
   {rnd('sum(sy - w * n * sy)', 4)} AS b0, {rnd('sum(sxy - w * sx * sy)', 4)} AS b1, {rnd('sum(syy - w * sy * sy)', 4)} AS c,
   {rnd('sum(ln(1 + n * gamma))', 4)} AS logdet, {rnd('sum(n)', 4)} AS N, count(*) AS groups FROM w GROUP BY Analyte, gamma""")
+
+
+# --------------------------------------------------------------------------
+# Trees: one level of CTEs a depth
+# --------------------------------------------------------------------------
+TREE_DEPTH, TREE_LEAF, TREE_BINS = 4, 20, 64
+TREE_BINNED = ["days_since_fire", "log_acres", "TargetLatitude", "TargetLongitude"]
+
+
+def _levels(p: str, start: str) -> str:
+    """Trees over ``start`` (target, y, w, xs), CTE names with prefix ``p``:
+    rows, histograms, cuts and best splits of each depth, and all nodes."""
+    out = [f"{p}l0 AS (SELECT CAST(1 AS BIGINT) AS node, * FROM {start})"]
+    for d in range(TREE_DEPTH + 1):
+        leaf = TREE_LEAF if d < TREE_DEPTH else 1 << 62
+        out.append(f"""{p}h{d} AS (
+  SELECT target, node, f, x, count(*) AS n, sum(w) AS w, sum(w * y) AS s
+  FROM (SELECT target, node, y, w, unnest(range(len(xs))) AS f, unnest(xs) AS x FROM {p}l{d}) GROUP BY ALL)""")
+        out.append(f"""{p}c{d} AS (
+  SELECT target, node, f, x, sum(n) OVER c AS ln, sum(w) OVER c AS lw, sum(s) OVER c AS ls, sum(n) OVER a AS an, sum(w) OVER a AS aw, sum(s) OVER a AS "as"
+  FROM {p}h{d} WINDOW c AS (PARTITION BY target, node, f ORDER BY x), a AS (PARTITION BY target, node, f))""")
+        out.append(f"""{p}g{d} AS (
+  SELECT target, node, f, x, CASE WHEN ln >= {leaf} AND an - ln >= {leaf}
+    THEN round(ls * ls / nullif(lw, 0) + ("as" - ls) * ("as" - ls) / nullif(aw - lw, 0) - "as" * "as" / nullif(aw, 0), 6) END AS gain FROM {p}c{d})""")
+        out.append(f"""{p}b{d} AS (
+  SELECT t.target, t.node, CAST({d} AS INTEGER) AS depth, CAST(t.n AS BIGINT) AS n, t.weight, t.value,
+         CASE WHEN b.gain > 0 THEN b.gain END AS gain, CASE WHEN b.gain > 0 THEN CAST(b.f AS INTEGER) END AS feature, CASE WHEN b.gain > 0 THEN b.x END AS cut
+  FROM (SELECT target, node, any_value(an) AS n, any_value(aw) AS weight, any_value("as" / aw) AS value FROM {p}c{d} WHERE f = 0 GROUP BY target, node) t
+  JOIN (SELECT *, row_number() OVER (PARTITION BY target, node ORDER BY gain DESC NULLS LAST, f, x) AS place FROM {p}g{d}) b
+    ON b.target = t.target AND b.node = t.node AND b.place = 1)""")
+        if d < TREE_DEPTH:
+            out.append(f"""{p}l{d + 1} AS (
+  SELECT 2 * l.node + CAST(l.xs[b.feature + 1] > b.cut AS BIGINT) AS node, l.* EXCLUDE (node)
+  FROM {p}l{d} l JOIN {p}b{d} b ON b.target = l.target AND b.node = l.node WHERE b.feature IS NOT NULL)""")
+    out.append(f"{p}tree AS (" + " UNION ALL ".join(f"SELECT * FROM {p}b{d}" for d in range(TREE_DEPTH + 1)) + ")")
+    return ",\n".join(out)
+
+
+def _walk(p: str, start: str) -> str:
+    """``start`` at its leaves: (.., node, prediction) as CTE {p}voted."""
+    out = [f"{p}w0 AS (SELECT CAST(1 AS BIGINT) AS node, * FROM {start})"]
+    for d in range(TREE_DEPTH):
+        out.append(f"""{p}w{d + 1} AS (
+  SELECT CASE WHEN b.feature IS NULL THEN w.node ELSE 2 * w.node + CAST(w.xs[b.feature + 1] > b.cut AS BIGINT) END AS node, w.* EXCLUDE (node)
+  FROM {p}w{d} w LEFT JOIN {p}b{d} b ON b.target = w.target AND b.node = w.node)""")
+    out.append(f"{p}voted AS (SELECT w.*, t.value AS prediction FROM {p}w{TREE_DEPTH} w JOIN {p}tree t ON t.target = w.target AND t.node = w.node)")
+    return ",\n".join(out)
+
+
+def _importances(p: str, names) -> str:
+    listed = ", ".join(f"({i}, '{f}')" for i, f in enumerate(names))
+    return f"""{p}imp AS (
+  SELECT t.target, v.f AS place, v.name AS feature, coalesce(sum(t.gain) FILTER (t.feature = v.f), 0) / coalesce(nullif(sum(t.gain), 0), 1) AS importance
+  FROM {p}tree t CROSS JOIN (VALUES {listed}) v(f, name) GROUP BY ALL)"""
+
+
+def regression_tree_ctes() -> str:
+    cuts = []
+    for f in TREE_BINNED:
+        ranks = ", ".join(f"len(v) * {k} // {TREE_BINS}" for k in range(1, TREE_BINS))
+        cuts.append(f"(SELECT list_sort(list_distinct(list_transform([{ranks}], lambda k: v[k + 1]))) FROM "
+                    f"(SELECT list(CAST({qi(f)} AS DOUBLE) ORDER BY {qi(f)}) FILTER ({qi(f)} IS NOT NULL) AS v FROM model)) AS k_{f}")
+    bin_ = lambda f: (f"coalesce(list_filter(k_{f}, lambda c: c >= m.{qi(f)})[1], 'infinity'::DOUBLE)" if f in TREE_BINNED
+                      else f"CAST(m.{qi(f)} AS DOUBLE)")
+    complete = " AND ".join(f"m.{qi(f)} IS NOT NULL" for f in FEATS)
+    ys = " UNION ALL ".join(f"SELECT '{a}' AS target, CAST({qi(a)} AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS w, xs, is_test FROM seen WHERE {qi(a)} IS NOT NULL" for a in A)
+    return f"""{model_ctes()},
+cuts AS (SELECT {", ".join(cuts)}),
+parted AS (SELECT *, row_number() OVER (ORDER BY {_hash()}) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM model),
+seen AS (SELECT {", ".join("m." + qi(a) for a in A)}, m.is_test, [{", ".join(bin_(f) for f in FEATS)}] AS xs FROM parted m CROSS JOIN cuts WHERE {complete}),
+every_row AS ({ys}),
+train AS (SELECT target, y, w, xs FROM every_row WHERE NOT is_test),
+test AS (SELECT target, y, w, xs FROM every_row WHERE is_test),
+{_levels("r", "train")},
+{_walk("r", "test")},
+{_importances("r", FEATS)}"""
+
+
+def classifier_tree_ctes() -> str:
+    xs = ", ".join(f"CAST({qi(a)} AS DOUBLE)" for a in A)
+    return f"""{clf_ctes()},
+parted AS (SELECT *, row_number() OVER (PARTITION BY post_fire ORDER BY {_hash()}) <= ceil(0.2 * count(*) OVER (PARTITION BY post_fire)) AS is_test FROM imp),
+weights AS (SELECT post_fire, sum(count(*)) OVER ()::DOUBLE / (count(*) OVER () * count(*)) AS w FROM parted WHERE NOT is_test GROUP BY post_fire),
+train AS (SELECT 'post_fire' AS target, CAST(post_fire AS DOUBLE) AS y, w, [{xs}] AS xs FROM parted JOIN weights USING (post_fire) WHERE NOT is_test),
+test AS (SELECT 'post_fire' AS target, CAST(post_fire AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS w, [{xs}] AS xs FROM parted WHERE is_test),
+{_levels("k", "train")},
+{_walk("k", "test")},
+{_importances("k", A)}"""
+
+
+SQL["rf_tree_splits"] = with_(regression_tree_ctes(), """SELECT target, node, depth, n, round(value, 4) AS value, round(gain, 4) AS gain, feature, round(cut, 4) AS cut FROM rtree""")
+SQL["rf_tree_importances"] = with_(regression_tree_ctes(), f"SELECT target AS Analyte, feature, {rnd('importance')} AS importance FROM rimp")
+SQL["rf_tree_results"] = with_(regression_tree_ctes(), """SELECT e.target AS Analyte,
+  round(CASE WHEN e.v > 0 THEN 1 - e.sse / (e.n * e.v) END, 4) AS r2, t.top_feature, CAST(e.n AS BIGINT) AS n_test
+FROM (SELECT target, count(*) AS n, sum((y - prediction) * (y - prediction)) AS sse, var_pop(y) AS v FROM rvoted GROUP BY target) e
+JOIN (SELECT target, feature AS top_feature FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(importance, 9) DESC, place) AS rk FROM rimp) WHERE rk = 1) t USING (target)""")
+SQL["clf_tree_splits"] = with_(classifier_tree_ctes(), """SELECT target, node, depth, n, round(weight, 4) AS weight, round(value, 4) AS value, round(gain, 4) AS gain, feature,
+  round(cut, 4) AS cut FROM ktree""")
+SQL["clf_tree_confusion"] = with_(classifier_tree_ctes(), """SELECT a.c AS actual, p.c AS predicted, CAST(count(v.y) AS BIGINT) AS n
+FROM (VALUES (0), (1)) a(c) CROSS JOIN (VALUES (0), (1)) p(c)
+LEFT JOIN kvoted v ON v.y = a.c AND CAST(v.prediction > 0.5 AS INTEGER) = p.c GROUP BY a.c, p.c""")
+SQL["clf_tree_ranking"] = with_(classifier_tree_ctes() + ",\nmeans AS (" + "\n  UNION ALL ".join(
+    f"SELECT '{a}' AS Analyte, avg(CASE WHEN post_fire = 0 THEN {qi(a)} END) AS b, avg(CASE WHEN post_fire = 1 THEN {qi(a)} END) AS a FROM imp" for a in A) + ")",
+    "SELECT CASE m.Analyte " + " ".join(f"WHEN '{a}' THEN '{_FLAG_WORDS[a[0]]} {_FLAG_WORDS[a[-1]]}'" for a in A) + """ END AS Analyte,
+  round_even(b, 3) AS "Before", round_even(a, 3) AS "After", round_even((a - b) / nullif(b, 0) * 100, 1) AS pct_change,
+  CASE WHEN (a - b) / nullif(b, 0) * 100 > 0 THEN '↑' ELSE '↓' END AS Direction, round_even(i.importance, 4) AS Importance
+FROM means m JOIN kimp i ON i.feature = m.Analyte""")

@@ -42,12 +42,34 @@ _WRITTEN: set = set()
 
 
 def input_version(spark: SparkSession, paths) -> str:
-    """Changes when an input file is added, removed or rewritten; files are
-    listed, not read, and only a sum reaches the driver."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    r = files.agg(F.count(F.lit(1)).alias("n"),
-                  F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("s")).first()
-    return f"{r['n']}:{r['s']}"
+    """Changes when an input file is added, removed or rewritten. Files are
+    listed, not read: one that is named itself by its status alone, those of
+    folders by a job of which only a sum reaches the driver."""
+    told, folders = [], []
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        if status.isFile():
+            told.append(f"{path}:{status.getLen()}:{status.getModificationTime()}")
+        else:
+            folders.append(path)
+    if folders:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
+        r = files.agg(F.count(F.lit(1)).alias("n"),
+                      F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("s")).first()
+        told.append(f"{r['n']}:{r['s']}")
+    return "|".join(told)
+
+
+def _ranged(df: DataFrame, cols) -> DataFrame:
+    """Sorted by range into a file for each core at least: adaptive execution
+    would merge small ones, and every later pass would read them with as few
+    tasks."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col(f"`{c}`") for c in cols]
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
 def stage_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
@@ -71,13 +93,8 @@ def stage_table(spark: SparkSession, name: str, key: str, build) -> DataFrame:
 def stage_table_with_id(spark: SparkSession, name: str, key: str, build, order_cols,
                         id_col: str = "WaterQualityID") -> DataFrame:
     """A stage table written once in ``order_cols`` order, read back with a
-    dense 1..n id in that order (see ``with_file_order_id``). The number of
-    files follows ``spark.sql.shuffle.partitions`` and AQE's partition size."""
-    cols = [F.col(f"`{c}`") for c in order_cols]
-
-    def sorted_build():
-        return build().repartitionByRange(*cols).sortWithinPartitions(*cols)
-    return with_file_order_id(stage_table(spark, name, key, sorted_build), id_col)
+    dense 1..n id in that order (see ``with_file_order_id``)."""
+    return with_file_order_id(stage_table(spark, name, key, lambda: _ranged(build(), order_cols)), id_col)
 
 
 def _binding_key(spark: SparkSession, sf_dir: str) -> str:
@@ -93,9 +110,7 @@ def binding_master(spark: SparkSession, sf_dir: str, with_id: bool = False,
         return build_master(bindings.readings_long(spark, sf_dir), bindings.BINDING_ANALYTES)
     if materialized:
         if not with_id:  # the stored rows are enough
-            cols = [F.col(f"`{c}`") for c in META_COLS]
-            return stage_table(spark, "master", _binding_key(spark, sf_dir),
-                               lambda: build().repartitionByRange(*cols).sortWithinPartitions(*cols))
+            return stage_table(spark, "master", _binding_key(spark, sf_dir), lambda: _ranged(build(), META_COLS))
         m = stage_table_with_id(spark, "master", _binding_key(spark, sf_dir), build, list(META_COLS))
     else:
         m = add_surrogate_id(build(), list(META_COLS))

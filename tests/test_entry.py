@@ -9,7 +9,7 @@ from cinderwell.plans.catalog import QUERIES
 
 SMOKE = "/root/testdata/sf0.001"
 ROWS_ONLY = {"rf_regression", "rf_importance_matrix", "rf_classifier", "impact_ranking",
-             "impact_by_change", "rf_class_report", "gam_results", "gam_curve",
+             "impact_by_change", "rf_class_report",
              "model_summary", "mixed_effects"}
 
 
