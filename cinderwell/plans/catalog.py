@@ -8,12 +8,14 @@ tables. Outputs are normalised for hash comparison: doubles rounded to
 from __future__ import annotations
 
 import threading
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinderwell.functions.dates import parse_date, parse_utc_timestamp
 from cinderwell.functions.geometry import AlbersParams, albers_inverse, wkt_point
 from cinderwell.functions.labels import lookup, short_label
 from cinderwell.operators import events as ev
@@ -22,9 +24,10 @@ from cinderwell.operators import ml, stats, study, trees
 from cinderwell.operators.reshape import analytes_found, preview, units_reference
 from cinderwell.operators.spatial import spatial_join
 from cinderwell.plans.stages import _binding_key, binding_joined, binding_master
+from cinderwell.session import checkpoint_dir, delete_on_exit
 from cinderwell.sources import bindings
-from cinderwell.sources.files import head_per_group, union_by_name
-from cinderwell.sources.schema import MODEL_FEATURES, q
+from cinderwell.sources.files import head_per_group, read_csv_text, read_readings, union_by_name, write_if_nonempty, write_table
+from cinderwell.sources.schema import MODEL_FEATURES, READINGS_SCHEMA, q, typed_from_text
 
 ROUND_DIGITS = 6
 A = sorted(bindings.BINDING_ANALYTES)
@@ -78,6 +81,37 @@ def q_file_head_n(spark, d):
     return normalise(head_per_group(long, "Analyte", [F.col("ord")], 1000))
 
 
+def _csv_folder(spark, what):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    return path
+
+
+def q_readings_csv(spark, d):
+    """S1 + S2 + S5 + S6 + P5: the readings written as CSV files, dates in two
+    layouts and one analyte's files without units, and read back strictly."""
+    long = bindings.readings_long(spark, d)
+    date = F.when(F.col("ord") % 2 == 0, F.date_format("SampleDate", "M/d/yyyy")).otherwise(F.col("SampleDate").cast("string"))
+    text = long.withColumn("SampleDate", date).select(*[f.name for f in READINGS_SCHEMA.fields])
+    folder, with_unit = _csv_folder(spark, "readings-csv"), ~F.col("Analyte").startswith("R")
+    parts = {f"{folder}/units": text.where(with_unit), f"{folder}/none": text.where(~with_unit).drop("Unit")}
+    written = [path for path, part in parts.items() if write_if_nonempty(part, path, "csv")]
+    back = read_readings(spark, written, with_order=False, strict=True)
+    return normalise(back.withColumn("SampleDate", parse_date("SampleDate")))
+
+
+def q_fires_csv(spark, d):
+    """S2 + S5 + P8: perimeter attributes through CSV, alarm times with their
+    offset."""
+    path = _csv_folder(spark, "fires-csv")
+    fires = bindings.fires(spark, d).select("fire_id", "FIRE_NAME", F.date_format("ALARM_DATE", "yyyy-MM-dd HH:mm:ssxxx").alias("ALARM_DATE"), "GIS_ACRES")
+    write_table(fires, path, "csv")
+    schema = T.StructType([T.StructField("fire_id", T.LongType()), T.StructField("FIRE_NAME", T.StringType()),
+                           T.StructField("ALARM_DATE", T.StringType()), T.StructField("GIS_ACRES", T.DoubleType())])
+    back = typed_from_text(read_csv_text(spark, path), schema, strict=True)
+    return normalise(back.withColumn("ALARM_DATE", parse_utc_timestamp("ALARM_DATE")))
+
+
 def q_union_by_name(spark, d):
     long = bindings.readings_long(spark, d)
     a = long.where(F.col("Analyte").startswith("A")).select("StationCode", "SampleDate", "Analyte", "Result")
@@ -198,6 +232,8 @@ QUERIES = {
     "surrogate_id": q_surrogate_id,
     "file_head_n": q_file_head_n,
     "union_by_name": q_union_by_name,
+    "readings_csv": q_readings_csv,
+    "fires_csv": q_fires_csv,
     "station_fire_join": q_station_fire_join,
     "station_fire_join_edges": q_station_fire_join_edges,
     "same_year_matches": q_same_year_matches,

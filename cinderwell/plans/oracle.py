@@ -676,3 +676,7 @@ SQL["clf_tree_ranking"] = with_(classifier_tree_ctes() + ",\nmeans AS (" + "\n
   round_even(b, 3) AS "Before", round_even(a, 3) AS "After", round_even((a - b) / nullif(b, 0) * 100, 1) AS pct_change,
   CASE WHEN (a - b) / nullif(b, 0) * 100 > 0 THEN '↑' ELSE '↓' END AS Direction, round_even(i.importance, 4) AS Importance
 FROM means m JOIN kimp i ON i.feature = m.Analyte""")
+
+SQL["readings_csv"] = with_(readings_cte(), f"""SELECT StationCode, SampleDate, StationName, {_r('TargetLatitude')}, {_r('TargetLongitude')}, Region,
+  Analyte, {_r('Result')}, CASE WHEN Analyte NOT LIKE 'R%' THEN Unit END AS Unit FROM readings""")
+SQL["fires_csv"] = with_(fires_cte(), f"SELECT fire_id, FIRE_NAME, ALARM_DATE, {_r('GIS_ACRES')} FROM fires")
