@@ -80,7 +80,9 @@ def mixed_effects(df: DataFrame, targets, x_col="post_fire", group_col="StationC
                   labels: dict | None = None) -> DataFrame:
     """Analyte, Coefficient, p_value, Significant, Direction, n_readings,
     n_stations (coefficient of ``x_col``; two-sided z-test, as mixed-model
-    summaries report)."""
+    summaries report), status. A target whose likelihood has no maximum to
+    report (too few readings, a flag or a target that does not vary) has its
+    counts and a status that says so."""
     spark = df.sparkSession
     labels = labels or {t: t for t in targets}
     # a shift of y moves only the intercept; centred sums keep their digits
@@ -92,8 +94,10 @@ def mixed_effects(df: DataFrame, targets, x_col="post_fire", group_col="StationC
     try:
         grids = {t: np.concatenate([[0.0], np.logspace(-6, 4, GRID)]) for t in targets}
         best: dict = {}
+        sizes: dict = {}
         for _ in range(ROUNDS):
             sums = {(r["Analyte"], r["gamma"]): r.asDict() for r in grid_sums(stats, grids).collect()}
+            sizes |= {a: (int(s["N"]), int(s["groups"])) for (a, _), s in sums.items()}
             for t in targets:
                 cands = sorted(g for (a, g) in sums if a == t)
                 fits = [(g, _reml(sums[(t, g)])) for g in cands]
@@ -112,6 +116,7 @@ def mixed_effects(df: DataFrame, targets, x_col="post_fire", group_col="StationC
     rows = []
     for t in targets:
         if t not in best:
+            rows.append((labels[t], None, None, None, None, *sizes.get(t, (0, 0)), "not fitted: too few readings or nothing varies"))
             continue
         _, (ll, beta, sigma2, ainv), s = best[t]
         se = math.sqrt(max(sigma2 * ainv[1, 1], 0.0))
@@ -119,7 +124,7 @@ def mixed_effects(df: DataFrame, targets, x_col="post_fire", group_col="StationC
         p = math.erfc(abs(coef / se) / math.sqrt(2)) if se > 0 else None
         rows.append((labels[t], round(coef, 4), None if p is None else round(p, 4),
                      bool(p is not None and p < 0.05), "↑ increases" if coef > 0 else "↓ decreases",
-                     int(s["N"]), int(s["groups"])))
+                     int(s["N"]), int(s["groups"]), "ok"))
     return spark.createDataFrame(rows, "Analyte string, Coefficient double, p_value double, "
                                        "Significant boolean, Direction string, n_readings long, "
-                                       "n_stations long")
+                                       "n_stations long, status string")

@@ -18,6 +18,8 @@ Parquet).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,8 +167,9 @@ def run_all(spark: SparkSession, analyte_files, fires: DataFrame, out_dir: str,
               "all_stations_fire_joined": plain, "stations_within_fires_sameyear": same_year(plain)}
     tables.update(event_study(joined))
     models = run_models(joined)
-    states = [models[n].select(F.lit(n).alias("table"), "Analyte", "n", "status") for n in ("random_forest_results", "gam_results")]
-    tables["model_status"] = states[0].unionByName(states[1])
+    rows = {"random_forest_results": "n", "gam_results": "n", "mixed_effects_results": "n_readings"}
+    tables["model_status"] = reduce(DataFrame.unionByName, [
+        models[t].select(F.lit(t).alias("table"), "Analyte", F.col(n).alias("n"), "status") for t, n in rows.items()])
     tables.update({n: t.where("status = 'ok'") if "status" in t.columns else t for n, t in models.items()})
     tables = {n: published(n, t) for n, t in tables.items()}
     for name, df in tables.items():

@@ -155,6 +155,16 @@ def test_mixed_effects_matches_dense_reml(spark):
     assert got["n_readings"] == len(rows) and got["n_stations"] == 12
 
 
+def test_mixed_effects_lists_targets_without_a_fit(spark):
+    from cinderwell.operators.mixed import mixed_effects
+    rows = [(f"g{i % 4}", i % 2, float(i * i % 7), 3.0, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "StationCode string, post_fire int, y double, flat double, none double")
+    got = {r["Analyte"]: r for r in mixed_effects(df, ["y", "flat", "none"]).collect()}
+    assert got["y"]["status"] == "ok" and got["y"]["n_readings"] == 40
+    assert got["flat"]["status"].startswith("not fitted") and (got["flat"]["n_readings"], got["flat"]["n_stations"]) == (40, 4)
+    assert got["none"]["Coefficient"] is None and got["none"]["n_readings"] == 0
+
+
 def test_failing_forest_raises(spark, monkeypatch):
     """A lost executor or a bug must not look like a table with an analyte less."""
     df = _frame(spark, 300).withColumn("SampleDate", F.lit("2020-01-01").cast("date")) \

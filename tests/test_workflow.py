@@ -86,7 +86,7 @@ def test_published_tables(spark, tmp_dir):
     r2 = [float(r["R²"]) for r in read("random_forest_results").collect()]
     assert r2 == sorted(r2, reverse=True)
     assert all(len(r["R²"].split(".")[1]) <= 4 for r in read("gam_results").collect())
-    assert {(r["table"], r["Analyte"]) for r in read("model_status").collect()} == {(t, a) for t in ("random_forest_results", "gam_results") for a in ("Oxygen", "Turbidity", "pH")}
+    assert {(r["table"], r["Analyte"]) for r in read("model_status").collect()} == {(t, a) for t in ("random_forest_results", "gam_results", "mixed_effects_results") for a in ("Oxygen", "Turbidity", "pH")}
     assert "row_ord" not in read("all_stations_fire_joined").columns
 
 
