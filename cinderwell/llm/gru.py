@@ -30,11 +30,13 @@ CLASSES = HEADS + ENDINGS
 #: input rows: words, then endings, then the start of a document
 START = VOCAB + ENDINGS
 LANES, WINDOW, SPAN, OUTPUTS, RATE, CLIP = 256, 16, 1000, 8192, 0.1, 5.0
+#: logits lower than this by the largest of all are taken from the largest of their row
+FAR = -60.0
 
 SHAPES = {
     "inputs": (START + 1, 3 * HIDDEN), "again": (HIDDEN, 3 * HIDDEN),
-    "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,),
-    "words": (VOCAB, HIDDEN), "word_bias": (VOCAB,),
+    # the last row (of classes) and column (of words) are biases
+    "classes": (HIDDEN + 1, CLASSES), "words": (VOCAB, HIDDEN + 1),
 }
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
@@ -60,9 +62,9 @@ def initial(word_mass: np.ndarray, ending_mass: np.ndarray, seed: int = 42) -> n
     p["again"][:] = rng.normal(0, HIDDEN ** -0.5, p["again"].shape)
     mass = np.full(VOCAB, 1e-9)
     mass[:len(word_mass)] = word_mass
-    p["word_bias"][:] = np.log(mass)
-    p["class_bias"][:] = np.log(np.concatenate([mass.reshape(HEADS, IN_CLASS).sum(1), ending_mass]))
-    p["class_bias"] -= p["class_bias"].max()
+    p["words"][:, HIDDEN] = np.log(mass)
+    p["classes"][HIDDEN] = np.log(np.concatenate([mass.reshape(HEADS, IN_CLASS).sum(1), ending_mass]))
+    p["classes"][HIDDEN] -= p["classes"][HIDDEN].max()
     flat[SIZE:] = 1e-2
     return flat
 
@@ -113,17 +115,24 @@ def _sigmoid(x: np.ndarray) -> None:
     np.reciprocal(x, out=x)
 
 
-def _log_soften(x: np.ndarray, row: np.ndarray, target: np.ndarray, learn: bool) -> np.ndarray:
+def _log_soften(x: np.ndarray, target: np.ndarray, learn: bool) -> np.ndarray:
     """Log softmax of each row of ``x`` at its target. ``x`` is overwritten, with
-    ``learn`` by the gradient of minus that."""
-    x -= x.max(1, keepdims=True)
-    logs = x[row, target].astype(np.float64)
+    ``learn`` by the gradient of minus that. One maximum serves all rows, unless
+    a row lies so far below it that its terms would vanish."""
+    at = np.arange(0, x.size, x.shape[1])
+    at += target
+    x -= x.max()
+    flat = x.reshape(-1)
+    logs = flat[at]
+    if logs.min() < FAR:
+        x -= x.max(1, keepdims=True)
+        logs = flat[at]
     np.exp(x, out=x)
-    total = x.sum(1)
+    total = x @ np.ones(x.shape[1], np.float32)
     if learn:
         x *= (1 / total)[:, None]
-        x[row, target] -= 1
-    return logs - np.log(total)
+        flat[at] -= 1
+    return logs.astype(np.float64) - np.log(total)
 
 
 class Model:
@@ -167,24 +176,24 @@ class Model:
         p = self.p
         kind = np.where(target < VOCAB, target // IN_CLASS, target - VOCAB + HEADS).astype(np.int16)
         order = np.argsort(kind, kind="stable")
-        states, target, kind = states[order], target[order], kind[order]
-        row = np.arange(len(order))
-        by_class = states @ p["classes"] + p["class_bias"]
-        logs = _log_soften(by_class, row, kind, learn)
+        ordered = np.ones((len(order), HIDDEN + 1), np.float32)
+        ordered[:, :HIDDEN] = states[order]
+        target, kind = target[order], kind[order]
+        by_class = ordered @ p["classes"]
+        logs = _log_soften(by_class, kind, learn)
         back, grads = None, None
         if learn:
-            back = by_class @ p["classes"].T
-            grads = {"classes": states.T @ by_class, "class_bias": by_class.sum(0),
-                     "words": np.zeros(SHAPES["words"], np.float32), "word_bias": np.zeros(VOCAB, np.float32)}
+            back = by_class @ p["classes"][:HIDDEN].T
+            grads = {"classes": ordered.T @ by_class, "words": np.zeros(SHAPES["words"], np.float32)}
         bounds = np.searchsorted(kind, np.arange(HEADS + 1))
         for c in np.flatnonzero(np.diff(bounds)):
             at, own = slice(bounds[c], bounds[c + 1]), slice(c * IN_CLASS, (c + 1) * IN_CLASS)
-            inside = states[at] @ p["words"][own].T + p["word_bias"][own]
-            logs[at] += _log_soften(inside, row[:len(inside)], target[at] - c * IN_CLASS, learn)
+            words, held = p["words"][own], ordered[at]
+            inside = held @ words.T
+            logs[at] += _log_soften(inside, target[at] - c * IN_CLASS, learn)
             if learn:
-                back[at] += inside @ p["words"][own]
-                grads["words"][own] = inside.T @ states[at]
-                grads["word_bias"][own] = inside.sum(0)
+                back[at] += inside @ words[:, :HIDDEN]
+                np.matmul(inside.T, held, out=grads["words"][own])
         out = np.empty(len(order))
         out[order] = logs
         if learn:
@@ -230,29 +239,29 @@ class Model:
         again = self.p["again"].T.copy()
         steps, lanes, _ = at_state.shape
         z, r = gates[..., :HIDDEN], gates[..., HIDDEN:]
-        # gradient of the two gates and the new state, each by the state's
+        # gradient of the two gates and the new state, each by the state's; that of
+        # the new state reaches the state before through the second gate
         by = np.empty((steps, lanes, 3, HIDDEN), np.float32)
-        by[:, :, 2] = (1 - z) * (1 - new * new)
-        by[:, :, 1] = by[:, :, 2] * inner * r * (1 - r)
+        to_new = (1 - z) * (1 - new * new)
+        np.multiply(to_new, r, out=by[:, :, 2])
+        by[:, :, 1] = by[:, :, 2] * inner * (1 - r)
         by[:, :, 0] = (before - new) * z * (1 - z)
-        at_input, at_again = np.empty_like(by), np.empty_like(by)
         after, starts = np.zeros((lanes, HIDDEN), np.float32), start.any(1)
         for t in range(steps - 1, -1, -1):
-            d = at_state[t] + after
-            np.multiply(d[:, None, :], by[t], out=at_input[t])
-            at_again[t] = at_input[t]
-            at_again[t, :, 2] *= r[t]
-            after = at_again[t].reshape(lanes, 3 * HIDDEN) @ again
-            d *= z[t]
-            after += d
+            d = at_state[t]
+            d += after
+            by[t] *= d[:, None, :]
+            after = by[t].reshape(lanes, 3 * HIDDEN) @ again
+            after += d * z[t]
             if starts[t]:
                 after[start[t]] = 0
-        flat = at_again.reshape(-1, 3 * HIDDEN)
+        flat = by.reshape(-1, 3 * HIDDEN)
+        at_again = before.reshape(-1, HIDDEN).T @ flat
+        np.multiply(to_new, at_state, out=by[:, :, 2])  # now by the inputs
         ids = inputs.ravel().astype(np.int16)
         order = np.argsort(ids, kind="stable")
         used, first = np.unique(ids[order], return_index=True)
-        return {"again": before.reshape(-1, HIDDEN).T @ flat,
-                "inputs": (used, np.add.reduceat(at_input.reshape(-1, 3 * HIDDEN)[order], first, axis=0))}
+        return {"again": at_again, "inputs": (used, np.add.reduceat(flat[order], first, axis=0))}
 
     def _update(self, grads) -> None:
         # windows of few lanes weigh as little as they have words

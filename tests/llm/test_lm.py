@@ -31,11 +31,11 @@ def plain_score(m, doc):
         z, r = (1 / (1 + np.exp(-(x[a:a + H] + g[a:a + H]))) for a in (0, H))
         new = np.tanh(x[2 * H:] + r * g[2 * H:])
         h = (1 - z) * new + z * h
-        classes = soft(h @ p["classes"] + p["class_bias"])
+        classes = soft(np.append(h, 1) @ p["classes"])
         if t < gru.VOCAB:
             c = t // gru.IN_CLASS
             own = slice(c * gru.IN_CLASS, (c + 1) * gru.IN_CLASS)
-            total += math.log(classes[c]) + math.log(soft(p["words"][own] @ h + p["word_bias"][own])[t % gru.IN_CLASS])
+            total += math.log(classes[c]) + math.log(soft(p["words"][own] @ np.append(h, 1))[t % gru.IN_CLASS])
         else:
             total += math.log(classes[gru.HEADS + t - gru.VOCAB])
         last = t
@@ -141,3 +141,12 @@ def test_none_to_learn_from(spark):
     only = spark.createDataFrame([(None, "no id is held out", None, None, None)], SCHEMA)
     row = lm.score(only).first()
     assert row["held_out"] and row["base_score"] == 0 and row["n_known"] == 0 and row["train_tokens"] == 0 and math.isfinite(row["score"])
+
+
+def test_rows_far_below_the_largest_logit():
+    x = np.random.default_rng(3).normal(0, 1, (5, 8)).astype(np.float32)
+    x[2] -= 300
+    target = np.array([0, 3, 7, 1, 2])
+    want = x.astype(np.float64) - np.log(np.exp(x.astype(np.float64) - x.max(1, keepdims=True)).sum(1, keepdims=True)) - x.max(1, keepdims=True)
+    slope = np.exp(want) - np.eye(8)[target]
+    assert np.allclose(gru._log_soften(x, target, True), want[np.arange(5), target], atol=1e-4) and np.allclose(x, slope, atol=1e-5)
