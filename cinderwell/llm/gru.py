@@ -186,14 +186,17 @@ class Model:
             back = by_class @ p["classes"][:HIDDEN].T
             grads = {"classes": ordered.T @ by_class, "words": np.zeros(SHAPES["words"], np.float32)}
         bounds = np.searchsorted(kind, np.arange(HEADS + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            at, own = slice(bounds[c], bounds[c + 1]), slice(c * IN_CLASS, (c + 1) * IN_CLASS)
-            words, held = p["words"][own], ordered[at]
-            inside = held @ words.T
-            logs[at] += _log_soften(inside, target[at] - c * IN_CLASS, learn)
-            if learn:
-                back[at] += inside @ words[:, :HIDDEN]
-                np.matmul(inside.T, held, out=grads["words"][own])
+        listed, used = bounds[HEADS], np.flatnonzero(np.diff(bounds))
+        heads = [(slice(bounds[c], bounds[c + 1]), slice(c * IN_CLASS, (c + 1) * IN_CLASS)) for c in used]
+        inside = np.empty((listed, IN_CLASS), np.float32)
+        for at, own in heads:
+            np.matmul(ordered[at], p["words"][own].T, out=inside[at])
+        if listed:
+            logs[:listed] += _log_soften(inside, target[:listed] % IN_CLASS, learn)
+        if learn:
+            for at, own in heads:
+                back[at] += inside[at] @ p["words"][own, :HIDDEN]
+                np.matmul(inside[at].T, ordered[at], out=grads["words"][own])
         out = np.empty(len(order))
         out[order] = logs
         if learn:
