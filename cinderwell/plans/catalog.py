@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderwell.functions.dates import parse_date, parse_utc_timestamp
-from cinderwell.functions.geometry import AlbersParams, albers_inverse, wkt_point
+from cinderwell.functions.geometry import AlbersParams, albers_inverse, side, wkt_point
 from cinderwell.functions.labels import lookup, short_label
 from cinderwell.operators import events as ev
 from cinderwell.operators import gam as gam_ops
@@ -133,6 +133,22 @@ def q_station_fire_join_edges(spark, d):
     return q_station_fire_join(spark, d, "edges")
 
 
+def q_station_fire_join_cells(spark, d):
+    """The same join through the quadtree of each perimeter."""
+    return q_station_fire_join(spark, d, "cells")
+
+
+def q_edge_sides(spark, d):
+    """Points a millionth of a degree beside, or on, slanted lines drawn from the
+    keys of orders: the exact side of each."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    u, v, m = 1 + F.pmod(k * 7, F.lit(97)), 1 + F.pmod(c * 13, F.lit(89)), 1000 + F.pmod(k, F.lit(500))
+    ax, ay = F.pmod(k * 7919, F.lit(10000000)) - 124000000, F.pmod(k * 104729, F.lit(10000000)) + 32000000
+    j = F.pmod(c * 31, m)
+    whole = (ax, ay, ax + m * u, ay + m * v, ax + j * u + F.pmod(k, F.lit(3)) - 1, ay + j * v)
+    return bindings.table(spark, d, "orders").select(k, side(*(x.cast("double") / 1e6 for x in whole)).alias("side"))
+
+
 def q_same_year_matches(spark, d):
     return normalise(_joined_cols(ev.same_year(_joined(spark, d, with_days=False))))
 
@@ -236,6 +252,8 @@ QUERIES = {
     "fires_csv": q_fires_csv,
     "station_fire_join": q_station_fire_join,
     "station_fire_join_edges": q_station_fire_join_edges,
+    "station_fire_join_cells": q_station_fire_join_cells,
+    "edge_sides": q_edge_sides,
     "same_year_matches": q_same_year_matches,
     "days_since_event": q_days_since_event,
     "impacted_one_month": q_impacted_one_month,

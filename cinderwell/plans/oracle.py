@@ -421,7 +421,11 @@ SQL["mixed_station_stats"] = with_(model_ctes() + ",\nlong AS (" + "\n  UNION AL
   {rnd('sum(x * x)')} AS sxx, {rnd('sum(x * y)')} AS sxy, {rnd('sum(y * y)')} AS syy
 FROM long WHERE y IS NOT NULL AND x IS NOT NULL AND StationCode IS NOT NULL GROUP BY Analyte, StationCode""")
 
-SQL["station_fire_join_edges"] = SQL["station_fire_join"]
+SQL["station_fire_join_edges"] = SQL["station_fire_join_cells"] = SQL["station_fire_join"]
+
+SQL["edge_sides"] = """WITH k AS (SELECT o_orderkey, 1 + o_orderkey * 7 % 97 AS u, 1 + o_custkey * 13 % 89 AS v, 1000 + o_orderkey % 500 AS m,
+    o_custkey * 31 % (1000 + o_orderkey % 500) AS j, o_orderkey % 3 - 1 AS beside FROM orders)
+SELECT o_orderkey, CAST(sign(m * u * (j * v) - m * v * (j * u + beside)) AS INTEGER) AS side FROM k"""
 
 
 def _ranges_sql() -> str:

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from cinderwell.functions.geometry import within
-from cinderwell.operators.spatial import spatial_join
+from cinderwell.functions.geometry import side, within
+from cinderwell.operators.spatial import fire_cells, fire_quadtree, quadtree_levels, spatial_join
 
 
 def brute_force_join(points, fires):
@@ -53,7 +53,7 @@ def test_grid_equals_brute_force(spark):
     pts = spark.createDataFrame([(i, rnd.uniform(-1, 7), rnd.uniform(-1, 7)) for i in range(400)]
                                 + [(1000 + i, float(i % 7), float(i // 7)) for i in range(49)],
                                 "id long, TargetLongitude double, TargetLatitude double")
-    for cell, method in ((0.3, "rings"), (1.0, "rings"), (5.0, "rings"), (0.3, "edges"), (1.0, "edges")):
+    for cell, method in ((0.3, "rings"), (1.0, "rings"), (5.0, "rings"), (0.3, "edges"), (1.0, "edges"), (0.3, "cells"), (1.0, "cells"), (9.0, "cells")):
         a = spatial_join(pts, _fires(spark), fire_cols=("FIRE_NAME",), cell=cell, method=method)
         b = brute_force_join(pts, _fires(spark))
         key = lambda r: (r["id"], r["FIRE_NAME"] or "")
@@ -78,3 +78,68 @@ def test_repeated_perimeter_id_is_an_error(spark):
     pts = spark.createDataFrame([("a", 3.0, 3.0)], "name string, TargetLongitude double, TargetLatitude double")
     with pytest.raises(ValueError, match="more than once"):
         spatial_join(pts, _fires(spark).union(_fires(spark)), fire_cols=("FIRE_NAME",))
+
+
+def _exact_within(px, py, ring):
+    """Even-odd rule without the boundary, in integers."""
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        det = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+        if det == 0 and min(ax, bx) <= px <= max(ax, bx) and min(ay, by) <= py <= max(ay, by):
+            return False
+        odd ^= (ay > py) != (by > py) and (det > 0) == (by > ay)
+    return odd
+
+
+def _slanted(spark):
+    """Star-like perimeters with integer corners in millionths, points on, beside
+    and away from their edges: (points, fires, pairs that match)."""
+    import math
+    import random
+    rnd = random.Random(5)
+    unit, shapes, at = 1_000_000, {}, set()
+    for f in range(4):
+        cx, cy = -120 * unit + f * 1_500_000, 35 * unit
+        ring = []
+        for k in range(11):
+            r = rnd.randint(300_000, 2_500_000)
+            ring.append((cx + int(r * math.cos(2 * math.pi * k / 11)) // 8 * 8, cy + int(r * math.sin(2 * math.pi * k / 11)) // 8 * 8))
+        shapes[f] = ring = ring + ring[:1]
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            for k in (0, 1, 3, 4, 7):  # eighths of an edge are whole
+                x, y = ax + (bx - ax) // 8 * k, ay + (by - ay) // 8 * k
+                at |= {(x + dx, y + dy) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))}
+    at |= {(rnd.randint(-123 * unit, -112 * unit), rnd.randint(32 * unit, 38 * unit)) for _ in range(300)}
+    pts = sorted(at)
+    points = spark.createDataFrame([(i, x / unit, y / unit) for i, (x, y) in enumerate(pts)], "id long, TargetLongitude double, TargetLatitude double")
+    fires = spark.createDataFrame([(f, f"F{f}", rings([(x / unit, y / unit) for x, y in r])) for f, r in shapes.items()],
+                                  "fire_id long, FIRE_NAME string, rings array<array<struct<x:double,y:double>>>")
+    return points, fires, sorted((i, f) for i, p in enumerate(pts) for f, r in shapes.items() if _exact_within(*p, r))
+
+
+def test_points_on_and_beside_slanted_edges(spark):
+    points, fires, want = _slanted(spark)
+    for method, cell in (("rings", 0.5), ("edges", 0.5), ("cells", 0.5), ("cells", 0.07)):
+        got = spatial_join(points, fires, fire_cols=("FIRE_NAME",), cell=cell, method=method, how="inner")
+        assert sorted((r["id"], r["index_right"]) for r in got.collect()) == want, (method, cell)
+
+
+def test_quadtree_grows_with_the_boundary(spark):
+    _, fires, _ = _slanted(spark)
+    n = []
+    for cell in (0.08, 0.04, 0.02):
+        levels = quadtree_levels(fires, cell)
+        tree = fire_quadtree(fires, cell, levels).persist()
+        n.append(tree.count())
+        assert tree.where("inside and level > 2").count() and tree.count() == tree.distinct().count()
+    # twice as many cells for half the size, where the grid has four times as many
+    assert n[1] < 2.4 * n[0] and n[2] < 2.4 * n[1] and 4 * n[2] < fire_cells(fires, 0.02).count()
+    empty = fires.where("fire_id < 0")
+    assert quadtree_levels(empty, 0.1) == 0 and fire_quadtree(empty, 0.1, 0).count() == 0
+
+
+def test_side_is_exact(spark):
+    rows = [(0.0, 0.0, 0.3, 0.9, 0.1, 0.3, 0), (0.0, 0.0, 0.3, 0.9, 0.1, 0.300000000001, 1), (0.0, 0.0, 0.3, 0.9, 0.100000000001, 0.3, -1),
+            (1e5, 1e5, 3e5, 3e5, 2e5, 2e5, 0), (1e5, 1e5, 3e5, 3e5, 2e5, 3e5, 1), (1.0, 1.0, 1.0, 1.0, 5.0, 5.0, 0)]
+    df = spark.createDataFrame(rows, "ax double, ay double, bx double, by double, px double, py double, want int")
+    assert df.where(side(*map(F.col, df.columns[:6])) != F.col("want")).count() == 0
