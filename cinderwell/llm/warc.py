@@ -11,8 +11,9 @@ the response's, so a rerun gives the same records.
 
 ``write`` packs records into files of one gzip member a record, a new file
 after ``ROLL`` bytes; a file is renamed when it is whole, until then a leading
-``_`` hides it from ``read``, also what a failed attempt leaves. ``read`` parses
-``*.warc`` and ``*.warc.gz`` files (through Spark's binary-file source, so one file must fit in memory).
+``_`` hides it from ``read``, also what a failed attempt leaves. ``read`` streams
+``*.warc`` and ``*.warc.gz`` files, a task holding a batch of records, or one. A file
+that is cut off, or a block that does not fit its SHA-1 digest, is an error.
 
 A response whose block is no HTTP message is taken as a bare payload. A null
 block counts as empty: the text is empty, the metadata has no title. Rows of
@@ -25,10 +26,12 @@ from __future__ import annotations
 import gzip
 import hashlib
 import html
+import io
 import json
 import re
 import uuid
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -51,10 +54,10 @@ _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _LINES = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hr li main nav ol p pre section table td th tr ul".split())
 _LINE_TAG = re.compile(rf"</?(?:{'|'.join(sorted(_LINES))})\b[^>]*>", re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_META = re.compile(r"<meta\b([^>]*)>", re.I)
-_LINK = re.compile(r"<a\b([^>]*)>(.*?)(?=</a\s*>|<a\b|\Z)", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w:]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_TITLE, _TITLE_END = re.compile(r"<title", re.I), re.compile(r"</title\s*>", re.I)
+_META = re.compile(r"<meta\b", re.I)
+_LINK, _LINK_END = re.compile(r"<a\b", re.I), re.compile(r"</a\s*>|<a\b|\Z", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![-\w:])([a-zA-Z][-\w:]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
 #: two base-32 digits for each ten bits
@@ -76,15 +79,44 @@ def _attributes(tag: str) -> dict[str, str]:
     return {n.lower(): html.unescape(a or b or c) for n, a, b, c in _ATTRIBUTE.findall(tag)}
 
 
+def _without(tag: re.Pattern, by: str, page: str) -> str:
+    """Tags replaced. What is left of the last ``>`` is not looked at: no tag
+    ends there, and each opening would be followed to the end of the page."""
+    end = page.rfind(">") + 1
+    return tag.sub(by, page[:end]) + page[end:]
+
+
+def _tags(opening: re.Pattern, page: str, at: int = 0):
+    """(what stands in the tag, where it ends) of each tag, in one scan."""
+    while found := opening.search(page, at):
+        end = page.find(">", found.end())
+        if end < 0:
+            return
+        at = end + 1
+        yield page[found.end():end], at
+
+
+def _title(page: str) -> str | None:
+    for _, at in _tags(_TITLE, page):
+        end = _TITLE_END.search(page, at)
+        return page[at:end.start()] if end else None
+
+
+def _links(page: str):
+    """(tag, text) of each anchor; the text ends at the next anchor at latest."""
+    for tag, at in _tags(_LINK, page):
+        yield tag, page[at:_LINK_END.search(page, at).start()]
+
+
 def _line(text: str) -> str:
-    return " ".join(html.unescape(_TAG.sub(" ", text)).split())
+    return " ".join(html.unescape(_without(_TAG, " ", text)).split())
 
 
 def plain_text(page: str) -> str:
     """The text a reader sees: without scripts, styles, comments and the head,
     a line for each block element."""
     page = _HIDDEN.sub(" ", page.replace("\n", " "))
-    page = _TAG.sub("", _LINE_TAG.sub("\n", page))
+    page = _without(_TAG, "", _without(_LINE_TAG, "\n", page))
     lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -134,13 +166,13 @@ def derivatives(record_id: str, headers: list[tuple[str, str]], block: bytes) ->
     status, http, payload = http_message(block)
     page = _decoded(payload, http)
     entity = digest(payload)
-    title = _TITLE.search(page)
-    metas = [a for a in map(_attributes, _META.findall(page)) if a]
-    links = [{"url": a["href"], "text": _line(t)} for a, t in ((_attributes(tag), t) for tag, t in _LINK.findall(page)) if "href" in a]
+    title = _title(page)
+    metas = [a for a in (_attributes(tag) for tag, _ in _tags(_META, page)) if a]
+    links = [{"url": a["href"], "text": _line(t)} for a, t in ((_attributes(tag), t) for tag, t in _links(page)) if "href" in a]
     meta_id, text_id = derived_id(record_id, "metadata"), derived_id(record_id, "conversion")
     envelope = {"WARC-Header-Metadata": [list(x) for x in headers], "Block-Digest": by.get("warc-block-digest") or digest(block),
                 "HTTP-Response-Metadata": {"Response-Message": status, "Headers": http, "Entity-Length": len(payload), "Entity-Digest": entity},
-                "HTML-Metadata": {"Title": _line(title[1]) if title else None, "Metas": metas, "Links": links}}
+                "HTML-Metadata": {"Title": None if title is None else _line(title), "Metas": metas, "Links": links}}
     kept = [(n, by[n.lower()]) for n in ("WARC-Target-URI", "WARC-Date") if n.lower() in by]
     # other named fields of the source, such as a crawler's own, go along
     kept += [(n, v) for n, v in headers if n.lower().startswith("x-")]
@@ -257,42 +289,77 @@ def write(records: DataFrame, folder: str) -> int:
     return records.select("record_id", "type", "headers", "block").mapInArrow(each, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _members(data: bytes):
-    """Contents of the gzip members of a file, or of a plain file."""
-    at = 0
-    while at < len(data):
-        if data[at:at + 2] != b"\x1f\x8b":
-            yield data[at:]
+def _plain(source):
+    """Contents of a file in pieces, its gzip members undone."""
+    member, data = None, source.read(PIECE)
+    while data:
+        if member is None:
+            if len(data) == 1:
+                data += source.read(PIECE)
+            if data[:2] != b"\x1f\x8b":
+                yield data
+                while data := source.read(PIECE):
+                    yield data
+                return
+            member = zlib.decompressobj(31)
+        yield member.decompress(data)
+        data = b""
+        if member.eof:
+            data, member = member.unused_data, None
+        data = data or source.read(PIECE)
+    if member is not None:
+        raise ValueError("a gzip member is cut off")
+
+
+def parsed(source):
+    """Records of a WARC file (bytes or an open file), gzipped by member or plain."""
+    pieces, held = _plain(io.BytesIO(source) if isinstance(source, bytes) else source), bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while True:  # line ends after a record
+            lead = next((i for i, c in enumerate(held) if c not in b"\r\n"), len(held))
+            del held[:lead]
+            if held or not more():
+                break
+        if not held:
             return
-        member, parts = zlib.decompressobj(31), []
-        while at < len(data) and not member.eof:
-            parts.append(member.decompress(data[at:at + PIECE]))
-            at += len(data[at:at + PIECE])
-        at -= len(member.unused_data)
-        yield b"".join(parts)
-
-
-def parsed(data: bytes):
-    """Records of a WARC file, gzipped by member or plain."""
-    for text in _members(data):
-        at = 0
-        while (end := text.find(b"\r\n\r\n", at)) >= 0:
-            head = text[at:end].lstrip(b"\r\n").decode("utf-8", "replace")
-            if not head:  # the end of a record
-                at = end + 2
-                continue
-            lines = head.partition("\r\n")[2] + "\r\n"
-            by = {n.lower(): v for n, v in fields_of(lines)}
-            n = int(by.get("content-length") or 0)
-            yield by.get("warc-record-id"), by.get("warc-type"), lines, text[end + 4:end + 4 + n]
-            at = end + 4 + n
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not more():
+                raise ValueError("the header of a record is cut off")
+        lines = held[:end].decode("utf-8", "replace").partition("\r\n")[2] + "\r\n"
+        by = {n.lower(): v for n, v in fields_of(lines)}
+        own, end = by.get("warc-record-id"), end + 4
+        whole = end + int(by.get("content-length") or 0)
+        while len(held) < whole:
+            if not more():
+                raise ValueError(f"record {own} is cut off")
+        block = bytes(held[end:whole])
+        del held[:whole]
+        stated = by.get("warc-block-digest", "")
+        if stated.startswith("sha1:") and len(stated) == 37 and stated != digest(block):
+            raise ValueError(f"the block of record {own} does not fit its digest")
+        yield own, by.get("warc-type"), lines, block
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     def each(batches):
-        yield from _batches(r for b in batches for content in b.column("content") for r in parsed(content.as_py()))
+        def records():
+            for b in batches:
+                for name in b.column("path").to_pylist():
+                    fs, base = _filesystem(quote(name, safe="/:@%"))
+                    with fs.open_input_stream(base, compression=None, buffer_size=1 << 20) as source:
+                        yield from parsed(source)
+
+        yield from _batches(records())
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("content").mapInArrow(each, RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("path").mapInArrow(each, RECORD)
 
 
 def field(name: str):

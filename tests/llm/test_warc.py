@@ -2,6 +2,9 @@ import base64
 import gzip
 import hashlib
 import json
+import time
+import uuid
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,11 +49,11 @@ def test_transfer_and_charset():
 def test_round_trip_through_files(spark, tmp_path, monkeypatch):
     pages = [(i, f"http://h/{i}", PAGE.replace("Head", f"Head {i}")) for i in range(20)] + [(None, None, None), (3, "http://h/3", PAGE), (3, "http://h/3", PAGE)]
     made = warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string"), "2024-01-01T00:00:00Z")).persist()
-    assert warc.write(made, str(tmp_path / "w")) >= 1
-    back = warc.read(spark, str(tmp_path / "w"))
+    assert warc.write(made, str(tmp_path / "w x")) >= 1
+    back = warc.read(spark, str(tmp_path / "w x"))
     key = lambda r: (r.record_id, r.type, r.headers, bytes(r.block))
     assert sorted(map(key, back.collect())) == sorted(map(key, made.collect())) and back.count() == 2 * len(pages)
-    assert not [p.name for p in (tmp_path / "w").iterdir() if not p.name.endswith((".gz", ".crc"))]
+    assert not [p.name for p in (tmp_path / "w x").iterdir() if not p.name.endswith((".gz", ".crc"))]
 
 
 def test_what_a_failed_attempt_leaves_is_not_read(spark, tmp_path, monkeypatch):
@@ -98,3 +101,93 @@ def test_query(spark, tmp_path):
     got = warc.op9_warc_derivatives(spark, write_table(spark, tmp_path, "pages", pages)).collect()
     assert sorted((r.page_id, r.warc_type) for r in got) == sorted((i, t) for i in range(5) for t in ("metadata", "conversion"))
     assert all(r.source_digest == sha1(PAGE.encode()) for r in got)
+
+
+class Reader(HTMLParser):
+    """Brute force: what a page says, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.title, self.metas, self.links, self.hidden, self.link, self.in_title = [""], None, [], [], None, None, False
+        self.feed(page.replace("\n", " "))
+        self.close()
+        self.text = "\n".join(x for x in (" ".join(x.split()) for x in self.lines) if x)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "meta":
+            self.metas.append(dict(attrs))
+        self.in_title |= tag == "title"
+        if tag in ("script", "style", "head") and not self.hidden:
+            self.hidden = tag
+        if tag == "a" and "href" in dict(attrs):
+            self.link = [dict(attrs)["href"], ""]
+        self.handle_line(tag)
+
+    def handle_line(self, tag):
+        if tag in warc._LINES and not self.hidden:
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        if tag == self.hidden:
+            self.hidden = None
+        self.in_title &= tag != "title"
+        if tag == "a" and self.link:
+            self.links.append({"url": self.link[0], "text": " ".join(self.link[1].split())})
+            self.link = None
+        self.handle_line(tag)
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title = (self.title or "") + data
+        elif not self.hidden:
+            self.lines[-1] += data
+            if self.link:
+                self.link[1] += data
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    pages = [(i, f"http://h{i % 3}/{i}?q=ü", f"<html><head><title>T{i} &amp; é</title><meta name='n{i}' content='x y'><style>b{{}}</style></head><body><div>" + "".join(
+        f"<p id=p{k}>line {k} of {i} &lt;{k * i}&gt; <b>bold</b><br>next</p><a href='/to/{k}?a=1&amp;b={i}'>go <i>{k}</i></a>" for k in range(i % 7)) + "</div></body></html>") for i in range(60)]
+    pages += [(7, pages[7][1], pages[7][2]), (None, None, None), (61, "", "")]
+    d = write_table(spark, tmp_path, "pages", spark.createDataFrame(pages, "page_id long, url string, html string"))
+    want = []
+    for i, url, page in pages:
+        url, page = url or "", page or ""
+        source = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{i}|{url}#response')}>"
+        own = {k: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{source}#{k}')}>" for k in ("metadata", "conversion")}
+        read = Reader(page)
+        html = {"Title": read.title, "Metas": read.metas, "Links": read.links}
+        for kind, other, says in (("metadata", "conversion", html), ("conversion", "metadata", read.text)):
+            want.append((i, kind, own[kind], source, own[other], url or None, sha1(page.encode()), says))
+    got = []
+    for r in warc.op9_warc_derivatives(spark, d).collect():
+        assert r.block_digest == sha1(r.content.encode()) and r.date == "2024-01-01T00:00:00Z"
+        says = json.loads(r.content)["HTML-Metadata"] if r.warc_type == "metadata" else r.content
+        got.append((r.page_id, r.warc_type, r.record_id, r.refers_to, r.concurrent_to, r.target_uri, r.source_digest, says))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("piece", ["<title>", "<title", "<meta ", "<a ", "<a href=x>", "<p ", "<p", "</a", "<!-", "<script", "</title ", "a"])
+def test_openings_without_an_end_take_one_scan(piece):
+    page = "<p>x" + piece * (1_000_000 // len(piece))
+    for text in (page, "<meta " + page[4:] + ">"):
+        t = time.process_time()
+        assert len(warc.derivatives("i", [], text.encode())) == 2
+        assert time.process_time() - t < 5
+
+
+def test_files_that_are_cut_off_or_changed(spark, tmp_path):
+    def record(block, stated=None):
+        return warc.lines_of([("WARC-Type", "metadata"), ("WARC-Record-ID", "<a>"), ("WARC-Block-Digest", stated or warc.digest(block)), ("Content-Length", str(len(block)))])
+    block = bytes(range(256)) * 20
+    packed = warc._member(record(block), block)
+    assert [r[3] for r in warc.parsed(packed * 3)] == [block] * 3
+    plain = gzip.decompress(packed)
+    for torn in (packed + packed[:-10], packed + packed[:40], plain[:3000], plain + plain[:60], warc._member(record(block, warc.digest(b"")), block)):
+        with pytest.raises(ValueError, match="cut off|digest"):
+            list(warc.parsed(torn))
+    (tmp_path / "t.warc.gz").write_bytes(packed[:-10])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read(spark, str(tmp_path)).collect()
+    many = gzip.compress(plain * 200)  # one member for all records
+    assert sum(r[3] == block for r in warc.parsed(many)) == 200 and list(warc.parsed(b"")) == []
