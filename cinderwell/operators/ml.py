@@ -10,6 +10,7 @@ selection (``select_ranks``) and then filter.
 from __future__ import annotations
 
 import math
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -98,13 +99,15 @@ def _assemble(df: DataFrame, features, out="features") -> DataFrame:
 def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
                   key_cols=("StationCode", "SampleDate", "index_right"), num_trees: int = 20,
                   max_depth: int = 10, max_bins: int = 32, min_rows: int = 100,
-                  seed: int = SEED, parallel: int = 8):
+                  seed: int = SEED, parallel: int = 8, isolate: bool = False):
     """M3 + M4: one forest per analyte on complete cases.
 
     Returns (results, importances): results Analyte, r2, top_feature, n, status
     (n counted before the split); importances Analyte, feature, importance.
     An analyte with fewer than ``min_rows`` complete rows is not fitted; its row
-    says so. A fit that fails, fails the call.
+    says so. A fit that fails, fails the call; with ``isolate`` (M12) its row has
+    the kind of error instead, its jobs are cancelled and the others go on, but
+    if all fits fail, the first error is raised.
     """
     spark = model_df.sparkSession
     _training_ready(spark)
@@ -134,6 +137,20 @@ def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
         return ((a, None if r2 is None else float(round(r2, 4)), top, int(n), "ok"),
                 [(a, f, float(v)) for f, v in zip(features, fi)])
 
+    errors = {}
+
+    def attempt(a, n):
+        group = f"forest-{uuid.uuid4().hex}"
+        spark.sparkContext.setJobGroup(group, f"forest of {a}", interruptOnCancel=True)
+        try:
+            return one(shared, a, n)
+        except Exception as error:
+            if not isolate:
+                raise
+            spark.sparkContext.cancelJobGroup(group)
+            errors[a] = error
+            return (a, None, None, int(n), f"failed: {type(error).__name__}"), []
+
     # independent fits run as concurrent Spark jobs (the scheduler shares the
     # executors between them); each job is itself distributed
     with passes_over(base) as shared:
@@ -141,7 +158,9 @@ def rf_regression(model_df: DataFrame, analytes, features=MODEL_FEATURES,
         rows = {a: sizes[i] for i, a in enumerate(analytes)}
         fitted = [a for a in analytes if rows[a] >= min_rows]
         with ThreadPoolExecutor(max_workers=max(1, min(len(fitted), parallel))) as pool:
-            outs = dict(zip(fitted, pool.map(lambda a: one(shared, a, rows[a]), fitted)))
+            outs = dict(zip(fitted, pool.map(lambda a: attempt(a, rows[a]), fitted)))
+    if errors and len(errors) == len(fitted):
+        raise errors[fitted[0]]
     res = [outs[a][0] if a in outs else (a, None, None, int(rows[a]), f"fewer than {min_rows} complete rows") for a in analytes]
     imp = [x for a in fitted for x in outs[a][1]]
     results = spark.createDataFrame(res, "Analyte string, r2 double, top_feature string, n long, status string")

@@ -21,13 +21,14 @@ from cinderwell.functions.labels import lookup, short_label
 from cinderwell.operators import events as ev
 from cinderwell.operators import gam as gam_ops
 from cinderwell.operators import ml, stats, study, trees
-from cinderwell.operators.reshape import analytes_found, preview, units_reference
+from cinderwell.operators.reshape import add_surrogate_id, analytes_found, preview, units_reference
 from cinderwell.operators.spatial import spatial_join
 from cinderwell.plans.stages import _binding_key, binding_joined, binding_master
+from cinderwell.plans.workflow import published_order
 from cinderwell.session import checkpoint_dir, delete_on_exit
 from cinderwell.sources import bindings
 from cinderwell.sources.files import head_per_group, read_csv_text, read_readings, union_by_name, write_if_nonempty, write_table
-from cinderwell.sources.schema import MODEL_FEATURES, READINGS_SCHEMA, q, typed_from_text
+from cinderwell.sources.schema import META_COLS, MODEL_FEATURES, READINGS_SCHEMA, q, typed_from_text
 
 ROUND_DIGITS = 6
 A = sorted(bindings.BINDING_ANALYTES)
@@ -153,6 +154,12 @@ def q_same_year_matches(spark, d):
     return normalise(_joined_cols(ev.same_year(_joined(spark, d, with_days=False))))
 
 
+def q_same_year_sorted(spark, d):
+    """O1: the same-year matches with the place that each has in the table as it
+    is written, in the order of the master's ids and of the perimeters."""
+    return add_surrogate_id(q_same_year_matches(spark, d), [*META_COLS, "index_right"], "position")
+
+
 def q_days_since_event(spark, d):
     j = ev.matched(_joined(spark, d))
     return normalise(j.select("StationCode", "SampleDate", "index_right", "FIRE_NAME",
@@ -255,6 +262,7 @@ QUERIES = {
     "station_fire_join_cells": q_station_fire_join_cells,
     "edge_sides": q_edge_sides,
     "same_year_matches": q_same_year_matches,
+    "same_year_sorted": q_same_year_sorted,
     "days_since_event": q_days_since_event,
     "impacted_one_month": q_impacted_one_month,
     "impacted_counts": q_impacted_counts,
@@ -558,6 +566,16 @@ def q_clf_tree_ranking(spark, d):
         F.bround("pct_change", 1).alias("pct_change"), F.col("direction").alias("Direction"), F.bround("importance", 4).alias("Importance"))
 
 
+def q_ranking_sorted(spark, d):
+    """O3: the ranking with each row's place in the written table."""
+    return add_surrogate_id(q_clf_tree_ranking(spark, d), published_order("analyte_impact_ranking"), "position")
+
+
+def q_rf_tree_results_sorted(spark, d):
+    """O3: the regression results with each row's place in the written table."""
+    return add_surrogate_id(q_rf_tree_results(spark, d), published_order("random_forest_results"), "position")
+
+
 def q_gam_basis_ranges(spark, d):
     return normalise(gam_ops.basis_ranges(_model(spark, d), A).drop("mean"))
 
@@ -625,6 +643,8 @@ QUERIES.update({
     "clf_tree_splits": q_clf_tree_splits,
     "clf_tree_confusion": q_clf_tree_confusion,
     "clf_tree_ranking": q_clf_tree_ranking,
+    "ranking_sorted": q_ranking_sorted,
+    "rf_tree_results_sorted": q_rf_tree_results_sorted,
     "gam_basis_ranges": q_gam_basis_ranges,
     "gam_gram": q_gam_gram,
     "gam_results": q_gam_results,

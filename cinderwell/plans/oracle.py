@@ -684,3 +684,13 @@ FROM means m JOIN kimp i ON i.feature = m.Analyte""")
 SQL["readings_csv"] = with_(readings_cte(), f"""SELECT StationCode, SampleDate, StationName, {_r('TargetLatitude')}, {_r('TargetLongitude')}, Region,
   Analyte, {_r('Result')}, CASE WHEN Analyte NOT LIKE 'R%' THEN Unit END AS Unit FROM readings""")
 SQL["fires_csv"] = with_(fires_cte(), f"SELECT fire_id, FIRE_NAME, ALARM_DATE, {_r('GIS_ACRES')} FROM fires")
+
+
+def _placed(name: str, order: str) -> str:
+    return f"SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS position FROM ({SQL[name]}) t"
+
+
+SQL["ranking_sorted"] = _placed("clf_tree_ranking", "Importance DESC, Analyte")
+SQL["rf_tree_results_sorted"] = _placed("rf_tree_results", "r2 DESC NULLS LAST, Analyte")
+SQL["same_year_sorted"] = _placed("same_year_matches", ", ".join(
+    f"{c} NULLS FIRST" for c in ("StationCode", "SampleDate", "StationName", "TargetLatitude", "TargetLongitude", "Region", "index_right")))

@@ -114,7 +114,7 @@ def run_models(joined: DataFrame, analytes=DOMAIN_ANALYTES, clf_analytes=CLASSIF
     analytes = _present(model, analytes)
     clf_analytes = _present(model, clf_analytes)
     labels = {a: short_label_py(a) for a in analytes}
-    rf, imp = ml.rf_regression(model, analytes, key_cols=keys)
+    rf, imp = ml.rf_regression(model, analytes, key_cols=keys, isolate=True)
     g_res, g_curves, _ = gam.gam_results(model, analytes, labels=labels)
     out = {"random_forest_results": rf.withColumn("Analyte", F.substring_index("Analyte", ",", 1)),
            "rf_feature_importance": imp,
@@ -141,15 +141,20 @@ HEADERS = {
     "scenario_summary": {"scenario": "scenario", "Analyte": "Analyte", "mean_change": "Mean Change", "p_value": "p-value", "n_fires": "n_fires"},
 }
 
-def published(name: str, df: DataFrame) -> DataFrame:
-    """A result table in its published order, with its published headers."""
-    order = {
+def published_order(name: str) -> list:
+    """What a result table is published by; nothing for one without an order."""
+    return {
         "analyte_units_reference": ["Analyte"], "water_quality_allinfo_master": ["WaterQualityID"],
         "all_stations_fire_joined": ["WaterQualityID", "index_right"], "stations_within_fires_sameyear": ["WaterQualityID", "index_right"],
         "impacted_within_1month": ["WaterQualityID", "index_right"], "fire_paired_results": ["Fire"], "large_fires_5yr_results": ["Fire"],
         "random_forest_results": [F.desc_nulls_last("r2"), "Analyte"], "gam_results": [F.desc_nulls_last("post_fire_change"), "Analyte"],
         "analyte_impact_ranking": [F.desc("Importance"), "Analyte"], "scenario_summary": ["scenario", "Analyte"],
-    }.get(name)
+    }.get(name, [])
+
+
+def published(name: str, df: DataFrame) -> DataFrame:
+    """A result table in its published order, with its published headers."""
+    order = published_order(name)
     df = df.orderBy(*order) if order else df
     if name == "scenario_summary":
         df = df.withColumn("Analyte", short_label("Analyte"))

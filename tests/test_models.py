@@ -178,6 +178,13 @@ def test_failing_forest_raises(spark, monkeypatch):
     monkeypatch.setattr(ml, "r2_score", flaky)
     with pytest.raises(RuntimeError):
         ml.rf_regression(df, ["y", "z"], num_trees=3, max_depth=3)
+    alone = ml.rf_regression(df, ["y"], num_trees=3, max_depth=3)[0].first()
+    res, imp = ml.rf_regression(df, ["y", "z"], num_trees=3, max_depth=3, isolate=True)
+    got = {r["Analyte"]: r for r in res.collect()}
+    assert got["y"] == alone and (got["z"]["r2"], got["z"]["status"]) == (None, "failed: RuntimeError")
+    assert {r["Analyte"] for r in imp.collect()} == {"y"}
+    with pytest.raises(RuntimeError):
+        ml.rf_regression(df, ["z"], num_trees=3, max_depth=3, isolate=True)
 
 
 def test_small_analyte_is_listed_with_its_status(spark):
