@@ -2,8 +2,10 @@
 
 import datetime as dt
 
-from cinderwell.operators.reshape import (add_surrogate_id, master_wide, pivot_wide,
-                                          units_reference)
+from cinderwell.operators.reshape import (_crowded, add_surrogate_id, master_sorted, master_wide, pivot_wide,
+                                          units_reference, with_file_order_id)
+from cinderwell.session import written_table
+from cinderwell.sources.schema import KEY_COLS
 
 D1, D2 = dt.date(2020, 1, 1), dt.date(2020, 1, 2)
 SCHEMA = ("StationCode string, SampleDate date, StationName string, TargetLatitude double, "
@@ -101,3 +103,39 @@ def test_metadata_variant_without_values_and_null_metadata(spark):
     from pyspark.sql import functions as F
     s = df.withColumn("o2", F.struct(F.lit("f"), F.col("ord")))
     assert sorted((str(r["StationName"]), r["pH"]) for r in master_wide(s, ["pH"], order_col="o2").collect()) == got
+
+
+def test_master_sorted_gives_the_rows_of_master_wide_in_order(spark):
+    """Parts of two readings, a crowded key with two metadata variants, nulls."""
+    rows = [(s, dt.date(2020, 1, 1 + i % 3), "n", 1.0, 2.0, 1, a, float(i), "none", i)
+            for i, (s, a) in enumerate((f"S{k}", x) for k in range(12) for x in ("pH", "Turbidity, Total", "pH"))]
+    rows += [("H", D1, "ab"[i % 2], 1.0, None, 1, ("pH", "Turbidity, Total")[i % 3 == 0], None if i < 4 else float(i), "none", 1000 - i) for i in range(60)]
+    rows += [(None, D1, "n", 1.0, 2.0, 1, "pH", 5.0, "none", 1), ("Z", D2, "n", 1.0, 2.0, 1, "pH", None, "none", 2)]
+    df = long(spark, rows).repartition(3)
+    analytes = ["pH", "Turbidity, Total"]
+    assert _crowded(df.dropna(subset=["StationCode"]), KEY_COLS, 2)[1]
+    got = master_sorted(df, analytes, rows_a_part=2)
+    assert got.columns == master_wide(df, analytes).columns
+    key = lambda r: (r["StationCode"], r["SampleDate"], r["StationName"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, master_wide(df, analytes).collect()), key=str)
+    assert [key(r) for r in got.collect()] == sorted(key(r) for r in got.collect())
+
+
+def test_master_sorted_moves_the_readings_once(spark):
+    """One exchange without crowded keys, parts by the number of rows."""
+    df = long(spark, [(f"S{i}", D1, "n", 1.0, 2.0, 1, "pH", 1.0, "none", i) for i in range(400)])
+    out = master_sorted(df, ["pH"], rows_a_part=20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
+    assert out.rdd.getNumPartitions() == 20
+
+
+def test_file_order_ids_broadcast_the_offsets(spark):
+    """However large the table, its rows are not shuffled to learn their file's offset."""
+    stored = written_table(long(spark, [(f"S{i}", D1, "n", 1.0, 2.0, 1, "pH", 1.0, "none", i) for i in range(20)]), "offsets-test")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = with_file_order_id(stored, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
