@@ -98,3 +98,19 @@ def test_class_report_has_the_average_rows(spark):
     assert got["accuracy"]["f1"] == 0.75 and got["accuracy"]["support"] == 4
     assert abs(got["macro avg"]["precision"] - (1 + 2 / 3) / 2) < 1e-12
     assert abs(got["weighted avg"]["recall"] - 0.75) < 1e-12
+
+
+def test_ranks_of_one_bracket_share_its_rows(spark, monkeypatch):
+    """63 ranks of two groups: no value is gathered for each rank apart, and
+    what all brackets gather together is bounded."""
+    rnd = random.Random(3)
+    vals = {"a": [rnd.gauss(0, 1) for _ in range(3000)], "b": [float(rnd.randrange(5)) for _ in range(500)], None: [rnd.random() for _ in range(200)]}
+    df = spark.createDataFrame([(g, v) for g, vs in vals.items() for v in vs], "_g string, _v double")
+    frame, gathered = type(df), []
+    real = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: gathered.append((self.columns, out := real(self))) or out)
+    ranks = lambda n: sorted({n * k // 64 for k in range(1, 64)})
+    got, counts = stats.select_ranks(df.repartition(3), ranks, buckets=16, max_collect=400)
+    assert got == {(g, k): sorted(vs)[k] for g, vs in vals.items() for k in ranks(len(vs))}
+    assert counts == {g: len(vs) for g, vs in vals.items()}
+    assert max(len(out) for columns, out in gathered if "_v" in columns) <= 400
