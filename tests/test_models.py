@@ -195,3 +195,18 @@ def test_small_analyte_is_listed_with_its_status(spark):
     assert got["y"]["status"] == "ok" and got["y"]["n"] == 300
     assert got["z"]["n"] == 99 and got["z"]["r2"] is None and got["z"]["status"] == "fewer than 100 complete rows"
     assert {r["Analyte"] for r in imp.collect()} == {"y"}
+
+
+def test_large_forests_are_fitted_one_after_another(spark, monkeypatch):
+    """Each fit keeps its rows in several forms, so as many run side by side as
+    fit together; the results do not depend on it."""
+    df = _frame(spark, 300).withColumn("SampleDate", F.lit("2020-01-01").cast("date")) \
+                           .withColumn("index_right", F.lit(1)).withColumn("z", F.col("y") * 2)
+    asked, pool = [], ml.ThreadPoolExecutor
+    monkeypatch.setattr(ml, "ThreadPoolExecutor", lambda max_workers: asked.append(max_workers) or pool(max_workers))
+    got = []
+    for most in (10_000, 500, 300, 10):
+        monkeypatch.setattr(ml, "ROWS_AT_ONCE", most)
+        got.append([sorted(map(tuple, x.collect())) for x in ml.rf_regression(df, ["y", "z"], num_trees=3, max_depth=3)])
+    assert asked == [2, 1, 1, 1]
+    assert all(x == got[0] for x in got)
