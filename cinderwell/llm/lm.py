@@ -36,10 +36,11 @@ import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +52,8 @@ from cinderwell.session import written_table
 ADDED = 0.1
 HELD_OUT, ROUNDS = 10, 4
 LOOKUP, LONGEST = 200_000, 64
-#: words in work at a time, and distinct words that a task counts before it hands them on
-GROUP, COUNTED = 3_000_000, 500_000
+#: words that a task counts before it hands them on, or holds to learn and score; words looked up at a time
+GROUP, WORDS = 3_000_000, 200_000
 #: documents numbered at a time
 ROWS = 500
 #: parameters a row, and groups of tasks, when parameters are averaged
@@ -87,23 +88,53 @@ def _is_held_out() -> Column:
     return F.col("part") % HELD_OUT == 0
 
 
-def _count(batches):
-    both = Counter(), Counter()
+def _endings(words: pa.Array) -> np.ndarray:
+    """``ending`` of each word; few differ in their last two bytes."""
+    tails = pc.binary_slice(words, -2).dictionary_encode()
+    known = np.fromiter(map(ending, tails.dictionary.to_pylist()), np.int32, len(tails.dictionary))
+    return known[tails.indices.to_numpy()] if len(words) else known
+
+
+def _keys(words: pa.Array) -> pa.Array:
+    long = pc.greater(pc.binary_length(words), LONGEST)
+    return pc.replace_with_mask(words, long, pa.array([key(w) for w in words.filter(long).to_pylist()], pa.binary()))
 
-    def rows():
-        words = list({**both[0], **both[1]})
-        # distinct long words have distinct digests
-        return pa.RecordBatch.from_arrays([
-            pa.array([key(w).decode("utf-8", "replace") for w in words], pa.string()), pa.array(map(ending, words), pa.int32(), size=len(words)),
-            *(pa.array([c.get(w, 0) for w in words], pa.int64()) for c in both)], ["word", "ending", "train", "held"])
 
+def _strings(words: pa.Array) -> pa.Array:
+    try:
+        return words.cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8
+        return pa.array([w.decode("utf-8", "replace") for w in words.to_pylist()], pa.string())
+
+
+def _count(batches):
+    def rows(train, held):
+        # distinct long words have distinct digests
+        chunks = pa.chunked_array(train + held, pa.binary()).dictionary_encode().chunks
+        words = chunks[0].dictionary if chunks else pa.array([], pa.binary())
+        counts = [sum((np.bincount(c.indices.to_numpy(), minlength=len(words)) for c in part), np.zeros(len(words), np.int64))
+                  for part in (chunks[:len(train)], chunks[len(train):])]
+        return pa.RecordBatch.from_arrays([_strings(_keys(words)), pa.array(_endings(words), pa.int32()), *(pa.array(c, pa.int64()) for c in counts)],
+                                          ["word", "ending", "train", "held"])
+
+    both, n = ([], []), 0
     for batch in batches:
+        met = [], []
         for part, text in zip(batch.column("part").to_pylist(), batch.column("text")):
-            both[part % HELD_OUT == 0].update(tokens(text.as_py()))
-            if len(both[0]) + len(both[1]) > COUNTED:
-                yield rows()
-                both = Counter(), Counter()
-    yield rows()
+            words = met[part % HELD_OUT == 0]
+            words += tokens(text.as_py())
+            if len(words) > WORDS:
+                both[part % HELD_OUT == 0].append(pa.array(words, pa.binary()))
+                n += len(words)
+                words.clear()
+            if n > GROUP:
+                yield rows(*both)
+                both, n = ([], []), 0
+        for held, words in zip(both, met):
+            if words:
+                held.append(pa.array(words, pa.binary()))
+                n += len(words)
+    yield rows(*both)
 
 
 def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,26 +185,6 @@ def lexicon(counts: DataFrame, lookup: int = LOOKUP) -> Lexicon:
                    count, number, end_count, [end_count, *count[:len(chosen)].tolist()], mass)
 
 
-def _places(known: Lexicon, words: list[bytes]) -> np.ndarray:
-    """Place of each word but the end, -1 for one that is not frequent."""
-    get = known.place.get
-    out = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))[:-1]
-    for i in np.flatnonzero(out < 0):
-        if len(words[i]) > LONGEST:
-            out[i] = get(key(words[i]), -1)
-    return out
-
-
-def _numbers(known: Lexicon, words: list[bytes], at: np.ndarray) -> np.ndarray:
-    """The model's number of each token."""
-    out = np.zeros(len(words), np.int32)  # the end is number 0
-    rare = np.flatnonzero(at < 0)
-    if len(known.number):
-        out[:-1] = known.number[at]
-    out[rare] = [gru.VOCAB + ending(words[i]) for i in rare]
-    return out
-
-
 _NUMBERED = ("doc_id long, part long, n_tokens long, n_known long, base double, share double, "
              "numbers binary, rest array<struct<word: string, n: int>>")
 
@@ -184,31 +195,57 @@ def _number(told):
     without what the counts of the words in ``rest`` add."""
     def each(batches):
         known = told.value
+        frequent = pc.SetLookupOptions(pa.array(list(known.place), pa.binary()))
         log_count = np.log10(known.count + ADDED)
         log_ending = np.log10(np.maximum(known.ending_mass, 1e-300))
         log_all, log_end = np.log10(known.all_mass), np.log10(known.end_count + ADDED)
+
+        def rows(part, held):
+            size = np.array([len(w) for w in held])
+            ends = np.cumsum(size)
+            words = [w for some in held for w in some]
+            at = pc.index_in(pa.array(words, pa.binary()), options=frequent).fill_null(-1).to_numpy().astype(np.int64)
+            rare = at < 0
+            rare[ends - 1] = False
+            if max(map(len, words)) > LONGEST:
+                for i in np.flatnonzero(rare).tolist():
+                    if len(words[i]) > LONGEST:
+                        at[i] = known.place.get(key(words[i]), -1)
+                rare &= at < 0
+            place, seen = np.flatnonzero(rare), np.flatnonzero(at >= 0)
+            others = [words[i] for i in place.tolist()]
+            numbers = np.zeros(len(words), np.int32)  # the end is number 0
+            numbers[seen] = known.number[at[seen]]
+            numbers[place] = gru.VOCAB + _endings(pa.array(others, pa.binary()))
+            base, share, met = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words), np.int64)
+            base[seen] = log_count[at[seen]]
+            met[seen] = known.count[at[seen]] > 0
+            outside = numbers >= gru.VOCAB
+            share[outside] = base[outside] - log_ending[numbers[outside] - gru.VOCAB]
+            base, share, met = (np.add.reduceat(x, ends - size) for x in (base, share, met))
+            listed, times, bounds = [], [], [0]
+            for a, b in pairwise(np.searchsorted(place, np.concatenate([[0], ends])).tolist()):
+                rest = Counter(others[a:b])
+                listed += rest.keys()
+                times += rest.values()
+                bounds.append(len(listed))
+            rest = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(
+                [_strings(_keys(pa.array(listed, pa.binary()))), pa.array(times, pa.int32())], ["word", "n"]))
+            at_byte = np.concatenate([[0], 2 * ends]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(at_byte), pa.py_buffer(numbers.astype(np.uint16))])
+            return pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("part"), pa.array(size, pa.int64()), pa.array(met + int(known.end_count > 0)),
+                 pa.array(base + log_end - size * log_all), pa.array(share), packed, rest],
+                ["doc_id", "part", "n_tokens", "n_known", "base", "share", "numbers", "rest"])
+
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
-                out, ends, listed, times = [], [0], [], []
-                for text in part.column("text"):
-                    words = tokens(text.as_py())
-                    at = _places(known, words)
-                    numbers = _numbers(known, words, at)
-                    rest = Counter(key(words[i]) for i in np.flatnonzero(at < 0).tolist())
-                    listed += rest.keys()
-                    times += rest.values()
-                    ends.append(len(listed))
-                    at = at[at >= 0]
-                    outside = numbers[numbers >= gru.VOCAB] - gru.VOCAB
-                    share = (log_count[at[known.number[at] >= gru.VOCAB]].sum() if len(at) else 0.0) - log_ending[outside].sum()
-                    out.append((len(words), int((known.count[at] > 0).sum()) + int(known.end_count > 0),
-                                log_count[at].sum() + log_end - len(words) * log_all, share, numbers.astype(np.uint16).tobytes()))
-                words = pa.array([w.decode("utf-8", "replace") for w in listed], pa.string())
-                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, pa.array(times, pa.int32())], ["word", "n"]))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds)), rare],
-                                                 ["doc_id", "part", "n_tokens", "n_known", "base", "share", "numbers", "rest"])
+            a, held, n = 0, [], 0
+            for i, text in enumerate(batch.column("text")):
+                held.append(tokens(text.as_py()))
+                n += len(held[-1])
+                if n > WORDS or i + 1 - a == ROWS or i + 1 == batch.num_rows:
+                    yield rows(batch.slice(a, len(held)), held)
+                    a, held, n = i + 1, [], 0
     return each
 
 

@@ -2,8 +2,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,30 @@ def test_rows_far_below_the_largest_logit():
     want = x.astype(np.float64) - np.log(np.exp(x.astype(np.float64) - x.max(1, keepdims=True)).sum(1, keepdims=True)) - x.max(1, keepdims=True)
     slope = np.exp(want) - np.eye(8)[target]
     assert np.allclose(gru._log_soften(x, target, True), want[np.arange(5), target], atol=1e-4) and np.allclose(x, slope, atol=1e-5)
+
+
+def test_tasks_look_up_and_count_many_documents_at_a_time(monkeypatch):
+    monkeypatch.setattr(lm, "WORDS", 4)
+    texts = [b"", b"a bb \xff cc cc", b"x" * 70 + b" a " + b"x" * 70, b" ", b"dd a e\xc3\xa9 a", b"a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array([10, 11, 12, 13, 14, 20], pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "part", "text"])
+    told = lambda w: lm.key(w).decode("utf-8", "replace")
+    want = Counter((told(w), lm.ending(w), p % 10 == 0) for p, t in zip(batch.column("part").to_pylist(), texts) for w in lm.tokens(t))
+    got = Counter()
+    for rows in lm._count([batch]):
+        for r in rows.to_pylist():
+            got[r["word"], r["ending"], False] += r["train"]
+            got[r["word"], r["ending"], True] += r["held"]
+    assert +got == want
+    known = lm.Lexicon(20, 8, {b"a": 0, lm.key(b"x" * 70): 1, b"cc": 2}, np.array([5, 2, 0]), np.array([1, 2, gru.VOCAB + lm.ending(b"cc")], np.int32), 4, [4, 5, 2], np.ones(gru.ENDINGS))
+    rows = [r for b in lm._number(SimpleNamespace(value=known))([batch]) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(6))
+    for r, text in zip(rows, texts):
+        words = lm.tokens(text)
+        place = [known.place.get(lm.key(w)) for w in words]
+        assert {x["word"]: x["n"] for x in r["rest"]} == Counter(told(w) for w, p in zip(words[:-1], place) if p is None)
+        numbers = [0 if not w else gru.VOCAB + lm.ending(w) if p is None else known.number[p] for w, p in zip(words, place)]
+        assert np.frombuffer(r["numbers"], np.uint16).tolist() == numbers and r["n_tokens"] == len(words)
+        seen = [known.count[p] for p in place if p is not None]
+        assert r["n_known"] == sum(n > 0 for n in seen) + 1
+        assert r["base"] == pytest.approx(sum(math.log10(n + 0.1) for n in [*seen, 4]) - len(words) * math.log10(known.all_mass))
+        assert r["share"] == pytest.approx(sum(math.log10(0.1) for w in words if w == b"cc"))
