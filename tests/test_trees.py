@@ -118,3 +118,17 @@ def test_bins_of_equal_counts(spark):
     got = trees.binned(df, cuts).groupBy("a").count().orderBy("a").collect()
     assert [(r["a"], r["count"]) for r in got] == [(12.0, 52), (25.0, 52), (37.0, 48), (float("inf"), 48)]
     assert trees.binned(df, cuts).where("b IS NULL").count() == 1
+
+
+def test_rows_keep_columns_beside_and_bins_order_odd_values_like_spark(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(-inf, 1), (-0.0, 2), (0.5, 3), (1.0, 4), (2.0, 5), (inf, 6), (nan, 7), (None, 8)], "a double, y int")
+    got = {r["y"]: r["a"] for r in trees.binned(df, {"a": [0.0, 1.0]}).collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: 1.0, 4: 1.0, 5: inf, 6: inf, 7: inf, 8: None}
+    got = {r["y"]: r["a"] for r in trees.binned(df, {"a": [-inf, 1.0, inf]}).collect()}
+    assert got == {1: -inf, 2: 1.0, 3: 1.0, 4: 1.0, 5: inf, 6: inf, 7: inf, 8: None}
+    rows = trees.long_rows(df.withColumn("is_test", df["y"] > 6), ["y"], ["a"], beside=["is_test"])
+    tree = trees.grow(rows, 1, 1)
+    assert [(r["y"], r["is_test"]) for r in trees.predict(rows, tree).orderBy("y").collect()] == [(float(i), i > 6) for i in range(1, 8)]
+    # NaN is the largest value: the row lies right of every cut
+    assert {r["y"] for r in trees.predict(rows, tree).where("node = 3").collect()} >= {7.0}
