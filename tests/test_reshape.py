@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from cinderwell.operators.reshape import (_crowded, add_surrogate_id, master_sorted, master_wide, pivot_wide,
                                           units_reference, with_file_order_id)
 from cinderwell.session import written_table
@@ -139,3 +141,28 @@ def test_file_order_ids_broadcast_the_offsets(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_file_order_ids_find_the_part_number_once_a_file(spark):
+    """Rows are counted by file name; its part number is not searched for in every row."""
+    stored = written_table(long(spark, [(f"S{i}", D1, "n", 1.0, 2.0, 1, "pH", 1.0, "none", i) for i in range(20)]).repartition(3), "parts-test")
+    out = with_file_order_id(stored, "id")
+    counted = out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[1]
+    grouped, _, results_and_rows = counted.partition("], [")
+    assert "regexp_extract" not in grouped and "regexp_extract" not in "".join(results_and_rows.splitlines()[1:])
+    assert sorted(r["id"] for r in out.collect()) == list(range(1, 21))
+
+
+@pytest.mark.parametrize("varied", [None, ("S3", D1), ("S3", D2)])
+def test_master_sorted_needs_a_window_only_where_metadata_vary(spark, varied):
+    """Stations with one set of metadata, one of them null, repeated cells; then
+    one station with another name at one of its keys, or at another key."""
+    rows = [(f"S{k}", d, None if k == 2 else "n", 1.0, None if k == 4 else 2.0, 1, a, None if k + i == 5 else float(k + i), "none", 100 * i + k)
+            for k in range(8) for i, (d, a) in enumerate((d, a) for d in (D1, D1) for a in ("pH", "Turbidity, Total", "pH"))]
+    if varied:
+        rows.append((*varied, "other", 1.0, 2.0, 1, "Turbidity, Total", 7.0, "none", -1))
+    df = long(spark, rows).repartition(3)
+    analytes = ["pH", "Turbidity, Total"]
+    got = master_sorted(df, analytes)
+    assert ("Window" in got._jdf.queryExecution().executedPlan().toString()) == (varied is not None)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, master_wide(df, analytes).collect()), key=str)

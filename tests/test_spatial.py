@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from cinderwell.functions.geometry import side, within
+from cinderwell.operators.events import add_years
 from cinderwell.operators.spatial import fire_cells, fire_quadtree, quadtree_levels, spatial_join
+from cinderwell.plans.stages import build_joined
 
 
 def brute_force_join(points, fires):
@@ -143,3 +145,18 @@ def test_side_is_exact(spark):
             (1e5, 1e5, 3e5, 3e5, 2e5, 2e5, 0), (1e5, 1e5, 3e5, 3e5, 2e5, 3e5, 1), (1.0, 1.0, 1.0, 1.0, 5.0, 5.0, 0)]
     df = spark.createDataFrame(rows, "ax double, ay double, bx double, by double, px double, py double, want int")
     assert df.where(side(*map(F.col, df.columns[:6])) != F.col("want")).count() == 0
+
+
+def test_fire_years_are_told_of_the_perimeters_not_of_the_readings(spark):
+    """The alarm's year in UTC, before and behind midnight; none without a perimeter or an alarm."""
+    alarms = ["2019-12-31 23:30:00", "2020-01-01 00:10:00", None]
+    fires = spark.createDataFrame([(i, f"F{i}", a, 5.0, rings([(x + 10.0 * i, y) for x, y in SQUARE[0]])) for i, a in enumerate(alarms)],
+                                  "fire_id long, FIRE_NAME string, ALARM_DATE string, GIS_ACRES double, rings array<array<struct<x:double,y:double>>>") \
+                 .withColumn("ALARM_DATE", F.to_timestamp("ALARM_DATE"))
+    master = spark.createDataFrame([(10.0 * i + 1, 1.5) for i in range(4)], "TargetLongitude double, TargetLatitude double") \
+                  .withColumn("SampleDate", F.lit("2021-05-01").cast("date"))
+    j = build_joined(master, fires)
+    assert [(r["FireYear"], r["SampleYear"]) for r in j.orderBy("TargetLongitude").collect()] == [(2019, 2021), (2020, 2021), (None, 2021), (None, 2021)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "convert_timezone" in plan(add_years(fires.withColumn("SampleDate", F.current_date())))
+    assert "convert_timezone" not in plan(j)
