@@ -4,8 +4,8 @@ import datetime as dt
 
 import pytest
 
-from cinderwell.operators.reshape import (_crowded, add_surrogate_id, master_sorted, master_wide, pivot_wide,
-                                          units_reference, with_file_order_id)
+from cinderwell.operators.reshape import (_crowded, _part_count, add_surrogate_id, master_sorted, master_wide,
+                                          pivot_wide, units_reference, with_file_order_id)
 from cinderwell.session import written_table
 from cinderwell.sources.schema import KEY_COLS
 
@@ -132,6 +132,16 @@ def test_master_sorted_moves_the_readings_once(spark):
     assert out.rdd.getNumPartitions() == 20
 
 
+def test_master_sorted_streams_its_map_output(spark):
+    """Above 200 parts a map task would hold and sort its whole split: parts of up
+    to three times the rows instead; still larger tables get more parts."""
+    df = long(spark, [(f"S{i:03d}", D1, "n", 1.0, 2.0, 1, "pH", 1.0, "none", i) for i in range(600)]).repartition(3)
+    out = master_sorted(df, ["pH"], rows_a_part=1)
+    assert out.rdd.getNumPartitions() == 200
+    assert [r["StationCode"] for r in out.collect()] == [f"S{i:03d}" for i in range(600)]
+    assert [_part_count(spark, n, 10) for n in (1990, 2001, 6000, 6001)] == [199, 200, 200, 601]
+
+
 def test_file_order_ids_broadcast_the_offsets(spark):
     """However large the table, its rows are not shuffled to learn their file's offset."""
     stored = written_table(long(spark, [(f"S{i}", D1, "n", 1.0, 2.0, 1, "pH", 1.0, "none", i) for i in range(20)]), "offsets-test")
